@@ -21,11 +21,10 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300, pairs:
         weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
     weight = weight / weight.sum()
     diff = None if pairs is None else x - pairs
-    bound = 0.25 * float((weight[:, None] * x * x).sum(1).max() * n if n else 1) + l2
-    norm = float((x * x).sum(1).mean()) if n else 1.0
-    rate = 1.0 / (0.25 * (norm + 1) + l2 + (2 * penalty * float((diff * diff).sum(1).mean()) if diff is not None else 0.0))
-    del bound
-    w, b = np.zeros(d), 0.0
+    norm = float((weight * np.einsum("ij,ij->i", x, x)).sum()) if n else 1.0
+    rate = 1.0 / (0.25 * (norm + 1) + l2 + (2 * penalty * float(np.einsum("ij,ij->i", diff, diff).mean()) if diff is not None else 0.0))
+    x, weight = x.astype(np.float32, copy=False), weight.astype(np.float32)
+    w, b = np.zeros(d, np.float32), 0.0
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(steps if n else 0):
         g = weight * (sigmoid(x @ vw + vb) - y)

@@ -21,10 +21,10 @@ from .linear import fit, platt, sigmoid
 from .words import as_bytes, covered, hashes, spans, windows
 
 #: Buckets for each family of n-grams.
-DIM = 2_048
+DIM = 1_024
 FAMILIES = 4
 #: Labelled rows to fit on, at most; with DIM they bound what reaches the driver.
-TRAIN_ROWS = 3_000
+TRAIN_ROWS = 2_000
 #: Fixed thresholds of the rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_PROBABILITY = 10, 20, 0.3
 
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     if not len(y) or y.min() == y.max():
         return {"w": np.zeros(FAMILIES * DIM), "b": 0.0, "slope": 0.0, "shift": 40.0}
     third = np.arange(len(y)) % 3 == 0
-    w, b = fit(x[~third], y[~third], l2=1e-4)
+    w, b = fit(x[~third], y[~third], l2=1e-4, steps=150)
     slope, shift = platt(x[third] @ w + b, y[third])
     return {"w": w, "b": b, "slope": slope, "shift": shift}
 

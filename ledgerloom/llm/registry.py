@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import near_dedup, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
         "op4_sharding": sharding.op4_sharding,
+        "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
