@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import near_dedup, quality_rules, sharding
+from . import near_dedup, quality_rules, sharding, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op4_sharding": sharding.op4_sharding,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
