@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dedup, quality_rules, sharding, substring_dedup
+from . import decontaminate, near_dedup, quality_rules, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -10,9 +10,10 @@ def queries() -> dict:
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op4_sharding": sharding.op4_sharding,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+        "op9_decontamination": decontaminate.op9_decontamination,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": decontaminate.SQL}
