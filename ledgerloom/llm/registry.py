@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, quality_rules, sharding, substring_dedup
+from . import decontaminate, html_extract, near_dedup, quality_rules, sharding, substring_dedup, warc
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_extract.op1_html_extraction,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op4_sharding": sharding.op4_sharding,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+        "op8_warc": warc.op8_warc,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontaminate.SQL}
+    return {"op8_warc": warc.SQL, "op9_decontamination": decontaminate.SQL}
