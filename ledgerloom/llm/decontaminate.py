@@ -44,20 +44,20 @@ def _n_words(words: Column) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """item_id and words of each item with a word; rows without an id are left out."""
+    """item (a key), item_id and words of each item with a word; rows without an id are left out."""
     words = F.filter(_split(F.translate("text", _UPPER, _LOWER)), lambda w: w != "")
-    return benchmark.where("item_id is not null and text is not null").select("item_id", words.alias("words")).where(F.size("words") > 0).distinct()
+    return benchmark.where("item_id is not null and text is not null").select("item_id", words.alias("words")).where(F.size("words") > 0).distinct().withColumn("item", F.xxhash64("item_id", "words"))
 
 
 def _anchors(items: DataFrame, frequency: DataFrame) -> DataFrame:
-    """item_id, words, p and term: the places of the two rarest words of each window."""
-    words = items.select("item_id", "words", F.posexplode("words").alias("p", "term"))
+    """item, size, p and term: the places of the two rarest words of each window."""
+    words = items.select("item", F.size("words").alias("size"), F.posexplode("words").alias("p", "term"))
     rated = words.join(frequency, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    last = F.greatest(F.size("words") - WINDOW, F.lit(0))
+    last = F.greatest(F.col("size") - WINDOW, F.lit(0))
     first = F.greatest(F.col("p") - WINDOW + 1, F.lit(0))
     windows = rated.withColumn("start", F.explode(F.sequence(first, F.least("p", last))))
-    order = Window.partitionBy("item_id", "words", "start").orderBy("count", "term", "p")
-    return windows.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("item_id", "words", "p", "term").distinct()
+    order = Window.partitionBy("item", "start").orderBy("count", "term", "p")
+    return windows.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("item", "size", "p", "term").distinct()
 
 
 def _windows_at(words: Column, survivors: Column) -> Column:
@@ -89,9 +89,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     anchors = stored(_anchors(items, frequency), "anchors")
 
     index = stored(tokens.join(anchors.select("term").distinct(), "term").select("term", "doc_id", "version", "pos"), "postings")
-    shifted = index.join(anchors, "term").select("doc_id", "version", "item_id", "words", (F.col("pos") - F.col("p")).alias("shift"), "p")
-    places = shifted.groupBy("doc_id", "version", "item_id", "words", "shift").agg(F.min("p").alias("p0"), F.max("p").alias("p1"))
-    agreed = places.where((F.col("p0") < F.col("p1")) | (F.size("words") == 1))
+    shifted = index.join(anchors, "term").select("doc_id", "version", "item", (F.col("pos") - F.col("p")).alias("shift"), "p", "size")
+    places = shifted.groupBy("doc_id", "version", "item", "shift").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.max("size").alias("size"))
+    agreed = places.where("p0 < p1 or size = 1").join(items, "item")
     survivors = agreed.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set(F.struct("item_id", "words", "shift")).alias("survivors"))
     survivors = stored(survivors, "survivors")
 
