@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, near_dedup, quality_rules, sharding, substring_dedup, warc
+from . import decontaminate, html_extract, near_dedup, quality_crf, quality_rules, sharding, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_html_extraction": html_extract.op1_html_extraction,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_sharding": sharding.op4_sharding,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+        "op6_quality_crf": quality_crf.op6_quality_crf,
         "op8_warc": warc.op8_warc,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_quality_rules": quality_rules.op10_quality_rules,
