@@ -189,6 +189,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return model
 
 
+def _scores(texts: pa.Array, model: dict) -> list[float]:
+    out: list[float] = []
+    for k in range(0, len(texts), 256):
+        found = [line_measures(t) for t in texts.slice(k, 256).to_pylist()]
+        size = np.array([len(x) for x, _ in found])
+        good = goodness(np.vstack([x for x, _ in found]).astype(float), np.concatenate([s for _, s in found]), size, model)
+        out += sigmoid(model["slope"] * _logit(good) + model["shift"]).tolist()
+    return out
+
+
 def quality(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -199,19 +209,23 @@ def quality(docs: DataFrame, model: dict) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score: list[float] = []
-            texts = batch.column("text")
-            for k in range(0, batch.num_rows, 256):
-                found = [line_measures(t) for t in texts.slice(k, 256).to_pylist()]
-                size = np.array([len(x) for x, _ in found])
-                good = goodness(np.vstack([x for x, _ in found]).astype(float), np.concatenate([s for _, s in found]), size, model)
-                score += sigmoid(model["slope"] * _logit(good) + model["shift"]).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch.column("text"), model), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` that score THRESHOLD or more, in one pass over them."""
+    ship(docs.sparkSession)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([s >= THRESHOLD for s in _scores(batch.column("text"), model)], pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 # ---- query ------------------------------------------------------------------------------------------------------
 
 

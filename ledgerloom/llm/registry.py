@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, near_dedup, quality_crf, quality_rules, sharding, substring_dedup, toxicity, warc
+from . import decontaminate, html_extract, near_dedup, quality_crf, quality_rules, sentencepiece_codec, sharding, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_sharding": sharding.op4_sharding,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
         "op6_quality_crf": quality_crf.op6_quality_crf,
+        "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
         "op8_warc": warc.op8_warc,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_quality_rules": quality_rules.op10_quality_rules,
