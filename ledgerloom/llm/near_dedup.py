@@ -8,9 +8,10 @@ shingle).  Documents with 100 * intersection >= 75 * union are linked; a compone
   number.  All registers are settled as soon as the largest value is below the next step, mostly after a few steps.
 * BANDS bands of ROWS registers make the buckets.  A pair at the threshold misses all of them with probability
   (1 - 0.75**4)**32 = 5e-6, and less than that with this signature.
-* In a bucket, members are first held against one pivot each (linear in the bucket, whatever its size), then against
-  another pivot if their components still differ, and last only members of components that still differ are paired,
-  which is exact: no pair across components of a bucket is left out.
+* In a bucket, members are first held against one pivot, which is linear in the bucket whatever its size.  Where more
+  than one component is left, they are held against the member that has the largest share of shingles in common with any
+  other, and last the members of different components are paired.  That last step is exact: it leaves out only pairs that
+  can't be similar enough, by their sizes and by the number of shingles that no other remaining document has.
 * Every candidate is verified on the two full sets, from the texts.
 """
 
@@ -128,6 +129,29 @@ def _similar_size(n: str, other: str) -> F.Column:
     return (100 * F.least(n, other) >= PERCENT * F.greatest(n, other))
 
 
+def _mixed(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component, with the component g of each node."""
+    rows = buckets.join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
+    several = rows.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("bucket")
+    return rows.join(several, "bucket", "left_semi")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        row = np.repeat(np.arange(len(sets)), [len(e) for e in sets])
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
+
+
+def _common(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and s, the number of its shingles that another of ``nodes`` has too."""
+    kind = dict(nodes.dtypes)["node"]
+    texts = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text")
+    held = texts.mapInArrow(_shingles, f"node {kind}, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    own = held.where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return stored(nodes.join(own, "node", "left").select("node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s")), "common")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -142,32 +166,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = signed.where("set_id is not null and doc_id is not null")
     classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), "node", "n")
-    crowd = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("low"), F.max(F.struct(F.xxhash64("node"), "node", "n")).alias("high")).where("size > 1")
-    buckets = stored(members.join(crowd, "bucket").select("bucket", "node", "n", F.col("low.node").alias("p1"), F.col("low.n").alias("n1"), F.col("high.node").alias("p2"), F.col("high.n").alias("n2"), "size"), "buckets")
+    crowd = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("low")).where("size > 1")
+    buckets = stored(members.join(crowd, "bucket").select("bucket", "node", "n", F.col("low.node").alias("p1"), F.col("low.n").alias("n1"), "size"), "buckets")
 
     links = _verified(buckets.where(F.col("node") != F.col("p1")).where(_similar_size("n", "n1")).select(F.col("p1").alias("a"), F.col("node").alias("b")), docs)
     found = connected_components(links)
-
-    def labelled(groups: DataFrame) -> DataFrame:
-        """Members of buckets of three or more (a bucket of two is done) that hold more than one component."""
-        with_group = buckets.where("size > 2").join(groups.withColumnRenamed("component", "g"), "node", "left")
-        with_group = with_group.withColumn("g", F.coalesce("g", "node"))
-        mixed = with_group.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("bucket")
-        return with_group.join(mixed, "bucket", "left_semi")
-
-    left = stored(labelled(found), "mixed")
-    pivots = left.where(F.col("node") == F.col("p2")).select("bucket", F.col("g").alias("pg"))
-    again = left.where(F.col("node") != F.col("p2")).join(pivots, "bucket").where(F.col("g") != F.col("pg")).where(_similar_size("n", "n2"))
-    more = _verified(again.select(F.col("p2").alias("a"), F.col("node").alias("b")), docs)
-    links = links.unionByName(more)
+    # Buckets of two are done.  Of the rest, those that hold more than one component:
+    left = stored(_mixed(buckets.where("size > 2").select("bucket", "node", "n", "p1"), found), "mixed")
+    common = _common(left.select("node", "n").distinct(), docs)
+    left = stored(left.join(common, "node"), "mixed")
+    best = left.groupBy("bucket").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "node", "n", "g")).alias("best"))
+    left = stored(left.join(best, "bucket").select("bucket", "node", "n", "s", "g", "p1", F.col("best.node").alias("p2"), F.col("best.n").alias("n2"), F.col("best.g").alias("g2")), "mixed")
+    links = links.unionByName(_verified(left.where("node != p2 and g != g2").where(_similar_size("n", "n2")).select(F.col("p2").alias("a"), F.col("node").alias("b")), docs))
     found = connected_components(links)
 
-    left = stored(labelled(found).select("bucket", "node", "n", "g", "p1", "p2"), "mixed")
+    left = stored(_mixed(left.drop("g"), found).where(100 * F.col("s") >= PERCENT * F.col("n")), "mixed")
     x, y = left.alias("x"), left.alias("y")
-    apart = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.g") != F.col("y.g")) & _similar_size("x.n", "y.n"))
-    tried = F.col("x.node").isin(F.col("y.p1"), F.col("y.p2")) | F.col("y.node").isin(F.col("x.p1"), F.col("x.p2"))
-    last = _verified(apart.where(~tried).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), docs)
-    found = connected_components(links.unionByName(last))
+    shared = F.least("x.s", "y.s")
+    possible = 100 * shared >= PERCENT * (F.col("x.n") + F.col("y.n") - shared)
+    tried = (F.col("x.node") == F.col("y.p1")) | (F.col("y.node") == F.col("x.p1")) | (F.col("x.node") == F.col("y.p2")) | (F.col("y.node") == F.col("x.p2"))
+    apart = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.g") != F.col("y.g")) & possible & ~tried)
+    links = links.unionByName(_verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), docs))
+    found = connected_components(links)
 
     known = classes.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     grouped = full.select("doc_id", "n_shingles", "set_id").join(known, "set_id").select("doc_id", "n_shingles", "component_id")
