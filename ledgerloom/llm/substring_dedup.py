@@ -33,8 +33,8 @@ from .words import as_bytes, covered, hashes, mix, spans, windows
 
 WINDOW = 35
 GRAM = 8
-#: Distinct segments in one automaton, at most (62 words each).
-SHARD_SEGMENTS = 512
+#: Distinct segments in one automaton, at most: some 200,000 words, which take up to about 120 MB of a worker.
+SHARD_SEGMENTS = 4_096
 
 
 def segments(h: np.ndarray) -> tuple[np.ndarray, ...]:
