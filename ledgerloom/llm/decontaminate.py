@@ -11,7 +11,7 @@ a benchmark item (all of a shorter item); a document word inside an occurrence o
 4. The survivors of a document go to its row, where every word of the item is compared at its offset: exact.
 
 The joins with benchmark words have no hint: Spark broadcasts them by their measured size and else shuffles, with skewed
-words split.
+words split.  Survivors grow with the corpus, so that join always shuffles by document, at every size.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     survivors = agreed.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set(F.struct("item_id", "words", "shift")).alias("survivors"))
     survivors = stored(survivors, "survivors")
 
-    joined = rows.join(survivors, rows["doc_id"].eqNullSafe(survivors["_id"]) & (rows["version"] == survivors["_version"]), "left")
+    joined = rows.join(survivors.hint("merge"), rows["doc_id"].eqNullSafe(survivors["_id"]) & (rows["version"] == survivors["_version"]), "left")
     lowered = _split(F.when(F.col("survivors").isNotNull(), F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text")))
     judged = joined.withColumn("_words", lowered).withColumn("n_words", _n_words(F.col("_words")))
     judged = judged.withColumn("_at", F.when(F.col("survivors").isNotNull(), _windows_at(F.col("_words"), F.col("survivors"))))
