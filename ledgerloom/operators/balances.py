@@ -48,10 +48,10 @@ def debts(accounts: DataFrame) -> DataFrame:
     """Visible debts with balance, rate, minimum, utilisation of the limit and progress of the payoff."""
     rows = accounts.where(is_debt(F.col("type")) & ~F.coalesce("hidden", F.lit(False)))
     rate = F.coalesce("apr", "interest_rate")
-    use = F.when(F.col("credit_limit") > 0, F.least(amount(F.col("current_balance")) / F.col("credit_limit"), F.lit(1.0)))
+    use = F.when(F.col("credit_limit") > 0, F.least(amount(F.col("current_balance")) / amount(F.col("credit_limit")), F.lit(1.0)))
     return rows.select(
         *BY, "account_id", "name", "type", "subtype", amount(F.coalesce("current_balance", F.lit(0))).alias("balance"), F.when(rate > 0, rate / 1200).otherwise(0.0).alias("monthly_rate"),
-        amount(F.col("minimum_payment")).alias("minimum_payment"), F.round(use, 6).alias("utilisation"), F.round(payoff_progress(F.col("original_balance"), F.col("current_balance")), 6).alias("progress"),
+        amount(F.col("minimum_payment")).alias("minimum_payment"), use.alias("utilisation"), payoff_progress(F.col("original_balance"), F.col("current_balance")).alias("progress"),
         ((F.col("type") == "loan") & (F.lower(F.concat_ws(" ", "subtype", "name")).contains("mortgage"))).alias("mortgage"),
     )
 

@@ -45,6 +45,9 @@ def built(cells: DataFrame, existing: DataFrame | None = None, overlap: DataFram
     existing: household_id, account_id, external_id; overlap: household_id, account_id, overlap_from.  reason is null for
     rows that can be imported.
     """
+    for name in ("amount_cell", "debit_cell", "credit_cell"):
+        if name not in cells.columns:
+            cells = cells.withColumn(name, F.lit(None).cast("string"))
     text = F.trim(F.coalesce("description_cell", F.lit("")))
     rows = cells.select(*BY, "row", parse_date(F.col("date_cell")).alias("date"), signed_amount(out_positive).alias("value"), text.alias("description"))
     problems = F.concat_ws(", ", F.when(F.col("date").isNull(), "unparseable date"), F.when(F.col("value").isNull(), "unparseable amount"), F.when(F.col("description") == "", "empty description"))
@@ -83,40 +86,43 @@ def reconcile(statement: DataFrame, feed: DataFrame) -> DataFrame:
     side = lambda df, n: df.select(*BY, "id", "date", F.col("amount").cast("double").alias("amount"), F.coalesce("description", F.lit("")).alias("description"), description_tokens(F.col("description")).alias("tokens"), F.lit(n).alias("side"))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(day=pd.to_datetime(rows["date"]).map(lambda d: d.toordinal()), text=rows["id"].astype(str), words=rows["tokens"].map(set))
-        rows = rows.sort_values(["day", "description", "amount", "text"])
-        parts = {n: rows[rows["side"] == n] for n in ("statement", "feed")}
+        names = ("day", "description", "amount", "text", "id", "tokens")
+        rows = rows.assign(day=[d.toordinal() for d in rows["date"]], text=rows["id"].astype(str))
+        held: dict[str, list[tuple]] = {"statement": [], "feed": []}
+        for name, *r in zip(rows["side"], *(rows[n] for n in names), strict=True):
+            held[name].append(tuple(r))
+        groups: dict[str, dict[int, list]] = {}
+        for name, part in held.items():
+            part.sort(key=lambda r: r[:4])
+            groups[name] = {}
+            for r in part:
+                groups[name].setdefault(round(r[2] * 100), []).append(r)
         out: list[tuple] = []
         left: dict[str, list] = {"statement": [], "feed": []}
-        cents = lambda part: part["amount"].map(lambda a: round(a * 100))
-        groups = {n: dict(list(p.groupby(cents(p)))) for n, p in parts.items()}
         for size in groups["statement"].keys() | groups["feed"].keys():
-            a, b = (groups[n].get(size, rows.iloc[:0]) for n in ("statement", "feed"))
-            pairs = match([(d, 0, k) for k, d in enumerate(a["day"])], [(d, 1, k) for k, d in enumerate(b["day"])], RECONCILE_DAYS)
-            for i, j in pairs:
-                x, y = a.iloc[i], b.iloc[j]
-                out.append((x["id"], y["id"], "matched", float(abs(x["day"] - y["day"])), 0.0))
+            a, b = groups["statement"].get(size, []), groups["feed"].get(size, [])
+            pairs = match([(r[0], 0, k) for k, r in enumerate(a)], [(r[0], 1, k) for k, r in enumerate(b)], RECONCILE_DAYS) if a and b else []
+            out += [(a[i][4], b[j][4], "matched", float(abs(a[i][0] - b[j][0])), 0.0) for i, j in pairs]
             used = ({i for i, _ in pairs}, {j for _, j in pairs})
-            left["statement"] += [a.iloc[i] for i in range(len(a)) if i not in used[0]]
-            left["feed"] += [b.iloc[j] for j in range(len(b)) if j not in used[1]]
-        order = lambda r: (r["day"], r["description"], r["amount"], r["text"])
-        spare = sorted(left["feed"], key=order)
-        for x in sorted(left["statement"], key=order):
+            left["statement"] += [r for k, r in enumerate(a) if k not in used[0]]
+            left["feed"] += [r for k, r in enumerate(b) if k not in used[1]]
+        spare = sorted(left["feed"], key=lambda r: r[:4])
+        for x in sorted(left["statement"], key=lambda r: r[:4]):
             best, found = 0.0, None
             for y in spare:
-                gap = abs(x["amount"] - y["amount"])
-                if abs(x["day"] - y["day"]) > RECONCILE_DAYS or gap > CLOSE_ABSOLUTE and gap / max(abs(x["amount"]), abs(y["amount"]), 0.01) > CLOSE_RATIO:
+                gap = abs(x[2] - y[2])
+                if abs(x[0] - y[0]) > RECONCILE_DAYS or (gap > CLOSE_ABSOLUTE and gap / max(abs(x[2]), abs(y[2]), 0.01) > CLOSE_RATIO):
                     continue
-                all_ = len(x["words"] | y["words"])
-                alike = len(x["words"] & y["words"]) / all_ if x["words"] and y["words"] else 0.0
+                mine, theirs = set(x[5]), set(y[5])
+                alike = len(mine & theirs) / len(mine | theirs) if mine and theirs else 0.0
                 if alike >= LEAST_SIMILARITY and alike > best:
                     best, found = alike, y
             if found is None:
-                out.append((x["id"], None, "statement_only", None, None))
+                out.append((x[4], None, "statement_only", None, None))
             else:
                 spare = [y for y in spare if y is not found]
-                out.append((x["id"], found["id"], "mismatch", float(abs(x["day"] - found["day"])), round(x["amount"] - found["amount"], 2)))
-        out += [(None, y["id"], "feed_only", None, None) for y in spare]
+                out.append((x[4], found[4], "mismatch", float(abs(x[0] - found[0])), round(x[2] - found[2], 2)))
+        out += [(None, y[4], "feed_only", None, None) for y in spare]
         done = pd.DataFrame(out, columns=["statement_id", "feed_id", "outcome", "gap_days", "difference"])
         return done.assign(household_id=rows["household_id"].iloc[0], account_id=rows["account_id"].iloc[0])
 

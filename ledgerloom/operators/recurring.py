@@ -76,7 +76,7 @@ def detect(rows: DataFrame, today: str | None = None) -> DataFrame:
         first = first.join(_mode(hit, name, group), group, "left")
     return first.select(
         *key, F.coalesce("merchant_name", F.initcap("key")).alias("name"), F.coalesce("category", F.lit("Shopping and gear")).alias("category"), "account_id", F.round("monthly_amount", 2).alias("monthly_amount"),
-        F.round(F.col("monthly_amount") * F.col("per_month"), 6).alias("monthly_equivalent"), "cadence", "count", F.date_from_unix_date("last_day").alias("last_date"), F.date_from_unix_date("next_day").alias("next_date"),
+        (F.col("monthly_amount") * F.col("per_month")).alias("monthly_equivalent"), "cadence", "count", F.date_from_unix_date("last_day").alias("last_date"), F.date_from_unix_date("next_day").alias("next_date"),
         F.floor(F.col("gap_sum") / F.col("gaps") + 0.5).alias("avg_gap_days"), F.round("last_amount", 2).alias("last_amount"), F.round("median_amount", 2).alias("median_amount"),
         (F.col("last_amount") > (1 + CREEP) * F.col("median_amount")).alias("price_creep"), status.alias("due_status"),
     )

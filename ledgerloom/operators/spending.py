@@ -24,7 +24,7 @@ def spending_groups(rows: DataFrame) -> DataFrame:
     groups = with_verdicts(rows).where("counted").groupBy(*BY, "category").agg(F.sum("amount").alias("sum"), F.count("*").alias("transaction_count"))
     total = F.sum("sum").over(Window.partitionBy(*BY))
     percent = F.when(total == 0, 0.0).otherwise(amount(F.col("sum")) / F.abs(amount(total)) * 100)
-    return groups.select(*BY, "category", amount(F.col("sum")).alias("amount"), "transaction_count", F.round(percent, 6).alias("percent_of_total"))
+    return groups.select(*BY, "category", amount(F.col("sum")).alias("amount"), "transaction_count", percent.alias("percent_of_total"))
 
 
 def biggest_movers(now: DataFrame, before: DataFrame, limit: int = 5, least: float = 1.0) -> DataFrame:
@@ -51,7 +51,7 @@ def cash_flow(rows: DataFrame, first_month: str, months: int) -> DataFrame:
     spine = v.select(*BY).distinct().withColumn("month", F.explode(F.sequence(start, F.add_months(start, months - 1), F.expr("interval 1 month"))))
     full = spine.join(sums, [*BY, "month"], "left").na.fill(0, ["income", "spending", "income_count"])
     average = F.sum("spending").over(Window.partitionBy(*BY))
-    return full.select(*BY, "month", amount(F.col("income")).alias("income"), amount(F.col("spending")).alias("spending"), "income_count", F.round(amount(average) / months, 6).alias("average_spending"))
+    return full.select(*BY, "month", amount(F.col("income")).alias("income"), amount(F.col("spending")).alias("spending"), "income_count", (amount(average) / months).alias("average_spending"))
 
 
 def actual_income(rows: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -66,12 +66,12 @@ def insight(flow: DataFrame, band: float = 0.1) -> DataFrame:
     mean = flow.groupBy(*BY).agg(F.avg("income").alias("income"), F.avg("spending").alias("spending")).where("income > 0")
     ratio = F.col("spending") / F.col("income")
     kind = F.when(ratio < 1 - band, "less").when(ratio > 1 + band, "more").otherwise("about")
-    return mean.select(*BY, kind.alias("kind"), F.round("income", 6).alias("avg_income"), F.round("spending", 6).alias("avg_spending"))
+    return mean.select(*BY, kind.alias("kind"), F.col("income").alias("avg_income"), F.col("spending").alias("avg_spending"))
 
 
 def income_sections(flow: DataFrame) -> DataFrame:
     """Per household: total, average over all months, and count of income rows."""
-    return flow.groupBy(*BY).agg(F.round(F.sum("income"), 2).alias("total"), F.round(F.sum("income") / F.count("*"), 6).alias("average"), F.sum("income_count").alias("count"))
+    return flow.groupBy(*BY).agg(F.round(F.sum("income"), 2).alias("total"), (F.sum("income") / F.count("*")).alias("average"), F.sum("income_count").alias("count"))
 
 
 def breakdown_segments(groups: DataFrame, most: int = 6) -> DataFrame:
@@ -80,14 +80,14 @@ def breakdown_segments(groups: DataFrame, most: int = 6) -> DataFrame:
     order = Window.partitionBy(*BY).orderBy(F.col("amount").desc(), "category")
     named = positive.withColumn("rank", F.row_number().over(order)).withColumn("label", F.when(F.col("rank") <= most, F.col("category")).otherwise("All Others"))
     parts = named.groupBy(*BY, "label").agg(F.round(F.sum("amount"), 2).alias("amount"), F.min("rank").alias("position"))
-    return parts.withColumn("share", F.round(F.col("amount") / F.sum("amount").over(Window.partitionBy(*BY)), 6))
+    return parts.withColumn("share", F.col("amount") / F.sum("amount").over(Window.partitionBy(*BY)))
 
 
 def categorized_share(groups: DataFrame, label: str) -> DataFrame:
     """1 less the uncategorised share of spending, within 0 and 1; null without spending."""
     sums = groups.groupBy(*BY).agg(F.sum("amount").alias("total"), F.sum(F.when(F.col("category") == label, F.col("amount")).otherwise(0.0)).alias("plain"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs("plain") / F.col("total")))
-    return sums.select(*BY, F.round(F.when(F.col("total") > 0, share), 6).alias("share"))
+    return sums.select(*BY, F.when(F.col("total") > 0, share).alias("share"))
 
 
 def teach_queue(rows: DataFrame, key: Column) -> DataFrame:

@@ -69,8 +69,8 @@ _FLOW = """flow AS (SELECT h.household_id, m.month, coalesce(income, 0) AS incom
  ON s.household_id = h.household_id AND s.month = m.month)"""
 
 _DEBTS = """debts AS (SELECT household_id, account_id, name, type, subtype, CAST(coalesce(current_balance, 0) AS DOUBLE) AS balance, CASE WHEN coalesce(apr, interest_rate) > 0 THEN coalesce(apr, interest_rate) / 1200 ELSE 0.0 END AS monthly_rate,
- CAST(minimum_payment AS DOUBLE) AS minimum_payment, round(CASE WHEN credit_limit > 0 THEN least(CAST(current_balance AS DOUBLE) / CAST(credit_limit AS DOUBLE), 1.0) END, 6) AS utilisation,
- round(CASE WHEN original_balance > 0 AND current_balance <= original_balance THEN least(100.0, greatest(0.0, (CAST(original_balance AS DOUBLE) - greatest(0.0, CAST(current_balance AS DOUBLE))) / CAST(original_balance AS DOUBLE) * 100)) END, 6) AS progress,
+ CAST(minimum_payment AS DOUBLE) AS minimum_payment, CASE WHEN credit_limit > 0 THEN least(CAST(current_balance AS DOUBLE) / CAST(credit_limit AS DOUBLE), 1.0) END AS utilisation,
+ CASE WHEN original_balance > 0 AND current_balance <= original_balance THEN least(100.0, greatest(0.0, (CAST(original_balance AS DOUBLE) - greatest(0.0, CAST(current_balance AS DOUBLE))) / CAST(original_balance AS DOUBLE) * 100)) END AS progress,
  type = 'loan' AND contains(lower(subtype || ' ' || name), 'mortgage') AS mortgage FROM accounts WHERE type IN ('credit', 'loan') AND NOT hidden)"""
 
 _WORTH = """points AS (SELECT household_id, date, sum(change) OVER (PARTITION BY household_id ORDER BY date) AS total FROM (SELECT household_id, captured_on AS date, sum(value - before) AS change FROM
@@ -124,21 +124,21 @@ SQL: dict[str, str] = {
     "C01_C12_verdicts": _q(f"SELECT household_id, id, category, counted, income, card_payment, auto_type, {_TYPE} AS type, {_NAME} AS name, {_DISPLAY} AS display, CASE WHEN {_TYPE} = 'spending' AND amount < 0 THEN 'Refund' ELSE CASE {_TYPE} WHEN 'spending' THEN 'Spending' WHEN 'inflow' THEN 'Income' WHEN 'transfer' THEN 'Transfer' WHEN 'card_payment' THEN 'Card payment' WHEN 'loan' THEN 'Loan' ELSE '?' END END AS label FROM v", *_LEDGER, then=rows("true", False)),
     "E01_E02_totals": _q("SELECT household_id, CAST(sum(CASE WHEN counted THEN amount ELSE 0 END) AS DOUBLE) AS spent, CAST(sum(CASE WHEN income THEN -amount ELSE 0 END) AS DOUBLE) AS income FROM v GROUP BY 1", *_LEDGER, then=rows(_RANGE, False)),
     "D04_internal_transfers": _q("SELECT id FROM vl", *_LEDGER, then=rows(_RANGE)),
-    "M01_spending_by_category": _q("SELECT household_id, category, CAST(s AS DOUBLE) AS amount, transaction_count, round(CASE WHEN t = 0 THEN 0.0 ELSE CAST(s AS DOUBLE) / abs(CAST(t AS DOUBLE)) * 100 END, 6) AS percent_of_total FROM (SELECT *, sum(s) OVER (PARTITION BY household_id) AS t FROM groups)", *_LEDGER, then=rows(_MONTH) + ", " + _GROUPS),
+    "M01_spending_by_category": _q("SELECT household_id, category, CAST(s AS DOUBLE) AS amount, transaction_count, CASE WHEN t = 0 THEN 0.0 ELSE CAST(s AS DOUBLE) / abs(CAST(t AS DOUBLE)) * 100 END AS percent_of_total FROM (SELECT *, sum(s) OVER (PARTITION BY household_id) AS t FROM groups)", *_LEDGER, then=rows(_MONTH) + ", " + _GROUPS),
     "M02_E05_biggest_movers": _q("SELECT household_id, category, CAST(c AS DOUBLE) AS curr, CAST(p AS DOUBLE) AS prev, CAST(c - p AS DOUBLE) AS delta, rank FROM (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY abs(c - p) DESC, category) AS rank FROM (SELECT household_id, category, coalesce(x.s, 0) AS c, coalesce(y.s, 0) AS p FROM (SELECT household_id, category, sum(amount) AS s FROM v WHERE counted GROUP BY 1, 2) x FULL JOIN (SELECT household_id, category, sum(amount) AS s FROM u WHERE counted GROUP BY 1, 2) y USING (household_id, category)) WHERE abs(c - p) >= 1) WHERE rank <= 5", *_LEDGER, then=rows(_MONTH) + ", " + rows(_MAY, name="u")),
     "M03_C11_month_transactions": _q(f"SELECT household_id, id, {_NAME} AS merchant_name, date AS transaction_date, CAST(amount AS DOUBLE) AS amount, {_DISPLAY} AS category, coalesce(nullif(mapped_category, ''), 'Uncategorized') AS auto_category, {_BANK} AS auto_description, excluded, {_TYPE} AS tx_type, auto_type AS auto_tx_type, counted FROM v", *_LEDGER, then=rows(_MONTH)),
-    "M04_E07_cash_flow": _q("SELECT household_id, month, CAST(income AS DOUBLE) AS income, CAST(spending AS DOUBLE) AS spending, income_count, round(CAST(sum(spending) OVER (PARTITION BY household_id) AS DOUBLE) / 6, 6) AS average_spending FROM flow", *_LEDGER, then=rows(_RANGE) + ", " + _FLOW),
+    "M04_E07_cash_flow": _q("SELECT household_id, month, CAST(income AS DOUBLE) AS income, CAST(spending AS DOUBLE) AS spending, income_count, CAST(sum(spending) OVER (PARTITION BY household_id) AS DOUBLE) / 6 AS average_spending FROM flow", *_LEDGER, then=rows(_RANGE) + ", " + _FLOW),
     "M05_E08_actual_income": _q("SELECT c.household_id, coverage_start, coalesce(income, 0.0) AS income FROM (SELECT t.household_id, min(date) AS coverage_start FROM transactions t JOIN accounts a USING (account_id) WHERE NOT hidden AND type = 'depository' GROUP BY 1) c LEFT JOIN (SELECT household_id, CAST(sum(-amount) AS DOUBLE) AS income FROM v WHERE income GROUP BY 1) i USING (household_id)", *_LEDGER, then=rows(_MONTH)),
     "E04_spending_to_date": _q("SELECT household_id, CAST(sum(amount) AS DOUBLE) AS spent FROM v WHERE counted AND day(date) <= 15 GROUP BY 1", *_LEDGER, then=rows(_MONTH)),
     "E06_envelope_spending": _q("SELECT household_id, category, CAST(date_trunc('month', date) AS DATE) AS month, CAST(sum(amount) AS DOUBLE) AS spent FROM v WHERE counted GROUP BY 1, 2, 3", *_LEDGER, then=rows(_RANGE)),
     "E17_teach_queue": _q("SELECT household_id, key, count(*) FILTER (WHERE counted) AS spend_count, CAST(sum(CASE WHEN counted THEN amount ELSE 0 END) AS DOUBLE) AS spent, count(*) FILTER (WHERE NOT counted) AS other_count, CAST(sum(CASE WHEN NOT counted AND amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) AS money_in, CAST(sum(CASE WHEN NOT counted AND amount >= 0 THEN amount ELSE 0 END) AS DOUBLE) AS other_out, coalesce(arg_max(id, (date, -id)) FILTER (WHERE counted AND amount > 0), arg_max(id, (date, -id))) AS example_id FROM keyed WHERE key <> '' GROUP BY 1, 2", *_LEDGER, then=rows(_RANGE) + f", keyed AS (SELECT *, {_KEY} AS key FROM v)"),
-    "E18_categorized_share": _q("SELECT household_id, round(CASE WHEN t > 0 THEN greatest(0.0, least(1.0, 1 - abs(u) / t)) END, 6) AS share FROM (SELECT household_id, CAST(sum(s) AS DOUBLE) AS t, CAST(sum(CASE WHEN category = 'Uncategorized' THEN s ELSE 0 END) AS DOUBLE) AS u FROM groups GROUP BY 1)", *_LEDGER, then=rows(_MONTH) + ", " + _GROUPS),
+    "E18_categorized_share": _q("SELECT household_id, CASE WHEN t > 0 THEN greatest(0.0, least(1.0, 1 - abs(u) / t)) END AS share FROM (SELECT household_id, CAST(sum(s) AS DOUBLE) AS t, CAST(sum(CASE WHEN category = 'Uncategorized' THEN s ELSE 0 END) AS DOUBLE) AS u FROM groups GROUP BY 1)", *_LEDGER, then=rows(_MONTH) + ", " + _GROUPS),
     "E19_D14_category_rollup": _q("SELECT household_id, coalesce(parent, category) AS \"group\", round(CAST(sum(s) AS DOUBLE), 2) AS amount, count(*) AS members FROM groups LEFT JOIN legal USING (household_id, category) GROUP BY 1, 2", *_LEDGER, "registry", then=rows(_MONTH) + ", " + _GROUPS + """, trimmed AS (SELECT household_id, position, trim(name) AS name, nullif(trim(parent), '') AS parent FROM registry WHERE trim(name) NOT IN ('', 'Uncategorized', 'Return', 'Transfers and card payments')),
  claims AS (SELECT household_id, name, arg_min(parent, position) AS parent FROM trimmed t WHERE parent IS NOT NULL AND parent <> name AND EXISTS (SELECT 1 FROM trimmed n WHERE n.household_id = t.household_id AND n.name = t.parent) GROUP BY 1, 2),
  legal AS (SELECT household_id, name AS category, parent FROM claims c WHERE NOT EXISTS (SELECT 1 FROM claims n WHERE n.household_id = c.household_id AND n.name = c.parent))"""),
-    "E21_income_sections": _q("SELECT household_id, round(CAST(sum(income) AS DOUBLE), 2) AS total, round(CAST(sum(income) AS DOUBLE) / 6, 6) AS average, CAST(sum(income_count) AS BIGINT) AS count FROM flow GROUP BY 1", *_LEDGER, then=rows(_RANGE) + ", " + _FLOW),
-    "E22_income_vs_spending": _q("SELECT household_id, CASE WHEN s / i < 0.9 THEN 'less' WHEN s / i > 1.1 THEN 'more' ELSE 'about' END AS kind, round(i, 6) AS avg_income, round(s, 6) AS avg_spending FROM (SELECT household_id, CAST(sum(income) AS DOUBLE) / 6 AS i, CAST(sum(spending) AS DOUBLE) / 6 AS s FROM flow GROUP BY 1) WHERE i > 0", *_LEDGER, then=rows(_RANGE) + ", " + _FLOW),
-    "E23_breakdown_segments": _q("SELECT household_id, label, amount, position, round(amount / sum(amount) OVER (PARTITION BY household_id), 6) AS share FROM (SELECT household_id, CASE WHEN rank <= 6 THEN category ELSE 'All Others' END AS label, round(CAST(sum(s) AS DOUBLE), 2) AS amount, min(rank) AS position FROM (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY s DESC, category) AS rank FROM groups WHERE s > 0) GROUP BY 1, 2)", *_LEDGER, then=rows(_MONTH) + ", " + _GROUPS),
+    "E21_income_sections": _q("SELECT household_id, round(CAST(sum(income) AS DOUBLE), 2) AS total, CAST(sum(income) AS DOUBLE) / 6 AS average, CAST(sum(income_count) AS BIGINT) AS count FROM flow GROUP BY 1", *_LEDGER, then=rows(_RANGE) + ", " + _FLOW),
+    "E22_income_vs_spending": _q("SELECT household_id, CASE WHEN s / i < 0.9 THEN 'less' WHEN s / i > 1.1 THEN 'more' ELSE 'about' END AS kind, i AS avg_income, s AS avg_spending FROM (SELECT household_id, CAST(sum(income) AS DOUBLE) / 6 AS i, CAST(sum(spending) AS DOUBLE) / 6 AS s FROM flow GROUP BY 1) WHERE i > 0", *_LEDGER, then=rows(_RANGE) + ", " + _FLOW),
+    "E23_breakdown_segments": _q("SELECT household_id, label, amount, position, amount / sum(amount) OVER (PARTITION BY household_id) AS share FROM (SELECT household_id, CASE WHEN rank <= 6 THEN category ELSE 'All Others' END AS label, round(CAST(sum(s) AS DOUBLE), 2) AS amount, min(rank) AS position FROM (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY s DESC, category) AS rank FROM groups WHERE s > 0) GROUP BY 1, 2)", *_LEDGER, then=rows(_MONTH) + ", " + _GROUPS),
     "E10_M16_coverage": _q("SELECT household_id, account_id, min(first) AS first, max(last) AS last, CAST(sum(n) AS BIGINT) AS count, string_agg(source || '=' || n, ',' ORDER BY source || '=' || n) AS sources FROM (SELECT household_id, account_id, coalesce(nullif(source, ''), 'unknown') AS source, count(*) AS n, min(date) AS first, max(date) AS last FROM vb GROUP BY 1, 2, 3) GROUP BY 1, 2", *_LEDGER, then=rows("true", False)),
     "D15_coverage_gaps": _q("SELECT a.household_id, a.account_id, f AS served_from FROM accounts a JOIN (SELECT account_id, min(date) AS f FROM transactions GROUP BY 1) t USING (account_id) WHERE f BETWEEN created_on - 88 AND created_on + 7", *_LEDGER),
     "D06_classify": _q(f"SELECT household_id, k.id, CASE WHEN coalesce(account_type = 'credit' AND amount > 0, false) OR {_m('description', T.CARD_WORD)} OR NOT {_m('description', T.TRANSFER)} THEN '' WHEN amount > 0 THEN 'TRANSFER_OUT' WHEN amount < 0 THEN 'TRANSFER_IN' ELSE '' END AS raw_category, CASE WHEN {_GUARD} THEN 'Transfers and card payments' ELSE coalesce(learned, 'Uncategorized') END AS mapped_category FROM k LEFT JOIN best ON k.id = best.id", *_LEDGER, "rules", then=rows("true", False) + ", " + _LEARNED.format(source="vb")),
