@@ -8,10 +8,12 @@ shingle).  Documents with 100 * intersection >= 75 * union are linked; a compone
   number.  All registers are settled as soon as the largest value is below the next step, mostly after a few steps.
 * BANDS bands of ROWS registers make the buckets.  A pair at the threshold misses all of them with probability
   (1 - 0.75**4)**32 = 5e-6, and less than that with this signature.
-* In a bucket, members are first held against one pivot, which is linear in the bucket whatever its size.  Where more
-  than one component is left, they are held against the member that has the largest share of shingles in common with any
-  other, and last the members of different components are paired.  That last step is exact: it leaves out only pairs that
-  can't be similar enough, by their sizes and by the number of shingles that no other remaining document has.
+* In a bucket, members are first held against one pivot, which is linear in the bucket whatever its size (a few bands
+  before the others, which then skip members of the pivot's component).  Where more than one component is left, they are
+  held against the member that has the largest share of shingles in common with any other.
+* What is still apart and could be similar, by the number of shingles that some other such document has, is compared in
+  full: documents that share buckets form a crowd, a crowd is split into blocks of bounded size, and each pair of blocks
+  is one group whose sets are intersected by matrix products.  Only links leave it, so no pairs are written out.
 * Every candidate is verified on the two full sets, from the texts.
 """
 
@@ -21,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,10 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
+#: Bands whose pivots are tried before the others.
+FIRST_BANDS = 6
+#: Documents of a block (about): two blocks and their sets are what a task holds at once.
+BLOCK = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -116,12 +123,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Stored links (a, b) among candidate pairs.  Texts are fetched for candidates only; a hot pivot's rows can be split."""
+    """Stored links (a, b) among candidate pairs.
+
+    Texts are fetched for candidates only, by shuffle at every size (nothing bounds them); a hot pivot's rows can be split.
+    """
     pairs = stored(pairs.select("a", "b").distinct(), "candidates")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
+    texts = stored(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
     kind = dict(pairs.dtypes)["a"]
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     return stored(rows.select("a", "b", "text_a", "text_b").mapInArrow(_linked, f"a {kind}, b {kind}").distinct(), "links")
 
 
@@ -129,6 +139,13 @@ def _similar_size(n: str, other: str) -> F.Column:
     return (100 * F.least(n, other) >= PERCENT * F.greatest(n, other))
 
 
+def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose node and pivot p1 are in different components so far."""
+    mine = rows.join(groups.select("node", F.col("component").alias("g")), "node", "left")
+    both = mine.join(groups.select(F.col("node").alias("p1"), F.col("component").alias("pg")), "p1", "left")
+    return both.where(F.coalesce("g", "node") != F.coalesce("pg", "p1")).drop("g", "pg")
+
+
 def _mixed(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one component, with the component g of each node."""
     rows = buckets.join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
@@ -146,12 +163,66 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _common(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node and s, the number of its shingles that another of ``nodes`` has too."""
     kind = dict(nodes.dtypes)["node"]
-    texts = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text")
+    texts = docs.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text")
     held = texts.mapInArrow(_shingles, f"node {kind}, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"))
     own = held.where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
     return stored(nodes.join(own, "node", "left").select("node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s")), "common")
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("g"), batch.column("crowd"), batch.column("blocks"), pa.array(sets, pa.binary())], names=["node", "g", "crowd", "blocks", "shingles"])
+
+
+def overlaps(sets: list[np.ndarray], chunk: int = 4_096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted distinct arrays, from products of 0/1 matrices over the shared elements."""
+    n = len(sets)
+    element, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(e) for e in sets])
+    shared = times[where] > 1
+    where, row = where[shared], row[shared]
+    order = np.argsort(where, kind="stable")
+    where, row = where[order], row[order]
+    first = np.concatenate(([True], where[1:] != where[:-1])) if len(where) else np.empty(0, bool)
+    column = np.cumsum(first) - 1
+    out = np.zeros((n, n), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, chunk):
+        a, b = np.searchsorted(column, (start, start + chunk))
+        some = np.zeros((n, chunk), np.float32)
+        some[row[a:b], column[a:b] - start] = 1
+        out += some @ some.T
+    return out.astype(np.int64)
+
+
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of one pair of blocks (or of one block with itself) between different components."""
+    sets = [np.frombuffer(v, np.uint64) for v in rows["shingles"]]
+    size, g, own = np.array([len(e) for e in sets]), rows["g"].to_numpy(), rows["block"].to_numpy()
+    both = overlaps(sets)
+    similar = (100 * both >= PERCENT * (size[:, None] + size[None, :] - both)) & (g[:, None] != g[None, :])
+    if rows["lo"].iloc[0] != rows["hi"].iloc[0]:
+        similar &= own[:, None] != own[None, :]
+    i, j = np.nonzero(np.triu(similar, 1))
+    node = rows["node"].to_numpy()
+    return pd.DataFrame({"a": node[i], "b": node[j]})
+
+
+def _in_blocks(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """All links between different components g of the nodes of ``left`` (bucket, node, g, p2) that share a bucket, and maybe more."""
+    kind = dict(left.dtypes)["node"]
+    crowd = connected_components(left.select(F.col("node").alias("a"), F.col("p2").alias("b"))).withColumnRenamed("component", "crowd")
+    nodes = left.select("node", "g").distinct().join(crowd, "node")
+    size = nodes.groupBy("crowd").agg(F.count("*").alias("size"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("crowd", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    nodes = stored(nodes.join(size, "crowd").withColumnRenamed("node", "doc_id"), "crowds")
+    held = docs.join(nodes.hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "g", "crowd", "blocks", "text")
+    held = held.mapInArrow(_sets, f"node {kind}, g {kind}, crowd {kind}, blocks int, shingles binary")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = held.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select("crowd", "lo", "hi", "block", "node", "g", "shingles")
+    return stored(spread.groupBy("crowd", "lo", "hi").applyInPandas(_block_links, f"a {kind}, b {kind}").distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -165,11 +236,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stored(docs.mapInArrow(_signed, f"doc_id {kind}, n_shingles long, set_id binary, bands array<long>"), "signatures")
     full = signed.where("set_id is not null and doc_id is not null")
     classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    members = classes.select(F.explode("bands").alias("bucket"), "node", "n")
-    crowd = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("low")).where("size > 1")
-    buckets = stored(members.join(crowd, "bucket").select("bucket", "node", "n", F.col("low.node").alias("p1"), F.col("low.n").alias("n1"), "size"), "buckets")
+    members = classes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n")
+    crowd = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("low"), (F.min("band") < FIRST_BANDS).alias("first")).where("size > 1")
+    buckets = stored(members.join(crowd, "bucket").select("bucket", "node", "n", F.col("low.node").alias("p1"), F.col("low.n").alias("n1"), "size", "first"), "buckets")
 
-    links = _verified(buckets.where(F.col("node") != F.col("p1")).where(_similar_size("n", "n1")).select(F.col("p1").alias("a"), F.col("node").alias("b")), docs)
+    # A few bands link most of each group; then the pivots of all bands, for members that are not in their component yet.
+    tried = buckets.where(F.col("node") != F.col("p1")).where(_similar_size("n", "n1"))
+    links = _verified(tried.where("first").select(F.col("p1").alias("a"), F.col("node").alias("b")), docs)
+    found = connected_components(links)
+    links = links.unionByName(_verified(_apart(tried.where("not first"), found).select(F.col("p1").alias("a"), F.col("node").alias("b")), docs))
     found = connected_components(links)
     # Buckets of two are done.  Of the rest, those that hold more than one component:
     left = stored(_mixed(buckets.where("size > 2").select("bucket", "node", "n", "p1"), found), "mixed")
@@ -181,12 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = connected_components(links)
 
     left = stored(_mixed(left.drop("g"), found).where(100 * F.col("s") >= PERCENT * F.col("n")), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    shared = F.least("x.s", "y.s")
-    possible = 100 * shared >= PERCENT * (F.col("x.n") + F.col("y.n") - shared)
-    tried = (F.col("x.node") == F.col("y.p1")) | (F.col("y.node") == F.col("x.p1")) | (F.col("x.node") == F.col("y.p2")) | (F.col("y.node") == F.col("x.p2"))
-    apart = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.g") != F.col("y.g")) & possible & ~tried)
-    links = links.unionByName(_verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), docs))
+    links = links.unionByName(_in_blocks(left, docs))
     found = connected_components(links)
 
     known = classes.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
