@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import amount
+from ..functions.shipping import ship
 
 BY = ["household_id"]
 MAX_MONTHS = 600
@@ -135,6 +136,7 @@ def payoff(accounts: DataFrame, strategy: str = "snowball", extra: float = 0.0)
 
     A plan's months follow each other, so each household's debts (a few rows) go to one grouped-pandas call.
     """
+    ship(accounts.sparkSession)
     ordered = debt_order(accounts, strategy).join(debts(accounts).select("account_id", F.coalesce("minimum_payment", F.lit(0.0)).alias("minimum")), "account_id")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:

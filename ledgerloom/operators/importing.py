@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.grouped import apply_in_groups
 from ..functions.money import parse_date, parse_money
+from ..functions.shipping import ship
 from ..functions.text import description_tokens, normal_description, present, similarity
 from .matching import match
 
@@ -45,6 +47,7 @@ def built(cells: DataFrame, existing: DataFrame | None = None, overlap: DataFram
     existing: household_id, account_id, external_id; overlap: household_id, account_id, overlap_from.  reason is null for
     rows that can be imported.
     """
+    ship(cells.sparkSession)
     for name in ("amount_cell", "debit_cell", "credit_cell"):
         if name not in cells.columns:
             cells = cells.withColumn(name, F.lit(None).cast("string"))
@@ -85,12 +88,11 @@ def reconcile(statement: DataFrame, feed: DataFrame) -> DataFrame:
     kinds = dict(statement.dtypes)
     side = lambda df, n: df.select(*BY, "id", "date", F.col("amount").cast("double").alias("amount"), F.coalesce("description", F.lit("")).alias("description"), description_tokens(F.col("description")).alias("tokens"), F.lit(n).alias("side"))
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        names = ("day", "description", "amount", "text", "id", "tokens")
-        rows = rows.assign(day=[d.toordinal() for d in rows["date"]], text=rows["id"].astype(str))
+    def solve(rows: list[tuple]) -> list[tuple]:
+        household, account = rows[0][:2]
         held: dict[str, list[tuple]] = {"statement": [], "feed": []}
-        for name, *r in zip(rows["side"], *(rows[n] for n in names), strict=True):
-            held[name].append(tuple(r))
+        for _, _, id_, date, amount, description, tokens, name in rows:
+            held[name].append((date.toordinal(), description, amount, str(id_), id_, set(tokens)))
         groups: dict[str, dict[int, list]] = {}
         for name, part in held.items():
             part.sort(key=lambda r: r[:4])
@@ -113,8 +115,7 @@ def reconcile(statement: DataFrame, feed: DataFrame) -> DataFrame:
                 gap = abs(x[2] - y[2])
                 if abs(x[0] - y[0]) > RECONCILE_DAYS or (gap > CLOSE_ABSOLUTE and gap / max(abs(x[2]), abs(y[2]), 0.01) > CLOSE_RATIO):
                     continue
-                mine, theirs = set(x[5]), set(y[5])
-                alike = len(mine & theirs) / len(mine | theirs) if mine and theirs else 0.0
+                alike = len(x[5] & y[5]) / len(x[5] | y[5]) if x[5] and y[5] else 0.0
                 if alike >= LEAST_SIMILARITY and alike > best:
                     best, found = alike, y
             if found is None:
@@ -123,11 +124,11 @@ def reconcile(statement: DataFrame, feed: DataFrame) -> DataFrame:
                 spare = [y for y in spare if y is not found]
                 out.append((x[4], found[4], "mismatch", float(abs(x[0] - found[0])), round(x[2] - found[2], 2)))
         out += [(None, y[4], "feed_only", None, None) for y in spare]
-        done = pd.DataFrame(out, columns=["statement_id", "feed_id", "outcome", "gap_days", "difference"])
-        return done.assign(household_id=rows["household_id"].iloc[0], account_id=rows["account_id"].iloc[0])
+        return [(*o, household, account) for o in out]
 
     both = side(statement, "statement").unionByName(side(feed, "feed"))
-    return both.groupBy(*BY).applyInPandas(solve, f"statement_id {kinds['id']}, feed_id {kinds['id']}, outcome string, gap_days double, difference double, household_id int, account_id {kinds['account_id']}")
+    schema = f"statement_id {kinds['id']}, feed_id {kinds['id']}, outcome string, gap_days double, difference double, household_id int, account_id {kinds['account_id']}"
+    return apply_in_groups(both.where("date is not null and amount is not null"), BY, solve, schema)
 
 
 def description_similarity(a: Column, b: Column) -> Column:

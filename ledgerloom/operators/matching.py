@@ -2,16 +2,16 @@
 
 Rows only ever match within a household and an amount.  Sorted by date, a gap of more than four days splits such rows
 into stretches that can't touch each other, so the unit of work is a stretch of one household's equal amounts.  Stretches
-of one out and one in need no search and stay in the JVM; the rest go through an augmenting-path search in grouped pandas
-with four narrow columns.
+of one out and one in need no search and stay in the JVM; the rest go through an augmenting-path search in Python tasks, on
+narrow rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grouped import apply_in_groups
 from ..functions.text import present
 
 WINDOW_DAYS = 4
@@ -57,12 +57,11 @@ def match(outs: list[tuple], ins: list[tuple], window: int = WINDOW_DAYS) -> lis
     return sorted((i, j) for j, i in owner.items())
 
 
-def _search(rows: pd.DataFrame) -> pd.DataFrame:
-    """Ids of the matched rows of one stretch."""
-    keyed = [(int(d), str(a), str(t), t) for d, a, t in zip(rows["day"], rows["account_id"], rows["id"], strict=True)]
-    sides = [sorted(k for k, s in zip(keyed, rows["out"], strict=True) if bool(s) is side) for side in (True, False)]
+def _search(rows: list[tuple]) -> list[tuple]:
+    """Ids of the matched rows of one stretch: household_id, size, stretch, day, account_id, id, out."""
+    sides = [sorted((day, str(account), str(id_), id_) for _, _, _, day, account, id_, out in rows if out is side) for side in (True, False)]
     pairs = match([k[:3] for k in sides[0]], [k[:3] for k in sides[1]])
-    return pd.DataFrame({"id": [sides[0][i][3] for i, _ in pairs] + [sides[1][j][3] for _, j in pairs]})
+    return [(sides[0][i][3],) for i, _ in pairs] + [(sides[1][j][3],) for _, j in pairs]
 
 
 def internal_ids(rows: DataFrame) -> DataFrame:
@@ -84,7 +83,8 @@ def internal_ids(rows: DataFrame) -> DataFrame:
     days = F.max("day").over(whole) - F.min("day").over(whole)
     simple = able.where("n = 2").withColumn("ok", (accounts[0] != accounts[1]) & (days <= WINDOW_DAYS)).where("ok").select("id")
     kind = dict(rows.dtypes)["id"]
-    hard = able.where("n > 2").groupBy("household_id", "size", "stretch").applyInPandas(_search, f"id {kind}")
+    narrow = able.where("n > 2").select("household_id", "size", "stretch", "day", "account_id", "id", "out")
+    hard = apply_in_groups(narrow, ["household_id", "size", "stretch"], _search, f"id {kind}")
     return simple.unionByName(hard)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grouped import apply_in_groups
 from ..functions.money import amount
 from ..functions.tables import literal_rows
 from ..functions.text import description_tokens, merchant_key, normal_merchant, present, similarity
@@ -146,23 +147,21 @@ def match(expected: DataFrame, rows: DataFrame) -> DataFrame:
     """One-to-one matches of expectations and transactions, nearest first.
 
     Greedy in a total order: a pair that is the first left for both its ends is taken, in rounds.  A household's
-    candidates that touch each other form one group (expectations are few), ordered in a grouped-pandas call.
+    candidates that touch each other form one group (expectations are few), ordered in one Python call.
     """
-    import pandas as pd
 
-    def greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-        ordered = pairs.assign(e=pairs["expected_id"].astype(str), t=pairs["tx_id"].astype(str)).sort_values(["dist", "due_date", "e", "tx_date", "t"])
+    def greedy(pairs: list[tuple]) -> list[tuple]:
         seen_e, seen_t, out = set(), set(), []
-        for h, e, t in zip(ordered["household_id"], ordered["expected_id"], ordered["tx_id"], strict=True):
+        for h, e, _, t, _, _ in sorted(pairs, key=lambda p: (p[5], p[2], str(p[1]), p[4], str(p[3]))):
             if e not in seen_e and t not in seen_t:
                 seen_e.add(e)
                 seen_t.add(t)
                 out.append((h, e, t))
-        return pd.DataFrame(out, columns=["household_id", "expected_id", "tx_id"])
+        return out
 
     found = candidates(expected, rows)
     kinds = dict(found.dtypes)
-    return found.groupBy(*BY).applyInPandas(greedy, f"household_id int, expected_id {kinds['expected_id']}, tx_id {kinds['tx_id']}")
+    return apply_in_groups(found, BY, greedy, f"household_id int, expected_id {kinds['expected_id']}, tx_id {kinds['tx_id']}")
 
 
 def duplicates(fields: DataFrame, existing: DataFrame) -> DataFrame:
