@@ -1,30 +1,15 @@
-"""What the operators need from the cluster: shared storage, and this package on the executors."""
+"""What the operators need from the cluster: storage that all executors share, and this package on them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PACKAGE = Path(__file__).resolve().parents[1]
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, by Spark's own file server."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    out = Path(tempfile.mkdtemp()) / f"{_PACKAGE.name}_src.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(_PACKAGE.parent))
-    spark.sparkContext.addPyFile(str(out))
-    _SHIPPED.add(app)
+from ..functions.shipping import ship
 
+__all__ = ["scratch_path", "shared_dir", "ship", "stored", "table"]
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a local one is set only where it is unset (tests)."""
