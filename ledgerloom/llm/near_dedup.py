@@ -270,3 +270,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM a WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT y.doc_id AS a, z.doc_id AS b, count(*) AS c FROM s y JOIN s z ON y.x = z.x AND y.doc_id <> z.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n y ON y.doc_id = a JOIN n z ON z.doc_id = b WHERE 100 * c >= 75 * (y.n + z.n - c)),
+r AS (SELECT doc_id, doc_id AS c FROM a UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.c)
+SELECT a.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, a.doc_id = m.c AS kept
+FROM a LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""

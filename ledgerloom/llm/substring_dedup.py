@@ -302,3 +302,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_words(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM a WHERE len(w) >= 35)),
+g AS (SELECT doc_id, i FROM v WHERE h IN (SELECT h FROM v GROUP BY h HAVING count(*) > 1)),
+p AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM g),
+c AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM a) ANTI JOIN p USING (doc_id, k) GROUP BY doc_id)
+SELECT a.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM a LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
