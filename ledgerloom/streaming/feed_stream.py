@@ -1,0 +1,33 @@
+"""Feeds as a stream: files of envelopes in, each transaction out once.
+
+A pull repeats the last month of every account, so the same transaction arrives many times.  Duplicates are dropped by
+their ids within a watermark on the transaction's date that is as long as that overlap, which also bounds the state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..sources.feed import feed_transactions, parsed
+
+OVERLAP = "30 days"
+ENVELOPES = "household_id int, json string"
+
+
+def read_envelopes(spark: SparkSession, folder: str, files_per_batch: int = 1_000) -> DataFrame:
+    """A stream of feed envelopes from JSON lines."""
+    return spark.readStream.schema(ENVELOPES).option("maxFilesPerTrigger", files_per_batch).json(folder)
+
+
+def new_transactions(envelopes: DataFrame) -> DataFrame:
+    """Each transaction of a stream of envelopes once; what can't be parsed, or has no id, amount or date, is dropped."""
+    rows = feed_transactions(parsed(envelopes)).withColumn("at", F.col("date").cast("timestamp"))
+    return rows.withWatermark("at", OVERLAP).dropDuplicatesWithinWatermark(["household_id", "account", "external_id"]).drop("at")
+
+
+def write_transactions(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Append what is there now to a table partitioned by month, exactly once, and stop."""
+    monthly = rows.withColumn("month", F.date_format("date", "yyyy-MM"))
+    return monthly.writeStream.format("parquet").partitionBy("month").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)

@@ -1,0 +1,24 @@
+from __future__ import annotations
+
+import json
+
+from ledgerloom.streaming import feed_stream
+
+
+def test_repeated_pulls_add_a_transaction_once(spark, tmp_path):
+    def pull(name, *days):
+        rows = [{"id": f"t{d}", "posted": 1767225600 + d * 86400, "amount": "-1.50", "description": f"shop {d}"} for d in days]
+        body = {"errors": [], "accounts": [{"id": "A", "name": "x", "transactions": rows}]}
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(json.dumps({"household_id": 1, "json": json.dumps(body)}) + "\n")
+
+    def run():
+        rows = feed_stream.new_transactions(feed_stream.read_envelopes(spark, str(tmp_path / "in")))
+        feed_stream.write_transactions(rows, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return sorted((r.external_id, float(r.amount), r.month) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    pull("a.json", 1, 2, 3)
+    assert len(run()) == 3
+    pull("b.json", 2, 3, 4, 40)
+    (tmp_path / "in" / "c.json").write_text(json.dumps({"household_id": 1, "json": "broken"}) + "\n")
+    assert run() == [("t1", 1.5, "2026-01"), ("t2", 1.5, "2026-01"), ("t3", 1.5, "2026-01"), ("t4", 1.5, "2026-01"), ("t40", 1.5, "2026-02")]
