@@ -211,7 +211,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").withColumn("version", F.hash("text"))
     cut = stored(docs.mapInArrow(_cut, f"anchor long, seg long, doc_id {kind}, version int, at int, n byte"), "segments")
     again = cut.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("c > 1").select("anchor", (F.col("s0") != F.col("s1")).alias("contested"))
-    held = stored(cut.join(again, "anchor"), "repeated")
+    # Stored first, so that the join has exchanges of its own and a very common minimizer's rows can be split.
+    held = stored(cut.join(stored(again, "again").hint("merge"), "anchor"), "repeated")
 
     distinct = stored(held.groupBy("anchor", "seg").agg(F.count("*").alias("times"), F.first("contested").alias("contested"), F.min(F.struct("doc_id", "version", "at")).alias("where"), F.first("n").alias("n")), "distinct")
     whole = distinct.where("times > 1").select("anchor", "seg", F.expr("shiftleft(1L, n) - 1").alias("mask"))
