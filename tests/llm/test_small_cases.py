@@ -327,7 +327,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontamination", "sentencepiece"]
     docs, labels = _labelled(spark)
     passage = " ".join(f"q{k}" for k in range(45))
-    extra = [(600, "Plain words " + passage + " here."), (601, "Others that go " + passage + " there."), (602, "It says one two three four five six seven eight nine ten eleven twelve.")]
+    extra = [(600, "Plain words " + passage + " here."), (601, "Others that go " + passage + " there " + " ".join(f"z{k}" for k in range(60)) + "."), (602, "It says one two three four five six seven eight nine ten eleven twelve.")]
     from pyspark.sql import functions as F
 
     docs = docs.where("doc_id < 200").unionByName(_docs(spark, extra)).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
