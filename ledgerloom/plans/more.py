@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import amount
 from ..functions.text import STOP_WORDS, csv_cell, description_tokens, merchant_key, normal_description, normal_merchant, similarity
-from ..operators import balances, importing, recurring, rules, spending, verdicts
+from ..operators import balances, importing, recurring, rules, settings, spending, verdicts
 from ..sources import feed
 from ..sources.ledger import Ledger
 from . import fixture
@@ -20,7 +20,10 @@ FEEDS = """SELECT CAST(c_nationkey AS INT) AS household_id, o_orderkey AS k, CAS
  CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'Shop ' || CAST(o_orderkey % 5 AS STRING) END AS description,
  CASE o_orderkey % 6 WHEN 0 THEN 'Please reconnect your account' WHEN 1 THEN 'The date range requested exceeds the limit and was capped' WHEN 2 THEN 'requested date range exceeds recommended 60 days' WHEN 3 THEN 'hello there' WHEN 4 THEN 'date range maximum is 90 days' ELSE 'date range may be capped, it exceeds' END AS message
  FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
-fixture.ALL["feeds"] = FEEDS
+#: Settings of households, a handful of keys per account, some of them broken.
+KEPT = """SELECT CAST(c_nationkey AS INT) AS household_id, k || ':' || CAST(c_custkey AS STRING) AS key, CASE WHEN c_custkey % 5 = 0 THEN 'broken' WHEN k = 'ignore' THEN '["A", " B ", "A", "", "' || CAST(c_custkey % 3 AS STRING) || '"]'
+ WHEN k = 'pace' THEN chr(123) || '"x": true, "y": false, "z' || CAST(c_custkey % 3 AS STRING) || '": true' || chr(125) ELSE CAST(c_custkey AS STRING) || '.5' END AS value FROM {customer} JOIN (VALUES ('ignore'), ('pace'), ('income')) AS r(k) ON c_custkey >= 0"""
+fixture.ALL["feeds"], fixture.ALL["kept"] = FEEDS, KEPT
 
 _JSON = """concat('{"errors":["', message, '"],"accounts":[{"id":"a', k, '","name":"', name, '","balance":"', balance, '","balance-date":', posted, ',"org":{"name":"', org, '"},"transactions":[{"id":"t', k, '","posted":', posted, ',"amount":"', value, '","description":"', description, '","payee":"Payee"}]}]}')"""
 
@@ -173,7 +176,20 @@ def queries() -> dict:
         e = t.join(edits, "id", "left").withColumn("user_category", F.coalesce("new_category", "user_category")).withColumn("user_type", F.coalesce("new_type", "user_type"))
         return verdicts.with_verdicts(e).groupBy("household_id", "category").agg(F.count_if("counted").alias("counted"))
 
+    def lists(s: SparkSession, d: str) -> DataFrame:
+        k = fixture.load(s, d, "kept")
+        names = settings.name_list(col("value"))
+        return k.select("household_id", "key", F.array_join(F.when(col("key").startswith("ignore"), names).otherwise(F.array().cast("array<string>")), "|").alias("names"),
+            F.array_join(F.when(col("key").startswith("ignore"), settings.toggled(names, F.lit("B"), col("household_id") % 2 == 0)).otherwise(F.array().cast("array<string>")), "|").alias("toggled"),
+            F.array_join(F.when(col("key").startswith("pace"), settings.true_keys(col("value"))).otherwise(F.array().cast("array<string>")), "|").alias("paced"))
+
+    def stored_settings(s: SparkSession, d: str) -> DataFrame:
+        k = fixture.load(s, d, "kept")
+        new = k.where("key like 'income:%'").select("household_id", "key", F.when(F.length("key") % 2 == 0, F.lit("7")).alias("value"))
+        return settings.put(k, new)
+
     return {
+        "I26_I29_I35_setting_lists": lists, "A18_A39_B19_settings_put": stored_settings,
         "I01_I03_I15_I30_text": text_keys, "A13_A14_coverage_start": coverage_start, "A15_A16_D09_tax_year_scan": tax_scan, "A09_snapshot_scan": snapshot_scan, "A11_A12_rule_bag": rule_bag, "B06_set_rules": set_rules,
         "A31_A33_feed_accounts": feed_accounts, "A30_I42_feed_transactions": feed_rows, "A34_A37_feed_messages": messages, "B04_changed_snapshots": moved, "B02_pulled_accounts": new_accounts, "D10_H04_H07_category_lists": missing,
         "F11_H01_by_day": by_day, "G02_amortization_schedule": schedule, "G06_debt_free_month": debt_free, "K06_account_sections": sections, "M06_E09_overview": overview, "K10_drill_down": drill_down, "K03_budget_left": budget_left,
@@ -197,6 +213,8 @@ def _feed_type() -> str:
 
 
 SQL = {
+    "I26_I29_I35_setting_lists": _q("SELECT household_id, key, CASE WHEN value = 'broken' OR NOT starts_with(key, 'ignore') THEN '' ELSE 'A|B|' || split_part(value, '\"', 10) END AS names, CASE WHEN NOT starts_with(key, 'ignore') THEN '' WHEN value = 'broken' THEN CASE WHEN household_id % 2 = 0 THEN 'B' ELSE '' END WHEN household_id % 2 = 0 THEN 'A|B|' || split_part(value, '\"', 10) ELSE 'A|' || split_part(value, '\"', 10) END AS toggled, CASE WHEN value = 'broken' OR NOT starts_with(key, 'pace') THEN '' ELSE 'x|' || split_part(value, '\"', 6) END AS paced FROM kept", "kept"),
+    "A18_A39_B19_settings_put": _q("SELECT household_id, key, value FROM kept WHERE NOT starts_with(key, 'income') UNION ALL SELECT household_id, key, '7' FROM kept WHERE starts_with(key, 'income') AND length(key) % 2 = 0", "kept"),
     "I01_I03_I15_I30_text": _q(f"SELECT id, {_KEY} AS key, trim(regexp_replace(regexp_replace(regexp_replace(upper(coalesce(merchant_name, '')), '[0-9#*]+', ' ', 'g'), '[^A-Z ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS merchant, upper(regexp_replace(trim(coalesce(description, '')), '\\s+', ' ', 'g')) AS plain, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END AS alike, coalesce(user_description, '') AS cell FROM (SELECT *, {_tokens('description')} AS a, {_tokens('merchant_name')} AS b FROM transactions)", "transactions"),
     "A13_A14_coverage_start": _q("SELECT account_id, min(date) AS first, count(*) AS ids, coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS sources FROM transactions WHERE external_id LIKE 'sfin:%' GROUP BY 1", "transactions"),
     "A15_A16_D09_tax_year_scan": _q("SELECT id, coalesce(entity_id, account_entity) AS entity_id, id % 13 = 0 AS receipt FROM vb", *_LEDGER, then=rows("year(date) = 1996", False)),
