@@ -44,7 +44,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*COLUMNS)
+    # Stored before the filter, which Spark would else push into the projection with all it is computed from, word by word.
+    judged = stored(decontaminate.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS, "contaminated"), "judged")
+    return judged.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
