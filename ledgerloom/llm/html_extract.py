@@ -1,14 +1,16 @@
 """Main text of HTML pages by consensus host paths.
 
-1. Every page scores its containers: a text block gives its characters outside links to its parent's path and half of
-   them to its grandparent's; article and main count double.  Paths are tag and class names with digits generalised.
+1. Every page scores its containers: a text block gives its characters outside links to all containers around it (only
+   blocks in article or main do, if these have half of the page's or more).  The best is the lowest container that has
+   nearly all of them.  Paths are tag and class names with digits generalised.
 2. Each page votes for its best path; Spark counts votes per host (combined before the shuffle) and keeps the paths with
    a tenth of the host's votes or more.
-3. Pages are extracted again with their host's winning paths: of those on the page the one that scores best there, and
-   the page's own best path only if there is none.
+3. Pages are extracted again with their host's winning paths: the lowest container that has nearly all of what is in
+   those on the page, and the page's own best path only if there is none.  Headings that lead to it come with it.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are told by tag, role and
-whole words in class or id names, and never count.
+words in class or id names, and never count.  An article isn't dropped for such a word, nor is an element for a part of a
+name that tells a state (no-sidebar, comments-open) or that elements with most of the page's text have.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .cluster import ship, stored, table
 
 #: A path wins with this share of its host's votes.
 SHARE = 0.1
+#: A container with this share of the characters has nearly all.
+NEARLY = 0.95
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
@@ -47,6 +51,9 @@ _DROP_WORD = {
     "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager", "popup", "promo", "promotion", "recommended",
     "related", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tagcloud", "toolbar", "topbar", "widget", "widgets",
 }
+_COMMENT_WORD = {"comment", "comments", "commentlist", "disqus", "respond"}
+#: A class name with one of these words tells how an element is, not what it is.
+_STATE_WORD = {"no", "not", "without", "has", "have", "with", "open", "closed", "enabled", "disabled", "hide", "hidden"}
 _NEVER_DROPPED = {"html", "body", "main"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -58,8 +65,47 @@ def _dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if tag == "header" and not in_article:
         return True
+    return False
+
+
+def _suspect(tag: str, attributes: dict[str, str]) -> set[tuple[str, bool]]:
+    """Words in class or id names for which the element may have to go, and whether the word is a whole name."""
     names = attributes.get("class", "") + " " + attributes.get("id", "")
-    return bool(names.strip()) and not _DROP_WORD.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower()))
+    if tag in _NEVER_DROPPED or tag == "article" or not names.strip():
+        return set()
+    out = set()
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+        if len(words) == 1 or _STATE_WORD.isdisjoint(words):
+            out |= {(w, len(words) == 1) for w in words if w in _DROP_WORD}
+    return out
+
+
+def _unwanted(suspects: list[set[tuple[str, bool]]], pieces: list[tuple[int, tuple[int, ...]]]) -> set[int]:
+    """Numbers of the suspects that go.  pieces: characters outside links, and the suspects around them.
+
+    Those with a whole word go, unless hardly any text would be left (none, for comments).  Of the others, those stay that
+    have most of the text, alone or together with the others of their words.
+    """
+    total = sum(n for n, _ in pieces)
+    whole = {k for k, s in enumerate(suspects) if any(w for _, w in s)}
+    left = total - sum(n for n, around in pieces if not whole.isdisjoint(around))
+    if total and left <= total * (1 - NEARLY):
+        whole = {k for k in whole if left and not _COMMENT_WORD.isdisjoint(w for w, _ in suspects[k])}
+    open_to = [(n, [k for k in around if k not in whole]) for n, around in pieces if whole.isdisjoint(around)]
+    total = sum(n for n, _ in open_to)
+    own: dict[int, int] = {}
+    for n, around in open_to:
+        for k in around:
+            own[k] = own.get(k, 0) + n
+    wrappers = {k for k, n in own.items() if 2 * n > total}
+    by_word: dict[str, int] = {}
+    for n, around in open_to:
+        for word in {w for k in around if k not in wrappers for w, _ in suspects[k]}:
+            by_word[word] = by_word.get(word, 0) + n
+    common = {w for w, n in by_word.items() if 2 * n > total}
+    parts = {k for k, s in enumerate(suspects) if not any(w for _, w in s)}
+    return whole | {k for k in parts - wrappers if not {w for w, _ in suspects[k]} <= common}
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -68,36 +114,32 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 
 
 class _Open:
-    __slots__ = ("tag", "path", "drop", "article", "header")
+    __slots__ = ("tag", "path", "drop", "article", "header", "around")
 
-    def __init__(self, tag: str, path: str, drop: bool, article: bool, header: bool) -> None:
-        self.tag, self.path, self.drop, self.article, self.header = tag, path, drop, article, header
+    def __init__(self, tag: str, path: str, drop: bool, article: bool, header: bool, around: tuple[int, ...]) -> None:
+        self.tag, self.path, self.drop, self.article, self.header, self.around = tag, path, drop, article, header, around
 
 
-def blocks(page: str | None) -> list[tuple[str, str, int]]:
-    """Path of the enclosing container, text, and characters within links, for each text block outside what is dropped."""
-    out: list[tuple[str, str, int]] = []
-    stack = [_Open("", "", False, False, False)]
-    text: list[str] = []
-    linked, links = 0, 0
+def blocks(page: str | None) -> list[tuple[str, str, int, int]]:
+    """Path of the enclosing container, text, characters within links, and level as a heading (0 if none), for each text block outside what is dropped."""
+    # Pieces of text, characters within links, and the suspects around: which of these go is known at the end only.
+    said: list[tuple[str, list[tuple[str, int, tuple[int, ...]]], int]] = []
+    suspects: list[set[tuple[str, bool]]] = []
+    stack = [_Open("", "", False, False, False, ())]
+    text: list[tuple[str, int, tuple[int, ...]]] = []
+    links = 0
 
     def flush(path: str) -> None:
-        nonlocal linked
+        nonlocal text
         if text:
-            joined = " ".join("".join(text).split())
-            if joined:
-                out.append((path, joined, min(linked, len(joined))))
-            text.clear()
-        linked = 0
+            said.append((path, text, next((int(o.tag[1]) for o in reversed(stack) if o.tag in _HEADING), 0)))
+            text = []
 
     def say(raw: str) -> None:
-        nonlocal linked
         top = stack[-1]
         if raw and not top.drop and not (top.header and not any(o.tag in _HEADING for o in stack)):
             decoded = html.unescape(raw) if "&" in raw else raw
-            text.append(decoded)
-            if links:
-                linked += len(decoded.strip())
+            text.append((decoded, len(decoded.strip()) if links else 0, top.around))
 
     def home() -> str:
         """Path of the innermost container of the text so far; a paragraph's or heading's own element is not one."""
@@ -170,10 +212,21 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         up = stack[-1]
         article = up.article or tag in ("article", "main") or attributes.get("role") == "main"
         path = f"{up.path}>{_step(tag, attributes)}" if tag in _BLOCK or not up.path else up.path
-        stack.append(_Open(tag, path, up.drop or _dropped(tag, attributes, up.article), article, up.header or (tag == "header" and up.article)))
+        around = up.around
+        if reasons := _suspect(tag, attributes):
+            around = (*around, len(suspects))
+            suspects.append(reasons)
+        stack.append(_Open(tag, path, up.drop or _dropped(tag, attributes, up.article), article, up.header or (tag == "header" and up.article), around))
         if tag == "a":
             links += 1
     flush(home())
+    gone = _unwanted(suspects, [(0 if linked else len(t.strip()), around) for _, pieces, _ in said for t, linked, around in pieces]) if suspects else set()
+    out: list[tuple[str, str, int, int]] = []
+    for path, pieces, level in said:
+        stay = [p for p in pieces if gone.isdisjoint(p[2])] if gone else pieces
+        joined = " ".join("".join(p[0] for p in stay).split())
+        if joined:
+            out.append((path, joined, min(sum(p[1] for p in stay), len(joined)), level))
     return out
 
 
@@ -186,34 +239,52 @@ def _container(path: str) -> str:
     return path
 
 
-def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
-    """Score of each container's path."""
+def scores(found: list[tuple[str, str, int, int]]) -> dict[str, float]:
+    """Score of each container's path: the characters in it, at any depth."""
+    rows = [(_container(path), max(0, len(text) - 2 * linked)) for path, text, linked, _ in found]
+    if not any(worth for _, worth in rows):
+        rows = [(own, len(f[1])) for (own, _), f in zip(rows, found, strict=True)]
+    marked = [r for r in rows if r[0].rpartition(">")[2].split(".")[0] in ("article", "main")]
+    if 2 * sum(worth for _, worth in marked) >= sum(worth for _, worth in rows) > 0:
+        rows = marked
+    own: dict[str, float] = {}
+    for path, worth in rows:
+        own[path] = own.get(path, 0) + worth
     out: dict[str, float] = {}
-    for path, text, linked in found:
-        worth = max(0, len(text) - 2 * linked)
-        own = _container(path)
-        double = 2 if own.rpartition(">")[2].split(".")[0] in ("article", "main") else 1
-        out[own] = out.get(own, 0) + worth * double
-        up = own.rpartition(">")[0]
-        if up and own == path:
-            out[up] = out.get(up, 0) + worth / 2
+    for path, worth in own.items():
+        while True:
+            out[path] = out.get(path, 0) + worth
+            if not path:
+                break
+            path = path.rpartition(">")[0]
     return out
 
 
 def best(score: dict[str, float]) -> str | None:
-    """The path with the highest score, by name if several have it."""
-    return min(score, key=lambda p: (-score[p], p)) if score else None
+    """The lowest path with nearly all of the highest score, by score and name if several have it."""
+    least = NEARLY * max(score.values(), default=0)
+    return min((p for p in score if score[p] >= least), key=lambda p: (-p.count(">"), -score[p], p), default=None)
+
+
+def _inside(own: str, path: str) -> bool:
+    return own == path or own.startswith(path + ">")
 
 
 def main_text(page: str | None, winners: list[str] | None) -> tuple[str, str]:
-    """Text of the best of the winning paths on the page, else of its own best; and that path."""
+    """Text of the lowest container for what is in winning paths on the page, else of its own best; and its path."""
     found = blocks(page)
-    score = scores(found)
-    path = best({p: score[p] for p in winners or () if score.get(p)}) or best(score)
+    won = [f for f in found if len(f[1]) > 2 * f[2] and any(_inside(f[0], w) for w in winners)] if winners else []
+    path = best(scores(won or found))
     if path is None:
         return "", ""
-    inside = path + ">"
-    return "\n\n".join(text for own, text, _ in found if own == path or own.startswith(inside)), path
+    stay = [_inside(own, path) for own, _, _, _ in found]
+    # Titles before the container, and headings right before text of it.
+    first = stay.index(True)
+    for k in range(len(found) - 1, -1, -1):
+        _, text, linked, level = found[k]
+        if level and not stay[k] and len(text) > 2 * linked:
+            stay[k] = level == 1 and k < first or k + 1 < len(found) and stay[k + 1]
+    return "\n\n".join(f[1] for f, s in zip(found, stay, strict=True) if s), path
 
 
 def host(url: Column) -> Column:

@@ -321,6 +321,28 @@ def test_html_extraction(spark):
         assert isinstance(html_extract.main_text(broken, None)[0], str)
 
 
+def test_html_sections_and_unlucky_classes(spark):
+    intro, body = "intro " * 30 + "end.", "body " * 90 + "end."
+    text = lambda page, winners=None: html_extract.main_text(page, winners)[0]
+    two = f"<body><div class='site-nav'>menu</div><div class=post><div class=intro><p>{intro}</p></div><div class=body><p>{body}</p></div></div><div class='site-footer'>imprint</div></body>"
+    assert text(two) == f"{intro}\n\n{body}"
+    pages = spark.createDataFrame([(k, f"http://h/{k}", two if k == 9 else two.replace(intro, "") if k % 2 else two.replace(body, "")) for k in range(30)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got[9] == f"{intro}\n\n{body}" and got[1] == body and got[0] == intro  # each alone wins on the host
+    assert text(f"<body><div><h1>Title</h1><div class=entry><p>{body}</p></div></div></body>") == f"Title\n\n{body}"
+    assert text(f"<body><div><h1>Title</h1><p class=by>By me</p><h2>Part</h2><div class=entry><p>{body}</p></div></div><h3>Elsewhere</h3></body>") == f"Title\n\nPart\n\n{body}"
+    side = "<div class='main-sidebar'>other things</div>"
+    for wrapped in (
+        f"<div class='page no-sidebar'><p>{body}</p></div>", f"<article class='post comments-open'><p>{body}</p></article>", f"<div class='layout-sidebar-right'><p>{body}</p>{side}</div>", f"<div class=sidebar><p>{body}</p></div>",
+        f"<div class='share-box'>share</div><div><div class='elementor-widget elementor-widget-heading'><h1>{body}</h1></div></div>",
+    ):
+        assert text(f"<body>{wrapped}</body>") == body, wrapped
+    many = "".join(f"<div class='elementor-widget elementor-widget-{k}'><p>{k} {intro}</p></div>" for k in ("a", "b", "c", "d"))
+    assert text(f"<body><div class=all>{many}</div></body>") == "\n\n".join(f"{k} {intro}" for k in ("a", "b", "c", "d"))
+    assert text(f"<body><div class=entry>{intro}</div><div id=comments class='comments-area'>{body}</div></body>") == intro
+    assert text(f"<body><article class=a>{intro}</article><article class=b>{body}</article></body>") == f"{intro}\n\n{body}"
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
