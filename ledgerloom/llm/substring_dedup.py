@@ -208,8 +208,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, version and, as ``spans``, the first window and a mask of windows for each segment that has repeated windows."""
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", "text").withColumn("version", F.hash("text"))
-    cut = stored(docs.mapInArrow(_cut, f"anchor long, seg long, doc_id {kind}, version int, at int, n byte"), "segments")
+    docs = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text"))
+    cut = stored(docs.mapInArrow(_cut, f"anchor long, seg long, doc_id {kind}, version long, at int, n byte"), "segments")
     again = cut.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("c > 1").select("anchor", (F.col("s0") != F.col("s1")).alias("contested"))
     # Stored first, so that the join has exchanges of its own and a very common minimizer's rows can be split.
     held = stored(cut.join(stored(again, "again").hint("merge"), "anchor"), "repeated")
@@ -220,8 +220,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     size = distinct.where("contested").groupBy("anchor").agg(F.count("*").alias("size"), F.min("times").alias("least")).where("least = 1").drop("least")
     wanted = distinct.join(size, "anchor").select("anchor", "seg", "times", "n", "size", F.col("where.doc_id").alias("doc_id"), F.col("where.version").alias("version"), F.col("where.at").alias("at"))
     wanted = stored(wanted, "wanted")
-    per_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "seg", "times", "n", "at")).alias("wanted"))
-    one = docs.join(per_doc, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+    per_doc = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_list(F.struct("anchor", "seg", "times", "n", "at")).alias("wanted"))
+    one = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_id"]) & (docs["version"] == per_doc["_version"])).dropDuplicates(["doc_id", "version"])
     texts = stored(one.select("text", "wanted").mapInArrow(_fetch, "anchor long, seg long, times long, n byte, words binary"), "shards")
     sizes = size.withColumn("small", F.col("size") <= SHARD_SEGMENTS).select("anchor", "small")
     texts = texts.join(sizes, "anchor")
@@ -272,7 +272,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     found = repeated_spans(docs)
-    rows = docs.withColumn("version", F.hash("text"))
+    rows = docs.withColumn("version", F.xxhash64("text"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "spans")
     return rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["version"] == found["_version"]), "left").drop("_id", "_version")
 

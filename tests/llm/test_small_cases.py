@@ -113,6 +113,17 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, segments):
     assert substring_dedup.removed_words(_docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("segments", [4096, 3])
+def test_substring_dedup_with_null_ids(spark, monkeypatch, segments):
+    monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", segments)
+    word = lambda a, k: " ".join(f"{a}{x}" for x in range(k))
+    shared = [word(a, 60) for a in "pqr"]
+    rows = [(None, f"{word('a', 30)} {shared[0]} {word('b', 20)}"), (1, f"{word('c', 11)} {shared[0]} {word('d', 40)} {shared[1]}"), (None, f"{word('e', 3)} {shared[1]} {word('f', 50)} {shared[2]} x"), (2, f"{shared[2]} y"), (None, word("g", 70)), (None, None)]
+    got = Counter(tuple(r) for r in substring_dedup.removed_words(_docs(spark, rows)).collect())
+    want = _kept_words(list(enumerate(t for _, t in rows)))
+    assert got == Counter((rows[i][0], *rest) for i, *rest in want)
+
+
 def test_rewritten_texts(spark):
     shared = " ".join(f"p{k}" for k in range(40))
     df = spark.createDataFrame([(1, f"a b\n{shared} c", "en"), (2, f"{shared}", "de"), (3, "x\n y", None), (None, None, None)], "doc_id long, text string, spans string").withColumnRenamed("spans", "lang")
