@@ -1,7 +1,8 @@
 """A training corpus from documents: five stages, each written to the shared folder and read again by the next.
 
 1. quality: documents that the line model rejects (score below 0.3) go;
-2. near_dedup: of each group of near duplicates the document with the smallest id stays;
+2. near_dedup: of each group of near duplicates the document with the smallest id stays, and of rows with the same id (or
+   none) and the same text one row, which stage 3 would else cut out of each other;
 3. substring_dedup: passages of 35 words or more that occur again anywhere are cut out of all texts (a text may end up
    empty; its row stays);
 4. decontamination: documents with a window of a benchmark item go;
@@ -36,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs.select(*COLUMNS), near_dedup.near_duplicates(docs).where("kept"))
+    return _only(docs.select(*COLUMNS), near_dedup.near_duplicates(docs).where("kept")).dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

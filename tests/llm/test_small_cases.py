@@ -354,6 +354,18 @@ def test_html_sections_and_unlucky_classes(spark):
     assert text(f"<body><article class=a>{intro}</article><article class=b>{body}</article></body>") == f"{intro}\n\n{body}"
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+    from ledgerloom.llm.cluster import stored
+
+    line = lambda a: " ".join(f"{a}{k}" for k in range(50))
+    rows = [(1, line("a")), (1, line("a")), (2, line("b")), (3, line("b")), (3, line("b")), (None, line("c")), (None, line("c")), (None, line("d")), (4, line("e")), (4, line("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.repeated_passages(spark, stored(corpus_pipeline.near_duplicates(spark, docs, ""), "rows"), "")
+    want = [(1, line("a")), (2, line("b")), (None, line("c")), (None, line("d")), (4, line("e")), (4, line("f"))]
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in left.collect()) == Counter((i, t, len(t)) for i, t in want)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
