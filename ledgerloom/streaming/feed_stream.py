@@ -1,7 +1,8 @@
 """Feeds as a stream: files of envelopes in, each transaction out once.
 
-A pull repeats the last month of every account, so the same transaction arrives many times.  Duplicates are dropped by
-their ids within a watermark on the transaction's date that is as long as that overlap, which also bounds the state.
+A pull repeats the last month of every account, so the same transaction arrives many times, and a new account's first pull
+reaches back further than what others have sent.  Each batch is therefore compared by ids with the table that is written,
+whatever the dates; the stream itself holds no state.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.feed import feed_transactions, parsed
 
-OVERLAP = "30 days"
+#: What tells a transaction.
+KEY = ["household_id", "account", "external_id"]
 ENVELOPES = "household_id int, json string"
 
 
@@ -22,12 +24,24 @@ def read_envelopes(spark: SparkSession, folder: str, files_per_batch: int = 1_00
 
 
 def new_transactions(envelopes: DataFrame) -> DataFrame:
-    """Each transaction of a stream of envelopes once; what can't be parsed, or has no id, amount or date, is dropped."""
-    rows = feed_transactions(parsed(envelopes)).withColumn("at", F.col("date").cast("timestamp"))
-    return rows.withWatermark("at", OVERLAP).dropDuplicatesWithinWatermark(["household_id", "account", "external_id"]).drop("at")
+    """The transactions of a stream of envelopes, as often as they come; what can't be parsed, or has no id, amount or date, is dropped."""
+    return feed_transactions(parsed(envelopes))
 
 
 def write_transactions(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Append what is there now to a table partitioned by month, exactly once, and stop."""
-    monthly = rows.withColumn("month", F.date_format("date", "yyyy-MM"))
-    return monthly.writeStream.format("parquet").partitionBy("month").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
+    """Append the transactions there now that the table (partitioned by month) doesn't hold yet, each exactly once, and stop.
+
+    A batch that is run again finds what it has written.  A folder and checkpoint of the former file sink can't be continued.
+    """
+
+    def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.withColumn("month", F.date_format("date", "yyyy-MM")).dropDuplicates(KEY)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            held = spark.read.schema(fresh.schema).parquet(folder).select(*(F.col(k).alias(f"_{k}") for k in KEY))
+            same = [fresh[k].eqNullSafe(held[f"_{k}"]) for k in KEY]
+            fresh = fresh.join(held, same, "left_anti")
+        fresh.write.mode("append").partitionBy("month").parquet(folder)
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

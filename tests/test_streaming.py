@@ -22,3 +22,24 @@ def test_repeated_pulls_add_a_transaction_once(spark, tmp_path):
     pull("b.json", 2, 3, 4, 40)
     (tmp_path / "in" / "c.json").write_text(json.dumps({"household_id": 1, "json": "broken"}) + "\n")
     assert run() == [("t1", 1.5, "2026-01"), ("t2", 1.5, "2026-01"), ("t3", 1.5, "2026-01"), ("t4", 1.5, "2026-01"), ("t40", 1.5, "2026-02")]
+
+
+def test_old_rows_of_a_new_account_are_kept(spark, tmp_path):
+    def pull(name, account, *days):
+        rows = [{"id": f"t{d}", "posted": 1767225600 + d * 86400, "amount": "-1.50", "description": f"shop {d}"} for d in days]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(json.dumps({"household_id": 1, "json": json.dumps({"errors": [], "accounts": [{"id": account, "name": "x", "transactions": rows}]})}) + "\n")
+
+    def run():
+        rows = feed_stream.new_transactions(feed_stream.read_envelopes(spark, str(tmp_path / "in")))
+        feed_stream.write_transactions(rows, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return sorted((r.account, r.external_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    pull("a.json", "A", 88, 90, 4000)
+    first = run()
+    assert first == [("A", "t4000"), ("A", "t88"), ("A", "t90")]
+    pull("b.json", "B", 2, 30, 90)
+    pull("c.json", "A", 1, 90, 91)
+    pull("d.json", "B", 2, 31)
+    assert run() == sorted([*first, ("A", "t1"), ("A", "t91"), ("B", "t2"), ("B", "t30"), ("B", "t31"), ("B", "t90")])
+    assert run() == sorted([*first, ("A", "t1"), ("A", "t91"), ("B", "t2"), ("B", "t30"), ("B", "t31"), ("B", "t90")])
