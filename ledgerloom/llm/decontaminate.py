@@ -10,6 +10,9 @@ a benchmark item (all of a shorter item); a document word inside an occurrence o
    (one for items of one word).  This is necessary for any of its windows.
 4. The survivors of a document go to its row, where every word of the item is compared at its offset: exact.
 
+``proximity`` returns near matches from such postings: chosen words about as far apart as in the item.  They are kept apart
+from the contract's exact columns.
+
 The joins with benchmark words have no hint: Spark broadcasts them by their measured size and else shuffles, with skewed
 words split.  Survivors grow with the corpus, so that join always shuffles by document, at every size.
 """
@@ -23,6 +26,8 @@ from pyspark.sql import Window
 from .cluster import stored, table
 
 WINDOW = 10
+#: Chosen words of a near match are so many words closer or further apart than in their item, at most.
+SLACK = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words, before A-Z are lower-cased.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -73,6 +78,14 @@ def _windows_at(words: Column, survivors: Column) -> Column:
     return F.flatten(F.transform(survivors, one))
 
 
+def _postings(tokens: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chosen words of items, and where these are in documents."""
+    vocabulary = stored(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
+    frequency = stored(tokens.select("term").join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("count")), "frequency")
+    anchors = stored(_anchors(items, frequency), "anchors")
+    return anchors, stored(tokens.join(anchors.select("term").distinct(), "term").select("term", "doc_id", "version", "pos"), "postings")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated for every row.
 
@@ -83,12 +96,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     made = ["version", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "survivors", "_id", "_version", "_at"]
     rows = docs.drop(*made).withColumn("version", F.hash("text"))
     items = stored(benchmark_items(benchmark), "items")
-    vocabulary = stored(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
     tokens = rows.select("doc_id", "version", F.posexplode(_split(F.col("text"))).alias("pos", "word")).withColumn("term", _lower(F.col("word"))).drop("word")
-    frequency = stored(tokens.select("term").join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("count")), "frequency")
-    anchors = stored(_anchors(items, frequency), "anchors")
+    anchors, index = _postings(tokens, items)
 
-    index = stored(tokens.join(anchors.select("term").distinct(), "term").select("term", "doc_id", "version", "pos"), "postings")
     shifted = index.join(anchors, "term").select("doc_id", "version", "item", (F.col("pos") - F.col("p")).alias("shift"), "p", "size")
     places = shifted.groupBy("doc_id", "version", "item", "shift").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.max("size").alias("size"))
     agreed = places.where("p0 < p1 or size = 1").join(items, "item")
@@ -106,6 +116,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return judged.select(*rows.drop("version").columns, "n_words", "n_hit", F.size("_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def proximity(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, first, last and distance where two chosen words of an item are close to each other in a text as in the item.
+
+    The words' places in the item are less than WINDOW apart; first and last are their places in the text (from 0), in either
+    order; distance is by how many words they are closer or further apart than in the item, SLACK at most (0 in exact
+    copies).  A null doc_id is judged like others, rows with the same id and text count once, and an item of one word has
+    no pairs.
+    """
+    rows = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text")).dropDuplicates(["doc_id", "version"])
+    items = stored(benchmark_items(benchmark), "items")
+    words = F.filter(_split(F.col("text")), lambda w: w != "")
+    tokens = rows.select("doc_id", "version", F.posexplode(words).alias("pos", "word")).withColumn("term", _lower(F.col("word"))).drop("word")
+    anchors, index = _postings(tokens, items)
+    ahead = anchors.select("item", "p", F.col("term").alias("term_p"), F.explode(F.sequence(F.col("p") + 1, F.col("p") + WINDOW - 1)).alias("q"))
+    pairs = stored(ahead.join(anchors.select("item", F.col("p").alias("q"), F.col("term").alias("term_q")), ["item", "q"]), "pairs")
+    # Offsets at most SLACK apart are in the same bin or in neighbours.
+    placed = lambda term, place: index.join(pairs.withColumnRenamed(term, "term"), "term").select("doc_id", "version", "item", "p", "q", "pos", (F.col("pos") - F.col(place)).alias("shift")).withColumn("bin", F.floor(F.col("shift") / (SLACK + 1)))
+    left = placed("term_p", "p").withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    right = placed("term_q", "q")
+    right = right.select(*(F.col(c).alias(f"_{c}") for c in right.columns))
+    met = left.join(right, [left[c].eqNullSafe(right[f"_{c}"]) for c in ("doc_id", "version", "item", "p", "q", "bin")])
+    near = met.withColumn("distance", F.abs(F.col("_shift") - F.col("shift"))).where((F.col("distance") <= SLACK) & (F.col("pos") != F.col("_pos")))
+    near = near.join(items.select("item", "item_id"), "item").select("doc_id", "version", "item_id", F.least("pos", "_pos").alias("first"), F.greatest("pos", "_pos").alias("last"), "distance")
+    return near.groupBy("doc_id", "version", "item_id", "first", "last").agg(F.min("distance").alias("distance")).drop("version")
+
+
 # ---- query ------------------------------------------------------------------------------------------------------
 
 

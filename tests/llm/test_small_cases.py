@@ -173,6 +173,33 @@ def test_decontamination_equals_brute_force(spark):
     assert {r.n_hit for r in decontaminate.contamination(_docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).collect()} == {0}
 
 
+def test_proximity_equals_brute_force(spark):
+    planted = " ".join(f"q{k}" + (" filler" if k % 5 == 4 else "") for k in range(30))
+    rows = [*_corpus(n=30), (800, "-- start " + planted), (None, "Q9 q3, q12 q4"), (None, "q11 q12"), (None, "q11 q12")]
+    items = [(1, " ".join(f"q{k}" for k in range(30))), (2, "É"), (3, None), (5, rows[3][1]), (6, " ".join(["same"] * 12)), (7, "start q0 q1")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert not any(r.contaminated for r in decontaminate.contamination(_docs(spark, rows[-4:-3]), spark.createDataFrame(items[:1], "item_id long, text string")).collect())
+    got = Counter(tuple(r) for r in decontaminate.proximity(_docs(spark, rows), bench).collect())
+    texts = {(i, t): TOKEN.findall((t or "").translate(LOWER)) for i, t in rows}
+    times = Counter(w for words in texts.values() for w in words)
+    want = {}
+    for item, t in items:
+        b = TOKEN.findall((t or "").translate(LOWER))
+        size = min(10, len(b))
+        chosen = {p for s in range(len(b) - size + 1) for p in sorted(range(s, s + size), key=lambda p: (times[b[p]], b[p], p))[:2]}
+        for p in chosen:
+            for q in chosen:
+                for key, w in texts.items() if p < q < p + 10 else ():
+                    for x in (k for k, v in enumerate(w) if v == b[p]):
+                        for y in range(max(0, x + q - p - 3), min(len(w), x + q - p + 4)):
+                            if y != x and w[y] == b[q]:
+                                at = (key, item, min(x, y), max(x, y))
+                                want[at] = min(want.get(at, 9), abs((y - q) - (x - p)))
+    assert got == Counter((key[0], *rest, d) for (key, *rest), d in want.items())
+    assert any(r[:2] == (800, 1) and r[4] > 0 for r in got)
+    assert decontaminate.proximity(_docs(spark, []), bench).count() == 0
+
+
 def test_rule_counts_equal_brute_force(spark):
     for _, t in _corpus():
         _, _, c = quality_rules.counts(t)
