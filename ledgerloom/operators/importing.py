@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.grouped import apply_in_groups
+from ..functions.grouped import apply_in_groups, held
 from ..functions.money import parse_date, parse_money
 from ..functions.shipping import ship
 from ..functions.text import description_tokens, normal_description, present, similarity
@@ -82,53 +84,62 @@ def reconcile(statement: DataFrame, feed: DataFrame) -> DataFrame:
     """Every row of both sides with its outcome: matched, mismatch (amounts differ), statement_only or feed_only.
 
     Both sides: household_id, account_id, id, date, amount, description.  Equal amounts within four days are matched one
-    to one first; what is left meets by similar wording.  The account's leftovers are paired in order; accounts are
-    independent, and one statement's period bounds each group.
+    to one first; what is left meets by similar wording, paired in order.  Rows further apart than RECONCILE_DAYS never
+    meet, so gaps of that length split an account's rows of an amount, and then its leftovers, into stretches: the groups.
     """
     kinds = dict(statement.dtypes)
     side = lambda df, n: df.select(*BY, "id", "date", F.col("amount").cast("double").alias("amount"), F.coalesce("description", F.lit("")).alias("description"), description_tokens(F.col("description")).alias("tokens"), F.lit(n).alias("side"))
 
-    def solve(rows: list[tuple]) -> list[tuple]:
+    def in_stretches(df: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("date", "side", "id")
+        new = df.withColumn("new", F.coalesce((F.datediff("date", F.lag("date").over(order)) > RECONCILE_DAYS).cast("int"), F.lit(0)))
+        return new.withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new")
+
+    def split(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        sides: dict[str, list[tuple]] = {"statement": [], "feed": []}
+        for _, _, id_, date, amount, description, tokens, name, *_ in rows:
+            sides[name].append((date.toordinal(), description, amount, str(id_), id_, tokens, date))
+        return tuple(sorted(sides[n], key=lambda r: r[:4]) for n in ("statement", "feed"))
+
+    def equal(rows: list[tuple]) -> list[tuple]:
+        """Matches, and with no outcome the rows that are left."""
+        household, account = rows[0][:2]
+        a, b = split(rows)
+        pairs = match([(r[0], 0, k) for k, r in enumerate(a)], [(r[0], 1, k) for k, r in enumerate(b)], RECONCILE_DAYS) if a and b else []
+        out = [(a[i][4], b[j][4], "matched", float(abs(a[i][0] - b[j][0])), 0.0, household, account, None, None, None, None, None, None) for i, j in pairs]
+        for part, name, used in ((a, "statement", {i for i, _ in pairs}), (b, "feed", {j for _, j in pairs})):
+            out += [(None, None, None, None, None, household, account, r[4], r[6], r[2], r[1], r[5], name) for k, r in enumerate(part) if k not in used]
+        return out
+
+    def similar(rows: list[tuple]) -> list[tuple]:
         household, account = rows[0][:2]
-        held: dict[str, list[tuple]] = {"statement": [], "feed": []}
-        for _, _, id_, date, amount, description, tokens, name in rows:
-            held[name].append((date.toordinal(), description, amount, str(id_), id_, set(tokens)))
-        groups: dict[str, dict[int, list]] = {}
-        for name, part in held.items():
-            part.sort(key=lambda r: r[:4])
-            groups[name] = {}
-            for r in part:
-                groups[name].setdefault(round(r[2] * 100), []).append(r)
-        out: list[tuple] = []
-        left: dict[str, list] = {"statement": [], "feed": []}
-        for size in groups["statement"].keys() | groups["feed"].keys():
-            a, b = groups["statement"].get(size, []), groups["feed"].get(size, [])
-            pairs = match([(r[0], 0, k) for k, r in enumerate(a)], [(r[0], 1, k) for k, r in enumerate(b)], RECONCILE_DAYS) if a and b else []
-            out += [(a[i][4], b[j][4], "matched", float(abs(a[i][0] - b[j][0])), 0.0) for i, j in pairs]
-            used = ({i for i, _ in pairs}, {j for _, j in pairs})
-            left["statement"] += [r for k, r in enumerate(a) if k not in used[0]]
-            left["feed"] += [r for k, r in enumerate(b) if k not in used[1]]
-        spare = sorted(left["feed"], key=lambda r: r[:4])
-        for x in sorted(left["statement"], key=lambda r: r[:4]):
-            best, found = 0.0, None
-            for y in spare:
-                gap = abs(x[2] - y[2])
-                if abs(x[0] - y[0]) > RECONCILE_DAYS or (gap > CLOSE_ABSOLUTE and gap / max(abs(x[2]), abs(y[2]), 0.01) > CLOSE_RATIO):
+        a, b = split(rows)
+        days, sets, used, out = [y[0] for y in b], [set(y[5] or ()) for y in b], set(), []
+        for x in a:
+            best, found, words = 0.0, None, set(x[5] or ())
+            for k in range(bisect_left(days, x[0] - RECONCILE_DAYS), bisect_right(days, x[0] + RECONCILE_DAYS)):
+                gap = abs(x[2] - b[k][2])
+                if k in used or (gap > CLOSE_ABSOLUTE and gap / max(abs(x[2]), abs(b[k][2]), 0.01) > CLOSE_RATIO):
                     continue
-                alike = len(x[5] & y[5]) / len(x[5] | y[5]) if x[5] and y[5] else 0.0
+                alike = len(words & sets[k]) / len(words | sets[k]) if words and sets[k] else 0.0
                 if alike >= LEAST_SIMILARITY and alike > best:
-                    best, found = alike, y
+                    best, found = alike, k
             if found is None:
                 out.append((x[4], None, "statement_only", None, None))
             else:
-                spare = [y for y in spare if y is not found]
-                out.append((x[4], found[4], "mismatch", float(abs(x[0] - found[0])), round(x[2] - found[2], 2)))
-        out += [(None, y[4], "feed_only", None, None) for y in spare]
+                used.add(found)
+                out.append((x[4], b[found][4], "mismatch", float(abs(x[0] - b[found][0])), round(x[2] - b[found][2], 2)))
+        out += [(None, y[4], "feed_only", None, None) for k, y in enumerate(b) if k not in used]
         return [(*o, household, account) for o in out]
 
-    both = side(statement, "statement").unionByName(side(feed, "feed"))
+    both = side(statement, "statement").unionByName(side(feed, "feed")).where("date is not null and amount is not null")
     schema = f"statement_id {kinds['id']}, feed_id {kinds['id']}, outcome string, gap_days double, difference double, household_id int, account_id {kinds['account_id']}"
-    return apply_in_groups(both.where("date is not null and amount is not null"), BY, solve, schema)
+    cents = both.withColumn("cents", F.rint(F.col("amount") * 100).cast("long"))
+    first = apply_in_groups(in_stretches(cents, [*BY, "cents"]), [*BY, "cents", "stretch"], equal, f"{schema}, id {kinds['id']}, date {kinds['date']}, amount double, description string, tokens array<string>, side string")
+    first = held(first)
+    left = first.where("outcome is null").select(*both.columns)
+    second = apply_in_groups(in_stretches(left, BY), [*BY, "stretch"], similar, schema)
+    return first.where("outcome is not null").select(*second.columns).unionByName(second)
 
 
 def description_similarity(a: Column, b: Column) -> Column:

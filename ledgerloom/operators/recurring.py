@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grouped import apply_in_groups
+from ..functions.grouped import apply_in_groups, held
 from ..functions.money import amount
 from ..functions.tables import literal_rows
 from ..functions.text import description_tokens, merchant_key, normal_merchant, present, similarity
@@ -143,11 +143,15 @@ def candidates(expected: DataFrame, rows: DataFrame) -> DataFrame:
     ).select(*BY, "expected_id", "due_date", "tx_id", "tx_date", "dist")
 
 
+#: So many candidate pairs, over all households, are left to Python at once.
+FEW_PAIRS = 50_000
+
+
 def match(expected: DataFrame, rows: DataFrame) -> DataFrame:
     """One-to-one matches of expectations and transactions, nearest first.
 
-    Greedy in a total order: a pair that is the first left for both its ends is taken, in rounds.  A household's
-    candidates that touch each other form one group (expectations are few), ordered in one Python call.
+    Greedy in a total order: a pair that is the first left for both its ends is taken, in rounds.  When at most FEW_PAIRS
+    are left over all households, these are ordered in Python, a household at a time.
     """
 
     def greedy(pairs: list[tuple]) -> list[tuple]:
@@ -159,9 +163,22 @@ def match(expected: DataFrame, rows: DataFrame) -> DataFrame:
                 out.append((h, e, t))
         return out
 
-    found = candidates(expected, rows)
-    kinds = dict(found.dtypes)
-    return apply_in_groups(found, BY, greedy, f"household_id int, expected_id {kinds['expected_id']}, tx_id {kinds['tx_id']}")
+    left = candidates(expected, rows)
+    kinds = dict(left.dtypes)
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    rank = F.struct("dist", "due_date", said("expected_id"), "tx_date", said("tx_id"))
+    of_e, of_t = Window.partitionBy(*BY, "expected_id"), Window.partitionBy(*BY, "tx_id")
+    left, done = held(left), []
+    while left.count() > FEW_PAIRS:
+        both = left.withColumn("rank", rank).withColumn("first", F.min("rank").over(of_e) == F.col("rank")).withColumn("taken", F.col("first") & (F.min("rank").over(of_t) == F.col("rank")))
+        spent = both.withColumn("spent", F.max("taken").over(of_t)).withColumn("spent", F.col("spent") | F.max("taken").over(of_e))
+        both = held(spent.select(*left.columns, "taken", "spent"))
+        done.append(both.where("taken").select(*BY, "expected_id", "tx_id").distinct())
+        left = both.where("not spent").drop("taken", "spent")
+    out = apply_in_groups(left, BY, greedy, f"household_id int, expected_id {kinds['expected_id']}, tx_id {kinds['tx_id']}")
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def duplicates(fields: DataFrame, existing: DataFrame) -> DataFrame:

@@ -159,6 +159,73 @@ def test_reconcile(spark):
     assert got == {("c1", "p1", "mismatch", 7.75), ("c2", None, "statement_only", None), (None, "p2", "feed_only", None), ("c3", "p3", "matched", 0.0)}
 
 
+def _bounded(monkeypatch, module, most):
+    """Let groups of more than so many rows fail."""
+    apply = module.apply_in_groups
+
+    def bounded(rows, keys, solve, schema):
+        def checked(group):
+            assert len(group) <= most, len(group)
+            return solve(group)
+
+        return apply(rows, keys, checked, schema)
+
+    monkeypatch.setattr(module, "apply_in_groups", bounded)
+
+
+def test_reconcile_of_a_long_ledger_in_small_groups(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = ["ALPHA", "BISTRO", "CAFE", "DOWNTOWN", "ENERGY"]
+    start = D(2025, 1, 1).toordinal()
+
+    def side(name):
+        return [(1, k % 2, f"{name}{k}", D.fromordinal(start + 12 * rnd.randrange(40) + rnd.randrange(7)), rnd.choice([5.0, 5.4, 20.0, 21.0, -3.0]), " ".join(rnd.sample(words, 2))) for k in range(300)]
+
+    left, right = side("s"), side("f")
+    want = set()
+    for account in (0, 1):
+        key = lambda r: (r[3].toordinal(), r[5], r[4], r[2])
+        a, b = (sorted((r for r in part if r[1] == account), key=key) for part in (left, right))
+        used = set()
+        for size in {r[4] for r in a}:
+            x, y = ([r for r in part if r[4] == size] for part in (a, b))
+            for i, j in matching.match([(r[3].toordinal(), 0, k) for k, r in enumerate(x)], [(r[3].toordinal(), 1, k) for k, r in enumerate(y)], 4):
+                want.add((x[i][2], y[j][2], "matched"))
+                used |= {x[i][2], y[j][2]}
+        spare = [r for r in b if r[2] not in used]
+        for x in (r for r in a if r[2] not in used):
+            best, found = 0.0, None
+            for y in spare:
+                gap, one, two = abs(x[4] - y[4]), set(x[5].lower().split()), set(y[5].lower().split())
+                alike = len(one & two) / len(one | two)
+                if abs((x[3] - y[3]).days) <= 4 and (gap <= importing.CLOSE_ABSOLUTE or gap / max(abs(x[4]), abs(y[4])) <= importing.CLOSE_RATIO) and alike >= importing.LEAST_SIMILARITY and alike > best:
+                    best, found = alike, y
+            want.add((x[2], found[2], "mismatch") if found else (x[2], None, "statement_only"))
+            spare = [y for y in spare if y is not found]
+        want |= {(None, y[2], "feed_only") for y in spare}
+    _bounded(monkeypatch, importing, 40)
+    schema = "household_id int, account_id int, id string, date date, amount double, description string"
+    got = importing.reconcile(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()
+    assert len(got) == len(want) and {(r.statement_id, r.feed_id, r.outcome) for r in got} == want and {"matched", "mismatch"} <= {r.outcome for r in got}
+
+
+@pytest.mark.parametrize("few", [0, 60])
+def test_expected_match_of_a_large_household_in_rounds(spark, monkeypatch, few):
+    rnd = random.Random(6)
+    day = lambda: D.fromordinal(D(2026, 1, 1).toordinal() + rnd.randrange(60))
+    expected = spark.createDataFrame([(1 + k // 50, k, None, 20.0, day(), "monthly", "STREAM FLIX", "pending") for k in range(60)], "household_id int, id int, account_id int, amount double, due_date date, cadence string, description string, status string")
+    rows = spark.createDataFrame([(1 + k // 70, k, 7, 20.0, day(), "STREAM FLIX", None) for k in range(80)], "household_id int, id int, account_id int, amount double, date date, description string, merchant_name string")
+    want, seen = set(), set()
+    for p in sorted(recurring.candidates(expected, rows).collect(), key=lambda p: (p.dist, p.due_date, str(p.expected_id), p.tx_date, str(p.tx_id))):
+        if not {("e", p.expected_id), ("t", p.tx_id)} & seen:
+            seen |= {("e", p.expected_id), ("t", p.tx_id)}
+            want.add((p.household_id, p.expected_id, p.tx_id))
+    _bounded(monkeypatch, recurring, few)
+    monkeypatch.setattr(recurring, "FEW_PAIRS", few)
+    got = [tuple(r) for r in recurring.match(expected, rows).collect()]
+    assert len(got) == len(want) > 20 and set(got) == want
+
+
 def test_rules_prefer_amounts_then_length(spark):
     rows = spark.createDataFrame([(1, 1, "COSTCO GAS 123", 40.0), (1, 2, "COSTCO GAS 123", 41.0), (1, 3, "COSTCOX", 1.0), (1, 4, "ONLINE BANKING TRANSFER TO X", 5.0)], "household_id int, id int, description string, amount double")
     taught = spark.createDataFrame([(1, "COSTCO", "Warehouse", None), (1, "COSTCO GAS", "Fuel", None), (1, "COSTCO", "Special", 40.0)], "household_id int, merchant_key string, category string, amount double")
