@@ -66,16 +66,20 @@ def _anchors(items: DataFrame, frequency: DataFrame) -> DataFrame:
 
 
 def _windows_at(words: Column, survivors: Column) -> Column:
-    """item_id and first word of each window that occurs at one of the survivors' offsets."""
+    """item_id and first word of each window that occurs at one of the survivors' offsets.
 
-    def one(a: Column) -> Column:
-        same = F.transform(a["words"], lambda w, p: F.coalesce(F.get(words, p + a["shift"]) == w, F.lit(False)))
+    ``words`` is bound as the element of an array of one.  Named in the inner functions, Spark could put there the
+    expression it comes from, and would then split a text again for every word that is compared.
+    """
+
+    def one(text: Column, a: Column) -> Column:
+        same = F.transform(a["words"], lambda w, p: F.coalesce(F.get(text, p + a["shift"]) == w, F.lit(False)))
         size = F.least(F.size(a["words"]), F.lit(WINDOW))
         starts = F.sequence(F.lit(0), F.size(a["words"]) - size)
-        hit = F.filter(starts, lambda i: F.forall(F.slice(same, i + 1, size), lambda x: x))
+        hit = F.flatten(F.transform(F.array(same), lambda s: F.filter(starts, lambda i: F.forall(F.slice(s, i + 1, size), lambda x: x))))
         return F.transform(hit, lambda i: F.struct(a["item_id"].alias("item_id"), (i + a["shift"]).alias("first"), size.alias("size")))
 
-    return F.flatten(F.transform(survivors, one))
+    return F.get(F.transform(F.array(words), lambda text: F.flatten(F.transform(survivors, lambda a: one(text, a)))), F.lit(0))
 
 
 def _postings(tokens: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,29 +95,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A null or empty text has no words; a null doc_id is kept and judged like others.  Repeated rows get equal results.  An
     empty benchmark or item without words hits nothing; an empty table gives no rows.  Columns of ``docs`` with the names
-    of results are replaced.
+    of results are replaced; other columns stay, but for names that begin with two underscores, which are used here.
     """
-    made = ["version", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "survivors", "_id", "_version", "_at"]
-    rows = docs.drop(*made).withColumn("version", F.hash("text"))
+    made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    kept = [c for c in docs.columns if c not in made and not c.startswith("__")]
+    rows = docs.select(*kept, F.hash("text").alias("__version"))
     items = stored(benchmark_items(benchmark), "items")
-    tokens = rows.select("doc_id", "version", F.posexplode(_split(F.col("text"))).alias("pos", "word")).withColumn("term", _lower(F.col("word"))).drop("word")
+    tokens = rows.select("doc_id", F.col("__version").alias("version"), F.posexplode(_split(F.col("text"))).alias("pos", "word")).withColumn("term", _lower(F.col("word"))).drop("word")
     anchors, index = _postings(tokens, items)
 
     shifted = index.join(anchors, "term").select("doc_id", "version", "item", (F.col("pos") - F.col("p")).alias("shift"), "p", "size")
     places = shifted.groupBy("doc_id", "version", "item", "shift").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.max("size").alias("size"))
     agreed = places.where("p0 < p1 or size = 1").join(items, "item")
-    survivors = agreed.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set(F.struct("item_id", "words", "shift")).alias("survivors"))
+    survivors = agreed.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__of")).agg(F.collect_set(F.struct("item_id", "words", "shift")).alias("__survivors"))
     survivors = stored(survivors, "survivors")
 
-    joined = rows.join(survivors.hint("merge"), rows["doc_id"].eqNullSafe(survivors["_id"]) & (rows["version"] == survivors["_version"]), "left")
-    lowered = _split(F.when(F.col("survivors").isNotNull(), F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text")))
-    judged = joined.withColumn("_words", lowered).withColumn("n_words", _n_words(F.col("_words")))
-    judged = judged.withColumn("_at", F.when(F.col("survivors").isNotNull(), _windows_at(F.col("_words"), F.col("survivors"))))
-    hit = F.array_distinct(F.flatten(F.transform("_at", lambda s: F.sequence(s["first"], s["first"] + s["size"] - 1))))
-    ids = F.array_sort(F.array_distinct(F.transform("_at", lambda s: s["item_id"].cast("string"))))
+    joined = rows.join(survivors.hint("merge"), rows["doc_id"].eqNullSafe(survivors["__id"]) & (rows["__version"] == survivors["__of"]), "left")
+    lowered = _split(F.when(F.col("__survivors").isNotNull(), F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text")))
+    judged = joined.withColumn("__words", lowered).withColumn("n_words", _n_words(F.col("__words")))
+    judged = judged.withColumn("__at", F.when(F.col("__survivors").isNotNull(), _windows_at(F.col("__words"), F.col("__survivors"))))
+    hit = F.array_distinct(F.flatten(F.transform("__at", lambda s: F.sequence(s["first"], s["first"] + s["size"] - 1))))
+    ids = F.array_sort(F.array_distinct(F.transform("__at", lambda s: s["item_id"].cast("string"))))
     none = F.array().cast("array<string>")
-    judged = judged.withColumn("n_hit", F.coalesce(F.size(hit), F.lit(0)).cast("long")).withColumn("_ids", F.coalesce(ids, none))
-    return judged.select(*rows.drop("version").columns, "n_words", "n_hit", F.size("_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    judged = judged.withColumn("n_hit", F.coalesce(F.size(hit), F.lit(0)).cast("long")).withColumn("__ids", F.coalesce(ids, none))
+    return judged.select(*kept, "n_words", "n_hit", F.size("__ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "__ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -173,6 +173,25 @@ def test_decontamination_equals_brute_force(spark):
     assert {r.n_hit for r in decontaminate.contamination(_docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).collect()} == {0}
 
 
+def test_decontamination_splits_no_text_within_a_lambda(spark):
+    """However few of the columns are taken, a text is split once and not for each word that is compared."""
+    got = decontaminate.contamination(_docs(spark, _corpus(n=12)).withColumn("_words", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("mine")), spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
+    assert {r._words for r in got.collect()} == {"mine"}
+    for columns in (["doc_id", "contaminated"], ["n_hit"], ["items_sha256"], ["doc_id", "n_words", "contaminated"]):
+        plan = got.select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+        at = plan.find("lambdafunction(")
+        assert at >= 0
+        while at >= 0:
+            depth, end = 1, at + len("lambdafunction(")
+            while depth:
+                depth += {"(": 1, ")": -1}.get(plan[end], 0)
+                end += 1
+            body = plan[at:end]
+            inner = body[len("lambdafunction(") :]
+            assert "split(" not in inner and "translate(" not in inner, (columns, body[:300])
+            at = plan.find("lambdafunction(", at + 1)
+
+
 def test_proximity_equals_brute_force(spark):
     planted = " ".join(f"q{k}" + (" filler" if k % 5 == 4 else "") for k in range(30))
     rows = [*_corpus(n=30), (800, "-- start " + planted), (None, "Q9 q3, q12 q4"), (None, "q11 q12"), (None, "q11 q12")]
