@@ -10,7 +10,11 @@
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are told by tag, role and
 words in class or id names, and never count.  An article isn't dropped for such a word, nor is an element for a part of a
-name that tells a state (no-sidebar, comments-open) or that elements with most of the page's text have.
+name that tells a state (no-sidebar, comments-open), that says what something else is (share-price) or that elements with
+most of the page's text have; a form with most of the page's paragraphs is the page.
+
+Reading a page takes time in proportion to its length, whatever is in it: elements nest DEPTH deep at most (what is deeper
+stands beside its parent), and a tag whose quotes never close is read without them from then on.
 """
 
 from __future__ import annotations
@@ -31,8 +35,15 @@ SHARE = 0.1
 #: A container with this share of the characters has nearly all.
 NEARLY = 0.95
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+#: Start tags of what a page is written in, for telling a form that is the page from one that is filled in.
+_PROSE = {"p", "article", "main", "h1", "h2", "h3", "blockquote"}
+#: Elements within each other, and steps of a path, at most.
+DEPTH, STEPS = 400, 64
+
+_OPENING = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noembed", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -44,17 +55,27 @@ _SPACING = {"br", "td", "th", "option"}
 _CLOSES_P = _BLOCK - {"html", "body", "tbody", "thead", "tfoot", "tr", "caption"}
 #: Start tags that end an open element of these names (up to the named boundary).
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_DROP_TAG = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video", "head"}
+_DROP_TAG = {"nav", "footer", "aside", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video", "head"}
 _DROP_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 _DROP_WORD = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus",
     "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager", "popup", "promo", "promotion", "recommended",
     "related", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tagcloud", "toolbar", "topbar", "widget", "widgets",
 }
+#: These words decide only as the last of a name, or before a word for a box: share-price is no share button.
+_WEAK_WORD = {"banner", "login", "notice", "notices", "notification", "promo", "promotion", "recommended", "related", "respond", "share", "sharing", "skip", "social", "sponsor", "subscribe", "widget", "widgets"}
+_BOX_WORD = {
+    "actions", "area", "articles", "bar", "block", "bottom", "box", "btn", "button", "buttons", "card", "cards", "column", "container", "content", "dialog", "footer", "form", "group", "header", "heading", "icon", "icons",
+    "inner", "items", "left", "link", "links", "list", "media", "message", "outer", "overlay", "panel", "posts", "reading", "right", "row", "section", "slot", "stories", "strip", "text", "title", "to", "tools", "top", "unit", "wrap", "wrapper",
+}
+_EDGE = frozenset({"article", "main", "body", "html"})
+#: Start tags that leave an open head open.
+_IN_HEAD = {"title", "meta", "link", "base", "style", "script", "noscript", "template", "head", "basefont", "bgsound"}
 _COMMENT_WORD = {"comment", "comments", "commentlist", "disqus", "respond"}
 #: A class name with one of these words tells how an element is, not what it is.
 _STATE_WORD = {"no", "not", "without", "has", "have", "with", "open", "closed", "enabled", "disabled", "hide", "hidden"}
 _NEVER_DROPPED = {"html", "body", "main"}
+_CONTAINER = _BLOCK - {"h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "li", "dt", "dd", "tr", "figcaption", "summary", "caption", "address", "hr"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -71,22 +92,24 @@ def _dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
 def _suspect(tag: str, attributes: dict[str, str]) -> set[tuple[str, bool]]:
     """Words in class or id names for which the element may have to go, and whether the word is a whole name."""
     names = attributes.get("class", "") + " " + attributes.get("id", "")
-    if tag in _NEVER_DROPPED or tag == "article" or not names.strip():
+    if tag in _NEVER_DROPPED or tag == "article":
         return set()
-    out = set()
+    out = {("form", False)} if tag == "form" else set()
     for name in names.split():
         words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
         if len(words) == 1 or _STATE_WORD.isdisjoint(words):
-            out |= {(w, len(words) == 1) for w in words if w in _DROP_WORD}
+            out |= {(w, len(words) == 1) for k, w in enumerate(words) if w in _DROP_WORD and (w not in _WEAK_WORD or k == len(words) - 1 or words[k + 1] in _BOX_WORD or words[k + 1] in _DROP_WORD)}
     return out
 
 
 def _unwanted(suspects: list[set[tuple[str, bool]]], pieces: list[tuple[int, tuple[int, ...]]]) -> set[int]:
     """Numbers of the suspects that go.  pieces: characters outside links, and the suspects around them.
 
-    Those with a whole word go, unless hardly any text would be left (none, for comments).  Of the others, those stay that
+    Forms to fill in go.  Those with a whole word go, unless hardly any text would be left (none, for comments).  Of the others, those stay that
     have most of the text, alone or together with the others of their words.
     """
+    forms = {k for k, s in enumerate(suspects) if ("form", True) in s}
+    pieces = [(n, around) for n, around in pieces if forms.isdisjoint(around)]
     total = sum(n for n, _ in pieces)
     whole = {k for k, s in enumerate(suspects) if any(w for _, w in s)}
     left = total - sum(n for n, around in pieces if not whole.isdisjoint(around))
@@ -105,7 +128,7 @@ def _unwanted(suspects: list[set[tuple[str, bool]]], pieces: list[tuple[int, tup
             by_word[word] = by_word.get(word, 0) + n
     common = {w for w, n in by_word.items() if 2 * n > total}
     parts = {k for k, s in enumerate(suspects) if not any(w for _, w in s)}
-    return whole | {k for k in parts - wrappers if not {w for w, _ in suspects[k]} <= common}
+    return forms | whole | {k for k in parts - wrappers if not {w for w, _ in suspects[k]} <= common}
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -114,10 +137,52 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 
 
 class _Open:
-    __slots__ = ("tag", "path", "drop", "article", "header", "around")
+    """An open element.  home: path of the innermost container; a paragraph's or heading's own element is not one."""
 
-    def __init__(self, tag: str, path: str, drop: bool, article: bool, header: bool, around: tuple[int, ...]) -> None:
+    __slots__ = ("tag", "path", "drop", "article", "header", "around", "home", "level", "steps")
+
+    def __init__(self, tag: str, path: str, drop: bool, article: bool, header: bool, around: tuple[int, ...], up: _Open | None = None) -> None:
         self.tag, self.path, self.drop, self.article, self.header, self.around = tag, path, drop, article, header, around
+        self.steps = up.steps + (path is not up.path) if up else 0
+        self.level = int(tag[1]) if tag in _HEADING else up.level if up else 0
+        self.home = path if tag in _CONTAINER else up.home if up else ""
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str, int]]:
+    """Text before a tag, the tag's name ("" for none), whether it ends an element, its attributes, and where it ends.
+
+    The caller may ``send`` where to go on.  Each part of the page is looked at a bounded number of times.
+    """
+    at, size, quotes = 0, len(page), True
+    while at < size:
+        m = _OPENING.search(page, at)
+        if m is None:
+            break
+        here = m.start()
+        if page.startswith("<!--", here):
+            end = page.find("-->", here + 4)
+            name, ending, raw, stop = "", False, "", end + 3 if end >= 0 else size
+        else:
+            close = page.find(">", here)
+            if close < 0:
+                break
+            tag = _NAME.match(page, here + 1)
+            if tag is None:
+                if page[here + 1] == "/" and not page.startswith("</>", here):
+                    name, ending, raw, stop = "", False, "", close + 1
+                elif page[here + 1] in "!?":
+                    name, ending, raw, stop = "", False, "", close + 1
+                else:
+                    name, ending, raw, stop = "", False, "", here + 3
+            else:
+                quoted = _QUOTED.match(page, tag.end()) if quotes else None
+                quotes = quoted is not None
+                stop = quoted.end() if quoted else max(close, tag.end()) + 1
+                name, ending, raw = tag[2].lower(), bool(tag[1]), page[tag.end() : stop - 1]
+        moved = yield page[at:here], name, ending, raw, stop
+        at = stop if moved is None else moved
+    if at < size:
+        yield page[at:], "", False, "", size
 
 
 def blocks(page: str | None) -> list[tuple[str, str, int, int]]:
@@ -126,100 +191,115 @@ def blocks(page: str | None) -> list[tuple[str, str, int, int]]:
     said: list[tuple[str, list[tuple[str, int, tuple[int, ...]]], int]] = []
     suspects: list[set[tuple[str, bool]]] = []
     stack = [_Open("", "", False, False, False, ())]
+    opened: dict[str, int] = {}
+    prose = 0
+    forms: dict[int, int] = {}  # suspects that are forms, and the elements of prose in each
     text: list[tuple[str, int, tuple[int, ...]]] = []
     links = 0
 
-    def flush(path: str) -> None:
+    def flush(top: _Open) -> None:
         nonlocal text
         if text:
-            said.append((path, text, next((int(o.tag[1]) for o in reversed(stack) if o.tag in _HEADING), 0)))
+            said.append((top.home, text, top.level))
             text = []
 
     def say(raw: str) -> None:
         top = stack[-1]
-        if raw and not top.drop and not (top.header and not any(o.tag in _HEADING for o in stack)):
+        if raw and not top.drop and not (top.header and not top.level):
             decoded = html.unescape(raw) if "&" in raw else raw
             text.append((decoded, len(decoded.strip()) if links else 0, top.around))
 
-    def home() -> str:
-        """Path of the innermost container of the text so far; a paragraph's or heading's own element is not one."""
-        for o in reversed(stack):
-            if o.tag in _BLOCK and o.tag not in _HEADING and o.tag not in ("p", "pre", "li", "dt", "dd", "tr", "figcaption", "summary", "caption", "address", "hr"):
-                return o.path
-        return ""
-
     def close_to(k: int) -> None:
         nonlocal links
-        for o in reversed(stack[k:]):
+        while len(stack) > k:
+            o = stack[-1]
             if o.tag in _BLOCK:
-                flush(home())
+                flush(o)
             if o.tag == "a":
                 links -= 1
+            opened[o.tag] -= 1
             stack.pop()
 
+    def nearest(tags: set[str], edge: set[str] | frozenset[str] = frozenset()) -> int:
+        """Place of the innermost open element of ``tags`` that no element of ``edge`` is in; 0 if there is none."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in tags:
+                return k
+            if stack[k].tag in edge:
+                break
+        return 0
+
     page = page or ""
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            say(page[at:])
+    source = tokens(page)
+    moved = None
+    while True:
+        try:
+            before, tag, ending, raw, at = source.send(moved)
+        except StopIteration:
             break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        moved = None
+        if before and opened.get("head") and not before.isspace():
+            if k := nearest({"head"}):
+                close_to(k)
+        say(before)
         if not tag:
             continue
-        tag, ending = tag.lower(), bool(m[1] or m[4])
         if ending:
             if tag == "br":
                 say(" ")
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close_to(k)
-                    break
-                if stack[k].tag in ("article", "main", "body", "html") and tag not in ("article", "main", "body", "html"):
-                    break
+            elif opened.get(tag) and (k := nearest({tag}, _EDGE if tag not in _EDGE else frozenset())):
+                close_to(k)
             continue
+        if opened.get("head") and tag not in _IN_HEAD and (k := nearest({"head"})):
+            close_to(k)
+        if tag == "form" and opened.get("form"):
+            continue  # forms don't nest
         if tag in _CLOSES_P:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in _BLOCK), 0)
-            if k and stack[k].tag == "p":
+            k = nearest({"p"}, _BLOCK)
+            if k:
                 close_to(k)
         if tag in _ENDS:
             same, edge = _ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in edge:
+            while k := nearest(same, edge):
+                close_to(k)
+                if tag != "tr":
                     break
-                if stack[k].tag in same:
-                    close_to(k)
-                    if tag != "tr":
-                        break
         if tag in _SPACING:
             say(" ")
         if tag in _BLOCK:
-            flush(home())
+            flush(stack[-1])
         if tag in _VOID:
             continue
-        raw = m[3] or m[6] or ""
         if tag in _RAW:
             if not raw.rstrip().endswith("/"):
                 end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else size
+                moved = end.end() if end else len(page)
             continue
         attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if raw.strip() else {}
         if raw and re.search(r"(?:^|\s)hidden(?=[\s/]|$)", raw):
             attributes.setdefault("hidden", "")
+        if len(stack) > DEPTH:
+            close_to(len(stack) - 1)
         up = stack[-1]
         article = up.article or tag in ("article", "main") or attributes.get("role") == "main"
-        path = f"{up.path}>{_step(tag, attributes)}" if tag in _BLOCK or not up.path else up.path
+        path = f"{up.path}>{_step(tag, attributes)}" if (tag in _BLOCK or not up.path) and up.steps < STEPS else up.path
         around = up.around
+        if tag in _PROSE:
+            prose += 1
+            if opened.get("form"):
+                forms[max(forms)] += 1
         if reasons := _suspect(tag, attributes):
+            if tag == "form":
+                forms[len(suspects)] = 0
             around = (*around, len(suspects))
             suspects.append(reasons)
-        stack.append(_Open(tag, path, up.drop or _dropped(tag, attributes, up.article), article, up.header or (tag == "header" and up.article), around))
+        stack.append(_Open(tag, path, up.drop or _dropped(tag, attributes, up.article), article, up.header or (tag == "header" and up.article), around, up))
+        opened[tag] = opened.get(tag, 0) + 1
         if tag == "a":
             links += 1
-    flush(home())
+    flush(stack[-1])
+    for k, n in forms.items():
+        suspects[k] = suspects[k] - {("form", False)} if 2 * n > prose else suspects[k] | {("form", True)}
     gone = _unwanted(suspects, [(0 if linked else len(t.strip()), around) for _, pieces, _ in said for t, linked, around in pieces]) if suspects else set()
     out: list[tuple[str, str, int, int]] = []
     for path, pieces, level in said:
