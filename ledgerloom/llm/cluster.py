@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.shipping import ship
 
-__all__ = ["scratch_path", "shared_dir", "ship", "stored", "table"]
+__all__ = ["qualified", "scratch_path", "shared_dir", "ship", "stored", "table"]
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one is set only where it is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.  Where it is unset, one is made in local mode only (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -20,19 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return str(current.get()).rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return str(context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    path = qualified(spark, f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI: without a scheme it is one of Hadoop's default file system, on the driver and on executors alike."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, and gives AQE true sizes."""
     spark = df.sparkSession

@@ -9,14 +9,21 @@ Filters on record_type, target_uri, record_id, payload_digest and refers_to are
 parsed first, and its body is passed over by its length unless the record is wanted and the option ``payload`` asks for
 it: "none" (null payload, the default), "verify" (decoded and held against its digest, then dropped), "full" (returned).
 
-``path`` is any URI that pyarrow's file systems know (file://, hdfs://, s3://, ...) and that all executors share.
+``path`` is any URI that pyarrow's file systems know (file://, hdfs://, s3://, ...) and that all executors share; a path
+without a scheme is refused, for tasks would take it as one of their own machines (``cluster.qualified`` completes it).
+
+Archives made elsewhere are read too: .warc.gz (each a partition, as members can't be told without unpacking), chunked
+bodies, and digests in hex or base32 of the algorithms in _DIGESTS; digests of others are never held against a payload.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import json
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,10 +43,14 @@ FILE_BYTES, RANGE_BYTES = 512 << 20, 32 << 20
 MANIFEST = "_manifest.json"
 BATCH_BYTES = 8 << 20
 _FIXED_DATE = "2000-01-01T00:00:00Z"
+#: Names of digest algorithms in headers, and those of hashlib.
+_DIGESTS = {"sha256": "sha256", "sha-256": "sha256", "sha1": "sha1", "sha-1": "sha1", "md5": "md5", "sha512": "sha512", "sha-512": "sha512"}
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:/", path):
+        raise ValueError(f"a URI is needed, not {path!r}")
+    return fs.FileSystem.from_uri(path)
 
 
 def _clean(value: str) -> str:
@@ -170,6 +181,24 @@ class _Input:
             n *= 2
 
 
+class _Stream(_Input):
+    """The same over a stream that can't seek: what is skipped is read and dropped."""
+
+    def _fill(self, n: int) -> None:
+        while len(self.block) - self.k < n:
+            more = self.file.read(max(n - (len(self.block) - self.k), self.BLOCK))
+            if not more:
+                break
+            self.block, self.k = self.block[self.k :] + more, 0
+
+    def skip(self, n: int) -> None:
+        while n > 0:
+            got = len(self.read(min(n, self.BLOCK)))
+            if not got:
+                break
+            n -= got
+
+
 def _headers(raw: bytes) -> dict[str, str]:
     lines = raw.decode("utf-8", "surrogatepass").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -179,21 +208,59 @@ def _plain(value: str | None) -> str | None:
     return value.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%") if value and ("%0A" in value or "%0D" in value) else value
 
 
+def _hex(digest: str | None) -> tuple[str | None, str | None]:
+    """Algorithm (None: not one of _DIGESTS) and lower-case hex of a digest header; what is neither hex nor base32 stays as it is."""
+    if not digest:
+        return None, None
+    name, _, value = digest.rpartition(":")
+    algorithm = _DIGESTS.get(name.strip().lower())
+    if algorithm:
+        size = hashlib.new(algorithm).digest_size
+        if len(value) == 2 * size:
+            return algorithm, value.lower()
+        try:
+            raw = base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+        except ValueError:
+            return None, value
+        return (algorithm, raw.hex()) if len(raw) == size else (None, value)
+    return None, value
+
+
 def _columns(head: dict[str, str]) -> dict:
     digest, size = head.get("warc-payload-digest"), head.get("x-payload-length")
     return {
         "record_id": head.get("warc-record-id"), "record_type": head.get("warc-type"), "target_uri": _plain(head.get("warc-target-uri")),
-        "payload_digest": digest.partition(":")[2].lower() if digest else None, "payload_bytes": int(size) if size else None, "refers_to": head.get("warc-refers-to"), "payload": None,
+        "payload_digest": _hex(digest)[1], "payload_bytes": int(size) if size else None, "refers_to": head.get("warc-refers-to"), "payload": None,
     }
 
 
-def _body(block: bytes) -> bytes:
-    """A response's decoded body."""
+def _unchunked(body: bytes) -> bytes:
+    """The data of a chunked body, as far as it goes."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].partition(b";")[0], 16)
+        except ValueError:
+            break
+        if not size:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def _bodies(block: bytes) -> list[bytes]:
+    """A response's body, decoded, and the forms before each decoding after it."""
     http, _, body = block.partition(b"\r\n\r\n")
-    coded = _headers(http).get("content-encoding", "").lower()
-    if coded == "gzip":
-        return zlib.decompress(body, 47)
-    return body
+    head, out = _headers(http), [body]
+    if "chunked" in head.get("transfer-encoding", "").lower():
+        out.insert(0, _unchunked(out[0]))
+    if head.get("content-encoding", "").lower() in ("gzip", "x-gzip", "deflate"):
+        try:
+            out.insert(0, zlib.decompressobj(47).decompress(out[0]))
+        except zlib.error:
+            pass  # the header is wrong: the body stays as it came
+    return out
 
 
 _PUSHED = {"record_type", "target_uri", "record_id", "payload_digest", "refers_to"}
@@ -218,7 +285,7 @@ class WarcReader(DataSourceReader):
             with system.open_input_stream(manifest) as f:
                 listed = json.loads(f.read())
             return [Range(name, a, b) for name, starts in listed for a, b in zip(starts, starts[1:], strict=False)] or [Range("", 0, 0)]
-        found = [i.base_name for i in system.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and i.base_name.endswith(".warc")]
+        found = [i.base_name for i in system.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and i.base_name.endswith((".warc", ".warc.gz"))]
         return [Range(name, 0, -1) for name in sorted(found)] or [Range("", 0, 0)]
 
     def _wanted(self, row: dict) -> bool:
@@ -234,8 +301,10 @@ class WarcReader(DataSourceReader):
         system, root = _file_system(self.path)
         schema = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in (c.split()[0] for c in SCHEMA.split(", "))])
         rows, held = [], 0
-        with system.open_input_file(posixpath.join(root, partition.file)) as file:
-            source = _Input(file, partition.start)
+        packed = partition.file.endswith(".gz")
+        opened = system.open_input_stream if packed else system.open_input_file
+        with opened(posixpath.join(root, partition.file), **({"compression": None} if packed else {})) as file:
+            source = _Stream(gzip.GzipFile(fileobj=file), 0) if packed else _Input(file, partition.start)
             while partition.end < 0 or source.at < partition.end:
                 raw = source.until(b"\r\n\r\n")
                 if raw is None:
@@ -248,9 +317,12 @@ class WarcReader(DataSourceReader):
                 if self.payload == "none" or row["record_type"] != "response":
                     source.skip(size + 4)
                 else:
-                    body = _body(source.read(size))
+                    bodies = _bodies(source.read(size))
+                    body = bodies[0]
                     source.skip(4)
-                    if self.payload == "verify" and row["payload_digest"] is not None and (hashlib.sha256(body).hexdigest() != row["payload_digest"] or len(body) != row["payload_bytes"]):
+                    algorithm = _hex(head.get("warc-payload-digest"))[0]
+                    right = algorithm is None or any(hashlib.new(algorithm, b).hexdigest() == row["payload_digest"] for b in bodies)
+                    if self.payload == "verify" and not (right and row["payload_bytes"] in (None, len(body))):
                         raise ValueError(f"{partition.file}: the payload of {row['record_id']} does not match its digest")
                     if self.payload == "full":
                         row["payload"] = body
