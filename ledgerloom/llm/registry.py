@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring_dedup.SQL, "op5_minhash_near_dedup": near_dedup.SQL, "op8_warc": warc.SQL, "op9_decontamination": decontaminate.SQL}
+    return {"op4_sharding": sharding.sql(), "op2_substring_dedup": substring_dedup.SQL, "op5_minhash_near_dedup": near_dedup.SQL, "op8_warc": warc.SQL, "op9_decontamination": decontaminate.SQL}

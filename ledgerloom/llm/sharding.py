@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Slots, a prime well above 100 times the shards; rows in the broadcast table.
 TABLE_SIZE = 65_537
+#: Slots of a table, at most: it is broadcast.
+MOST_SLOTS = 1 << 20
 
 
 def _is_prime(n: int) -> bool:
@@ -22,11 +24,11 @@ def _is_prime(n: int) -> bool:
 
 
 def fill_table(shards: list[str], size: int = TABLE_SIZE) -> list[int]:
-    """For each slot the index of its shard.  ValueError: no shards, a name given twice, more shards than slots, or a size that isn't prime."""
+    """For each slot the index of its shard.  ValueError: no shards, a name given twice, more shards than slots, or a size that isn't prime or is above MOST_SLOTS."""
     if not shards or len(set(shards)) != len(shards):
         raise ValueError("shards must be distinct names, one at least")
-    if not _is_prime(size) or len(shards) > size:
-        raise ValueError("the table's size must be a prime, and not less than the number of shards")
+    if size > MOST_SLOTS or not _is_prime(size) or len(shards) > size:
+        raise ValueError(f"the table's size must be a prime, at most {MOST_SLOTS}, and not less than the number of shards")
     start, stride = [], []
     for name in shards:
         digest = hashlib.sha256(name.encode()).digest()
@@ -60,7 +62,7 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
     """``df`` with the columns slot, shard and shard_name.
 
-    Nulls in the key: all such rows go to the slot of the empty text.  Equal keys share a shard.  No other column is
+    Nulls in the key: all such rows go to the slot of the empty text, with the rows of that key.  Equal keys share a shard.  No other column is
     read; columns of ``df`` named slot, shard or shard_name are replaced.  An empty table stays empty.
     """
     rows = df.drop("slot", "shard", "shard_name").withColumn("slot", slot_of(df[key], size))
@@ -76,3 +78,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's slot and shard among 64 shards, by its id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     return place(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard", "shard_name")
+
+
+def sql() -> str:
+    """The placement in SQL; the filled table is written out in it (its filling takes turns, which SQL can't express)."""
+    return f"""
+WITH t AS (SELECT {fill_table(SHARDS)} AS filled),
+d AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {TABLE_SIZE} AS INTEGER) AS slot FROM documents),
+s AS (SELECT doc_id, slot, CAST(filled[slot + 1] AS INTEGER) AS shard FROM d, t)
+SELECT doc_id, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 3, '0') AS shard_name FROM s
+"""
