@@ -123,6 +123,8 @@ def forward_backward(good: np.ndarray, size: np.ndarray, move: np.ndarray, begin
 
 def fit(x: np.ndarray, size: np.ndarray, y: np.ndarray, steps: int = 150, l2: float = 1e-3) -> dict:
     """Weights of the evidence, scores of moves and of a good start, by Adam on the mean conditional log likelihood per line."""
+    if not len(x):  # no line to learn from: all evidence is nought, and the calibration alone decides
+        return {"w": np.zeros(WIDTH), "b": 0.0, "move": np.zeros((2, 2)), "begin": 0.0}
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = (x - mean) / scale
     owner = np.repeat(np.arange(len(size)), size)

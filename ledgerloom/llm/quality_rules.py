@@ -1,7 +1,7 @@
 """Quality rules: exact counts per text, and a hashed n-gram logistic regression behind fixed thresholds.
 
 Words are runs of characters other than ASCII white space.  The model hashes word 1- and 2-grams and character 3- and
-5-grams (over UTF-8 bytes) of a whole text into ``DIM`` buckets each; a text's features are the square roots of its
+5-grams (over code points) of a whole text into ``DIM`` buckets each; a text's features are the square roots of its
 bucket frequencies (a unit vector per family), so its length does not count.  It is fitted on a bounded sample of
 labelled rows and calibrated by Platt scaling on a part of them that the weights have not seen.
 """
@@ -36,16 +36,22 @@ _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 _SHIFT = np.uint64(64 - DIM.bit_length() + 1)
 
 
-def _char_grams(buf: np.ndarray, n: int) -> np.ndarray:
-    """Buckets of the byte n-grams."""
-    size = len(buf) - n + 1
+def code_points(buf: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8."""
+    if _FIRST[buf].all():
+        return buf.astype(np.uint32)
+    return np.frombuffer(buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _char_grams(points: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of the n-grams of code points."""
+    size = len(points) - n + 1
     if size <= 0:
         return np.empty(0, np.int64)
     h = np.zeros(size, np.uint32)
-    wide = buf.astype(np.uint32)
     for k in range(n):
         h *= np.uint32(0x01000193)
-        h ^= wide[k : k + size]
+        h ^= points[k : k + size]
     h *= np.uint32(0x9E3779B1)
     return (h >> np.uint32(32 - DIM.bit_length() + 1)).astype(np.int64)
 
@@ -53,7 +59,8 @@ def _char_grams(buf: np.ndarray, n: int) -> np.ndarray:
 def families(buf: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
     """Buckets of each family's n-grams, given a text's bytes and its words' hashes."""
     grams = [(h * _C[0]) >> _SHIFT, (windows(h, 2) * _C[1]) >> _SHIFT]
-    return [g.astype(np.int64) for g in grams] + [_char_grams(buf, 3), _char_grams(buf, 5)]
+    points = code_points(buf)
+    return [g.astype(np.int64) for g in grams] + [_char_grams(points, 3), _char_grams(points, 5)]
 
 
 def features(buf: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -153,4 +160,4 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return apply_rules(docs, train(docs, labels)).withColumn("held_out", held_out(F.col("doc_id")))
+    return apply_rules(docs, train(docs, labels)).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))

@@ -1,11 +1,11 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-Features: the distinct words (runs of letters, lower-cased) of a whole text and their first 4 to 8 bytes, hashed; a feature's value is the square root of its share
-of the text's words, scaled by the log of its rarity among the training rows.  The
-logistic loss is joined by a penalty: identity terms of a labelled text are swapped for another of their set, and the
-squared difference between both scores, times PENALTY, is added.  Weights of identity terms are thereby drawn towards
-each other, so a neutral mention of one group scores as one of any other.  Scores are calibrated on rows that the
-weights have not seen.
+Features: the distinct words (runs of letters, lower-cased) of a whole text and their first 4 to 8 bytes, hashed; a
+feature's value is the square root of its share of the text's words, scaled by the log of its rarity among the training
+rows.  The logistic loss is joined by a penalty: identity terms of a labelled text are swapped for each of the others of
+their sets in turn, and the mean squared difference between the scores, times PENALTY, is added.  Weights of identity
+terms are thereby drawn towards each other, so a neutral mention of one group scores as one of any other.  Scores are
+calibrated on rows that the weights have not seen.
 """
 
 from __future__ import annotations
@@ -35,17 +35,29 @@ IDENTITY = [
     ["black", "white", "asian", "latino", "hispanic", "african", "european"], ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist"], ["muslims", "christians", "jews", "hindus", "buddhists", "atheists"],
     ["immigrant", "native", "refugee"], ["immigrants", "natives", "refugees"], ["old", "young"], ["disabled", "blind", "deaf"], ["american", "mexican", "chinese", "indian", "french", "german"],
 ]
-_NEXT = {w: s[(k + 1) % len(s)] for s in IDENTITY for k, w in enumerate(s)}
-_TERM = re.compile(r"\b(?:" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")\b", re.I)
+_PLACE = {w: (s, k) for s in IDENTITY for k, w in enumerate(s)}
+_TERM = re.compile(r"\b(?:" + "|".join(sorted(_PLACE, key=len, reverse=True)) + r")\b", re.I)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
 
 
-def swapped(text: str) -> str:
-    """``text`` with each identity term replaced by the next of its set."""
-    return _TERM.sub(lambda m: _NEXT[m[0].lower()], text)
+def swapped(text: str, by: int = 1) -> str:
+    """``text`` with each identity term replaced by the one ``by`` places further in its set."""
+
+    def other(m: re.Match) -> str:
+        terms, k = _PLACE[m[0].lower()]
+        return terms[(k + by) % len(terms)]
+
+    return _TERM.sub(other, text)
+
+
+def counterfactuals(text: str) -> list[str]:
+    """The distinct texts that swaps make of ``text``: every term of a set stands in one of them for each other of it."""
+    found = {m.lower() for m in _TERM.findall(text)}
+    most = max((len(_PLACE[w][0]) for w in found), default=1)
+    return sorted({swapped(text, by) for by in range(1, most)} - {text})
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +95,13 @@ class _Rows:
 
 
 def fit(rows: list, pairs: list, y: np.ndarray, penalty: float = PENALTY, l2: float = 2e-3, steps: int = 120) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam; ``pairs`` are the rows of the swapped texts.  Both classes weigh the same; a bucket counts by the log of its rarity, and not at all with one row only."""
-    held = np.bincount(np.concatenate([r[0] for r in rows]), minlength=DIM)
-    held = np.maximum(held, np.bincount(np.concatenate([r[0] for r in pairs]), minlength=DIM))
+    """Weights and bias by Adam; ``pairs`` has a list of the swapped texts' rows for each row.  Both classes weigh the same; a bucket counts by the log of its rarity, and not at all with one row only."""
+    held = np.bincount(np.concatenate([np.unique(np.concatenate([r[0], *(c[0] for c in copies)])) for r, copies in zip(rows, pairs, strict=True)]), minlength=DIM)
     rarity = np.where(held > 1, np.log(len(rows) / np.maximum(held, 1)).clip(0), 0)
     x = _Rows(rows, rarity)
-    moved = np.array([k for k, (r, p) in enumerate(zip(rows, pairs, strict=True)) if r is not p], int)
-    x_moved, other_moved = (_Rows([r[k] for k in moved], rarity) for r in (rows, pairs))
+    moved = [(r, c, 1 / len(copies)) for r, copies in zip(rows, pairs, strict=True) for c in copies]
+    x_moved, other_moved = (_Rows([t[k] for t in moved], rarity) for k in (0, 1))
+    share = np.array([t[2] for t in moved])
     n = len(y)
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max(n - y.sum(), 1))
     p, m, v = (np.zeros(DIM + 1) for _ in range(3))
@@ -98,7 +110,7 @@ def fit(rows: list, pairs: list, y: np.ndarray, penalty: float = PENALTY, l2: fl
         d = weight * (sigmoid(x.dot(p[:-1]) + p[-1]) - y)
         g[:-1], g[-1] = x.back(d) + l2 * p[:-1], d.sum()
         if len(moved):
-            gap = 2 * penalty * (x_moved.dot(p[:-1]) - other_moved.dot(p[:-1])) / n
+            gap = 2 * penalty * share * (x_moved.dot(p[:-1]) - other_moved.dot(p[:-1])) / n
             g[:-1] += x_moved.back(gap) - other_moved.back(gap)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -113,16 +125,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             own = [features(t) for t in texts]
-            pair = [f if (s := swapped(t)) == t else features(s) for t, f in zip(texts, own, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *_packed(own), *_packed([p if p is not f else None for p, f in zip(pair, own, strict=True)])], names=["doc_id", "label", "x", "value", "pair", "pair_value"])
+            pair = [[features(s) for s in counterfactuals(t)] for t in texts]
+            kind = pa.list_(pa.binary())
+            sides = [pa.array([[c[k].tobytes() for c in copies] for copies in pair], kind) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *_packed(own), *sides], names=["doc_id", "label", "x", "value", "pair", "pair_value"])
 
     sample = training_rows(docs.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS), labels, label, rows)
-    got = sample.mapInArrow(extract, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, x binary, value binary, pair binary, pair_value binary").toPandas().sort_values(["doc_id", "x"])
+    got = sample.mapInArrow(extract, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, x binary, value binary, pair array<binary>, pair_value array<binary>").toPandas().sort_values(["doc_id", "x"])
     y = got["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return {"w": np.zeros(DIM, np.float32), "b": 0.0, "slope": 0.0, "shift": -40.0}
     x = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(got["x"], got["value"], strict=True)]
-    pairs = [own if a is None else (np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for own, a, v in zip(x, got["pair"], got["pair_value"], strict=True)]
+    pairs = [[(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(buckets, values, strict=True)] for buckets, values in zip(got["pair"], got["pair_value"], strict=True)]
     part = np.arange(len(y)) % 4 == 0
     pick = lambda rows, which: [r for r, k in zip(rows, which, strict=True) if k]
     w, b = fit(pick(x, ~part), pick(pairs, ~part), y[~part], penalty)
@@ -131,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 
 def _packed(rows: list) -> tuple[pa.Array, pa.Array]:
-    return tuple(pa.array([r if r is None else r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1))
+    return tuple(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1))
 
 
 def probability(text: str | None, model: dict) -> float:

@@ -11,6 +11,7 @@ import pytest
 
 from ledgerloom.llm import decontaminate, html_extract, near_dedup, quality_crf, quality_rules, sentencepiece_codec, sharding, substring_dedup, toxicity, warc
 from ledgerloom.llm.components import connected_components
+from ledgerloom.llm.words import as_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -253,6 +254,40 @@ def test_quality_models_tell_good_from_bad(spark):
     assert quality_crf.accepted(docs.where("doc_id < 200"), quality_crf.train(docs, labels)).count() == 100
 
 
+def test_training_rows_take_a_rare_label_whole(spark):
+    from ledgerloom.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(400)] + [(k, f"s{k}") for k in range(400)] + [(0, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 100 == 1)) for k in range(400)] + [(5, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    import zlib
+
+    free = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    got = training_rows(docs, labels, "toxic", 50).collect()
+    assert len(got) == 50 == len({r.doc_id for r in got}) and {r.doc_id for r in got if r.label} == {k for k in free if k % 100 == 1}
+    assert all(r.text == f"s{r.doc_id}" for r in got if r.text) and {r.doc_id for r in got} <= set(free)
+    assert training_rows(docs.where("false"), labels, "toxic", 50).count() == 0 == training_rows(docs, labels.where("false"), "toxic", 50).count()
+
+
+def test_quality_of_texts_without_lines(spark):
+    """Where the rows to fit on have no line, the score is still a probability."""
+    docs = _docs(spark, [(k, "" if k % 2 else None) for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    got = quality_crf.quality(docs, quality_crf.train(docs, labels)).collect()
+    assert len(got) == 60 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_rules_and_toxicity_with_odd_rows(spark):
+    docs, labels = _labelled(spark)
+    odd = spark.createDataFrame([(None, "x " * 30, 1), (7, None, 2), (7, None, 2), (8, "word " * 40_000, 3)], "doc_id long, text string, score long")
+    rules = quality_rules.apply_rules(odd, quality_rules.train(docs, labels))
+    assert [r.n_words for r in rules.orderBy("n_words").collect()] == [0, 0, 30, 40_000] and quality_rules.apply_rules(odd.where("false"), quality_rules.train(docs, labels)).count() == 0
+    model = toxicity.train(docs, labels)
+    assert all(0 <= r.score <= 1 and not r.held_out for r in toxicity.toxicity(odd.where("doc_id is null or doc_id = 8"), model).collect())
+    twice = toxicity.toxicity(odd.where("doc_id = 7"), model).collect()
+    assert len(twice) == 2 and twice[0] == twice[1] and toxicity.toxicity(odd.where("false"), model).count() == 0
+    assert [quality_rules.code_points(as_bytes(t)).tolist() for t in ("ab", "é漢🙂", "")] == [[97, 98], [233, 28450, 128578], []]
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 
@@ -296,6 +331,7 @@ def test_toxicity_learns_and_counterfactuals_agree(spark):
     assert abs(logit(held[902]) - logit(held[903])) < 0.5 * abs(logit(free[902]) - logit(free[903])) + 0.05
     assert 0 <= held[900] == held[901] <= 1
     assert toxicity.swapped("Muslim men") == "christian women"
+    assert {c.split()[0] for c in toxicity.counterfactuals("gay men")} == {"straight", "lesbian", "bisexual"} and toxicity.counterfactuals("none here") == []
 
 
 def test_sentencepiece_round_trip_and_streaming(spark):
@@ -321,11 +357,26 @@ def test_sharding_is_even_and_stable(spark):
     less = sharding.fill_table(names[:-1], 211)
     moved = sum(a != b for a, b in zip(table, less) if a != 6)
     assert moved < 211 * 0.25
-    with pytest.raises(ValueError):
-        sharding.fill_table(names, 210)
+    for wrong in (210, sharding.MOST_SLOTS + 7):
+        with pytest.raises(ValueError):
+            sharding.fill_table(names, wrong)
+    # The same taking of turns, plainly: every shard's whole list of slots by preference.
+    prefer = []
+    for name in names:
+        d = hashlib.sha256(name.encode()).hexdigest()
+        prefer.append([(int(d[:16], 16) + k * (int(d[16:32], 16) % 210 + 1)) % 211 for k in range(211)])
+    plain: dict = {}
+    while len(plain) < 211:
+        for shard, slots in enumerate(prefer):
+            slot = next((x for x in slots if x not in plain), None)
+            if slot is not None:
+                plain[slot] = shard
+    assert [plain[k] for k in range(211)] == table
     df = spark.createDataFrame([(1, 5), (1, 6), (None, 7)], "doc_id long, shard int")
     got = sharding.place(df, "doc_id", names, 211).collect()
     assert len(got) == 3 and got[0].shard_name.startswith("s")
+    long = spark.createDataFrame([("x" * 100_000,), ("",), (None,)], "k string")
+    assert len({r.slot for r in sharding.place(long, "k", names, 211).where("k = '' or k is null").collect()}) == 1 and sharding.place(long, "k", names, 211).count() == 3
     assert sharding.place(df.where("false"), "doc_id", names, 211).count() == 0
     want = lambda k: int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16) % 211
     assert {r.slot for r in got if r.doc_id == 1} == {want(1)} and all(table[r.slot] == r.shard for r in got)
@@ -358,6 +409,51 @@ def test_warc_round_trip_pushdown_and_skipping(spark, tmp_path):
         spark.read.format("warc").option("payload", "verify").load(path).collect()
 
 
+def test_warc_of_other_makers(spark, tmp_path):
+    import base64
+    import gzip
+    import zlib
+
+    def made(kind, body, digest, extra=b""):
+        http = b"HTTP/1.1 200 OK\r\n" + extra + b"\r\n" + body
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{digest}>\r\nWARC-Target-URI: http://x/\r\n" + (f"WARC-Payload-Digest: {digest}\r\n" if digest else "") + f"Content-Length: {len(http)}\r\n\r\n"
+        return head.encode() + http + b"\r\n\r\n"
+
+    sha1 = hashlib.sha1(b"hello world").digest()
+    chunked = b"5\r\nhello\r\n6;x=y\r\n world\r\n0\r\n\r\n"
+    records = [
+        made("warcinfo", b"", ""), made("response", b"hello world", "sha1:" + base64.b32encode(sha1).decode()), made("response", chunked, "sha256:" + hashlib.sha256(b"hello world").hexdigest(), b"Transfer-Encoding: chunked\r\n"),
+        made("response", zlib.compress(b"hello world"), "md5:" + hashlib.md5(b"hello world").hexdigest(), b"Content-Encoding: deflate\r\n"), made("response", b"not packed", "blake3:zz", b"Content-Encoding: gzip\r\n"), made("revisit", b"", "sha1:" + sha1.hex()),
+    ]
+    home = tmp_path / "foreign"
+    home.mkdir()
+    (home / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (home / "b.warc").write_bytes(b"".join(records))
+    warc.register(spark)
+    read = lambda payload: spark.read.format("warc").option("payload", payload).load(f"file://{home}")
+    got = [(r.record_type, r.payload_digest, bytes(r.payload) if r.payload is not None else None) for r in read("full").collect()]
+    assert Counter(got) == Counter(2 * [
+        ("warcinfo", None, None), ("response", sha1.hex(), b"hello world"), ("response", hashlib.sha256(b"hello world").hexdigest(), b"hello world"), ("response", hashlib.md5(b"hello world").hexdigest(), b"hello world"),
+        ("response", "zz", b"not packed"), ("revisit", sha1.hex(), None),
+    ])
+    assert read("verify").count() == 12 and read("none").where(f"payload_digest = '{sha1.hex()}' and record_type = 'response'").count() == 2
+    (home / "c.warc").write_bytes(made("response", b"hello there", "sha1:" + base64.b32encode(sha1).decode()))
+    with pytest.raises(Exception, match="digest"):
+        read("verify").collect()
+    with pytest.raises(Exception, match="URI"):
+        spark.read.format("warc").load(str(home)).collect()
+
+
+def test_warc_null_and_repeated_pages(spark, tmp_path):
+    warc.register(spark)
+    big = "x" * 120
+    pages = spark.createDataFrame([(None, "http://a", big, "k"), (4, "http://b", big, "k"), (4, "http://b", big, "k"), (7, "http://c", big, None)], "page_id long, url string, html string, record_type string")
+    path = f"file://{tmp_path}/n"
+    warc.records(pages).write.format("warc").mode("append").save(path)
+    got = Counter((r.record_id, r.record_type, r.refers_to) for r in spark.read.format("warc").option("payload", "verify").load(path).collect())
+    assert got == Counter({(None, "response", None): 1, ("<urn:page:4>", "response", None): 2, ("<urn:page:7>", "revisit", "<urn:page:4>"): 1})
+
+
 PAGE = """<html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="ad">Buy now</div><article><h1>Head</h1><p>One &#233; <b>bold</b>
  text.<br>More<p>Two.<aside>Related</aside></article><div id="comments"><p>First! %s</p></div><form><p>Mail</p></form><footer>&copy;</footer></body></html>"""
@@ -400,6 +496,35 @@ def test_html_sections_and_unlucky_classes(spark):
     assert text(f"<body><article class=a>{intro}</article><article class=b>{body}</article></body>") == f"{intro}\n\n{body}"
 
 
+def test_html_of_ordinary_oddities():
+    text = lambda page: html_extract.main_text(page, None)[0]
+    words = "plain words of the story " * 12 + "end."
+    rest = f"<p>{words}</p>"
+    for page in (
+        f"<html><head><title>x</title><body><article>{rest}</article></body></html>", f"<head><meta charset=utf-8><article>{rest}</article>", f"<body><form id=aspnetForm action=/><div class=top-menu>m</div><article>{rest}</article></form></body>",
+        f"<body><form id=f><div class=c>{rest}</div><div class='nav'>x</div></form><div class=footer>f</div></body>", f"<body><article class='post related-work'>{rest}</article></body>", f"<body><div class='widget-content'><article>{rest}</article></div></body>",
+        f"<body><article><div class='share-price'>{rest}</div></article><div class='share-buttons'>Share</div></body>", f"<body><article>{rest}</article><form><p>Your name</p><input></form></body>",
+        f"<body><a b='\">x</a>{rest}</body>".replace("x</a>", "</a>"),
+    ):
+        assert text(page) == words, page[:120]
+    a, b = "first part " * 25 + "end.", "second part " * 20 + "end."
+    assert text(f"<body><div class=page><div class=a><p>{a}</p></div><div class=b><p>{b}</p></div></div></body>") == f"{a}\n\n{b}"
+    assert text("<body><form><p>User</p><p>Password</p><button>Go</button></form></body>") in ("", "User\n\nPassword")
+    assert text("<body><form>User <input> Password <input></form></body>") == ""
+    assert text(f"<p>{words}<p>tail &amp; <br>more") == f"{words}\n\ntail & more"
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a b="', "<a '", '<a ">" ', "<b>", "<div>", "<div class=x>", "</i>", "<b></i>", "<i><b>", "<!", "<!--", "<p><b>", "<hr><b>", "a", "<form><p>x", "<div class=sidebar>x", "&amp", "<script>", "<li>x", "<x y z", "<table><tr>"])
+def test_html_takes_linear_time(unit):
+    import time
+
+    n = 60_000 // len(unit)
+    for page in (unit * n, "<i><article>" + unit * n + ">", "<a " + unit * n + "<p>end", "<b>" * 5_000 + unit * n):
+        start = time.perf_counter()
+        assert isinstance(html_extract.main_text(page, None)[0], str)
+        assert time.perf_counter() - start < 10, page[:30]
+
+
 def test_pipeline_keeps_one_of_repeated_rows(spark):
     import corpus_pipeline
     from ledgerloom.llm.cluster import stored
