@@ -1,10 +1,15 @@
 """SentencePiece encoding by streaming Viterbi, and decoding.
 
 The vocabulary is a public SentencePiece model with byte fallback.  A piece's score is minus the log of its rank in the
-vocabulary, and the segmentation is the one with the highest total (not that of byte-pair merges).  The stream keeps
-scores for as many positions as the longest piece has characters; ids are committed up to the last boundary that the
-paths of all positions still open have in common.  No piece holds a space mark after another character (checked on
-load), so such a place is a boundary of every path, and what lies between two of them is looked up in a bounded memo.
+vocabulary, and the segmentation is the one with the highest total (not that of byte-pair merges).  A text is streamed
+through one Viterbi search that holds a window: the scores and back pointers from the last committed boundary to the
+furthest one that is open, which is at most the longest piece ahead.  Whenever one boundary only is open, all surviving
+paths have met in it; else, after every LOOK characters, their back pointers are followed to where they meet.  Ids up to
+there are committed and forgotten.
+
+No piece holds a space mark after another character, nor (in most models) a Latin letter next to anything else but marks
+before it; both are checked on load.  So the paths always meet in such places.  What was committed between two of them
+depends on nothing else, and is kept in a bounded memo.
 
 Spaces become U+2581 and one is put before the text; U+2581 itself is spelled in bytes, so decoding gives the text back.
 """
@@ -22,11 +27,18 @@ from .cluster import ship, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Memoised stretches in a worker, twice.
-MEMO = 150_000
-#: Characters of a stretch that is encoded in one step and memoised.
-SHORT = 48
+MEMO = 200_000
+#: Characters of a stretch that is kept in the memo, at most.
+MEMO_CHARS = 48
+#: Characters since the last commit after which back pointers are followed.
+LOOK = 64
 _MARK = "▁"
-_STRETCH = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Ways to cut a text where no piece of a model goes on, the finer first: at marks and where Latin letters begin or end, or at marks only.
+_STRETCHES = [
+    (re.compile(f"{_MARK}*[{_LATIN}]+|{_MARK}*[^{_MARK}{_LATIN}]+|{_MARK}+"), re.compile(f"[^{_MARK}]{_MARK}|[{_LATIN}][^{_LATIN}]|[^{_MARK}{_LATIN}][{_LATIN}]")),
+    (re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+"), re.compile(f"[^{_MARK}]{_MARK}")),
+]
 
 
 class Codec:
@@ -40,7 +52,9 @@ class Codec:
             raise ValueError("the model has no byte pieces in order")
         normal = [k for k in range(len(self.pieces)) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k))]
         self.longest = max(len(self.pieces[k]) for k in normal)
-        if any(re.search(f"[^{_MARK}]{_MARK}", self.pieces[k]) for k in normal):
+        held = {p[k : k + 2] for p in (self.pieces[k] for k in normal) for k in range(len(p) - 1)}
+        self.stretches = next((cut for cut, pair in _STRETCHES if not any(map(pair.search, held))), None)
+        if self.stretches is None:
             raise ValueError("a piece of the model crosses a space")
         rank = {k: n for n, k in enumerate(normal, 2)}
         self.trie: dict = {}
@@ -56,83 +70,74 @@ class Codec:
         for b in range(128):
             self.text[self.byte0 + b] = chr(b)
 
-    def viterbi(self, text: str, every: int = 64) -> list[int]:
-        """Ids of a stretch.  ``every``: characters after which the open paths are compared."""
-        trie, longest, unknown = self.trie, self.longest, self.unknown
+    def viterbi(self, text: str, look: int = LOOK) -> list[int]:
+        """Ids of a text with marks for spaces.  Of equal totals, the piece that was reached from further back stays."""
+        trie, longest, unknown, size = self.trie, self.longest, self.unknown, len(text)
         out: list[int] = []
-        base, size = 0, len(text)  # what is before base is committed
-        best: dict[int, float] = {0: 0.0}
-        back: dict[int, tuple[int, int]] = {}
-        for i in range(size):
-            here = best.pop(i)
-            node = trie
-            for j in range(i, min(size, i + longest)):
-                node = node.get(text[j])
+        base = at = 0  # what is before base is committed
+        best, back, piece = [0.0], [0], [-1]  # for the boundaries from base on
+        due = look
+        while at < size:
+            here, node = best[at - base], trie
+            for end in range(at + 1, min(size, at + longest) + 1):
+                node = node.get(text[end - 1])
                 if node is None:
                     break
                 found = node.get("")
                 if found is not None:
-                    score = here + found[1]
-                    if score > best.get(j + 1, -1e300):
-                        best[j + 1], back[j + 1] = score, (i, found[0])
-            if i + 1 not in best:
-                best[i + 1], back[i + 1] = here + unknown, (i, -1)
-            if (i + 1) % every == 0 and i + 1 < size:
-                base = self._commit(text, base, self._meeting(best, back, base), back, out)
-        self._commit(text, base, size, back, out)
+                    k, score = end - base, here + found[1]
+                    while k >= len(best):
+                        best.append(-1e300)
+                        back.append(0)
+                        piece.append(-1)
+                    if score > best[k]:
+                        best[k], back[k], piece[k] = score, at, found[0]
+            at += 1
+            k = at - base
+            if k == len(best):
+                best.append(-1e300)
+                back.append(0)
+                piece.append(-1)
+            if best[k] == -1e300:
+                best[k], back[k] = here + unknown, at - 1
+            if k + 1 == len(best):
+                if back[k] == base and piece[k] >= 0:
+                    out.append(piece[k])
+                else:
+                    self._commit(text, base, at, back, piece, out)
+                base, due = at, at + look
+                best, back, piece = [0.0], [0], [-1]
+            elif at >= due:
+                due = at + look
+                met = self._meeting(best, back, base, at)
+                if met > base:
+                    self._commit(text, base, met, back, piece, out)
+                    for held in (best, back, piece):
+                        del held[: met - base]
+                    base = met
         return out
 
-    def short(self, text: str) -> tuple[int, ...]:
-        """``viterbi`` for a stretch that is committed at once, in lists."""
-        trie, longest, size = self.trie, self.longest, len(text)
-        best, back, piece = [-1e300] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
-        best[0] = 0.0
-        for i in range(size):
-            here, node = best[i], trie
-            for j in range(i, min(size, i + longest)):
-                node = node.get(text[j])
-                if node is None:
-                    break
-                found = node.get("")
-                if found is not None and here + found[1] > best[j + 1]:
-                    best[j + 1], back[j + 1], piece[j + 1] = here + found[1], i, found[0]
-            if best[i + 1] == -1e300:
-                best[i + 1], back[i + 1] = here + self.unknown, i
-        out: list[int] = []
-        while size:
-            if piece[size] >= 0:
-                out.append(piece[size])
-            else:
-                out += [self.byte0 + b for b in reversed(text[size - 1 : size].encode("utf-8", "surrogatepass"))]
-            size = back[size]
-        return tuple(reversed(out))
-
     @staticmethod
-    def _meeting(best: dict, back: dict, base: int) -> int:
-        """The last boundary that the paths of all open positions share."""
-        open_ = set(best)
+    def _meeting(best: list[float], back: list[int], base: int, at: int) -> int:
+        """The last boundary that the paths of all open ones, from ``at`` on, share."""
+        open_ = {at + k for k, score in enumerate(best[at - base :]) if score > -1e300}
         while len(open_) > 1:
             last = max(open_)
             open_.discard(last)
-            open_.add(back[last][0])
-        return max(open_.pop(), base)
+            open_.add(max(back[last - base], base))
+        return open_.pop()
 
-    def _commit(self, text: str, base: int, end: int, back: dict, out: list[int]) -> int:
-        """Append the ids from base to end, and forget their pointers."""
+    def _commit(self, text: str, base: int, end: int, back: list[int], piece: list[int], out: list[int]) -> None:
+        """Append the ids from base to end."""
         got: list[int] = []
-        k = end
-        while k > base:
-            start, piece = back[k]
-            if piece >= 0:
-                got.append(piece)
+        while end > base:
+            start, found = back[end - base], piece[end - base]
+            if found >= 0:
+                got.append(found)
             else:
-                got += [self.byte0 + b for b in reversed(text[start:k].encode("utf-8", "surrogatepass"))]
-            k = start
+                got += [self.byte0 + b for b in reversed(text[start:end].encode("utf-8", "surrogatepass"))]
+            end = start
         out += reversed(got)
-        if end > base:
-            for k in [k for k in back if k <= end]:
-                del back[k]
-        return end
 
     def encode(self, text: str | None) -> list[int]:
         """Ids; none for an empty or null text."""
@@ -149,13 +154,13 @@ class Codec:
 
     def _marked(self, text: str) -> list[int]:
         memo, older, out = self.memo, self.older, []
-        for stretch in _STRETCH.findall(text):
+        for stretch in self.stretches.findall(text):
             ids = memo.get(stretch) or older.get(stretch)
             if ids is None:
-                if len(stretch) > SHORT:
-                    out += self.viterbi(stretch)
+                ids = tuple(self.viterbi(stretch))
+                if len(stretch) > MEMO_CHARS:
+                    out += ids
                     continue
-                ids = self.short(stretch)
                 if len(memo) >= MEMO:
                     self.memo, self.older = {}, memo
                     memo, older = self.memo, memo

@@ -342,13 +342,49 @@ def test_sentencepiece_round_trip_and_streaming(spark):
     rnd = random.Random(1)
     for _ in range(100):
         s = "".join(rnd.choice("theinr▁é漢") for _ in range(rnd.randrange(1, 150)))
-        assert tuple(c.viterbi(s, 5)) == c.short(s) == tuple(c.viterbi(s, 64))
+        assert c.viterbi(s, 3) == c.viterbi(s, 64) == c.viterbi(s, 10_000)
+        t = s.replace("▁", " ")
+        assert c.encode(t) == c.viterbi("▁" + t.replace(" ", "▁"))  # one stream over the whole text
     rows = [*enumerate(texts), (90, None), (90, None)]
     tokens = sentencepiece_codec.encode(_docs(spark, rows))
     assert all(r.exact and r.n_tokens == len(r.ids) for r in tokens.collect())
     assert {r.doc_id: r.text for r in sentencepiece_codec.decode(tokens.where("doc_id < 90")).collect()} == dict(enumerate(texts))
 
 
+def test_viterbi_equals_enumeration():
+    """Every way to cut a short text into pieces, or single characters in bytes, scored by the rank of the piece."""
+    c = sentencepiece_codec.codec()
+    rank = {}
+    for k, piece in enumerate(c.pieces):
+        if not piece.startswith("<"):
+            rank[piece] = (k, -__import__("math").log(len(rank) + 2))
+
+    def ways(text):
+        if not text:
+            yield 0.0, ()
+        for n in range(1, len(text) + 1):
+            found = rank.get(text[:n])
+            if found is None and n > 1:
+                continue
+            head = (found[0],) if found else tuple(c.byte0 + b for b in text[:1].encode())
+            for score, ids in ways(text[n:]):
+                yield score + (found[1] if found else c.unknown), head + ids
+
+    rnd = random.Random(8)
+    for _ in range(120):
+        text = "▁" + "".join(rnd.choice("theinr▁sag漢🙂") for _ in range(rnd.randrange(1, 11)))
+        scored = sorted(ways(text), reverse=True)
+        got = tuple(c.viterbi(text, 4))
+        assert got in {ids for score, ids in scored if score > scored[0][0] - 1e-9}, text
+
+
+def test_sentencepiece_of_no_rows(spark):
+    none = _docs(spark, [])
+    assert sentencepiece_codec.encode(none).count() == 0 and sentencepiece_codec.decode(sentencepiece_codec.encode(none)).count() == 0
+    clash = _docs(spark, [(1, "a b")]).withColumn("ids", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("mine"))
+    assert sentencepiece_codec.encode(clash).first().exact
+
+
 def test_sharding_is_even_and_stable(spark):
     names = [f"s{k}" for k in range(7)]
     table = sharding.fill_table(names, 211)
