@@ -8,14 +8,15 @@ minimizer, the 8-gram with the least hash in it, and equal windows have equal mi
 
 1. Each document is cut into segments, the runs of windows with one minimizer occurrence (at most 28 windows of 62 words).
    Minimizers that occur once are done; no window of theirs can be repeated.
-2. Equal segments are counted.  If a segment occurs twice, so do all its windows.
-3. Where a minimizer has several different segments, its distinct segments are a reference shard: a suffix automaton
-   over their words with occurrence counts, past which the same segments are streamed.  A position's state, cut back to
-   WINDOW words, tells how often the window that ends there occurs.  Minimizers with over SHARD_SEGMENTS distinct
-   segments are counted per window instead (hash aggregation, combined before the shuffle), so that no shard is larger.
-4. The spans come back to their documents by the segment's key and are cut out of the texts.
-
-Keys are pairs of 64-bit hashes (minimizer and segment, or minimizer and window).
+2. Equal segments are one, with the number of their occurrences, and their words are fetched from one document each.
+3. A minimizer's distinct segments are a reference shard: a suffix automaton over their words with occurrence counts, past
+   which the same segments are streamed.  A position's state, cut back to WINDOW words, tells how often the window that
+   ends there occurs, by its words.
+4. A shard with over SHARD_SEGMENTS segments is dealt again: its segments are cut into runs of windows with the same two
+   least 8-grams (then three, and so on), equal runs are one, and each pair has an automaton of its own.
+5. The spans come back to their documents by the segment's key and are cut out of the texts.
+
+Segments are told apart by pairs of 64-bit hashes (minimizer, and the segment's words), all else by words.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import ship, stored, table
-from .words import as_bytes, covered, hashes, mix, spans, windows
+from .words import as_bytes, covered, hashes, mix, powers, spans, windows
 
 WINDOW = 35
 GRAM = 8
-#: Distinct segments in one automaton, at most: some 200,000 words, which take up to about 120 MB of a worker.
-SHARD_SEGMENTS = 4_096
+#: 8-grams in a window.
+INSIDE = WINDOW - GRAM + 1
+#: Distinct segments in one automaton, at most: some 50,000 words, which take up to about 30 MB of a worker.
+SHARD_SEGMENTS = 1_024
 
 
 def segments(h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -43,24 +46,33 @@ def segments(h: np.ndarray) -> tuple[np.ndarray, ...]:
     if n <= 0:
         return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
     gram = windows(h, GRAM)
-    inside = WINDOW - GRAM + 1
-    best = np.arange(n) + np.lib.stride_tricks.sliding_window_view(gram, inside).argmin(1)
-    first = np.concatenate(([0], np.flatnonzero(best[1:] != best[:-1]) + 1))
-    count = np.diff(np.concatenate((first, [n])))
-    # The key of a segment: its words, their number and the minimizer's place in it.
+    best = np.arange(n) + np.lib.stride_tricks.sliding_window_view(gram, INSIDE).argmin(1)
+    own, first, count = _runs(h, best)
+    # With the minimizer's place in it.
+    return gram[best[first]], mix(own + (best[first] - first).astype(np.uint64)), first, count
+
+
+def _runs(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of the words and their number, first window and number of windows for each run of windows with equal keys."""
+    first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    count = np.diff(np.concatenate((first, [len(key)])))
     total = np.zeros(len(h) + 1, np.uint64)
-    up, down = _powers(len(h) + 1)
+    up, down = powers(len(h) + 1)
     with np.errstate(over="ignore"):
         np.cumsum(h * up[: len(h)], out=total[1:])
         own = (total[first + count + WINDOW - 1] - total[first]) * down[first]
-        own = mix(mix(own + count.astype(np.uint64)) + (best[first] - first).astype(np.uint64))
-    return gram[best[first]], own, first, count
+        return mix(own + count.astype(np.uint64)), first, count
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    from .words import _Powers
-
-    return _Powers.get(n)
+def runs_of_least(h: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+    """As ``segments`` for the runs of windows with the same ``level`` least 8-grams."""
+    gram = np.sort(np.lib.stride_tricks.sliding_window_view(windows(h, GRAM), INSIDE), axis=1)
+    key = np.zeros(len(gram), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(level):
+            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + gram[:, k])
+    own, first, count = _runs(h, key)
+    return key[first], own, first, count
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,19 +201,43 @@ def _masks(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "seg", "mask"])
 
 
-def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of each segment."""
-    for batch in batches:
-        out = []
-        for anchor, seg, times, text in zip(*(batch.column(k).to_pylist() for k in ("anchor", "seg", "times", "words")), strict=True):
-            buf = np.frombuffer(text, np.uint8)
-            keys = windows(hashes(buf, *spans(buf)), WINDOW).view(np.int64)
-            out.append((anchor, seg, times, keys))
-        n = np.array([len(o[3]) for o in out], np.int64)
-        rep = lambda k: np.repeat(np.array([o[k] for o in out], np.int64), n)
-        keys = np.concatenate([o[3] for o in out]) if out else np.empty(0, np.int64)
-        at = np.concatenate([np.arange(x) for x in n]) if out else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rep(0), rep(1), rep(2), keys, at)], names=["anchor", "seg", "times", "key", "k"])
+def _finer(level: int):
+    """Cuts segments into runs of windows with the same ``level`` least 8-grams: their keys, and where they are in the segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for anchor, seg, times, words in zip(*(batch.column(k).to_pylist() for k in ("anchor", "seg", "times", "words")), strict=True):
+                buf, split = np.frombuffer(words, np.uint8), words.split(b" ")
+                keys, own, first, count = runs_of_least(hashes(buf, *spans(buf)), level)
+                for key, part, at, n in zip(keys.view(np.int64).tolist(), own.view(np.int64).tolist(), first.tolist(), count.tolist(), strict=True):
+                    out.append((anchor, seg, times, at, key, part, n, b" ".join(split[at : at + n + WINDOW - 1])))
+            cols = list(zip(*out, strict=True)) or [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int8(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "seg", "times", "at", "key", "part", "n", "words"])
+
+    return run
+
+
+def _by_automata(shards: DataFrame, level: int = 1) -> DataFrame:
+    """anchor, seg and mask of the repeated windows of each row of ``shards`` (anchor, seg, times, n, words; distinct, stored)."""
+
+    def matched(rows: DataFrame) -> DataFrame:
+        return rows.select("anchor", "seg", "times", "n", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_match, "anchor long, seg long, mask long").where("mask != 0")
+
+    # With all of a window's grams a shard is as small as can be.
+    if level == INSIDE:
+        return matched(shards)
+    large = stored(shards.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > SHARD_SEGMENTS).select("anchor"), "large")
+    if large.isEmpty():
+        return matched(shards)
+    schema = "anchor long, seg long, times long, at int, key long, part long, n byte, words binary"
+    parts = stored(shards.join(large, "anchor", "left_semi").select("anchor", "seg", "times", "words").mapInArrow(_finer(level + 1), schema), "parts")
+    below = parts.groupBy("key", "part").agg(F.sum("times").alias("times"), F.first("n").alias("n"), F.first("words").alias("words"))
+    masks = stored(_by_automata(stored(below.withColumnsRenamed({"key": "anchor", "part": "seg"}), "below"), level + 1), "masks")
+    found = parts.select("anchor", "seg", "at", "key", "part").join(masks.withColumnsRenamed({"anchor": "key", "seg": "part"}), ["key", "part"])
+    back = found.groupBy("anchor", "seg").agg(F.expr("bit_or(shiftleft(mask, at))").alias("mask"))
+    return matched(shards.join(large, "anchor", "left_anti")).unionByName(back)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -210,30 +246,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text"))
     cut = stored(docs.mapInArrow(_cut, f"anchor long, seg long, doc_id {kind}, version long, at int, n byte"), "segments")
-    again = cut.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("c > 1").select("anchor", (F.col("s0") != F.col("s1")).alias("contested"))
-    # Stored first, so that the join has exchanges of its own and a very common minimizer's rows can be split.
-    held = stored(cut.join(stored(again, "again").hint("merge"), "anchor"), "repeated")
-
-    distinct = stored(held.groupBy("anchor", "seg").agg(F.count("*").alias("times"), F.first("contested").alias("contested"), F.min(F.struct("doc_id", "version", "at")).alias("where"), F.first("n").alias("n")), "distinct")
-    whole = distinct.where("times > 1").select("anchor", "seg", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    # Segments that occur once, next to others of their minimizer; a minimizer without such a segment needs no automaton.
-    size = distinct.where("contested").groupBy("anchor").agg(F.count("*").alias("size"), F.min("times").alias("least")).where("least = 1").drop("least")
-    wanted = distinct.join(size, "anchor").select("anchor", "seg", "times", "n", "size", F.col("where.doc_id").alias("doc_id"), F.col("where.version").alias("version"), F.col("where.at").alias("at"))
-    wanted = stored(wanted, "wanted")
-    per_doc = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_list(F.struct("anchor", "seg", "times", "n", "at")).alias("wanted"))
+    again = stored(cut.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "again")
+    # Both stored, so that the join has exchanges of its own and a very common minimizer's rows can be split.
+    held = stored(cut.join(again.hint("merge"), "anchor"), "repeated")
+
+    distinct = stored(held.groupBy("anchor", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "version", "at")).alias("where"), F.first("n").alias("n")), "distinct")
+    wanted = F.collect_list(F.struct("anchor", "seg", "times", "n", F.col("where.at").alias("at"))).alias("wanted")
+    per_doc = distinct.groupBy(F.col("where.doc_id").alias("_id"), F.col("where.version").alias("_version")).agg(wanted)
     one = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_id"]) & (docs["version"] == per_doc["_version"])).dropDuplicates(["doc_id", "version"])
-    texts = stored(one.select("text", "wanted").mapInArrow(_fetch, "anchor long, seg long, times long, n byte, words binary"), "shards")
-    sizes = size.withColumn("small", F.col("size") <= SHARD_SEGMENTS).select("anchor", "small")
-    texts = texts.join(sizes, "anchor")
-    small = texts.where("small").select("anchor", "seg", "times", "n", "words").repartition("anchor").sortWithinPartitions("anchor")
-    by_automaton = small.mapInArrow(_match, "anchor long, seg long, mask long")
-    large = texts.where("not small").select("anchor", "seg", "times", "words").mapInArrow(_window_keys, "anchor long, seg long, times long, key long, k long")
-    found = large.groupBy("anchor", "key").agg(F.sum("times").alias("total")).where("total > 1").select("anchor", "key")
-    by_window = large.join(found, ["anchor", "key"]).groupBy("anchor", "seg").agg(F.expr("bit_or(shiftleft(1L, cast(k as int)))").alias("mask"))
-    partial = by_automaton.unionByName(by_window).where("mask != 0")
-    # A segment that occurs twice is whole already.
-    once = distinct.where("times = 1").select("anchor", "seg")
-    masks = stored(whole.unionByName(partial.join(once, ["anchor", "seg"], "left_semi")), "masks")
+    shards = stored(one.select("text", "wanted").mapInArrow(_fetch, "anchor long, seg long, times long, n byte, words binary"), "shards")
+    masks = stored(_by_automata(shards), "masks")
     marked = held.select("anchor", "seg", "doc_id", "version", "at").join(masks, ["anchor", "seg"])
     return stored(marked.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "mask")).alias("spans")), "spans")
 

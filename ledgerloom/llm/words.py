@@ -21,7 +21,7 @@ _MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def _sequence(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     with np.errstate(over="ignore"):
@@ -37,13 +37,18 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > cls.KEEP:
-            return _powers(_BASE, n), _powers(_INVERSE, n)
+            return _sequence(_BASE, n), _sequence(_INVERSE, n)
         if n > cls.size:
             cls.size = max(1 << 12, 1 << (n - 1).bit_length())
-            cls.up, cls.down = _powers(_BASE, cls.size), _powers(_INVERSE, cls.size)
+            cls.up, cls.down = _sequence(_BASE, cls.size), _sequence(_INVERSE, cls.size)
         return cls.up, cls.down
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, ``n`` at least."""
+    return _Powers.get(n)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ (h >> _S33)) * _MIX
@@ -61,7 +66,7 @@ def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash for each of the given byte ranges."""
-    up, down = _Powers.get(len(buf) + 1)
+    up, down = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(_BYTE[buf] * up[: len(buf)], out=total[1:])
@@ -73,7 +78,7 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    up, down = _Powers.get(len(h) + 1)
+    up, down = powers(len(h) + 1)
     total = np.zeros(len(h) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(h * up[: len(h)], out=total[1:])
