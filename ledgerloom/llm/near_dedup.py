@@ -10,10 +10,10 @@ shingle).  Documents with 100 * intersection >= 75 * union are linked; a compone
   (1 - 0.75**4)**32 = 5e-6, and less than that with this signature.
 * In a bucket, members are first held against one pivot, which is linear in the bucket whatever its size (a few bands
   before the others, which then skip members of the pivot's component).  Where more than one component is left, they are
-  held against the member that has the largest share of shingles in common with any other.
-* What is still apart and could be similar, by the number of shingles that some other such document has, is compared in
-  full: documents that share buckets form a crowd, a crowd is split into blocks of bounded size, and each pair of blocks
-  is one group whose sets are intersected by matrix products.  Only links leave it, so no pairs are written out.
+  held against the member that has the largest share of shingles in common with any other, until a round links nothing.
+* What is still apart and could be similar, by the number of shingles that some other such document has, meets by rare
+  shared shingles: of two similar sets, ordered by rarity, the heads must have a shingle in common, and how far back
+  that stands bounds the other's size.  Only pairs that fit each other's bounds are candidates.
 * Every candidate is verified on the two full sets, from the texts.
 """
 
@@ -23,7 +23,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +37,9 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: Bands whose pivots are tried before the others.
 FIRST_BANDS = 6
-#: Documents of a block (about): two blocks and their sets are what a task holds at once.
+#: Rounds of second pivots, at most; what they leave is compared by rare shingles.
+PIVOT_ROUNDS = 4
+#: Documents with one rare shingle and about one size, above which they are dealt to several tasks.
 BLOCK = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -149,78 +150,74 @@ def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def _mixed(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one component, with the component g of each node."""
     rows = buckets.join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
-    several = rows.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("bucket")
-    return rows.join(several, "bucket", "left_semi")
+    several = stored(rows.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("bucket"), "several")
+    return stored(rows.join(several, "bucket", "left_semi"), "mixed")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-        row = np.repeat(np.arange(len(sets)), [len(e) for e in sets])
-        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
+        size = np.array([len(e) for e in sets], np.int64)
+        row = pa.array(np.repeat(np.arange(len(sets)), size))
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(row), batch.column("version").take(row), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "version", "n", "shingle"])
 
 
-def _common(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and s, the number of its shingles that another of ``nodes`` has too."""
+def _held(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, version (a text of the node), n (its number of shingles) and shingle for all shingles of ``nodes``."""
     kind = dict(nodes.dtypes)["node"]
-    texts = docs.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text")
-    held = texts.mapInArrow(_shingles, f"node {kind}, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"))
-    own = held.where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-    return stored(nodes.join(own, "node", "left").select("node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s")), "common")
+    texts = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("version"), "text")
+    return texts.dropDuplicates(["node", "version"]).mapInArrow(_shingles, f"node {kind}, version long, n long, shingle long")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("g"), batch.column("crowd"), batch.column("blocks"), pa.array(sets, pa.binary())], names=["node", "g", "crowd", "blocks", "shingles"])
-
-
-def overlaps(sets: list[np.ndarray], chunk: int = 4_096) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sorted distinct arrays, from products of 0/1 matrices over the shared elements."""
-    n = len(sets)
-    element, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), [len(e) for e in sets])
-    shared = times[where] > 1
-    where, row = where[shared], row[shared]
-    order = np.argsort(where, kind="stable")
-    where, row = where[order], row[order]
-    first = np.concatenate(([True], where[1:] != where[:-1])) if len(where) else np.empty(0, bool)
-    column = np.cumsum(first) - 1
-    out = np.zeros((n, n), np.float32)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, chunk):
-        a, b = np.searchsorted(column, (start, start + chunk))
-        some = np.zeros((n, chunk), np.float32)
-        some[row[a:b], column[a:b] - start] = 1
-        out += some @ some.T
-    return out.astype(np.int64)
-
-
-def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of one pair of blocks (or of one block with itself) between different components."""
-    sets = [np.frombuffer(v, np.uint64) for v in rows["shingles"]]
-    size, g, own = np.array([len(e) for e in sets]), rows["g"].to_numpy(), rows["block"].to_numpy()
-    both = overlaps(sets)
-    similar = (100 * both >= PERCENT * (size[:, None] + size[None, :] - both)) & (g[:, None] != g[None, :])
-    if rows["lo"].iloc[0] != rows["hi"].iloc[0]:
-        similar &= own[:, None] != own[None, :]
-    i, j = np.nonzero(np.triu(similar, 1))
-    node = rows["node"].to_numpy()
-    return pd.DataFrame({"a": node[i], "b": node[j]})
-
-
-def _in_blocks(left: DataFrame, docs: DataFrame) -> DataFrame:
-    """All links between different components g of the nodes of ``left`` (bucket, node, g, p2) that share a bucket, and maybe more."""
-    kind = dict(left.dtypes)["node"]
-    crowd = connected_components(left.select(F.col("node").alias("a"), F.col("p2").alias("b"))).withColumnRenamed("component", "crowd")
-    nodes = left.select("node", "g").distinct().join(crowd, "node")
-    size = nodes.groupBy("crowd").agg(F.count("*").alias("size"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("crowd", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    nodes = stored(nodes.join(size, "crowd").withColumnRenamed("node", "doc_id"), "crowds")
-    held = docs.join(nodes.hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "g", "crowd", "blocks", "text")
-    held = held.mapInArrow(_sets, f"node {kind}, g {kind}, crowd {kind}, blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = held.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select("crowd", "lo", "hi", "block", "node", "g", "shingles")
-    return stored(spread.groupBy("crowd", "lo", "hi").applyInPandas(_block_links, f"a {kind}, b {kind}").distinct(), "links")
+def _common(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and share, the part of its shingles (of the text where it is largest) that another of ``nodes`` has too."""
+    held = stored(_held(nodes, docs), "held")
+    times = held.groupBy("shingle").agg(F.count("*").alias("c"), F.min(F.struct("node", "version")).alias("of"))
+    own = times.where("c = 1").select("of.node", "of.version").groupBy("node", "version").agg(F.count("*").alias("own"))
+    sizes = held.select("node", "version", "n").distinct()
+    share = sizes.join(own, ["node", "version"], "left").select("node", (1 - F.coalesce("own", F.lit(0)) / F.col("n")).alias("share"))
+    return stored(share.groupBy("node").agg(F.max("share").alias("share")), "common")
+
+
+def _by_rare_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) among ``nodes`` (node, g) of different components that could be linked; none that are linked is left out.
+
+    With shingles in order of rarity, the overlap of two sets is at most n - pos for each, pos being the place of the first
+    they share; sets of n and m shingles are linked if 7 * overlap >= 3 * (n + m).  A row of the larger set probes the sizes
+    that its place leaves open, and a row of the smaller is there for those that are not smaller than it.
+    """
+    held = stored(_held(nodes, docs), "held")
+    times = stored(held.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "times")
+    shared = held.join(times.hint("merge"), "shingle").groupBy("node", "version").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("shared"))
+    own = F.col("n") - F.size("shared")
+    # From the place n / 4 on nothing can be linked any more; shingles of one set only come first and meet none.
+    heads = shared.join(nodes, "node").where(own <= F.floor(F.col("n") / 4))
+    heads = heads.select("node", "n", "g", own.alias("own"), F.posexplode(F.slice("shared", 1, (F.floor(F.col("n") / 4) - own + 1).cast("int"))).alias("k", "of"))
+    heads = heads.select("node", "n", "g", F.col("of.shingle").alias("shingle"), (F.col("n") - F.col("own") - F.col("k")).alias("most"))
+    heads = heads.withColumn("lo", F.ceil(3 * F.col("n") / 4)).withColumn("hi", F.least(F.floor(4 * F.col("n") / 3), F.floor((7 * F.col("most") - 3 * F.col("n")) / 3))).where("hi >= lo")
+    size_bin = lambda n: F.floor(8 * F.log2(n)).cast("int")
+    home = stored(heads.where("hi >= n").select("shingle", size_bin(F.col("n")).alias("bin"), "node", "n", "g", "hi"), "home")
+    probe = stored(heads.select("shingle", F.explode(F.sequence(size_bin(F.col("lo")), size_bin(F.least("hi", "n")))).alias("bin"), "node", "n", "g", "lo", "hi"), "probe")
+    # Probes of a crowded key are dealt to so many tasks, each with all of the key's homes.
+    parts = probe.groupBy("shingle", "bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    parts = stored(parts, "parts")
+    probe = probe.join(parts, ["shingle", "bin"], "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    home = home.join(parts, ["shingle", "bin"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    home = home.select("shingle", "bin", "part", F.col("node").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"), F.col("hi").alias("to"))
+    fits = "m <= n and m >= lo and m <= hi and n <= to and g != h and node != b"
+    met = probe.join(home.hint("merge"), ["shingle", "bin", "part"]).where(fits)
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def _extended(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (node, component) with the components that ``links`` (a, b) join made one; only these are walked."""
+    of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("_a", "a").alias("u"), F.coalesce("_b", "b").alias("v"))
+    ends = stored(ends, "ends")
+    top = stored(connected_components(ends, "u", "v"), "top").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    fresh = ends.select(F.col("a").alias("node"), F.col("u").alias("component")).unionByName(ends.select(F.col("b").alias("node"), F.col("v").alias("component"))).distinct()
+    nodes = groups.select("node", "component").unionByName(fresh).distinct()
+    return stored(nodes.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "groups")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -236,28 +233,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stored(docs.mapInArrow(_signed, f"doc_id {kind}, n_shingles long, set_id binary, bands array<long>"), "signatures")
     full = signed.where("set_id is not null and doc_id is not null")
     classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    # Texts of one id are one document: it holds the classes of its texts together.
+    several = stored(full.groupBy("doc_id").agg(F.min("set_id").alias("s0"), F.max("set_id").alias("s1")).where("s0 != s1").select("doc_id"), "several")
+    together = full.join(several, "doc_id").select("doc_id", "set_id").join(classes.select("set_id", "node"), "set_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     members = classes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n")
     crowd = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("low"), (F.min("band") < FIRST_BANDS).alias("first")).where("size > 1")
-    buckets = stored(members.join(crowd, "bucket").select("bucket", "node", "n", F.col("low.node").alias("p1"), F.col("low.n").alias("n1"), "size", "first"), "buckets")
+    crowd = stored(crowd.select("bucket", F.col("low.node").alias("p1"), F.col("low.n").alias("n1"), "size", "first"), "crowd")
+    buckets = stored(members.drop("band").join(crowd, "bucket"), "buckets")
 
     # A few bands link most of each group; then the pivots of all bands, for members that are not in their component yet.
     tried = buckets.where(F.col("node") != F.col("p1")).where(_similar_size("n", "n1"))
     links = _verified(tried.where("first").select(F.col("p1").alias("a"), F.col("node").alias("b")), docs)
-    found = connected_components(links)
-    links = links.unionByName(_verified(_apart(tried.where("not first"), found).select(F.col("p1").alias("a"), F.col("node").alias("b")), docs))
-    found = connected_components(links)
+    found = stored(connected_components(links.unionByName(together)), "groups")
+    found = _extended(found, _verified(_apart(tried.where("not first"), found).select(F.col("p1").alias("a"), F.col("node").alias("b")), docs))
     # Buckets of two are done.  Of the rest, those that hold more than one component:
-    left = stored(_mixed(buckets.where("size > 2").select("bucket", "node", "n", "p1"), found), "mixed")
-    common = _common(left.select("node", "n").distinct(), docs)
-    left = stored(left.join(common, "node"), "mixed")
-    best = left.groupBy("bucket").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "node", "n", "g")).alias("best"))
-    left = stored(left.join(best, "bucket").select("bucket", "node", "n", "s", "g", "p1", F.col("best.node").alias("p2"), F.col("best.n").alias("n2"), F.col("best.g").alias("g2")), "mixed")
-    links = links.unionByName(_verified(left.where("node != p2 and g != g2").where(_similar_size("n", "n2")).select(F.col("p2").alias("a"), F.col("node").alias("b")), docs))
-    found = connected_components(links)
-
-    left = stored(_mixed(left.drop("g"), found).where(100 * F.col("s") >= PERCENT * F.col("n")), "mixed")
-    links = links.unionByName(_in_blocks(left, docs))
-    found = connected_components(links)
+    left = buckets.where("size > 2").select("bucket", "node", "n")
+    for _ in range(PIVOT_ROUNDS):
+        left = _mixed(left, found)
+        left = stored(left.join(_common(left.select("node"), docs), "node").where(100 * F.col("share") >= PERCENT - 1e-6), "mixed")
+        best = stored(left.groupBy("bucket").agg(F.max(F.struct("share", "node", "n", "g")).alias("best")).select("bucket", F.col("best.node").alias("p2"), F.col("best.n").alias("n2"), F.col("best.g").alias("g2")), "best")
+        pivots = left.join(best, "bucket").where("node != p2 and g != g2").where(_similar_size("n", "n2"))
+        links = _verified(pivots.select(F.col("p2").alias("a"), F.col("node").alias("b")), docs)
+        left = left.select("bucket", "node", "n")
+        if links.isEmpty():
+            break
+        found = _extended(found, links)
+    open_ = stored(_mixed(left, found).select("node", "g").distinct(), "open")
+    found = _extended(found, _verified(_by_rare_shingles(open_, docs), docs))
 
     known = classes.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     grouped = full.select("doc_id", "n_shingles", "set_id").join(known, "set_id").select("doc_id", "n_shingles", "component_id")

@@ -49,12 +49,56 @@ def _corpus(seed=3, n=60):
     return list(enumerate(texts))
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    rows = _corpus()
-    sets = {}
+def _shingle_sets(rows):
     for i, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        yield i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    _grouped_as_by_brute_force(spark, _corpus())
+    assert near_dedup.near_duplicates(_docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicates_in_crowds(spark, monkeypatch, block):
+    """Texts of a few shared blocks: many are just below the threshold to each other, some just above, all in common buckets."""
+    monkeypatch.setattr(near_dedup, "FIRST_BANDS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rnd = random.Random(5)
+    blocks = [" ".join(f"b{j}x{k}" for k in range(12)) for j in range(14)]
+    base = " ".join(f"base{k}" for k in range(60))
+    rows = [(k, " ".join([base, *(blocks[j] for j in sorted(rnd.sample(range(14), rnd.choice([1, 2, 3]))))])) for k in range(90)]
+    rows += [(200 + k, base + " " + " ".join(f"own{k}x{j}" for j in range(14))) for k in range(40)]  # one crowd, and no links
+    _grouped_as_by_brute_force(spark, rows)
+
+
+def test_rare_shingles_lose_no_link(spark):
+    """Without any pivot: every pair at the threshold or above is a candidate."""
+    rnd = random.Random(6)
+    rows = []
+    for k in range(60):
+        words = rnd.choice(rows)[1].split() if rows and k % 3 else [f"v{rnd.randrange(300)}" for _ in range(rnd.randrange(6, 90))]
+        for _ in range(rnd.randrange(3)):
+            words[rnd.randrange(len(words))] = f"n{rnd.randrange(50)}"
+        rows.append((k, " ".join(words[: rnd.choice([len(words), len(words), max(6, len(words) * 9 // 10)])])))
+    sets = dict(_shingle_sets(rows))
+    nodes = spark.createDataFrame([(k, k) for k in sets], "node long, g long")
+    got = {(r.a, r.b) for r in near_dedup._by_rare_shingles(nodes, _docs(spark, rows)).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert want and want <= got and len(got) < 4 * len(want)
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    line = lambda a: " ".join(f"{a}{k}" for k in range(30))
+    rows = [(1, line("a")), (2, line("a")), (2, line("b")), (3, line("b") + " x"), (None, line("a")), (None, line("c")), (4, line("c")), (4, line("c"))]
+    docs = _docs(spark, rows).withColumn("node", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1)).withColumn("bands", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("x"))
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == Counter([(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (None, None, True), (None, None, True), (4, 4, True), (4, 4, True)])
+
+
+def _grouped_as_by_brute_force(spark, rows):
+    sets = dict(_shingle_sets(rows))
     group = {i: i for i in sets}
 
     def root(x):
@@ -69,7 +113,6 @@ def test_near_duplicates_equal_brute_force(spark):
                 group[y] = x
     got = near_dedup.near_duplicates(_docs(spark, rows)).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(s), root(i), root(i) == i) for i, s in sets.items()}
-    assert near_dedup.near_duplicates(_docs(spark, [])).count() == 0
 
 
 def test_signature_estimates_similarity():
@@ -105,16 +148,20 @@ def _kept_words(rows):
         yield i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()
 
 
-@pytest.mark.parametrize("segments", [4096, 3])
+@pytest.mark.parametrize("segments", [1024, 3])
 def test_substring_dedup_equals_brute_force(spark, monkeypatch, segments):
     monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", segments)
-    rows = _corpus()
-    got = {tuple(r) for r in substring_dedup.removed_words(_docs(spark, rows)).collect()}
-    assert got == set(_kept_words(rows))
+    rnd = random.Random(11)
+    common = " ".join(f"c{k}" for k in range(38))
+    rows = _corpus(n=42)
+    rows += [(500 + k, " ".join([*rnd.choices("xyz", k=9), common, *rnd.choices("uvw", k=9)])) for k in range(12)]  # one minimizer with many segments
+    docs = _docs(spark, rows + rows[6:9]).withColumn("spans", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1)).withColumn("version", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(2))
+    got = Counter(tuple(r) for r in substring_dedup.removed_words(docs).collect())
+    assert got == Counter((rows[i][0] if i < len(rows) else rows[i - len(rows) + 6][0], *rest) for i, *rest in _kept_words(list(enumerate(t for _, t in rows + rows[6:9]))))
     assert substring_dedup.removed_words(_docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("segments", [4096, 3])
+@pytest.mark.parametrize("segments", [1024, 0])
 def test_substring_dedup_with_null_ids(spark, monkeypatch, segments):
     monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", segments)
     word = lambda a, k: " ".join(f"{a}{x}" for x in range(k))
