@@ -12,8 +12,9 @@ minimizer, the 8-gram with the least hash in it, and equal windows have equal mi
 3. A minimizer's distinct segments are a reference shard: a suffix automaton over their words with occurrence counts, past
    which the same segments are streamed.  A position's state, cut back to WINDOW words, tells how often the window that
    ends there occurs, by its words.
-4. A shard with over SHARD_SEGMENTS segments is dealt again: its segments are cut into runs of windows with the same two
-   least 8-grams (then three, and so on), equal runs are one, and each pair has an automaton of its own.
+4. A shard with over SHARD_SEGMENTS segments is dealt again: its segments are cut into runs of windows with the same FINER
+   least 8-grams, equal runs are one, and each such key has an automaton of its own; those that are still too large are
+   dealt once more by all grams of a window.
 5. The spans come back to their documents by the segment's key and are cut out of the texts.
 
 Segments are told apart by pairs of 64-bit hashes (minimizer, and the segment's words), all else by words.
@@ -36,6 +37,8 @@ WINDOW = 35
 GRAM = 8
 #: 8-grams in a window.
 INSIDE = WINDOW - GRAM + 1
+#: Least 8-grams by which a large shard is dealt again.
+FINER = 8
 #: Distinct segments in one automaton, at most: some 50,000 words, which take up to about 30 MB of a worker.
 SHARD_SEGMENTS = 1_024
 
@@ -231,10 +234,11 @@ def _by_automata(shards: DataFrame, level: int = 1) -> DataFrame:
     large = stored(shards.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > SHARD_SEGMENTS).select("anchor"), "large")
     if large.isEmpty():
         return matched(shards)
+    finer = FINER if level < FINER else INSIDE
     schema = "anchor long, seg long, times long, at int, key long, part long, n byte, words binary"
-    parts = stored(shards.join(large, "anchor", "left_semi").select("anchor", "seg", "times", "words").mapInArrow(_finer(level + 1), schema), "parts")
+    parts = stored(shards.join(large, "anchor", "left_semi").select("anchor", "seg", "times", "words").mapInArrow(_finer(finer), schema), "parts")
     below = parts.groupBy("key", "part").agg(F.sum("times").alias("times"), F.first("n").alias("n"), F.first("words").alias("words"))
-    masks = stored(_by_automata(stored(below.withColumnsRenamed({"key": "anchor", "part": "seg"}), "below"), level + 1), "masks")
+    masks = stored(_by_automata(stored(below.withColumnsRenamed({"key": "anchor", "part": "seg"}), "below"), finer), "masks")
     found = parts.select("anchor", "seg", "at", "key", "part").join(masks.withColumnsRenamed({"anchor": "key", "seg": "part"}), ["key", "part"])
     back = found.groupBy("anchor", "seg").agg(F.expr("bit_or(shiftleft(mask, at))").alias("mask"))
     return matched(shards.join(large, "anchor", "left_anti")).unionByName(back)
