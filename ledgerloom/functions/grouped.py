@@ -15,12 +15,6 @@ from pyspark.sql.types import StructType
 from .shipping import ship
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df``, computed once: checkpointed, in the cluster's folder for that if it has one, else by the executors."""
-    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
-    return df.checkpoint() if folder.isDefined() else df.localCheckpoint()
-
-
 def apply_in_groups(rows: DataFrame, keys: list[str], solve: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """``solve`` on each group's rows (tuples in the order of the columns); what it returns are rows of ``schema``."""
     at = [rows.columns.index(k) for k in keys]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.money import amount
 from ..functions.shipping import ship
@@ -75,27 +79,52 @@ def debt_order(accounts: DataFrame, strategy: str = "snowball") -> DataFrame:
 
 
 def amortize(balance: Column, percent: Column, payment: Column) -> Column:
-    """months, interest and stalled of one debt under a fixed payment, rounded to cents each month.
-
-    A fold over at most 600 months in the JVM; money is held in whole cents.
-    """
+    """months, interest and stalled of one debt under a fixed payment, rounded to cents each month (600 at most); money is held in whole cents."""
     rate = F.when(percent > 0, percent / 1200).otherwise(0.0)
     pay = F.floor(F.coalesce(payment, F.lit(0.0)) * 100 + 0.5).cast("double")
     start = F.floor(F.coalesce(balance, F.lit(0.0)) * 100 + 0.5).cast("double")
-    zero = F.struct(start.alias("left"), F.lit(0).alias("months"), F.lit(0.0).alias("interest"), (start > 0) .alias("open"), F.lit(False).alias("stalled"))
-
-    def step(s: Column, _: Column) -> Column:
-        charge = F.floor(s["left"] * rate + 0.5).cast("double")
-        stuck = s["open"] & (pay <= charge)
-        go = s["open"] & ~stuck
-        left = F.when(go, s["left"] + charge - pay).otherwise(s["left"])
-        return F.struct(
-            left.alias("left"), F.when(go, s["months"] + 1).otherwise(s["months"]).alias("months"), F.when(go, s["interest"] + charge).otherwise(s["interest"]).alias("interest"),
-            (go & (left > 0)).alias("open"), (s["stalled"] | stuck).alias("stalled"),
-        )
-
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_MONTHS)), zero, step)
-    return F.struct(end["months"].alias("months"), (end["interest"] / 100).alias("interest"), (end["stalled"] | end["open"]).alias("stalled"))
+    ship(SparkSession.active())
+    return _amortized(start, rate, pay)
+
+
+def _months(left: np.ndarray, rate: np.ndarray, pay: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Month by month, for the debts that are paid on: their places, interest, payment and what is left; all debts of a batch at once."""
+    left, at = left.copy(), np.flatnonzero(left > 0)
+    for _ in range(MAX_MONTHS):
+        charge = np.floor(left[at] * rate[at] + 0.5)
+        at, charge = at[pay[at] > charge], charge[pay[at] > charge]
+        if not len(at):
+            break
+        due = left[at] + charge
+        paid = np.minimum(pay[at], due)
+        yield at, charge, paid, due - paid
+        left[at] = due - paid
+        at = at[left[at] > 0]
+
+
+@F.pandas_udf(T.StructType([T.StructField("months", T.IntegerType()), T.StructField("interest", T.DoubleType()), T.StructField("stalled", T.BooleanType())]))
+def _amortized(start: pd.Series, rate: pd.Series, pay: pd.Series) -> pd.DataFrame:
+    left = start.to_numpy(float)
+    months, interest, rest = np.zeros(len(left), np.int32), np.zeros(len(left)), np.maximum(left, 0)
+    for at, charge, _, after in _months(left, rate.to_numpy(float), pay.to_numpy(float)):
+        months[at] += 1
+        interest[at] += charge
+        rest[at] = after
+    return pd.DataFrame({"months": months, "interest": interest / 100, "stalled": rest > 0})
+
+
+def schedule(accounts: DataFrame) -> DataFrame:
+    """household_id, account_id, month, payment, interest and balance of each month of each debt, 600 at most; none where the payment does not cover the interest."""
+    ship(accounts.sparkSession)
+    rows = debts(accounts).select(*BY, "account_id", F.floor(F.col("balance") * 100 + 0.5).cast("double").alias("left"), (F.col("monthly_rate") * 1200 / 1200).alias("rate"), F.floor(F.col("minimum_payment") * 100 + 0.5).cast("double").alias("pay"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = _months(*(batch[c].fillna(0.0).to_numpy(float) for c in ("left", "rate", "pay")))
+            for month, (at, charge, paid, after) in enumerate(found, 1):
+                yield pd.DataFrame({"household_id": batch["household_id"].to_numpy()[at], "account_id": batch["account_id"].to_numpy()[at], "month": month, "payment": paid / 100, "interest": charge / 100, "balance": after / 100})
+
+    return rows.mapInPandas(run, f"household_id int, account_id {dict(rows.dtypes)['account_id']}, month int, payment double, interest double, balance double")
 
 
 def _cents(x: float) -> float:

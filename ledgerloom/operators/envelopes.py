@@ -80,6 +80,26 @@ def ready_to_assign(income: DataFrame, sums: DataFrame) -> DataFrame:
     return sums.join(income, BY, "left").select(*BY, F.round(F.col("income") - F.col("assigned"), 2).alias("ready"))
 
 
+def topped_up(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Walked ``rows`` with a row of zeros for each of ``names`` (household_id, category) that has none."""
+    fill = names.select(*BY, "category").distinct().join(rows.select(*BY, "category"), [*BY, "category"], "left_anti")
+    zero = {"target_kind": F.lit("monthly"), "rollover": F.lit(True)} | {c: F.lit(0.0) for c in ("assigned", "rolled_over", "spent", "available")}
+    return rows.unionByName(fill.select(*(F.col(c) if c in fill.columns else zero.get(c, F.lit(None)).cast(dict(rows.dtypes)[c]).alias(c) for c in rows.columns)))
+
+
+def groups(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """Sums of each group of categories: a parent with its children, or a category alone.  tree: household_id, name, parent."""
+    placed = rows.join(tree.select(*BY, F.col("name").alias("category"), "parent"), [*BY, "category"], "left").withColumn("group", F.coalesce("parent", "category"))
+    return placed.groupBy(*BY, "group").agg(*(F.round(F.sum(c), 2).alias(c) for c in ("assigned", "rolled_over", "spent", "available")), F.count("*").alias("members"))
+
+
+def fund_needs(rows: DataFrame, tree: DataFrame, month: str) -> DataFrame:
+    """household_id, category and need of what can take money: no mechanism category and no parent."""
+    parents = tree.where("parent is not null").select(*BY, F.col("parent").alias("category")).distinct()
+    able = rows.where(~F.col("category").isin(MECHANISMS)).join(parents, [*BY, "category"], "left_anti")
+    return able.select(*BY, "category", target_need(month).alias("need")).where("need > 0")
+
+
 def auto_fill(source: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows that copy a month's assignments: budgetable categories with a sum, without an assignment yet (skipped otherwise)."""
     wanted = source.groupBy(*BY, "category").agg(F.sum("assigned").alias("assigned")).where((F.col("assigned") != 0) & ~F.col("category").isin(MECHANISMS))

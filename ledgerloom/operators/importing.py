@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.grouped import apply_in_groups, held
+from ..functions.grouped import apply_in_groups
 from ..functions.money import parse_date, parse_money
 from ..functions.shipping import ship
+from ..functions.storage import held
 from ..functions.text import description_tokens, normal_description, present, similarity
 from .matching import match
 
@@ -23,16 +25,19 @@ LEAST_SIMILARITY, CLOSE_ABSOLUTE, CLOSE_RATIO = 0.6, 15.0, 0.3
 
 @F.pandas_udf(StringType())
 def fnv1a64(texts: pd.Series) -> pd.Series:
-    """64-bit FNV-1a over UTF-16 units, as 16 hex digits (an id's wire format)."""
-
-    def one(text: str | None) -> str:
-        value = 0xCBF29CE484222325
-        data = (text or "").encode("utf-16-le", "surrogatepass")
-        for k in range(0, len(data), 2):
-            value = ((value ^ (data[k] | data[k + 1] << 8)) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-        return f"{value:016x}"
-
-    return texts.map(one)
+    """64-bit FNV-1a over UTF-16 units, as 16 hex digits (an id's wire format); all texts of a batch a unit at a time."""
+    units = [np.frombuffer((t or "").encode("utf-16-le", "surrogatepass"), np.uint16) for t in texts]
+    size = np.array([len(u) for u in units], np.int64)
+    order = np.argsort(-size, kind="stable")
+    first = (np.cumsum(size) - size)[order]
+    flat, value = np.concatenate([*units, np.empty(0, np.uint16)]).astype(np.uint64), np.full(len(units), 0xCBF29CE484222325, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size[order], -k, "left"))  # texts with more than k units
+            value[:n] = (value[:n] ^ flat[first[:n] + k]) * np.uint64(0x100000001B3)
+    out = np.empty(len(units), object)
+    out[order] = [f"{v:016x}" for v in value.tolist()]
+    return pd.Series(out, index=texts.index)
 
 
 def signed_amount(out_positive: bool = False) -> Column:

@@ -8,7 +8,7 @@ narrow rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grouped import apply_in_groups
@@ -58,37 +58,37 @@ def match(outs: list[tuple], ins: list[tuple], window: int = WINDOW_DAYS) -> lis
 
 
 def _search(rows: list[tuple]) -> list[tuple]:
-    """Ids of the matched rows of one stretch: household_id, size, stretch, day, account_id, id, out."""
-    sides = [sorted((day, str(account), str(id_), id_) for _, _, _, day, account, id_, out in rows if out is side) for side in (True, False)]
+    """Households and ids of the matched rows of one stretch: household_id, scope, size, stretch, day, account_id, id, out."""
+    sides = [sorted((day, str(account), str(id_), id_) for *_, day, account, id_, out in rows if out is side) for side in (True, False)]
     pairs = match([k[:3] for k in sides[0]], [k[:3] for k in sides[1]])
-    return [(sides[0][i][3],) for i, _ in pairs] + [(sides[1][j][3],) for _, j in pairs]
+    return [(rows[0][0], sides[0][i][3]) for i, _ in pairs] + [(rows[0][0], sides[1][j][3]) for _, j in pairs]
 
 
-def internal_ids(rows: DataFrame) -> DataFrame:
-    """id of each row that is a leg of an internal transfer, among exactly ``rows``.
+def internal_ids(rows: DataFrame, scope: Column | None = None) -> DataFrame:
+    """household_id and id of each row that is a leg of an internal transfer, among exactly ``rows`` (of one value of ``scope``, where it is given).
 
-    rows: household_id, id (unique), account_id, date, amount, excluded, user_type, account_type.  Excluded rows, loans,
+    rows: household_id, id (unique in its household), account_id, date, amount, excluded, user_type, account_type.  Excluded rows, loans,
     rows with a user's type, and null dates or amounts never match.
     """
     able = rows.where(
         ~F.coalesce("excluded", F.lit(False)) & ~F.col("account_type").eqNullSafe(F.lit("loan")) & present(F.col("user_type")).isNull() & (F.col("amount") != 0) & F.col("date").isNotNull()
-    ).select("household_id", "id", "account_id", F.unix_date("date").alias("day"), F.abs("amount").alias("size"), (F.col("amount") > 0).alias("out"))
-    order = Window.partitionBy("household_id", "size").orderBy("day", "id")
+    ).select("household_id", "id", "account_id", (F.lit(0) if scope is None else scope).alias("scope"), F.unix_date("date").alias("day"), F.abs("amount").alias("size"), (F.col("amount") > 0).alias("out"))
+    order = Window.partitionBy("household_id", "scope", "size").orderBy("day", "id")
     new = F.coalesce((F.col("day") - F.lag("day").over(order) > WINDOW_DAYS).cast("int"), F.lit(0))
     able = able.withColumn("new", new)
     able = able.withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    whole = Window.partitionBy("household_id", "size", "stretch")
+    whole = Window.partitionBy("household_id", "scope", "size", "stretch")
     able = able.withColumn("n_out", F.sum(F.col("out").cast("int")).over(whole)).withColumn("n", F.count("*").over(whole)).where("n_out > 0 and n_out < n")
     accounts = (F.min("account_id").over(whole), F.max("account_id").over(whole))
     days = F.max("day").over(whole) - F.min("day").over(whole)
-    simple = able.where("n = 2").withColumn("ok", (accounts[0] != accounts[1]) & (days <= WINDOW_DAYS)).where("ok").select("id")
-    kind = dict(rows.dtypes)["id"]
-    narrow = able.where("n > 2").select("household_id", "size", "stretch", "day", "account_id", "id", "out")
-    hard = apply_in_groups(narrow, ["household_id", "size", "stretch"], _search, f"id {kind}")
+    simple = able.where("n = 2").withColumn("ok", (accounts[0] != accounts[1]) & (days <= WINDOW_DAYS)).where("ok").select("household_id", "id")
+    kind = dict(rows.dtypes)
+    narrow = able.where("n > 2").select("household_id", "scope", "size", "stretch", "day", "account_id", "id", "out")
+    hard = apply_in_groups(narrow, ["household_id", "scope", "size", "stretch"], _search, f"household_id {kind['household_id']}, id {kind['id']}")
     return simple.unionByName(hard)
 
 
-def mark_internal(rows: DataFrame) -> DataFrame:
-    """``rows`` with internal, true for legs of internal transfers among exactly these rows."""
-    legs = internal_ids(rows).withColumn("internal", F.lit(True))
-    return rows.join(legs, "id", "left").withColumn("internal", F.coalesce("internal", F.lit(False)))
+def mark_internal(rows: DataFrame, scope: Column | None = None) -> DataFrame:
+    """``rows`` with internal, true for legs of internal transfers among exactly these rows (of one value of ``scope``)."""
+    legs = internal_ids(rows, scope).withColumn("internal", F.lit(True))
+    return rows.join(legs, ["household_id", "id"], "left").withColumn("internal", F.coalesce("internal", F.lit(False)))

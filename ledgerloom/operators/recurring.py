@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grouped import apply_in_groups, held
+from ..functions.grouped import apply_in_groups
 from ..functions.money import amount
 from ..functions.tables import literal_rows
+from ..functions.storage import held
 from ..functions.text import description_tokens, merchant_key, normal_merchant, present, similarity
 from .verdicts import RETURN_CATEGORY, TRANSFER_CATEGORY
 
@@ -95,16 +96,16 @@ def roll_forward(due: Column, cadence: Column) -> Column:
 
 def project(expected: DataFrame, through_month: str) -> DataFrame:
     """Each row's future due dates through a month, at most 200.  Clamped days stay clamped: the 31st, then the 28th, then the 28th."""
-    last = F.last_day(F.lit(through_month).cast("date"))
-
-    def grow(dates: Column, _: Column) -> Column:
-        following = roll_forward(F.element_at(dates, -1), F.col("cadence"))
-        return F.when(following <= last, F.concat(dates, F.array(following))).otherwise(dates)
-
+    last, due = F.last_day(F.lit(through_month).cast("date")), F.col("due_date")
+    # A late day is cut by the shortest month it has passed; two years have every length.
+    shortest = lambda k: F.array_min(F.transform(F.sequence(F.lit(1), F.least(k, F.lit(24))), lambda j: F.dayofmonth(F.last_day(F.add_months(F.trunc(due, "month"), j)))))
+    of_month = lambda k: F.when(F.dayofmonth(due) <= 28, F.add_months(due, k)).otherwise(F.date_add(F.add_months(F.trunc(due, "month"), k), F.least(F.dayofmonth(due), shortest(k)) - 1))
+    of_year = lambda k: F.when((F.month(due) == 2) & (F.dayofmonth(due) == 29), F.add_months(F.date_sub(due, 1), k * 12)).otherwise(F.add_months(due, k * 12))
+    at = lambda k: F.when(F.col("cadence") == "weekly", F.date_add(due, k * 7)).when(F.col("cadence") == "monthly", of_month(k)).otherwise(of_year(k))
     room = F.when(F.col("cadence") == "weekly", F.datediff(last, "due_date") / 7).when(F.col("cadence") == "monthly", F.months_between(last, "due_date")).when(F.col("cadence") == "annual", F.months_between(last, "due_date") / 12).otherwise(0)
     steps = F.least(F.lit(MAX_CYCLES), F.greatest(F.ceil(room).cast("int"), F.lit(0)))
-    chain = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), F.array("due_date"), grow)
-    return expected.where("due_date is not null").select(*BY, "id", F.posexplode(F.slice(chain, 2, MAX_CYCLES)).alias("cycle", "due_date"))
+    dates = F.filter(F.transform(F.sequence(F.lit(1), steps), at), lambda d: d <= last)
+    return expected.where("due_date is not null").where(steps > 0).select(*BY, "id", F.posexplode(dates).alias("cycle", "due_date"))
 
 
 def status(today: str) -> Column:

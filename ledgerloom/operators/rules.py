@@ -26,7 +26,7 @@ def guarded(description: Column, amount: Column, account_type: Column) -> Column
 
 
 def learned(rows: DataFrame, rules: DataFrame, text: str = "description", key: str = "id") -> DataFrame:
-    """key and learned, the category of the best rule for each row that has one.
+    """household_id, key, learned (the category of the best rule for each row that has one), rule_key and rule_amount.
 
     rules: household_id, merchant_key, category, amount (null: any).  A rule's key must be a prefix of the row's key by
     whole tokens: the row's prefixes (a handful) are exploded and meet the rules by equality.  Rules for an amount win
@@ -38,28 +38,29 @@ def learned(rows: DataFrame, rules: DataFrame, text: str = "description", key: s
     same = F.col("amount").isNull() | (F.round(F.col("amount") * 100) == F.round(F.col("row_amount") * 100))
     hits = prefixes.join(rules.select(*BY, "merchant_key", "category", "amount"), [*BY, "merchant_key"]).where(same)
     best = F.struct(F.col("amount").isNotNull().cast("int"), F.length("merchant_key"), "category")
-    return hits.groupBy(key).agg(F.max_by("category", best).alias("learned"))
+    won = hits.groupBy(*BY, key).agg(F.max_by(F.struct("category", "merchant_key", "amount"), best).alias("won"))
+    return won.select(*BY, key, F.col("won.category").alias("learned"), F.col("won.merchant_key").alias("rule_key"), F.col("won.amount").alias("rule_amount"))
 
 
 def classify(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """``rows`` with raw_category and mapped_category: wording first, then rules, then Uncategorized."""
     kind = F.col("account_type") if "account_type" in rows.columns else F.lit(None).cast("string")
     d, a = F.col("description"), F.col("amount")
-    found = rows.drop("raw_category", "mapped_category").join(learned(rows, rules), "id", "left")
+    found = rows.drop("raw_category", "mapped_category").join(learned(rows, rules).select(*BY, "id", "learned"), [*BY, "id"], "left")
     mapped = F.when(guarded(d, a, kind), TRANSFER_CATEGORY).otherwise(F.coalesce("learned", F.lit(UNCATEGORIZED)))
     return found.select("*", raw_category(d, a, kind).alias("raw_category"), mapped.alias("mapped_category")).drop("learned")
 
 
 def rule_matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Per rule the rows that it decides, hidden accounts included, and how many of them have another category."""
-    hits = learned(rows, rules).join(rows.select("id", *BY, "mapped_category", "user_category", "description", "amount", "account_type"), "id")
+    hits = learned(rows, rules).join(rows.select("id", *BY, "mapped_category", "user_category", "description", "amount", "account_type"), [*BY, "id"])
     hits = hits.where(~guarded(F.col("description"), F.col("amount"), F.col("account_type")) & present(F.col("user_category")).isNull())
-    return hits.groupBy(*BY, F.col("learned").alias("category")).agg(F.count("*").alias("matched"), F.count_if(F.col("learned") != F.coalesce("mapped_category", F.lit(""))).alias("changed"))
+    return hits.groupBy(*BY, F.col("rule_key").alias("merchant_key"), F.col("rule_amount").alias("amount"), F.col("learned").alias("category")).agg(F.count("*").alias("matched"), F.count_if(F.col("learned") != F.coalesce("mapped_category", F.lit(""))).alias("changed"))
 
 
 def apply_to_history(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """``rows`` with mapped_category from the rules where one matches, hidden accounts included; users' own categories stay as they are."""
-    found = rows.join(learned(rows, rules), "id", "left")
+    found = rows.join(learned(rows, rules).select(*BY, "id", "learned"), [*BY, "id"], "left")
     take = F.col("learned").isNotNull() & ~guarded(F.col("description"), F.col("amount"), F.col("account_type"))
     return found.withColumn("mapped_category", F.when(take, F.col("learned")).otherwise(F.col("mapped_category"))).drop("learned")
 

@@ -27,10 +27,11 @@ def spending_groups(rows: DataFrame) -> DataFrame:
     return groups.select(*BY, "category", amount(F.col("sum")).alias("amount"), "transaction_count", percent.alias("percent_of_total"))
 
 
-def biggest_movers(now: DataFrame, before: DataFrame, limit: int = 5, least: float = 1.0) -> DataFrame:
-    """The categories that moved most, each month's rows being paired on their own."""
-    sums = lambda rows, name: with_verdicts(rows).where("counted").groupBy(*BY, "category").agg(F.sum("amount").alias(name))
-    both = sums(now, "curr").join(sums(before, "prev"), [*BY, "category"], "full_outer").na.fill(0, ["curr", "prev"])
+def biggest_movers(rows: DataFrame, month: str, limit: int = 5, least: float = 1.0) -> DataFrame:
+    """The categories that moved most from the month before to ``month`` (its first day).  rows: of both months, each paired on its own."""
+    now = F.trunc("date", "month") == F.lit(month).cast("date")
+    part = lambda which, name: F.coalesce(F.sum(F.when(which, F.col("amount"))), F.lit(0)).alias(name)
+    both = with_verdicts(rows).where("counted").groupBy(*BY, "category").agg(part(now, "curr"), part(~now, "prev"))
     moved = both.withColumn("delta", F.col("curr") - F.col("prev")).where(F.abs("delta") >= least)
     rank = F.row_number().over(Window.partitionBy(*BY).orderBy(F.abs("delta").desc(), "category"))
     return moved.withColumn("rank", rank).where(F.col("rank") <= limit).select(*BY, "category", *(amount(F.col(c)).alias(c) for c in ("curr", "prev", "delta")), "rank")

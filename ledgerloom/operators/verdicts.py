@@ -43,14 +43,19 @@ def is_card() -> Column:
     return _c("account_type").eqNullSafe(F.lit("credit"))
 
 
-def is_card_payment() -> Column:
+def is_worded_payment() -> Column:
+    """Whether either text is worded as a payment to a card: many patterns, so it is computed once a row (see ``with_verdicts``)."""
+    return is_card_payment_text(_c("description")) | is_card_payment_text(_c("merchant_name"))
+
+
+def is_card_payment(worded: Column | None = None) -> Column:
     """A user's category decides; on a card only credits can be, by their wording; elsewhere the payer's wording tells."""
     user = present(_c("user_category"))
-    either = lambda test: test(_c("description")) | test(_c("merchant_name"))
+    received = is_card_payment_received(_c("description")) | is_card_payment_received(_c("merchant_name"))
     return (
         F.when(user.isNotNull(), user == TRANSFER_CATEGORY)
-        .when(is_card(), (_c("amount") < 0) & either(is_card_payment_received))
-        .otherwise(either(is_card_payment_text))
+        .when(is_card(), (_c("amount") < 0) & received)
+        .otherwise(is_worded_payment() if worded is None else worded)
     )
 
 
@@ -58,14 +63,15 @@ def _barred() -> Column:
     return _yes("excluded") | _yes("internal") | is_loan() | (F.coalesce(_c("amount"), F.lit(0)) == 0)
 
 
-def is_spend() -> Column:
+def is_spend(card_payment: Column | None = None) -> Column:
     """Money out that isn't a card payment, or a refund on a card; a user's type overrides."""
     user = present(_c("user_type"))
+    paid = is_card_payment() if card_payment is None else card_payment
     return (
         F.when(_barred(), False)
         .when(user.isNotNull(), user == "spending")
-        .when(_c("amount") < 0, is_card() & ~is_card_payment())
-        .otherwise(~is_card_payment())
+        .when(_c("amount") < 0, is_card() & ~paid)
+        .otherwise(~paid)
     )
 
 
@@ -75,9 +81,9 @@ def is_income() -> Column:
     return F.when(_barred() | present(_c("account_type")).isNull(), False).when(user.isNotNull(), user == "inflow").otherwise((_c("account_type") == "depository") & (_c("amount") < 0))
 
 
-def derived_type() -> Column:
-    worded = is_card_payment_text(_c("description")) | is_card_payment_text(_c("merchant_name"))
-    paid = F.when(is_card_payment(), "card_payment").otherwise("spending")
+def derived_type(worded: Column | None = None, card_payment: Column | None = None) -> Column:
+    worded = is_worded_payment() if worded is None else worded
+    paid = F.when(is_card_payment() if card_payment is None else card_payment, "card_payment").otherwise("spending")
     return (
         F.when(is_loan(), "loan")
         .when(_yes("internal"), F.when(is_card() | worded, "card_payment").otherwise("transfer"))
@@ -86,12 +92,12 @@ def derived_type() -> Column:
     )
 
 
-def effective_type() -> Column:
-    return F.when(is_loan(), "loan").when(_c("user_type").isin(TYPES), _c("user_type")).otherwise(derived_type())
+def effective_type(derived: Column | None = None) -> Column:
+    return F.when(is_loan(), "loan").when(_c("user_type").isin(TYPES), _c("user_type")).otherwise(derived_type() if derived is None else derived)
 
 
-def display_category() -> Column:
-    return F.when(effective_type().isin("transfer", "card_payment"), TRANSFER_CATEGORY).otherwise(effective_category())
+def display_category(kind: Column | None = None) -> Column:
+    return F.when((effective_type() if kind is None else kind).isin("transfer", "card_payment"), TRANSFER_CATEGORY).otherwise(effective_category())
 
 
 def type_label(kind: Column, amount: Column) -> Column:
@@ -102,22 +108,26 @@ def type_label(kind: Column, amount: Column) -> Column:
     )
 
 
-def with_verdicts(rows: DataFrame) -> DataFrame:
-    """``rows`` with category, counted, income, card_payment, auto_type and type.  internal is false where it is missing."""
+def _judged(rows: DataFrame) -> DataFrame:
+    """``rows`` with the verdicts that others rest on, each computed once: _worded, _card, _auto and _type.  internal is false where it is missing."""
     if "internal" not in rows.columns:
         rows = rows.withColumn("internal", F.lit(False))
-    return rows.select(
-        "*", effective_category().alias("category"), is_spend().alias("counted"), is_income().alias("income"), is_card_payment().alias("card_payment"), derived_type().alias("auto_type"), effective_type().alias("type")
-    )
+    rows = rows.withColumn("_worded", is_worded_payment()).withColumn("_card", is_card_payment(_c("_worded")))
+    return rows.withColumn("_auto", derived_type(_c("_worded"), _c("_card"))).withColumn("_type", effective_type(_c("_auto")))
+
+
+def with_verdicts(rows: DataFrame) -> DataFrame:
+    """``rows`` with category, counted, income, card_payment, auto_type and type.  internal is false where it is missing."""
+    judged = _judged(rows)
+    own = [c for c in judged.columns if c not in ("_worded", "_card", "_auto", "_type")]
+    return judged.select(*own, effective_category().alias("category"), is_spend(_c("_card")).alias("counted"), is_income().alias("income"), _c("_card").alias("card_payment"), _c("_auto").alias("auto_type"), _c("_type").alias("type"))
 
 
 def shape(rows: DataFrame) -> DataFrame:
     """The presentation row of each transaction."""
-    if "internal" not in rows.columns:
-        rows = rows.withColumn("internal", F.lit(False))
-    return rows.select(
-        "household_id", "id", "account_id", display_name().alias("merchant_name"), "description", _c("date").alias("transaction_date"), "amount", display_category().alias("category"),
+    return _judged(rows).select(
+        "household_id", "id", "account_id", display_name().alias("merchant_name"), "description", _c("date").alias("transaction_date"), "amount", display_category(_c("_type")).alias("category"),
         F.coalesce(present(_c("mapped_category")), F.lit(UNCATEGORIZED)).alias("auto_category"), bank_name().alias("auto_description"), present(_c("user_category")).alias("user_category"),
-        present(_c("user_description")).alias("user_description"), _yes("excluded").alias("excluded"), "user_type", derived_type().alias("auto_tx_type"), effective_type().alias("tx_type"),
-        "entity_id", _yes("is_capital").alias("is_capital"), "placed_in_service", "useful_life_years", is_spend().alias("counted"),
+        present(_c("user_description")).alias("user_description"), _yes("excluded").alias("excluded"), "user_type", _c("_auto").alias("auto_tx_type"), _c("_type").alias("tx_type"),
+        "entity_id", _yes("is_capital").alias("is_capital"), "placed_in_service", "useful_life_years", is_spend(_c("_card")).alias("counted"),
     )

@@ -1,6 +1,6 @@
 """Ledger tables derived from the star-schema tables, as SQL that Spark and DuckDB read alike.
 
-Names in braces are tables.  Households are the customers' nations, accounts the customers, transactions the orders.
+Names in braces are tables.  Every fortieth order has a second leg: a transfer of the same sum on another account of its household.  Households are the customers' nations, accounts the customers, transactions the orders.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ ACCOUNTS = """SELECT CAST(c_nationkey AS INT) AS household_id, c_custkey AS acco
  CASE WHEN c_custkey % 20 = 0 THEN 'mortgage' WHEN c_custkey % 10 = 0 THEN 'auto loan' WHEN c_custkey % 10 IN (1, 2, 3) THEN 'credit card' WHEN c_custkey % 2 = 0 THEN 'savings' ELSE 'checking' END AS subtype,
  c_custkey % 17 = 0 AS hidden, CAST(abs(c_acctbal) AS DECIMAL(14,2)) AS current_balance, CASE WHEN c_custkey % 3 <> 0 THEN CAST(4 + c_custkey % 19 AS DOUBLE) END AS apr, CAST(5 AS DOUBLE) AS interest_rate,
  CAST(25 + c_custkey % 90 AS DECIMAL(14,2)) AS minimum_payment, CASE WHEN c_custkey % 10 IN (1, 2, 3) THEN CAST(8000 AS DECIMAL(14,2)) END AS credit_limit,
- CAST(9500 AS DECIMAL(14,2)) AS original_balance, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 5 END AS entity_id, CAST('1994-01-01' AS DATE) AS created_on FROM {customer}"""
+ CAST(9500 AS DECIMAL(14,2)) AS original_balance, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 5 END AS entity_id, CAST(DATE '1995-01-01' + CAST(c_custkey % 400 AS INT) AS DATE) AS created_on FROM {customer}"""
 
 TRANSACTIONS = """SELECT CAST(c_nationkey AS INT) AS household_id, o_orderkey AS id, 'sfin:' || CAST(o_orderkey AS STRING) AS external_id, o_custkey AS account_id, CAST(o_orderdate AS DATE) AS date,
  CAST((CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE 1 END) * floor(o_totalprice / 1000) AS DECIMAL(14,2)) AS amount,
@@ -23,7 +23,11 @@ TRANSACTIONS = """SELECT CAST(c_nationkey AS INT) AS household_id, o_orderkey AS
  CASE WHEN o_orderkey % 41 = 0 THEN 'My note ' || CAST(o_orderkey AS STRING) END AS user_description,
  CASE WHEN o_orderkey % 23 = 0 THEN 'spending' WHEN o_orderkey % 29 = 0 THEN 'inflow' WHEN o_orderkey % 31 = 0 THEN 'transfer' WHEN o_orderkey % 211 = 0 THEN 'junk' END AS user_type,
  o_orderkey % 37 = 0 AS excluded, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 3 + 1 END AS entity_id, o_orderkey % 53 = 0 AS is_capital, CASE WHEN o_orderkey % 53 = 0 THEN CAST(o_orderdate AS DATE) END AS placed_in_service,
- CASE WHEN o_orderkey % 53 = 0 THEN CAST(27 AS INT) END AS useful_life_years, CASE o_orderkey % 3 WHEN 0 THEN 'simplefin' WHEN 1 THEN 'csv' END AS source FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
+ CASE WHEN o_orderkey % 53 = 0 THEN CAST(27 AS INT) END AS useful_life_years, CASE o_orderkey % 3 WHEN 0 THEN 'simplefin' WHEN 1 THEN 'csv' END AS source FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+ UNION ALL SELECT CAST(c_nationkey AS INT), o_orderkey + 5000000000, 'sfin:' || CAST(o_orderkey + 5000000000 AS STRING), hub, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INT) AS DATE),
+ CAST((CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE -1 END) * floor(o_totalprice / 1000) AS DECIMAL(14,2)), CAST(NULL AS STRING), 'ONLINE BANKING TRANSFER FROM CHK ' || CAST(o_orderkey % 100 AS STRING), 'Transfers and card payments', CAST(NULL AS STRING),
+ CAST(NULL AS STRING), CAST(NULL AS STRING), false, CAST(NULL AS BIGINT), false, CAST(NULL AS DATE), CAST(NULL AS INT), 'simplefin'
+ FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN (SELECT c_nationkey AS nation, min(c_custkey) AS hub FROM {customer} WHERE c_custkey % 10 > 3 AND c_custkey % 17 <> 0 GROUP BY c_nationkey) AS h ON nation = c_nationkey WHERE o_orderkey % 40 = 3 AND o_custkey <> hub"""
 
 #: Sparse balances: the day's largest value of a user's events, on the account of the same number.
 SNAPSHOTS = """SELECT user_id % 1500 + 1 AS account_id, CAST(ts AS DATE) AS captured_on, CAST(max(value) AS DECIMAL(14,2)) AS balance FROM {events} GROUP BY 1, 2"""

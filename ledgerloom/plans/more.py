@@ -103,19 +103,7 @@ def queries() -> dict:
         return t.select("household_id", "date", "id", F.row_number().over(order).alias("position"), F.count("*").over(Window.partitionBy("household_id", "date")).alias("of_day"))
 
     def schedule(s: SparkSession, d: str) -> DataFrame:
-        """Each debt's payments by month, at most 600; none where the payment does not cover the interest."""
-        b = balances.debts(_book(s, d)["accounts"]).select("household_id", "account_id", F.floor(col("balance") * 100 + 0.5).cast("double").alias("cents"), (col("monthly_rate") * 1200 / 1200).alias("rate"), F.floor(col("minimum_payment") * 100 + 0.5).cast("double").alias("pay"))
-
-        def step(rows_: F.Column, n: F.Column) -> F.Column:
-            left = F.coalesce(F.element_at(rows_, -1)["balance"], col("cents"))
-            interest = F.floor(left * col("rate") + 0.5).cast("double")
-            paid = F.least(col("pay"), left + interest)
-            row = F.struct(n.alias("month"), paid.alias("payment"), interest.alias("interest"), (left + interest - paid).alias("balance"))
-            return F.when((left > 0) & (col("pay") > interest), F.concat(rows_, F.array(row))).otherwise(rows_)
-
-        empty = F.array().cast("array<struct<month:int,payment:double,interest:double,balance:double>>")
-        chain = F.aggregate(F.sequence(F.lit(1), F.lit(balances.MAX_MONTHS)), F.concat(empty, F.array(F.struct(F.lit(0).alias("month"), F.lit(0.0).alias("payment"), F.lit(0.0).alias("interest"), col("cents").alias("balance")))), step)
-        return b.select("household_id", "account_id", F.inline(chain)).where("month > 0").select("household_id", "account_id", "month", (col("payment") / 100).alias("payment"), (col("interest") / 100).alias("interest"), (col("balance") / 100).alias("balance"))
+        return balances.schedule(_book(s, d)["accounts"])
 
     def debt_free(s: SparkSession, d: str) -> DataFrame:
         b = balances.debts(_book(s, d)["accounts"])

@@ -46,6 +46,12 @@ def rows(where: str, paired: bool = True, name: str = "v") -> str:
   WHEN amount > 0 OR account_type = 'credit' THEN CASE WHEN card_payment THEN 'card_payment' ELSE 'spending' END ELSE 'inflow' END AS auto_type FROM {p}c)"""
 
 
+def fnv(key: str) -> str:
+    """FNV-1a of an ASCII text as 16 hex digits."""
+    steps = f"list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split({key}, ''), lambda c: CAST(unicode(c) AS HUGEINT))), lambda h, c: (xor(h, c) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+    return f"lower(lpad(hex(CAST({steps} AS UBIGINT)), 16, '0'))"
+
+
 def _q(select: str, *tables: str, then: str = "") -> str:
     return f"WITH {ctes(*tables)}{', ' + then if then else ''} {select}"
 
@@ -105,7 +111,7 @@ walked AS (SELECT w.household_id, w.category, CAST(assigned AS DOUBLE) AS assign
 _DUE = "CASE cadence WHEN 'weekly' THEN due_date + 7 WHEN 'monthly' THEN CAST(due_date + INTERVAL 1 MONTH AS DATE) WHEN 'annual' THEN CAST(due_date + INTERVAL 1 YEAR AS DATE) END"
 _GUARD = f"(NOT coalesce(account_type = 'credit' AND amount > 0, false) AND ({_m('description', T.TRANSFER)} OR {_m('description', T.STANDALONE_PAYMENT)} OR ({_m('description', T.CARD_ISSUER)} AND {_m('description', T.PAYMENT_WORD)})))"
 _LEARNED = f"""k AS (SELECT *, {_KEY} AS full_key FROM {{source}}),
-best AS (SELECT k.id, arg_max(r.category, (r.amount IS NOT NULL, length(r.merchant_key), r.category)) AS learned FROM k JOIN rules r ON r.household_id = k.household_id AND (k.full_key = r.merchant_key OR starts_with(k.full_key, r.merchant_key || ' '))
+best AS (SELECT k.id, arg_max(r.category, (r.amount IS NOT NULL, length(r.merchant_key), r.category)) AS learned, arg_max(r.merchant_key, (r.amount IS NOT NULL, length(r.merchant_key), r.category)) AS rule_key, CASE WHEN bool_or(r.amount IS NOT NULL) THEN max(r.amount) END AS rule_amount FROM k JOIN rules r ON r.household_id = k.household_id AND (k.full_key = r.merchant_key OR starts_with(k.full_key, r.merchant_key || ' '))
  AND (r.amount IS NULL OR r.amount = k.amount) WHERE full_key <> '' GROUP BY 1)"""
 
 _CELLS = """p AS (SELECT household_id, account_id, row, trim(date_cell) AS d, trim(description_cell) AS description, trim(amount_cell) AS t FROM cells),
@@ -116,6 +122,20 @@ r AS (SELECT *, CASE WHEN date IS NULL OR value IS NULL OR description = '' THEN
 built AS (SELECT *, CAST(CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY household_id, account_id, reason IS NULL, CASE WHEN reason IS NULL THEN date END, CASE WHEN reason IS NULL THEN amount END, CASE WHEN reason IS NULL THEN upper(regexp_replace(description, '\\s+', ' ', 'g')) END ORDER BY row)
   ELSE row_number() OVER (PARTITION BY household_id, account_id, reason IS NULL ORDER BY row) END - 1 AS INT) AS ordinal, coalesce(account_id % 3 = 0 AND date >= DATE '1996-01-01', false) AS overlap FROM r)"""
 
+_RECURRING = """c AS (SELECT * FROM (VALUES (0, 'weekly', 5, 9, 2, 52.0::DOUBLE / 12, 84), (1, 'monthly', 24, 32, 4, 1.0::DOUBLE, 190), (2, 'annual', 350, 380, 15, 1.0::DOUBLE / 12, NULL)) AS c(rank, cadence, min_gap, max_gap, gap_tol, per_month, look_back)),
+ru AS (SELECT household_id, id, account_id, merchant_name, category, CAST(amount AS DOUBLE) AS amount, datediff('day', DATE '1970-01-01', transaction_date) AS day, trim(regexp_replace(regexp_replace(regexp_replace(upper(merchant_name), '[0-9#*]+', ' ', 'g'), '[^A-Z ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM series WHERE amount > 0),
+rt AS (SELECT w.*, c.* FROM (SELECT *, max(day) OVER (PARTITION BY household_id, key) AS newest, count(*) OVER (PARTITION BY household_id, key) AS size FROM ru WHERE key <> '') w JOIN c ON size >= 3 AND (look_back IS NULL OR newest - day <= look_back)),
+rm AS (SELECT *, median(amount) OVER (PARTITION BY household_id, key, rank) AS median_amount, count(*) OVER (PARTITION BY household_id, key, rank) AS n FROM rt),
+rk AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY household_id, key, rank) AS kept FROM rm WHERE abs(amount - median_amount) <= 0.2 * median_amount) WHERE n >= 3 AND kept >= 3 AND kept >= 0.8 * n),
+rg AS (SELECT *, day - lag(day) OVER (PARTITION BY household_id, key, rank ORDER BY day, id) AS gap, row_number() OVER (PARTITION BY household_id, key, rank ORDER BY day, id) AS position FROM rk),
+rh AS (SELECT *, median(gap) OVER (PARTITION BY household_id, key, rank) AS median_gap FROM rg),
+rf AS (SELECT household_id, key, rank, cadence, min_gap, max_gap, per_month, median_amount, median_gap, count(*) AS count, count(gap) AS gaps, count(*) FILTER (WHERE abs(gap - median_gap) <= gap_tol) AS near, sum(gap) AS gap_sum, max(day) AS last_day, median(amount) AS monthly_amount, arg_max(amount, (day, amount)) AS last_amount FROM rh GROUP BY ALL),
+rx AS (SELECT * FROM (SELECT *, min(rank) OVER (PARTITION BY household_id, key) AS best FROM rf WHERE median_gap BETWEEN min_gap AND max_gap AND near >= ceil(gaps * 2 / 3)) WHERE rank = best),
+rmode AS (SELECT household_id, key, rank, arg_max(v, (n, -reached)) FILTER (WHERE f = 1) AS name, arg_max(v, (n, -reached)) FILTER (WHERE f = 2) AS category, CAST(arg_max(v, (n, -reached)) FILTER (WHERE f = 3) AS BIGINT) AS account_id FROM (SELECT household_id, key, rank, f, v, count(*) AS n, max(position) AS reached FROM
+ (SELECT *, 1 AS f, merchant_name AS v FROM rg UNION ALL SELECT *, 2, category FROM rg UNION ALL SELECT *, 3, CAST(account_id AS VARCHAR) FROM rg) WHERE coalesce(v, '') <> '' GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3),
+recurs AS (SELECT household_id, key, name, category, account_id, round(monthly_amount, 2) AS monthly_amount, monthly_amount * per_month AS monthly_equivalent, cadence, count, CAST(DATE '1970-01-01' + CAST(last_day AS INT) AS DATE) AS last_date, CAST(DATE '1970-01-01' + CAST(last_day + floor(median_gap + 0.5) AS INT) AS DATE) AS next_date,
+ CAST(floor(gap_sum / gaps + 0.5) AS BIGINT) AS avg_gap_days, round(last_amount, 2) AS last_amount, round(median_amount, 2) AS median_amount, last_amount > 1.05 * median_amount AS price_creep, CAST(NULL AS VARCHAR) AS due_status FROM rx JOIN rmode USING (household_id, key, rank))"""
+
 SQL: dict[str, str] = {
     "A01_D01_visible_range": _q("SELECT household_id, id, account_id, date, CAST(amount AS DOUBLE) AS amount, account_type FROM vb", *_LEDGER, then=rows(_RANGE, False)),
     "A05_D03_accounts": _q(f"SELECT household_id, account_id, name, type, institution, CAST({_SIGNED.replace('balance', 'current_balance')} AS DOUBLE) AS balance, hidden FROM accounts", "accounts"),
@@ -123,7 +143,7 @@ SQL: dict[str, str] = {
     "A06_M11_debts": _q("SELECT * FROM debts", "accounts", then=_DEBTS),
     "C01_C12_verdicts": _q(f"SELECT household_id, id, category, counted, income, card_payment, auto_type, {_TYPE} AS type, {_NAME} AS name, {_DISPLAY} AS display, CASE WHEN {_TYPE} = 'spending' AND amount < 0 THEN 'Refund' ELSE CASE {_TYPE} WHEN 'spending' THEN 'Spending' WHEN 'inflow' THEN 'Income' WHEN 'transfer' THEN 'Transfer' WHEN 'card_payment' THEN 'Card payment' WHEN 'loan' THEN 'Loan' ELSE '?' END END AS label FROM v", *_LEDGER, then=rows("true", False)),
     "E01_E02_totals": _q("SELECT household_id, CAST(sum(CASE WHEN counted THEN amount ELSE 0 END) AS DOUBLE) AS spent, CAST(sum(CASE WHEN income THEN -amount ELSE 0 END) AS DOUBLE) AS income FROM v GROUP BY 1", *_LEDGER, then=rows(_RANGE, False)),
-    "D04_internal_transfers": _q("SELECT id FROM vl", *_LEDGER, then=rows(_RANGE)),
+    "D04_internal_transfers": _q("SELECT household_id, id FROM vl JOIN transactions USING (id)", *_LEDGER, then=rows("true")),
     "M01_spending_by_category": _q("SELECT household_id, category, CAST(s AS DOUBLE) AS amount, transaction_count, CASE WHEN t = 0 THEN 0.0 ELSE CAST(s AS DOUBLE) / abs(CAST(t AS DOUBLE)) * 100 END AS percent_of_total FROM (SELECT *, sum(s) OVER (PARTITION BY household_id) AS t FROM groups)", *_LEDGER, then=rows(_MONTH) + ", " + _GROUPS),
     "M02_E05_biggest_movers": _q("SELECT household_id, category, CAST(c AS DOUBLE) AS curr, CAST(p AS DOUBLE) AS prev, CAST(c - p AS DOUBLE) AS delta, rank FROM (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY abs(c - p) DESC, category) AS rank FROM (SELECT household_id, category, coalesce(x.s, 0) AS c, coalesce(y.s, 0) AS p FROM (SELECT household_id, category, sum(amount) AS s FROM v WHERE counted GROUP BY 1, 2) x FULL JOIN (SELECT household_id, category, sum(amount) AS s FROM u WHERE counted GROUP BY 1, 2) y USING (household_id, category)) WHERE abs(c - p) >= 1) WHERE rank <= 5", *_LEDGER, then=rows(_MONTH) + ", " + rows(_MAY, name="u")),
     "M03_C11_month_transactions": _q(f"SELECT household_id, id, {_NAME} AS merchant_name, date AS transaction_date, CAST(amount AS DOUBLE) AS amount, {_DISPLAY} AS category, coalesce(nullif(mapped_category, ''), 'Uncategorized') AS auto_category, {_BANK} AS auto_description, excluded, {_TYPE} AS tx_type, auto_type AS auto_tx_type, counted FROM v", *_LEDGER, then=rows(_MONTH)),
@@ -142,7 +162,7 @@ SQL: dict[str, str] = {
     "E10_M16_coverage": _q("SELECT household_id, account_id, min(first) AS first, max(last) AS last, CAST(sum(n) AS BIGINT) AS count, string_agg(source || '=' || n, ',' ORDER BY source || '=' || n) AS sources FROM (SELECT household_id, account_id, coalesce(nullif(source, ''), 'unknown') AS source, count(*) AS n, min(date) AS first, max(date) AS last FROM vb GROUP BY 1, 2, 3) GROUP BY 1, 2", *_LEDGER, then=rows("true", False)),
     "D15_coverage_gaps": _q("SELECT a.household_id, a.account_id, f AS served_from FROM accounts a JOIN (SELECT account_id, min(date) AS f FROM transactions GROUP BY 1) t USING (account_id) WHERE f BETWEEN created_on - 88 AND created_on + 7", *_LEDGER),
     "D06_classify": _q(f"SELECT household_id, k.id, CASE WHEN coalesce(account_type = 'credit' AND amount > 0, false) OR {_m('description', T.CARD_WORD)} OR NOT {_m('description', T.TRANSFER)} THEN '' WHEN amount > 0 THEN 'TRANSFER_OUT' WHEN amount < 0 THEN 'TRANSFER_IN' ELSE '' END AS raw_category, CASE WHEN {_GUARD} THEN 'Transfers and card payments' ELSE coalesce(learned, 'Uncategorized') END AS mapped_category FROM k LEFT JOIN best ON k.id = best.id", *_LEDGER, "rules", then=rows("true", False) + ", " + _LEARNED.format(source="vb")),
-    "B07_M17_rule_matches": _q(f"SELECT household_id, learned AS category, count(*) AS matched, count(*) FILTER (WHERE learned <> coalesce(mapped_category, '')) AS changed FROM k JOIN best ON k.id = best.id WHERE NOT {_GUARD} AND coalesce(user_category, '') = '' GROUP BY 1, 2", *_LEDGER, "rules", then="every AS (SELECT t.*, a.type AS account_type FROM transactions t JOIN accounts a USING (account_id)), " + _LEARNED.format(source="every")),
+    "B07_M17_rule_matches": _q(f"SELECT household_id, rule_key AS merchant_key, CAST(rule_amount AS DOUBLE) AS amount, learned AS category, count(*) AS matched, count(*) FILTER (WHERE learned <> coalesce(mapped_category, '')) AS changed FROM k JOIN best ON k.id = best.id WHERE NOT {_GUARD} AND coalesce(user_category, '') = '' GROUP BY 1, 2, 3, 4", *_LEDGER, "rules", then="every AS (SELECT t.*, a.type AS account_type FROM transactions t JOIN accounts a USING (account_id)), " + _LEARNED.format(source="every")),
     "C18_M14_search": _q("SELECT id, date, CAST(amount AS DOUBLE) AS amount, (SELECT count(*) FROM hits) > 60 AS has_more FROM hits ORDER BY date DESC, id DESC LIMIT 50 OFFSET 10", *_LEDGER, then=rows("true", False) + ", hits AS (SELECT * FROM vb WHERE contains(lower(concat_ws(chr(10), description, merchant_name, user_description)), 'vendor 1') AND abs(amount) BETWEEN 10 AND 100 AND year(date) = 1995)"),
     "E11_schedule_lines": _q("SELECT * FROM lines", *_LEDGER, then=_TAX + ", " + _LINES),
     "E11_schedule_summary": _q("SELECT household_id, entity_id, CAST(rents AS DOUBLE) AS rents, CAST(defaulted AS DOUBLE) AS defaulted, CAST(expenses AS DOUBLE) AS expenses, CAST(unmapped AS DOUBLE) AS unmapped, CAST(capital AS DOUBLE) AS capital, rents_count, defaulted_count, CAST(rents - expenses AS DOUBLE) AS net FROM (SELECT household_id, entity_id, sum(CASE WHEN route IN ('rents', 'defaulted') THEN -amount ELSE 0 END) AS rents, count(*) FILTER (WHERE route IN ('rents', 'defaulted')) AS rents_count, sum(CASE WHEN route = 'defaulted' THEN -amount ELSE 0 END) AS defaulted, count(*) FILTER (WHERE route = 'defaulted') AS defaulted_count, sum(CASE WHEN route = 'line' THEN amount ELSE 0 END) AS expenses, sum(CASE WHEN route = 'unmapped' THEN amount ELSE 0 END) AS unmapped, sum(CASE WHEN route = 'capital' THEN amount ELSE 0 END) AS capital FROM routed GROUP BY 1, 2)", *_LEDGER, then=_TAX),
@@ -171,7 +191,13 @@ SQL: dict[str, str] = {
     "G08_projected_cycles": "WITH RECURSIVE " + ctes("expected") + f", step AS (SELECT household_id, id, cadence, due_date, -1 AS cycle FROM expected WHERE status = 'pending' UNION ALL SELECT household_id, id, cadence, {_DUE}, cycle + 1 FROM step WHERE cycle < 199 AND {_DUE} <= DATE '1999-01-31') SELECT household_id, id, cycle, due_date FROM step WHERE cycle >= 0",
     "E16_expected_by_category": _q("SELECT household_id, category, CAST(sum(amount) AS DOUBLE) AS amount FROM expected WHERE status = 'pending' AND coalesce(category, '') <> '' GROUP BY 1, 2", "expected"),
     "D10_I23_duplicate_expected": _q("SELECT household_id, id FROM expected f WHERE status = 'dismissed' AND recurring_key IS NOT NULL AND EXISTS (SELECT 1 FROM expected h WHERE h.status = 'pending' AND h.household_id = f.household_id AND h.recurring_key = f.recurring_key AND abs(datediff('day', h.due_date, f.due_date)) <= CASE f.cadence WHEN 'weekly' THEN 2 WHEN 'monthly' THEN 4 WHEN 'annual' THEN 15 ELSE 0 END)", "expected"),
-    "J01_import_rows": _q("SELECT household_id, account_id, row, date, CAST(amount AS DOUBLE) AS amount, description, ordinal, reason, overlap FROM built", "cells", then=_CELLS),
+    "J01_import_rows": _q(f"SELECT household_id, account_id, row, date, CAST(amount AS DOUBLE) AS amount, description, CASE WHEN reason IS NULL THEN 'csv:' || {fnv("date || '|' || amount || '|' || upper(regexp_replace(description, '\\s+', ' ', 'g'))")} || ':' || ordinal END AS external_id, ordinal, reason, overlap FROM built", "cells", then=_CELLS),
     "J02_import_plan": _q("SELECT household_id, account_id, usable, overlapping, 0 AS duplicates, usable - overlapping AS new, skipped, CASE WHEN usable = 0 THEN 'empty' WHEN account_id % 3 <> 0 OR overlapping = 0 THEN 'import' WHEN overlapping = usable THEN 'audit' ELSE 'both' END AS verdict FROM (SELECT household_id, account_id, count(*) FILTER (WHERE reason IS NULL) AS usable, count(*) FILTER (WHERE reason IS NULL AND overlap) AS overlapping, count(*) FILTER (WHERE reason IS NOT NULL) AS skipped FROM built GROUP BY 1, 2)", "cells", then=_CELLS),
     "B01_upsert": _q("SELECT household_id, t.id, CAST(coalesce(n.amount, t.amount) AS DOUBLE) AS amount, CASE WHEN n.id IS NULL THEN t.description ELSE 'FEED' END AS description, user_category FROM transactions t LEFT JOIN fresh n USING (household_id, id) UNION ALL SELECT household_id, id, CAST(amount AS DOUBLE), 'FEED', NULL FROM fresh WHERE id >= 10000000000", "transactions", then="fresh AS (SELECT household_id, id + CASE WHEN id % 2 = 0 THEN 10000000000 ELSE 0 END AS id, amount + 1 AS amount FROM transactions WHERE id % 3 = 0)"),
+    "F06_M09_recurring": _q("SELECT * FROM recurs", "series", then=_RECURRING),
+    "K09_recurring_headline": _q("SELECT household_id, round(sum(monthly_equivalent), 2) AS monthly_cost, count(*) AS items FROM recurs WHERE NOT (household_id = 0 AND key = 'STREAM AA') GROUP BY 1", "series", then=_RECURRING),
 }
+
+#: Months until debts are paid, as the amortization finds them.
+SQL["G06_debt_free_month"] = f"SELECT account_id, CASE WHEN NOT stalled AND months > 0 THEN strftime(DATE '2026-01-01' + to_months(CAST(months AS INT)), '%Y-%m') END AS free FROM ({SQL['G01_amortize']})"
+

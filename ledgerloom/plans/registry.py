@@ -12,7 +12,7 @@ from ..functions.text import merchant_key
 from ..operators import balances, envelopes, importing, recurring, rules, spending, tax, verdicts
 from ..operators.matching import internal_ids
 from ..sources.ledger import Ledger
-from . import fixture, more, oracles
+from . import fixture, intake, more, oracles
 
 MONTH, START, END = (1995, 6), "1995-01-01", "1995-06-30"
 TAX_YEAR = ("1996-01-01", "1996-12-31")
@@ -26,8 +26,8 @@ def ledger(spark: SparkSession, sf: str) -> Ledger:
 def _tax_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = ledger(spark, sf).paired(*TAX_YEAR)
     shaped = verdicts.shape(rows).drop("entity_id")
-    entity = rows.select("id", F.coalesce("entity_id", "account_entity").alias("entity_id"))
-    return shaped.join(entity, "id")
+    entity = rows.select("household_id", "id", F.coalesce("entity_id", "account_entity").alias("entity_id"))
+    return shaped.join(entity, ["household_id", "id"])
 
 
 def _mapping(spark: SparkSession) -> DataFrame:
@@ -59,7 +59,7 @@ def _built(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def verdict_rows(spark: SparkSession, sf: str) -> DataFrame:
         v = verdicts.with_verdicts(ledger(spark, sf).visible())
-        return v.select("household_id", "id", "category", "counted", "income", "card_payment", "auto_type", "type", verdicts.display_name().alias("name"), verdicts.display_category().alias("display"), F.coalesce(verdicts.type_label(F.col("type"), F.col("amount")), F.lit("?")).alias("label"))
+        return v.select("household_id", "id", "category", "counted", "income", "card_payment", "auto_type", "type", verdicts.display_name().alias("name"), verdicts.display_category(F.col("type")).alias("display"), F.coalesce(verdicts.type_label(F.col("type"), F.col("amount")), F.lit("?")).alias("label"))
 
     def totals(spark: SparkSession, sf: str) -> DataFrame:
         v = verdicts.with_verdicts(ledger(spark, sf).between(START, END))
@@ -74,8 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return a.select("household_id", "account_id", "name", "type", "institution", amount(balances.display_balance(F.col("current_balance"), F.col("type"))).alias("balance"), "hidden")
 
     def movers(spark: SparkSession, sf: str) -> DataFrame:
-        book = ledger(spark, sf)
-        return spending.biggest_movers(book.month(*MONTH), book.month(1995, 5))
+        return spending.biggest_movers(ledger(spark, sf).two_months("1995-06-01"), "1995-06-01")
 
     def income(spark: SparkSession, sf: str) -> DataFrame:
         book = ledger(spark, sf)
@@ -100,7 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def rule_counts(spark: SparkSession, sf: str) -> DataFrame:
         book = ledger(spark, sf)
         kinds = book["accounts"].select("account_id", F.col("type").alias("account_type"))
-        return rules.rule_matches(book["transactions"].join(kinds, "account_id"), fixture.load(spark, sf, "rules"))
+        found = rules.rule_matches(book["transactions"].join(kinds, "account_id"), fixture.load(spark, sf, "rules"))
+        return found.withColumn("amount", amount(F.col("amount")))
 
     def tree_rollup(spark: SparkSession, sf: str) -> DataFrame:
         return rules.rollup(_groups(spark, sf), rules.registry_tree(fixture.load(spark, sf, "registry")))
@@ -145,7 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "A06_M11_debts": lambda s, d: balances.debts(ledger(s, d)["accounts"]),
         "C01_C12_verdicts": verdict_rows,
         "E01_E02_totals": totals,
-        "D04_internal_transfers": lambda s, d: internal_ids(ledger(s, d).between(START, END)),
+        "D04_internal_transfers": lambda s, d: internal_ids(ledger(s, d).visible()),
         "M01_spending_by_category": _groups,
         "M02_E05_biggest_movers": movers,
         "M03_C11_month_transactions": month_rows,
@@ -191,7 +191,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "E16_expected_by_category": lambda s, d: recurring.by_category(fixture.load(s, d, "expected")),
         "D07_expected_match": lambda s, d: recurring.match(fixture.load(s, d, "expected").where("status = 'pending'"), ledger(s, d).visible()),
         "D10_I23_duplicate_expected": duplicates,
-        "J01_import_rows": lambda s, d: _built(s, d).select("household_id", "account_id", "row", "date", amount(F.col("amount")).alias("amount"), "description", "ordinal", "reason", "overlap"),
+        "J01_import_rows": lambda s, d: _built(s, d).select("household_id", "account_id", "row", "date", amount(F.col("amount")).alias("amount"), "description", "external_id", "ordinal", "reason", "overlap"),
         "J02_import_plan": lambda s, d: importing.import_plan(_built(s, d)),
         "D05_reconcile": lambda s, d: importing.reconcile(
             ledger(s, d)["transactions"].where("id % 3 <> 0").select("household_id", "account_id", "id", F.date_add("date", 1).alias("date"), (F.col("amount") + F.when(F.col("id") % 7 == 0, 5).otherwise(0)).alias("amount"), "description"),
@@ -199,8 +199,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "B01_upsert": upserted,
         **more.queries(),
+        **intake.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | more.SQL
+    return oracles.SQL | more.SQL | intake.SQL

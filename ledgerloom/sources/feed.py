@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import matches, present
 
+#: The envelope in both versions of the protocol: messages are texts in ``errors`` or objects in ``errlist``, and banks stand with the account or in ``connections``.
 ACCOUNTS = (
-    "errors array<string>, accounts array<struct<id:string, name:string, currency:string, balance:string, `available-balance`:string, `balance-date`:long, org:struct<id:string, name:string, domain:string, url:string>,"
+    "errors array<string>, errlist array<struct<code:string, msg:string, message:string, conn_id:string, account_id:string>>, connections array<struct<conn_id:string, name:string, org_id:string, org_name:string, org_url:string>>,"
+    " accounts array<struct<conn_id:string, id:string, name:string, currency:string, balance:string, `available-balance`:string, `balance-date`:long, org:struct<id:string, name:string, domain:string, url:string>,"
     " transactions:array<struct<id:string, posted:long, transacted_at:long, amount:string, description:string, payee:string, memo:string, pending:boolean>>>>"
 )
 # Account types by name, first match first; and issuers of cards only.
@@ -21,6 +23,7 @@ TYPE_RULES = [
     (r"(?i)\b(venture|quicksilver|savor(one)?|spark|freedom|sapphire|slate|\bink\b|reserve|preferred|unlimited|double cash|active cash|custom cash|altitude|propel|bonvoy|skymiles|aadvantage|rapid rewards|hyatt|platinum|signature|gold)\b", "credit", "credit card"),
 ]
 CARD_ONLY = r"(?i)\b(american express|amex|discover|barclaycard|barclays|synchrony|comenity|credit one|first premier|bread financial)\b"
+# Wording of a bank's trouble and of notes about the range that was asked for; codes of such notes.
 TROUBLE = (
     r"(?i)\b(reconnect|authenticat\w*|credential\w*|password|login|logged\s+out|need(s|ed)?\s+attention|payment\s+required|subscription|expired|revoked|denied|mfa|multi-?factor|forbidden|unauthoriz\w*|locked"
     r"|suspend\w*|invalid|rate\s+limit|try\s+again|unavailable|timed?\s*out|error|fail\w*|unable\s+to)\b"
@@ -45,38 +48,70 @@ def stored_balance(kind: Column, balance: Column) -> Column:
     return F.when(kind.isin("credit", "loan"), F.abs(balance)).otherwise(balance)
 
 
-def message_kind(text: Column) -> Column:
-    """error, advisory or capped."""
+ADVISORY_CODES, CAPPED_CODES = ["DATE_RANGE_EXCEEDED", "DATE_RANGE_RECOMMENDED"], ["DATE_RANGE_CAPPED", "DATE_RANGE_TRUNCATED"]
+
+
+def message_kind(text: Column, code: Column | None = None, per_bank: Column | None = None) -> Column:
+    """error, advisory or capped.
+
+    Words of trouble make an error of anything; then a known code decides; what is pinned to one bank or account is its
+    error; else the wording tells.
+    """
     ranged = matches(text, RANGE_SUBJECT) & matches(text, RANGE_LIMIT)
     has = lambda p: matches(text, p)
+    key = F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(code, F.lit(""))), "[^A-Z0-9]+", "_"), "^_+|_+$", "") if code is not None else F.lit("")
+    pinned = F.coalesce(per_bank, F.lit(False)) if per_bank is not None else F.lit(False)
     return (
-        F.when(has(TROUBLE) | ~ranged, "error").when(has(WAS_CAPPED), "capped").when(has(r"(?i)\bcapped\b") & ~has(FUTURE_CAP), "capped").when(has(r"(?i)\brecommended\b"), "advisory")
-        .when(has(r"(?i)\b(limit|maximum)\b"), "capped").otherwise("advisory")
+        F.when(has(TROUBLE), "error").when(key.isin(CAPPED_CODES), "capped").when(key.isin(ADVISORY_CODES), "advisory").when(pinned | ~ranged, "error").when(has(WAS_CAPPED), "capped")
+        .when(has(r"(?i)\bcapped\b") & ~has(FUTURE_CAP), "capped").when(has(r"(?i)\brecommended\b"), "advisory").when(has(r"(?i)\b(limit|maximum)\b"), "capped").otherwise("advisory")
     )
 
 
 def clean_message(text: Column) -> Column:
     """No control characters or tags, single spaces, 300 characters."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1F\x7F]+", " "), "<[^>]*>", "")
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x1F\x7F]+", " "), "<[^>]*>", " ")
     return F.substring(F.trim(F.regexp_replace(plain, r"\s+", " ")), 1, 300)
 
 
+def feed_messages(feeds: DataFrame) -> DataFrame:
+    """household_id, message and kind of every message of both versions; those without a text or a code are left out."""
+    none = F.lit(None).cast("string")
+    plain = F.transform("feed.errors", lambda e: F.struct(clean_message(e).alias("msg"), F.lit("").alias("code"), F.lit(False).alias("per_bank")))
+    told = lambda e: clean_message(F.coalesce(present(e["msg"]), present(e["message"]), none))
+    listed = F.transform("feed.errlist", lambda e: F.struct(told(e).alias("msg"), clean_message(e["code"]).alias("code"), (present(e["conn_id"]).isNotNull() | present(e["account_id"]).isNotNull()).alias("per_bank")))
+    empty = F.array().cast("array<struct<msg:string,code:string,per_bank:boolean>>")
+    rows = feeds.select("household_id", F.inline(F.concat(F.coalesce(plain, empty), F.coalesce(listed, empty))))
+    rows = rows.withColumn("message", F.when((F.col("msg") != "") & (F.col("code") != ""), F.concat("msg", F.lit(" ("), "code", F.lit(")"))).otherwise(F.concat("msg", "code"))).where("message != ''")
+    return rows.select("household_id", "message", message_kind(F.col("message"), F.col("code"), F.col("per_bank")).alias("kind"))
+
+
 def parsed(raw: DataFrame, column: str = "json") -> DataFrame:
     """``raw`` with the feed's envelope as ``feed``; what isn't JSON is null."""
     return raw.withColumn("feed", F.from_json(column, ACCOUNTS))
 
 
-def _org(a: Column) -> Column:
-    host = F.regexp_extract(F.coalesce(a["org"]["url"], F.lit("")), r"^[a-z]+://([^/:?#]+)", 1)
-    return F.coalesce(present(a["org"]["id"]), present(F.lower(a["org"]["domain"])), present(F.lower(host)), present(a["org"]["name"]))
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-z]+://([^/:?#]+)", 1))
+
+
+def _bank(a: Column, connections: Column) -> Column:
+    """id, name, domain and url of an account's bank: its own, or that of the connection it names (never by the connection's id, which tells no bank)."""
+    mine = F.get(F.filter(connections, lambda c: c["conn_id"] == a["conn_id"]), F.lit(0))
+    joined = F.struct(mine["org_id"].alias("id"), F.coalesce(present(mine["org_name"]), mine["name"]).alias("name"), _host(mine["org_url"]).alias("domain"), mine["org_url"].alias("url"))
+    return F.coalesce(a["org"], F.when(mine.isNotNull(), joined))
+
+
+def _org(org: Column) -> Column:
+    return F.coalesce(present(org["id"]), present(F.lower(org["domain"])), present(_host(org["url"])), present(org["name"]))
 
 
 def feed_accounts(feeds: DataFrame) -> DataFrame:
     """A row per account of household_id and feed."""
     a = F.col("a")
-    rows = feeds.select("household_id", F.explode("feed.accounts").alias("a"))
+    rows = feeds.select("household_id", "feed.connections", F.explode("feed.accounts").alias("a")).withColumn("org", _bank(a, F.col("connections")))
+    org = F.col("org")
     balance = a["balance"].try_cast("decimal(14,2)")
-    rows = rows.select("household_id", a["id"].alias("external_id"), a["name"].alias("name"), _org(a).alias("org_key"), account_type(a["name"], a["org"]["name"], balance).alias("k"), balance.alias("raw_balance"), a["balance-date"].alias("at")).where("external_id is not null and trim(external_id) != ''")
+    rows = rows.select("household_id", a["id"].alias("external_id"), a["name"].alias("name"), _org(org).alias("org_key"), account_type(a["name"], org["name"], balance).alias("k"), balance.alias("raw_balance"), a["balance-date"].alias("at")).where("external_id is not null and trim(external_id) != ''")
     return rows.select("household_id", "external_id", "name", "org_key", "k.type", "k.subtype", "k.uncertain", stored_balance(F.col("k.type"), F.col("raw_balance")).alias("balance"), F.when(F.col("at") > 0, F.timestamp_seconds("at").cast("date")).alias("balance_on"))
 
 

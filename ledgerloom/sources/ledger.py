@@ -45,6 +45,12 @@ class Ledger:
         """``between`` with internal transfers marked among exactly those rows."""
         return mark_internal(self.between(start, end))
 
+    def two_months(self, month: str) -> DataFrame:
+        """Visible rows of a month (its first day) and the one before, in one scan, each month paired on its own."""
+        start = F.lit(month).cast("date")
+        rows = self.visible((F.col("date") >= F.add_months(start, -1)) & (F.col("date") <= F.last_day(start)))
+        return mark_internal(rows, F.trunc("date", "month"))
+
     def month(self, year: int, month: int, paired: bool = True) -> DataFrame:
         start = f"{year:04d}-{month:02d}-01"
         last = F.last_day(F.lit(start).cast("date"))
