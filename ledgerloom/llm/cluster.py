@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.shipping import ship
+from ..functions.storage import shared_dir
 
 __all__ = ["qualified", "scratch_path", "shared_dir", "ship", "stored", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.  Where it is unset, one is made in local mode only (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return str(current.get()).rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return str(context._jsc.sc().getCheckpointDir().get()).rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
     path = qualified(spark, f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}")

@@ -22,6 +22,8 @@ from .words import as_bytes, hashes, spans
 
 #: Labelled rows to fit on, at most, and the longest text among them (in code points): they bound what reaches the driver.
 TRAIN_ROWS, TRAIN_CHARS = 2_000, 200_000
+#: Lines of a text that are walked one after another; longer texts are cut into blocks of so many.
+BLOCK_LINES = 512
 #: The fixed threshold of ``predicted``.
 THRESHOLD = 0.3
 
@@ -83,31 +85,53 @@ def line_measures(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack([own, np.vstack([gap, own[:-1]]), np.vstack([own[1:], gap]), flags]), size
 
 
-def forward_backward(good: np.ndarray, size: np.ndarray, move: np.ndarray, begin: float) -> tuple[np.ndarray, np.ndarray]:
+def _through(vector: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """A row of log messages for each state, moved on by one line."""
+    return np.logaddexp(vector[..., 0, None] + move[0], vector[..., 1, None] + move[1])
+
+
+def forward_backward(good: np.ndarray, size: np.ndarray, move: np.ndarray, begin: float, block: int = BLOCK_LINES) -> tuple[np.ndarray, np.ndarray]:
     """Good marginals of all lines and the expected moves per document (2 x 2: from, to; 1 is good).
 
     good: a line's evidence for good against bad, documents after each other; size: lines of each document; move: scores
-    of moves; begin: score of a good first line.
+    of moves; begin: score of a good first line.  All documents are walked at once, a line at a time.  Long ones are cut
+    into blocks that are walked side by side too: first for what each makes of any message, then with the one it gets.
     """
-    order = np.argsort(-size, kind="stable")
-    long = size[order]
-    at = (np.cumsum(size) - size)[order]
-    steps = int(long[0]) if len(long) else 0
-    live = [int(np.searchsorted(-long, -t, "left")) for t in range(steps)]  # documents with more than t lines
+    n_blocks = -(-size // block)
+    doc = np.repeat(np.arange(len(size)), n_blocks)
+    j = np.arange(len(doc)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    start, length = (np.cumsum(size) - size)[doc] + j * block, np.minimum(block, size[doc] - j * block)
+    order = np.argsort(-length, kind="stable")
+    at, ranked, opens = start[order], length[order], (j == 0)[order]
+    steps = int(ranked[0]) if len(ranked) else 0
+    live = [int(np.searchsorted(-ranked, -t, "left")) for t in range(steps)]  # blocks with more than t lines
+    evidence = np.column_stack([np.zeros(len(good)), good])
+    first = np.where(opens[:, None], evidence[at] + [0.0, begin], 0.0)  # of the blocks that open a document
+    into, after = np.zeros((len(order), 2)), np.zeros((len(order), 2))
+    if n_blocks.max(initial=0) > 1:
+        # What a block makes of a message: from each state before its first line to each at its last.
+        whole = np.where(opens[:, None, None], np.stack([first, np.full_like(first, -np.inf)], axis=1), move[None] + evidence[at][:, None, :])
+        for t in range(1, steps):
+            whole[: live[t]] = _through(whole[: live[t]], move) + evidence[at[: live[t]] + t][:, None, :]
+        place = np.empty(len(order), int)
+        place[order] = np.arange(len(order))
+        into[opens] = [0.0, -np.inf]
+        later = [place[np.flatnonzero(j == k)] for k in range(1, int(n_blocks.max()))]
+        prior = [place[np.flatnonzero(j == k) - 1] for k in range(1, int(n_blocks.max()))]
+        for here, before in zip(later, prior, strict=True):
+            into[here] = np.logaddexp(into[before, 0, None] + whole[before, 0], into[before, 1, None] + whole[before, 1])
+        for here, before in zip(reversed(later), reversed(prior), strict=True):
+            after[before] = np.logaddexp(whole[here, :, 0] + after[here, 0, None], whole[here, :, 1] + after[here, 1, None])
     alpha, beta = np.zeros((len(good), 2)), np.zeros((len(good), 2))
-    for t in range(steps):
+    if steps:
+        alpha[at] = np.where(opens[:, None], first, _through(into, move) + evidence[at])
+        beta[at + ranked - 1] = after
+    for t in range(1, steps):
         k = at[: live[t]] + t
-        if t == 0:
-            alpha[k, 1] = begin + good[k]
-        else:
-            before = alpha[k - 1]
-            alpha[k, 0] = np.logaddexp(before[:, 0] + move[0, 0], before[:, 1] + move[1, 0])
-            alpha[k, 1] = np.logaddexp(before[:, 0] + move[0, 1], before[:, 1] + move[1, 1]) + good[k]
+        alpha[k] = _through(alpha[k - 1], move) + evidence[k]
     for t in range(steps - 2, -1, -1):
         k = at[: live[t + 1]] + t
-        b0, b1 = beta[k + 1, 0], beta[k + 1, 1] + good[k + 1]
-        beta[k, 0] = np.logaddexp(move[0, 0] + b0, move[0, 1] + b1)
-        beta[k, 1] = np.logaddexp(move[1, 0] + b0, move[1, 1] + b1)
+        beta[k] = _through(beta[k + 1] + evidence[k + 1], move.T)
     both = alpha + beta
     marginal = sigmoid(both[:, 1] - both[:, 0])
     norm = np.logaddexp(both[:, 0], both[:, 1])

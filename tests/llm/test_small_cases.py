@@ -345,6 +345,12 @@ def test_forward_backward_equals_enumeration():
     size = np.array([3, 0, 1, 5])
     good = rng.normal(size=size.sum())
     marginal, moved = quality_crf.forward_backward(good, size, move, begin)
+    for block in (1, 2, 3, 4):
+        again = quality_crf.forward_backward(good, size, move, begin, block)
+        assert np.allclose(again[0], marginal) and np.allclose(again[1], moved), block
+    long = rng.normal(size=200_000)
+    whole, parts = (quality_crf.forward_backward(long, np.array([150_000, 0, 50_000]), move, begin, b)[0] for b in (200_000, 512))
+    assert np.allclose(whole, parts)
     at = 0
     for d, n in enumerate(size):
         total, one, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
