@@ -8,7 +8,10 @@
 4. decontamination: documents with a window of a benchmark item go;
 5. sentencepiece: ids of what is left.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents, whatever else ``docs`` has.  A null
+text counts as an empty one: the quality model judges it like a text without lines, and what is left of it stays null.
+Null ids are no group: such rows are judged and cut like others and merged only if their texts are equal.  Empty tables
+pass through as such.
 """
 
 from __future__ import annotations
@@ -32,25 +35,29 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the line model accepts.  Repeated rows share a verdict; without labels of both kinds all stay."""
     model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
     return quality_crf.accepted(docs.select(*COLUMNS), model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group, once for each of its texts; of rows with no id, one for each text."""
     return _only(docs.select(*COLUMNS), near_dedup.near_duplicates(docs).where("kept")).dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with repeated passages cut out and n_chars to match; texts that lose nothing stay as they are."""
     return substring_dedup.without_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Stored before the filter, which Spark would else push into the projection with all it is computed from, word by word.
-    judged = stored(decontaminate.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS, "contaminated"), "judged")
+    """The rows without a window of a benchmark item; all of them if the benchmark is empty.  Repeated rows share a verdict."""
+    judged = decontaminate.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return judged.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and exact of each row; none for an empty text."""
     return sentencepiece_codec.encode(docs)
 
 
