@@ -30,21 +30,21 @@ TRANSACTIONS = """SELECT CAST(c_nationkey AS INT) AS household_id, o_orderkey AS
  FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN (SELECT c_nationkey AS nation, min(c_custkey) AS hub FROM {customer} WHERE c_custkey % 10 > 3 AND c_custkey % 17 <> 0 GROUP BY c_nationkey) AS h ON nation = c_nationkey WHERE o_orderkey % 40 = 3 AND o_custkey <> hub"""
 
 #: Sparse balances: the day's largest value of a user's events, on the account of the same number.
-SNAPSHOTS = """SELECT user_id % 1500 + 1 AS account_id, CAST(ts AS DATE) AS captured_on, CAST(max(value) AS DECIMAL(14,2)) AS balance FROM {events} GROUP BY 1, 2"""
+SNAPSHOTS = """SELECT user_id + 1 AS account_id, CAST(ts AS DATE) AS captured_on, CAST(max(value) AS DECIMAL(14,2)) AS balance FROM {events} GROUP BY 1, 2"""
 
-#: Monthly assignments by flag and status of line items, in households of the ship mode's day.
-ASSIGNMENTS = """SELECT CAST(l_suppkey % 10 AS INT) AS household_id, l_returnflag || l_linestatus AS category, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(sum(floor(l_quantity)) AS DECIMAL(12,2)) AS assigned,
+#: Monthly assignments by flag and status of line items, in households of the suppliers.
+ASSIGNMENTS = """SELECT CAST(l_suppkey AS INT) AS household_id, l_returnflag || l_linestatus AS category, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(sum(floor(l_quantity)) AS DECIMAL(12,2)) AS assigned,
  CAST(CASE WHEN min(l_linenumber) = 1 AND count(*) % 5 = 0 THEN 900 END AS DECIMAL(12,2)) AS target_override FROM {lineitem} WHERE l_linenumber < 4 GROUP BY 1, 2, 3"""
-ENVELOPE_SPENDING = """SELECT CAST(l_suppkey % 10 AS INT) AS household_id, l_returnflag || l_linestatus AS category, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(sum(floor(l_quantity)) AS DECIMAL(14,2)) AS spent FROM {lineitem} WHERE l_linenumber >= 4 GROUP BY 1, 2, 3"""
-SETTINGS = """SELECT DISTINCT CAST(l_suppkey % 10 AS INT) AS household_id, l_returnflag || l_linestatus AS category, CAST(CASE WHEN l_suppkey % 10 <> 4 THEN 1200 END AS DECIMAL(12,2)) AS target,
+ENVELOPE_SPENDING = """SELECT CAST(l_suppkey AS INT) AS household_id, l_returnflag || l_linestatus AS category, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(sum(floor(l_quantity)) AS DECIMAL(14,2)) AS spent FROM {lineitem} WHERE l_linenumber >= 4 GROUP BY 1, 2, 3"""
+SETTINGS = """SELECT DISTINCT CAST(l_suppkey AS INT) AS household_id, l_returnflag || l_linestatus AS category, CAST(CASE WHEN l_suppkey % 10 <> 4 THEN 1200 END AS DECIMAL(12,2)) AS target,
  CASE WHEN l_suppkey % 2 = 0 THEN 'monthly' ELSE 'by_date' END AS target_kind, CAST('1996-12-15' AS DATE) AS target_date, l_returnflag <> 'N' AS rollover FROM {lineitem} WHERE l_returnflag <> 'A' OR l_suppkey % 10 > 2"""
 
-#: Monthly charges on a fixed day, with a last one 6 % dearer for every third merchant.
-SERIES = """SELECT CAST(o_custkey % 15 AS INT) AS household_id, max(o_orderkey) AS id, o_custkey % 60 AS account_id, 'Stream ' || chr(CAST(65 + o_custkey % 15 AS INT)) || chr(CAST(65 + (o_custkey / 1 % 60 - o_custkey % 15) / 15 AS INT)) || ' #' || CAST(max(o_orderkey) % 100 AS STRING) AS merchant_name, CAST('' AS STRING) AS description,
+#: Monthly charges on a fixed day of groups of ten customers, with a last one 6 % dearer for every third merchant.
+SERIES = """SELECT CAST(o_custkey % 15 + 15 * floor(o_custkey / 600) AS INT) AS household_id, max(o_orderkey) AS id, o_custkey % 60 AS account_id, 'Stream ' || chr(CAST(65 + o_custkey % 15 AS INT)) || chr(CAST(65 + (o_custkey / 1 % 60 - o_custkey % 15) / 15 AS INT)) || ' #' || CAST(max(o_orderkey) % 100 AS STRING) AS merchant_name, CAST('' AS STRING) AS description,
  CAST(date_trunc('month', o_orderdate) AS DATE) AS transaction_date, CAST(10 + o_custkey % 60 + CASE WHEN o_custkey % 60 % 3 = 0 AND max(o_orderdate) >= TIMESTAMP '1998-06-01' THEN 3 ELSE 0 END AS DECIMAL(14,2)) AS amount, 'Media' AS category
- FROM {orders} GROUP BY o_custkey % 15, o_custkey % 60, CAST(date_trunc('month', o_orderdate) AS DATE), 'Stream ' || chr(CAST(65 + o_custkey % 15 AS INT)) || chr(CAST(65 + (o_custkey / 1 % 60 - o_custkey % 15) / 15 AS INT)), date_trunc('month', o_orderdate)"""
+ FROM {orders} GROUP BY o_custkey % 15, floor(o_custkey / 600), o_custkey % 60, CAST(date_trunc('month', o_orderdate) AS DATE), 'Stream ' || chr(CAST(65 + o_custkey % 15 AS INT)) || chr(CAST(65 + (o_custkey / 1 % 60 - o_custkey % 15) / 15 AS INT)), date_trunc('month', o_orderdate)"""
 
-MILEAGE = """SELECT CAST(l_suppkey % 10 AS INT) AS household_id, CAST(l_shipdate + INTERVAL 28 YEAR AS DATE) AS on_date, CAST(l_quantity AS DECIMAL(7,1)) AS miles FROM {lineitem}"""
+MILEAGE = """SELECT CAST(l_suppkey AS INT) AS household_id, CAST(l_shipdate + INTERVAL 28 YEAR AS DATE) AS on_date, CAST(l_quantity AS DECIMAL(7,1)) AS miles FROM {lineitem}"""
 EXPECTED = """SELECT CAST(c_nationkey AS INT) AS household_id, o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'K' || CAST(o_custkey % 9 AS STRING) END AS recurring_key, CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS BIGINT) ELSE o_custkey END AS account_id,
  'VENDOR ' || CAST(o_orderkey % 50 AS STRING) || ' MARKET' AS description, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE substr(o_orderpriority, 3) END AS category, CAST(floor(o_totalprice / 1000) + 1 AS DECIMAL(14,2)) AS amount, CAST(o_orderdate + INTERVAL 2 DAY AS DATE) AS due_date,
  CASE o_orderkey % 4 WHEN 0 THEN 'weekly' WHEN 1 THEN 'monthly' WHEN 2 THEN 'annual' ELSE 'once' END AS cadence, CASE o_orderkey % 5 WHEN 0 THEN 'matched' WHEN 1 THEN 'dismissed' ELSE 'pending' END AS status FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
