@@ -182,6 +182,28 @@ def match(expected: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
+def add(expected: DataFrame, new: DataFrame) -> DataFrame:
+    """``expected`` with the rows of ``new`` that nothing pending covers already."""
+    taken = duplicates(new, expected).select(*BY, "id")
+    return expected.unionByName(new.join(taken, [*BY, "id"], "left_anti").select(*expected.columns))
+
+
+def settle(expected: DataFrame, matched: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """``expected`` with pending rows (household_id, id) marked as matched or dismissed, by hand or by ``match``.
+
+    What recurs and was matched is put in again for its next date, with no id yet, unless something pending covers that.
+    """
+    mark = lambda df, name: df.select(*BY, "id").distinct().withColumn(f"_{name}", F.lit(True))
+    rows = expected.join(mark(matched, "matched"), [*BY, "id"], "left").join(mark(dismissed, "dismissed"), [*BY, "id"], "left")
+    open_ = F.col("status") == "pending"
+    rows = rows.withColumn("_now", open_ & F.coalesce("_matched", F.lit(False))).withColumn("status", F.when(F.col("_now"), "matched").when(open_ & F.coalesce("_dismissed", F.lit(False)), "dismissed").otherwise(F.col("status")))
+    kept = rows.select(*expected.columns)
+    following = rows.where("_now").withColumn("due_date", roll_forward(F.col("due_date"), F.col("cadence"))).where("due_date is not null").withColumn("status", F.lit("pending"))
+    taken = duplicates(following.select(*expected.columns), kept).select(*BY, "id")
+    fresh = following.join(taken, [*BY, "id"], "left_anti").withColumn("id", F.lit(None).cast(dict(expected.dtypes)["id"]))
+    return kept.unionByName(fresh.select(*expected.columns))
+
+
 def duplicates(fields: DataFrame, existing: DataFrame) -> DataFrame:
     """The rows of ``fields`` that an expectation pending already covers: the same recurring key, due within days of it."""
     held = existing.where("status = 'pending'").select(*BY, "recurring_key", F.col("due_date").alias("held_due"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import amount
-from ..operators import balances, chats, envelopes, importing, manual, report, rules
+from ..operators import balances, chats, envelopes, importing, manual, recurring, report, rules
 from ..sources import feed, statement_csv, statement_runs
 from . import fixture
 from .more import _book
@@ -185,6 +185,21 @@ def queries() -> dict:
     def moved(s: SparkSession, d: str) -> DataFrame:
         return envelopes.move(fixture.load(s, d, "assignments").where("month = date'1996-05-01'"), "AF", "RF", 12.34)
 
+    def settled(s: SparkSession, d: str) -> DataFrame:
+        e = fixture.load(s, d, "expected")
+        done = recurring.settle(e, e.where("id % 7 = 1"), e.where("id % 7 = 2"))
+        return done.select("household_id", "id", "recurring_key", "account_id", "due_date", "cadence", "status")
+
+    def added(s: SparkSession, d: str) -> DataFrame:
+        e = fixture.load(s, d, "expected")
+        new = e.where("id % 3 = 0").select(*((col("id") + 20_000_000_000).alias("id") if c == "id" else F.date_add("due_date", 1).alias("due_date") if c == "due_date" else lit("pending").alias("status") if c == "status" else col(c) for c in e.columns))
+        return recurring.add(e, new).select("household_id", "id", "due_date", "status")
+
+    def institutions(s: SparkSession, d: str) -> DataFrame:
+        f = fixture.load(s, d, "feeds")
+        held = f.select("household_id", col("org").alias("org_key")).distinct().where("household_id % 3 <> 0").select("*", (col("household_id") + 100).alias("institution_id"), (col("household_id") % 3 == 1).alias("disabled"))
+        return feed.resolve_institutions(held, f.select("household_id", col("org").alias("org_key")))
+
     def text_cells(s: SparkSession, d: str) -> DataFrame:
         """Each cell's date and money as they are read."""
         c = fixture.load(s, d, "cells")
@@ -202,12 +217,12 @@ def queries() -> dict:
         "A19_A20_J03_statement_files": cells_of_files, "J03_I14_statement_rows": built_of_files, "A28_file_batches": batches, "A22_A23_printed_cells": printed_cells, "A26_I12_I13_I37_printed_rows": printed_rows, "I25_section_headings": sections,
         "A34_A35_A37_feed_messages_v2": messages, "A31_A32_feed_banks_v2": banks, "B10_manual_accounts": made_accounts, "B10_manual_balances": hand_balances, "B10_manual_transactions": hand_rows, "B18_entity_edits": entities, "B22_claims": claims,
         "C21_type_labels": labels, "C14_stale_balances": stale, "J04_overlap_from": boundaries, "I33_duplicate_names": names_taken, "B17_move_proof": proof, "K04_envelope_rows": topped, "K04_envelope_groups": envelope_groups, "K04_fund_needs": needs,
-        "I27_chat_turns": kept_turns, "I40_saved_chats": shelves, "M18_A40_report": report_text, "F04_ready_to_assign": ready, "F05_B08_move": moved, "I09_I11_cells": text_cells, "I05_I07_wording": worded, "C22_K07_debt_measures": free,
+        "I27_chat_turns": kept_turns, "I40_saved_chats": shelves, "M18_A40_report": report_text, "F04_ready_to_assign": ready, "F05_B08_move": moved, "B11_J07_settled": settled, "B11_added": added, "B03_institutions": institutions, "I09_I11_cells": text_cells, "I05_I07_wording": worded, "C22_K07_debt_measures": free,
     }
 
 
 def _sql() -> dict[str, str]:
-    from .oracles import _CELLS, _GUARD, _LEARNED, SQL as core
+    from .oracles import _DUE, _GUARD, _LEARNED, SQL as core
 
     ledger = ("accounts", "transactions")
     file_cells = f"fc AS (SELECT household_id, account_id, CAST(3 + row_number() OVER (PARTITION BY household_id, account_id ORDER BY row) AS INT) AS row, date_cell, {_SAID} AS description_cell, CASE WHEN account_id % 2 = 0 THEN CASE WHEN row % 2 = 0 THEN amount_cell ELSE '' END END AS debit_cell, CASE WHEN account_id % 2 = 0 THEN CASE WHEN row % 2 = 0 THEN '' ELSE amount_cell END END AS credit_cell, CASE WHEN account_id % 2 = 1 THEN amount_cell END AS amount_cell FROM cells)"
@@ -264,6 +279,9 @@ def _sql() -> dict[str, str]:
         "M18_A40_report": _q("SELECT household_id, string_agg(line, chr(10) ORDER BY section, rank) AS text FROM ln GROUP BY 1", *ledger, "expected", then=rows(range_) + ", " + _DEBTS + ", " + lines),
         "F04_ready_to_assign": _q("SELECT household_id, round(income - assigned, 2) AS ready FROM (SELECT household_id, round(sum(assigned), 2) AS assigned FROM walked WHERE assigned <> 0 OR rolled_over <> 0 OR coalesce(target_override, target) IS NOT NULL GROUP BY 1) LEFT JOIN (SELECT DISTINCT household_id, 5000.0::DOUBLE AS income FROM settings WHERE household_id % 3 <> 0) USING (household_id)", *envelopes_, then=_WALK),
         "F05_B08_move": _q("SELECT household_id, c AS category, floor(CAST(CASE WHEN c = 'AF' THEN a - 12.34 ELSE coalesce(b, 0) + 12.34 END AS DOUBLE) * 100 + 0.5) / 100 AS assigned FROM (SELECT household_id, sum(assigned) FILTER (WHERE category = 'AF') AS a, sum(assigned) FILTER (WHERE category = 'RF') AS b FROM assignments WHERE month = DATE '1996-05-01' GROUP BY 1) CROSS JOIN (VALUES ('AF'), ('RF')) x(c) WHERE a IS NOT NULL", "assignments"),
+        "B11_J07_settled": _q("SELECT household_id, id, recurring_key, account_id, due_date, cadence, status FROM kept UNION ALL SELECT household_id, NULL, recurring_key, account_id, nd, cadence, 'pending' FROM nx WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.status = 'pending' AND k.household_id = nx.household_id AND k.recurring_key = nx.recurring_key AND abs(datediff('day', k.due_date, nx.nd)) <= CASE nx.cadence WHEN 'weekly' THEN 2 WHEN 'monthly' THEN 4 WHEN 'annual' THEN 15 ELSE 0 END)", "expected", then=f"kept AS (SELECT * REPLACE (CASE WHEN status = 'pending' AND id % 7 = 1 THEN 'matched' WHEN status = 'pending' AND id % 7 = 2 THEN 'dismissed' ELSE status END AS status) FROM expected), nx AS (SELECT * FROM (SELECT *, {_DUE} AS nd FROM expected WHERE status = 'pending' AND id % 7 = 1) WHERE nd IS NOT NULL)"),
+        "B11_added": _q("SELECT household_id, id, due_date, status FROM expected UNION ALL SELECT household_id, id + 20000000000, due_date + 1, 'pending' FROM expected n WHERE id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM expected k WHERE k.status = 'pending' AND k.household_id = n.household_id AND k.recurring_key = n.recurring_key AND abs(datediff('day', k.due_date, n.due_date + 1)) <= CASE n.cadence WHEN 'weekly' THEN 2 WHEN 'monthly' THEN 4 WHEN 'annual' THEN 15 ELSE 0 END)", "expected"),
+        "B03_institutions": _q("SELECT household_id, org AS org_key, CASE WHEN household_id % 3 = 2 THEN household_id + 100 END AS institution_id, household_id % 3 = 0 AS fresh FROM (SELECT DISTINCT household_id, org FROM feeds) WHERE household_id % 3 <> 1", "feeds"),
         "I09_I11_cells": _q("SELECT household_id, account_id, row, CASE WHEN regexp_full_match(d, '\\d{4}-\\d{2}-\\d{2}') THEN try_cast(d AS DATE) WHEN d LIKE '%/%' THEN try_cast(split_part(d, '/', 3) || '-' || lpad(split_part(d, '/', 1), 2, '0') || '-' || lpad(split_part(d, '/', 2), 2, '0') AS DATE) END AS date, CAST(CASE WHEN starts_with(t, '(') THEN -n ELSE n END AS DOUBLE) AS money FROM (SELECT *, trim(date_cell) AS d, trim(amount_cell) AS t, try_cast(regexp_replace(trim(amount_cell), '[$()]', '', 'g') AS DECIMAL(18,4)) AS n FROM cells)", "cells"),
         "I05_I07_wording": _q(f"SELECT household_id, id, CASE WHEN coalesce(account_type = 'credit' AND amount > 0, false) OR {_m('description', rules.CARD_WORD)} OR NOT {_m('description', rules.TRANSFER)} THEN '' WHEN amount > 0 THEN 'TRANSFER_OUT' WHEN amount < 0 THEN 'TRANSFER_IN' ELSE '' END AS raw, {_GUARD} AS guarded FROM vb", *ledger, then=rows("true", False)),
         "C22_K07_debt_measures": _q("SELECT household_id, count(*) FILTER (WHERE mortgage) AS mortgages, count(utilisation) AS cards, round(max(utilisation), 6) AS most_used, round(sum(progress), 4) AS progress FROM debts GROUP BY 1", "accounts", then=_DEBTS),

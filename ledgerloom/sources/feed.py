@@ -105,6 +105,15 @@ def _org(org: Column) -> Column:
     return F.coalesce(present(org["id"]), present(F.lower(org["domain"])), present(_host(org["url"])), present(org["name"]))
 
 
+def resolve_institutions(held: DataFrame, orgs: DataFrame) -> DataFrame:
+    """household_id, org_key, institution_id and fresh (to be inserted) of the banks of a pull; those that are held as disabled are left out.
+
+    held: household_id, org_key, institution_id, disabled; orgs: household_id, org_key.
+    """
+    both = orgs.where("org_key is not null").select("household_id", "org_key").distinct().join(held.select("household_id", "org_key", "institution_id", "disabled"), ["household_id", "org_key"], "left")
+    return both.where(~F.coalesce("disabled", F.lit(False))).select("household_id", "org_key", "institution_id", F.col("institution_id").isNull().alias("fresh"))
+
+
 def feed_accounts(feeds: DataFrame) -> DataFrame:
     """A row per account of household_id and feed."""
     a = F.col("a")
