@@ -163,7 +163,7 @@ SQL: dict[str, str] = {
     "D15_coverage_gaps": _q("SELECT a.household_id, a.account_id, f AS served_from FROM accounts a JOIN (SELECT account_id, min(date) AS f FROM transactions GROUP BY 1) t USING (account_id) WHERE f BETWEEN created_on - 88 AND created_on + 7", *_LEDGER),
     "D06_classify": _q(f"SELECT household_id, k.id, CASE WHEN coalesce(account_type = 'credit' AND amount > 0, false) OR {_m('description', T.CARD_WORD)} OR NOT {_m('description', T.TRANSFER)} THEN '' WHEN amount > 0 THEN 'TRANSFER_OUT' WHEN amount < 0 THEN 'TRANSFER_IN' ELSE '' END AS raw_category, CASE WHEN {_GUARD} THEN 'Transfers and card payments' ELSE coalesce(learned, 'Uncategorized') END AS mapped_category FROM k LEFT JOIN best ON k.id = best.id", *_LEDGER, "rules", then=rows("true", False) + ", " + _LEARNED.format(source="vb")),
     "B07_M17_rule_matches": _q(f"SELECT household_id, rule_key AS merchant_key, CAST(rule_amount AS DOUBLE) AS amount, learned AS category, count(*) AS matched, count(*) FILTER (WHERE learned <> coalesce(mapped_category, '')) AS changed FROM k JOIN best ON k.id = best.id WHERE NOT {_GUARD} AND coalesce(user_category, '') = '' GROUP BY 1, 2, 3, 4", *_LEDGER, "rules", then="every AS (SELECT t.*, a.type AS account_type FROM transactions t JOIN accounts a USING (account_id)), " + _LEARNED.format(source="every")),
-    "C18_M14_search": _q("SELECT id, date, CAST(amount AS DOUBLE) AS amount, (SELECT count(*) FROM hits) > 60 AS has_more FROM hits ORDER BY date DESC, id DESC LIMIT 50 OFFSET 10", *_LEDGER, then=rows("true", False) + ", hits AS (SELECT * FROM vb WHERE contains(lower(concat_ws(chr(10), description, merchant_name, user_description)), 'vendor 1') AND abs(amount) BETWEEN 10 AND 100 AND year(date) = 1995)"),
+    "C18_M14_search": _q("SELECT id, date, CAST(amount AS DOUBLE) AS amount, (SELECT count(*) FROM hits) > 52 AS has_more FROM hits ORDER BY date DESC, id DESC LIMIT 50 OFFSET 2", *_LEDGER, then=rows("true", False) + ", hits AS (SELECT * FROM vb WHERE contains(lower(concat_ws(chr(10), description, merchant_name, user_description)), 'vendor 1') AND abs(amount) BETWEEN 10 AND 200 AND year(date) BETWEEN 1995 AND 1997)"),
     "E11_schedule_lines": _q("SELECT * FROM lines", *_LEDGER, then=_TAX + ", " + _LINES),
     "E11_schedule_summary": _q("SELECT household_id, entity_id, CAST(rents AS DOUBLE) AS rents, CAST(defaulted AS DOUBLE) AS defaulted, CAST(expenses AS DOUBLE) AS expenses, CAST(unmapped AS DOUBLE) AS unmapped, CAST(capital AS DOUBLE) AS capital, rents_count, defaulted_count, CAST(rents - expenses AS DOUBLE) AS net FROM (SELECT household_id, entity_id, sum(CASE WHEN route IN ('rents', 'defaulted') THEN -amount ELSE 0 END) AS rents, count(*) FILTER (WHERE route IN ('rents', 'defaulted')) AS rents_count, sum(CASE WHEN route = 'defaulted' THEN -amount ELSE 0 END) AS defaulted, count(*) FILTER (WHERE route = 'defaulted') AS defaulted_count, sum(CASE WHEN route = 'line' THEN amount ELSE 0 END) AS expenses, sum(CASE WHEN route = 'unmapped' THEN amount ELSE 0 END) AS unmapped, sum(CASE WHEN route = 'capital' THEN amount ELSE 0 END) AS capital FROM routed GROUP BY 1, 2)", *_LEDGER, then=_TAX),
     "E11_unmapped": _q("SELECT household_id, entity_id, category, CAST(sum(amount) AS DOUBLE) AS total, count(*) AS count FROM routed WHERE route = 'unmapped' GROUP BY 1, 2, 3", *_LEDGER, then=_TAX),

@@ -86,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     def found(spark: SparkSession, sf: str) -> DataFrame:
         rows = ledger(spark, sf).visible()
-        return importing.search(rows, "vendor 1", least=10, most=100, start="1995-01-01", end="1995-12-31", limit=50, offset=10).select("id", "date", amount(F.col("amount")).alias("amount"), "has_more")
+        return importing.search(rows, "vendor 1", least=10, most=200, start="1995-01-01", end="1997-12-31", limit=50, offset=2).select("id", "date", amount(F.col("amount")).alias("amount"), "has_more")
 
     def snapshots(spark: SparkSession, sf: str, **how: object) -> DataFrame:
         book = ledger(spark, sf)
