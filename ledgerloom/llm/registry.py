@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, near_dedup, quality_crf, quality_rules, sentencepiece_codec, sharding, substring_dedup, toxicity, warc
+from . import conversations, decontaminate, html_extract, language_id, near_dedup, quality_crf, quality_rules, sentencepiece_codec, sharding, substring_dedup, toxicity, variants, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
+        "op12_language_id": language_id.op12_language_id,
+        "op13_spelling_variants": variants.op13_spelling_variants,
     }
 
 
