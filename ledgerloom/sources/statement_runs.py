@@ -1,7 +1,7 @@
 """Statements as positioned text: runs become lines, lines become cells, and dates without a year get the statement's.
 
 A run is a row of a file: page, x, y, w, h and text.  Pages are grouped by file and page, files by their keys; nothing larger
-than a page is folded in one row.
+than a page is held at a time.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grouped import apply_in_groups
+
 #: Points that runs of one line are apart at most.
 Y_TOLERANCE = 3.0
 #: Days that a statement's dates may lie outside its period, and a period's greatest length.
@@ -113,18 +115,27 @@ def section(text: Column) -> Column:
 
 
 def lined(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """``runs`` (keys, page, x, y, w, h, text) with line: from the top, a run joins the line before while it is near that line's mean height."""
-    page = runs.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "w", "h", "text"))).alias("runs"))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("y"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("lines"))
-
-    def place(s: Column, r: Column) -> Column:
-        same = (s["n"] > 0) & (F.abs(r["y"] - s["y"]) <= Y_TOLERANCE)
-        line, n = F.when(same, s["line"]).otherwise(s["line"] + 1), F.when(same, s["n"] + 1).otherwise(1)
-        y = F.when(same, (s["y"] * s["n"] + r["y"]) / (s["n"] + 1)).otherwise(r["y"].cast("double"))
-        return F.struct(line.alias("line"), y.alias("y"), n.alias("n"), F.concat(s["lines"], F.array(line)).alias("lines"))
-
-    at = page.withColumn("lines", F.aggregate("runs", start, place)["lines"])
-    return at.select(*keys, "page", F.inline(F.arrays_zip("runs", "lines"))).select(*keys, "page", F.col("lines").alias("line"), "runs.*")
+    """``runs`` (keys, page, x, y, w, h, text, and width of the page where there is one) with line: from the top, a run joins the line before while it is near that line's mean height.
+
+    Pages stream through tasks, one at a time.
+    """
+    names = [*keys, "page", "y", "x", "w", "h", "text", *(c for c in ("width",) if c in runs.columns)]
+    y, x = names.index("y"), names.index("x")
+    kinds = dict(runs.dtypes)
+
+    def place(page: list[tuple]) -> list[tuple]:
+        out, line, mean, n = [], -1, 0.0, 0
+        for run in sorted(page, key=lambda r: (r[y], r[x])):
+            if n and abs(run[y] - mean) <= Y_TOLERANCE:
+                n += 1
+                mean = (mean * (n - 1) + run[y]) / n
+            else:
+                line, mean, n = line + 1, run[y], 1
+            out.append((*run, line))
+        return out
+
+    rows = runs.where("x is not null and y is not null").select(*names)
+    return apply_in_groups(rows, [*keys, "page"], place, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", line int").select(*keys, "page", "line", *names[len(keys) + 1 :])
 
 
 def _joined(*extra: Column) -> list[Column]:
