@@ -45,7 +45,7 @@ def _runs(s: SparkSession, d: str) -> DataFrame:
     end = F.when(second & (col("way") == "out"), 440).otherwise(560)
     row = F.array(run(40, y, date), run(left, y, col("description")), run(end - 5 * F.length(money), y, money))
     posted = F.array(run(110, y, F.date_format(F.date_add("date", 1), "M/d/yyyy")))
-    wraps = F.concat(F.when(col("id") % 4 == 1, F.array(run(left + 2, y + 13.2, F.concat(lit("Ref "), col("id").cast("string"))))).otherwise(F.array()), F.when(col("id") % 8 == 5, F.array(run(left, y + 26.4, "Preauthorized payment"))).otherwise(F.array()))
+    wraps = F.concat(F.when(col("id") % 4 == 1, F.array(run(left + 2, y + 13.2, F.concat(lit("Ref "), col("id").cast("string"))))).otherwise(F.array()), F.when(col("id") % 8 == 5, F.array(run(left, y + 26.4, "Corner of Main Street"))).otherwise(F.array()))
     heading = F.when(first, F.when(col("way") == "in", "Deposits and Credits").otherwise("Electronic Withdrawals")).otherwise(F.when(col("way") == "in", "Payments and Credits").otherwise("Purchases"))
     printed = F.when(col("kind") == 0, F.array(run(40, y, heading))).when(col("kind") == 2, F.array(run(40, y, "Total of these"), run(560 - 5 * F.length(money), y, money))).otherwise(F.concat(row, F.when(pair, posted).otherwise(F.array()), wraps))
     body = items.select(*KEYS, F.inline(printed))
@@ -101,7 +101,7 @@ ex AS (SELECT household_id, account_id, month, layout, greatest(CASE WHEN layout
     layouts = f"""lay AS (SELECT household_id, account_id, month, layout, has_in AND has_out AS two, CASE layout WHEN 0 THEN concat_ws(' ', {cut("d1", "l")}, {cut("r", "m")}) WHEN 1 THEN concat_ws(' ', {cut("d1", "l")}, {cut("r", "w")}, {cut("we", "c")}) ELSE concat_ws(' ', {cut("d1", "110")}, {cut("d2", "l")}, {cut("r", "m")}) END AS boundaries,
  CASE WHEN layout = 0 THEN 'date description amount' WHEN layout = 2 THEN 'date date2 description amount' WHEN has_in AND has_out THEN 'date description debit credit' WHEN has_out THEN 'date description amount ignore' ELSE 'date description ignore amount' END AS roles,
  CASE WHEN layout = 2 THEN 'date2' ELSE 'date' END AS date_role, CASE WHEN layout = 1 AND has_in AND has_out THEN 'debitcredit' ELSE 'signed' END AS amount_mode, CASE layout WHEN 0 THEN 'Date Description Amount' WHEN 1 THEN 'Date Description Withdrawals Deposits' ELSE 'Trans Date Post Date Description Amount' END AS start_anchor FROM ex)"""
-    table = f"""tr AS (SELECT it.*, lay.two, amount_mode, CASE WHEN layout = 2 THEN date + 1 ELSE date END AS said, description || CASE WHEN id % 4 = 1 THEN ' Ref ' || id ELSE '' END || CASE WHEN id % 8 = 5 AND slot % {PAGE_ROWS} <> {PAGE_ROWS - 1} THEN ' Preauthorized payment' ELSE '' END AS whole, layout = 0 AND way = 'in' AND two AS flipped FROM it JOIN lay USING (household_id, account_id, month, layout))"""
+    table = f"""tr AS (SELECT it.*, lay.two, amount_mode, CASE WHEN layout = 2 THEN date + 1 ELSE date END AS said, description || CASE WHEN id % 4 = 1 THEN ' Ref ' || id ELSE '' END || CASE WHEN id % 8 = 5 AND slot % {PAGE_ROWS} <> {PAGE_ROWS - 1} THEN ' Corner of Main Street' ELSE '' END AS whole, layout = 0 AND way = 'in' AND two AS flipped FROM it JOIN lay USING (household_id, account_id, month, layout))"""
     then = ", ".join((parts, layouts, table))
     pair = "amount_mode = 'debitcredit'"
     return {
