@@ -24,6 +24,7 @@ TYPE_RULES = [
 ]
 CARD_ONLY = r"(?i)\b(american express|amex|discover|barclaycard|barclays|synchrony|comenity|credit one|first premier|bread financial)\b"
 # Wording of a bank's trouble and of notes about the range that was asked for; codes of such notes.
+ADVISORY_CODES, CAPPED_CODES = ["DATE_RANGE_EXCEEDED", "DATE_RANGE_RECOMMENDED"], ["DATE_RANGE_CAPPED", "DATE_RANGE_TRUNCATED"]
 TROUBLE = (
     r"(?i)\b(reconnect|authenticat\w*|credential\w*|password|login|logged\s+out|need(s|ed)?\s+attention|payment\s+required|subscription|expired|revoked|denied|mfa|multi-?factor|forbidden|unauthoriz\w*|locked"
     r"|suspend\w*|invalid|rate\s+limit|try\s+again|unavailable|timed?\s*out|error|fail\w*|unable\s+to)\b"
@@ -48,9 +49,6 @@ def stored_balance(kind: Column, balance: Column) -> Column:
     return F.when(kind.isin("credit", "loan"), F.abs(balance)).otherwise(balance)
 
 
-ADVISORY_CODES, CAPPED_CODES = ["DATE_RANGE_EXCEEDED", "DATE_RANGE_RECOMMENDED"], ["DATE_RANGE_CAPPED", "DATE_RANGE_TRUNCATED"]
-
-
 def message_kind(text: Column, code: Column | None = None, per_bank: Column | None = None) -> Column:
     """error, advisory or capped.
 
@@ -114,27 +112,42 @@ def resolve_institutions(held: DataFrame, orgs: DataFrame) -> DataFrame:
     return both.where(~F.coalesce("disabled", F.lit(False))).select("household_id", "org_key", "institution_id", F.col("institution_id").isNull().alias("fresh"))
 
 
-def feed_accounts(feeds: DataFrame) -> DataFrame:
-    """A row per account of household_id and feed."""
+def feed_accounts(feeds: DataFrame, *keep: str) -> DataFrame:
+    """A row per account of household_id and feed.  keep: other columns of ``feeds`` to go with it, and its place in the feed (nth)."""
     a = F.col("a")
-    rows = feeds.select("household_id", "feed.connections", F.explode("feed.accounts").alias("a")).withColumn("org", _bank(a, F.col("connections")))
+    rows = feeds.select("household_id", *keep, "feed.connections", F.posexplode("feed.accounts").alias("nth", "a")).withColumn("org", _bank(a, F.col("connections")))
     org = F.col("org")
     balance = a["balance"].try_cast("decimal(14,2)")
-    rows = rows.select("household_id", a["id"].alias("external_id"), a["name"].alias("name"), _org(org).alias("org_key"), account_type(a["name"], org["name"], balance).alias("k"), balance.alias("raw_balance"), a["balance-date"].alias("at")).where("external_id is not null and trim(external_id) != ''")
-    return rows.select("household_id", "external_id", "name", "org_key", "k.type", "k.subtype", "k.uncertain", stored_balance(F.col("k.type"), F.col("raw_balance")).alias("balance"), F.when(F.col("at") > 0, F.timestamp_seconds("at").cast("date")).alias("balance_on"))
+    more = [*keep, "nth", "currency", "raw_balance"] if keep else []
+    rows = rows.select("household_id", *keep, "nth", a["currency"].alias("currency"), a["id"].alias("external_id"), a["name"].alias("name"), _org(org).alias("org_key"), account_type(a["name"], org["name"], balance).alias("k"), balance.alias("raw_balance"), a["balance-date"].alias("at")).where("external_id is not null and trim(external_id) != ''")
+    return rows.select("household_id", "external_id", "name", "org_key", "k.type", "k.subtype", "k.uncertain", stored_balance(F.col("k.type"), F.col("raw_balance")).alias("balance"), F.when(F.col("at") > 0, F.timestamp_seconds("at").cast("date")).alias("balance_on"), *more)
 
 
-def feed_transactions(feeds: DataFrame) -> DataFrame:
-    """A row per transaction that has an id, an amount and a date; money out is positive here and negative in the feed."""
-    rows = feeds.select("household_id", F.explode("feed.accounts").alias("a")).select("household_id", F.col("a.id").alias("account"), F.explode("a.transactions").alias("t"))
+def feed_transactions(feeds: DataFrame, *keep: str) -> DataFrame:
+    """A row per transaction that has an id, an amount and a date; money out is positive here and negative in the feed.
+
+    keep: other columns of ``feeds`` to go with it, and its place in the feed (nth).
+    """
+    rows = feeds.select("household_id", *keep, F.posexplode("feed.accounts").alias("m", "a")).select("household_id", *keep, "m", F.col("a.id").alias("account"), F.posexplode("a.transactions").alias("n", "t"))
+    place = [*keep, F.struct("m", "n").alias("nth")] if keep else []
     when = F.coalesce(*(F.when(F.col(f"t.{c}") > 0, F.timestamp_seconds(F.col(f"t.{c}")).cast("date")) for c in ("posted", "transacted_at")))
     out = rows.select(
         "household_id", "account", F.trim("t.id").alias("external_id"), when.alias("date"), (-F.col("t.amount").try_cast("decimal(14,2)")).alias("amount"),
-        F.coalesce(present(F.col("t.description")), present(F.col("t.payee")), present(F.col("t.memo")), F.lit("")).alias("description"), F.coalesce("t.payee", F.lit("")).alias("merchant_name"), F.coalesce("t.pending", F.lit(False)).alias("pending"),
+        F.coalesce(present(F.col("t.description")), present(F.col("t.payee")), present(F.col("t.memo")), F.lit("")).alias("description"), F.coalesce("t.payee", F.lit("")).alias("merchant_name"), F.coalesce("t.pending", F.lit(False)).alias("pending"), *place,
     )
     return out.where("external_id != '' and amount is not null and date is not null")
 
 
+def account_sets(feeds: DataFrame) -> DataFrame:
+    """What each household's envelopes hold, in one pass: usable accounts (with an id), skipped ones, and transactions that can and can't be read."""
+    usable = lambda a: F.length(F.trim(F.coalesce(a["id"], F.lit("")))) > 0
+    accounts = F.filter("feed.accounts", lambda a: a.isNotNull())
+    rows = F.flatten(F.transform(F.filter(accounts, lambda a: usable(a) & a["transactions"].isNotNull()), lambda a: a["transactions"]))
+    readable = F.size(F.filter(rows, lambda t: (F.trim(t["id"]) != "") & t["amount"].try_cast("decimal(14,2)").isNotNull() & ((t["posted"] > 0) | (t["transacted_at"] > 0))))
+    n = lambda c: F.sum(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))).cast("long")
+    return feeds.groupBy("household_id").agg(n(F.size(F.filter(accounts, usable))).alias("usable"), n(F.size(F.filter(accounts, lambda a: ~usable(a)))).alias("skipped"), n(readable).alias("readable"), n(F.size(rows) - readable).alias("unreadable"))
+
+
 def window_start(last_pulled: Column, now: str, overlap: int = 30, floor: int = 730, reach: int = 88) -> Column:
     """First day to ask a feed for: a month before the last pull, within two years, within what the feed serves."""
     today = F.lit(now).cast("date")
