@@ -27,6 +27,11 @@ def display_balance(balance: Column, kind: Column) -> Column:
     return F.when(F.coalesce(is_debt(kind), F.lit(False)), -value).otherwise(value)
 
 
+def _account_keys(rows: DataFrame) -> list[str]:
+    """What tells an account in ``rows``: ids are unique within a household, and over all of them only in tables that name no household."""
+    return [*BY, "account_id"] if BY[0] in rows.columns else ["account_id"]
+
+
 def net_worth(snapshots: DataFrame, accounts: DataFrame, since: str | None = None, debts_only: bool = False) -> DataFrame:
     """A point per household and snapshot date: the sum of every account's last balance.
 
@@ -34,10 +39,10 @@ def net_worth(snapshots: DataFrame, accounts: DataFrame, since: str | None = Non
     window; no date meets every account.  since: points from that date and the one before it (or else the last).
     debts_only: what is owed, as stored.
     """
-    known = accounts.select(*BY, "account_id", "type")
-    rows = snapshots.select("account_id", "captured_on", "balance").join(known.where(is_debt(F.col("type"))) if debts_only else known, "account_id")
+    known, keys = accounts.select(*BY, "account_id", "type"), _account_keys(snapshots)
+    rows = snapshots.select(*keys, "captured_on", "balance").join(known.where(is_debt(F.col("type"))) if debts_only else known, keys)
     value = F.coalesce("balance", F.lit(0)) if debts_only else display_balance(F.col("balance"), F.col("type"))
-    before = F.lag("value").over(Window.partitionBy("account_id").orderBy("captured_on"))
+    before = F.lag("value").over(Window.partitionBy(*BY, "account_id").orderBy("captured_on"))
     change = rows.withColumn("value", value).withColumn("change", F.col("value") - F.coalesce(before, F.lit(0)))
     daily = change.groupBy(*BY, F.col("captured_on").alias("date")).agg(F.sum("change").alias("change"))
     order = Window.partitionBy(*BY).orderBy("date")
@@ -166,7 +171,7 @@ def payoff(accounts: DataFrame, strategy: str = "snowball", extra: float = 0.0)
     A plan's months follow each other, so each household's debts (a few rows) go to one grouped-pandas call.
     """
     ship(accounts.sparkSession)
-    ordered = debt_order(accounts, strategy).join(debts(accounts).select("account_id", F.coalesce("minimum_payment", F.lit(0.0)).alias("minimum")), "account_id")
+    ordered = debt_order(accounts, strategy).join(debts(accounts).select(*BY, "account_id", F.coalesce("minimum_payment", F.lit(0.0)).alias("minimum")), [*BY, "account_id"])
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("priority")

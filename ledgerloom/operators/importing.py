@@ -160,9 +160,10 @@ def upsert(held: DataFrame, new: DataFrame, keys: list[str], sent: list[str]) ->
 
 
 def changed_snapshots(accounts: DataFrame, pulled: DataFrame, on: str) -> DataFrame:
-    """A snapshot per account whose balance moved.  pulled: account_id, balance."""
-    moved = pulled.join(accounts.select("account_id", "current_balance"), "account_id").where(~F.col("balance").eqNullSafe(F.col("current_balance")))
-    return moved.select("account_id", F.lit(on).cast("date").alias("captured_on"), "balance")
+    """A snapshot per account whose balance moved.  pulled: household_id (where ids are unique within a household only), account_id, balance."""
+    keys = [k for k in BY if k in pulled.columns]
+    moved = pulled.join(accounts.select(*keys, "current_balance"), keys).where(~F.col("balance").eqNullSafe(F.col("current_balance")))
+    return moved.select(*keys, F.lit(on).cast("date").alias("captured_on"), "balance")
 
 
 def search(rows: DataFrame, query: str = "", least: float | None = None, most: float | None = None, start: str | None = None, end: str | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
@@ -195,6 +196,6 @@ def coverage(rows: DataFrame) -> DataFrame:
 
 def coverage_gaps(accounts: DataFrame, rows: DataFrame, reach: int = 88, grace: int = 7) -> DataFrame:
     """Feed accounts whose first row falls in what the feed could first reach.  accounts: account_id, created_on."""
-    first = rows.groupBy("account_id").agg(F.min("date").alias("served_from"))
-    both = accounts.select("household_id", "account_id", "created_on").join(first, "account_id")
+    first = rows.groupBy(*BY).agg(F.min("date").alias("served_from"))
+    both = accounts.select(*BY, "created_on").join(first, BY)
     return both.where((F.col("served_from") >= F.date_sub("created_on", reach)) & (F.col("served_from") <= F.date_add("created_on", grace))).select("household_id", "account_id", "served_from")

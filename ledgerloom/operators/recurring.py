@@ -204,6 +204,40 @@ def settle(expected: DataFrame, matched: DataFrame, dismissed: DataFrame) -> Dat
     return kept.unionByName(fresh.select(*expected.columns))
 
 
+#: Days before today in which a transaction can still settle a bill.
+LOOKBACK_DAYS = 95
+
+
+def settle_all(expected: DataFrame, rows: DataFrame, today: str) -> DataFrame:
+    """``expected`` (with matched_tx_id and origin) after matching and rolling forward until nothing changes.
+
+    What recurs and was matched goes on at its next date, and that is matched too, so that a backlog of cycles settles in one call.  Only dates that
+    were put in by the round before are matched in the next: of the others, what they could be was taken.  origin is the id of the row
+    that a next date goes back to; its own id is a hash of it.  Transactions that a settled row claims are out; a null matched_tx_id claims none.
+    """
+    day = F.lit(today).cast("date")
+    kind = dict(rows.dtypes)["id"]
+    table = expected if "matched_tx_id" in expected.columns else expected.withColumn("matched_tx_id", F.lit(None).cast(kind))
+    table = held(table.withColumn("origin", F.col("id")))
+    claimed = table.where("status = 'matched' and matched_tx_id is not null").select(*BY, F.col("matched_tx_id").alias("id"))
+    free = held(rows.where(F.col("date").between(F.date_sub(day, LOOKBACK_DAYS), day)).join(claimed, [*BY, "id"], "left_anti"))
+    fresh = table.where((F.col("status") == "pending") & F.col("due_date").between(F.date_sub(day, LOOKBACK_DAYS + 31), F.date_add(day, 31)))
+    for _ in range(LOOKBACK_DAYS // 7 + 2):  # each round takes a later cycle of what recurs
+        taken = held(match(fresh.drop("matched_tx_id"), free))
+        if taken.isEmpty():
+            break
+        marks = taken.select(*BY, F.col("expected_id").alias("id"), F.col("tx_id").alias("_tx"))
+        both = table.join(marks, [*BY, "id"], "left")
+        now = held(both.select(*(F.when(F.col("_tx").isNotNull(), F.lit("matched")).otherwise(F.col(c)).alias(c) if c == "status" else F.coalesce("_tx", c).alias(c) if c == "matched_tx_id" else F.col(c) for c in table.columns), F.col("_tx").isNotNull().alias("_now")))
+        onward = now.where("_now").withColumn("due_date", roll_forward(F.col("due_date"), F.col("cadence"))).where("due_date is not null")
+        onward = held(onward.withColumn("status", F.lit("pending")).withColumn("matched_tx_id", F.lit(None).cast(kind)).withColumn("id", F.abs(F.xxhash64("origin", "due_date")).cast(dict(expected.dtypes)["id"])).select(*table.columns))
+        covered = duplicates(onward, now).select(*BY, "id")
+        fresh = held(onward.join(covered, [*BY, "id"], "left_anti"))
+        table = held(now.select(*table.columns).unionByName(fresh))
+        free = held(free.join(taken.select(*BY, F.col("tx_id").alias("id")), [*BY, "id"], "left_anti"))
+    return table
+
+
 def duplicates(fields: DataFrame, existing: DataFrame) -> DataFrame:
     """The rows of ``fields`` that an expectation pending already covers: the same recurring key, due within days of it."""
     held = existing.where("status = 'pending'").select(*BY, "recurring_key", F.col("due_date").alias("held_due"))

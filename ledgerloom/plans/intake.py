@@ -22,6 +22,11 @@ _SAID = """CASE WHEN row % 8 = 0 THEN description_cell || ', "Inc"' || chr(10) |
 _PRINTED = """SELECT CAST(c_nationkey AS INT) AS household_id, o_custkey AS account_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(o_orderdate AS DATE) AS date, o_orderkey AS id, 'Vendor ' || CAST(o_orderkey % 50 AS STRING) AS description,
  CAST(floor(o_totalprice) AS BIGINT) AS dollars FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
 fixture.ALL["printed"] = _PRINTED
+#: Weekly bills of every account, of which none to five cycles were paid, a day early or late.
+fixture.ALL["paid"] = """SELECT CAST(c_nationkey AS INT) AS household_id, c_custkey * 10 + j AS id, c_custkey AS account_id, CAST(DATE '1996-03-01' + CAST(c_custkey % 5 + 7 * j + (c_custkey + j) % 3 - 1 AS INT) AS DATE) AS date, CAST(20 + c_custkey % 50 AS DECIMAL(14,2)) AS amount, 'Gym ' || chr(CAST(65 + c_custkey % 26 AS INT)) || chr(CAST(65 + c_custkey % 23 AS INT)) || ' Club' AS description
+ FROM {customer} JOIN (VALUES (0), (1), (2), (3), (4)) AS cycles(j) ON j < c_custkey % 6"""
+fixture.ALL["billed"] = """SELECT CAST(c_nationkey AS INT) AS household_id, c_custkey AS id, 'K' || CAST(c_custkey AS STRING) AS recurring_key, c_custkey AS account_id, CAST(DATE '1996-03-01' + CAST(c_custkey % 5 AS INT) AS DATE) AS due_date, 'Gym ' || chr(CAST(65 + c_custkey % 26 AS INT)) || chr(CAST(65 + c_custkey % 23 AS INT)) || ' Club' AS description,
+ CAST(20 + c_custkey % 50 AS DECIMAL(14,2)) AS amount, CASE WHEN c_custkey % 7 = 0 THEN 'once' ELSE 'weekly' END AS cadence, CASE WHEN c_custkey % 11 = 0 THEN 'dismissed' ELSE 'pending' END AS status FROM {customer}"""
 _RUN_KEYS = ["household_id", "account_id", "month"]
 
 
@@ -76,6 +81,12 @@ def queries() -> dict:
         both = table.join(statement_runs.year_windows(placed, _RUN_KEYS), _RUN_KEYS)
         return both.select(*_RUN_KEYS, "line", statement_runs.flexible_date(col("date_cell"), col("first"), col("last")).alias("date"), "description", amount(importing.parse_money(col("amount_cell"))).alias("amount"), "first", "last", "source")
 
+    def backlog(s: SparkSession, d: str) -> DataFrame:
+        """Backlogs of up to five weeks, settled in one call."""
+        paid = fixture.load(s, d, "paid").withColumn("merchant_name", lit(None).cast("string"))
+        done = recurring.settle_all(fixture.load(s, d, "billed"), paid, "1996-05-01")
+        return done.select("household_id", "origin", "due_date", "status", "matched_tx_id")
+
     def sections(s: SparkSession, d: str) -> DataFrame:
         said = F.expr("CASE id % 6 WHEN 0 THEN 'Deposits and additions' WHEN 1 THEN 'Checks paid' WHEN 2 THEN 'Total fees 12' WHEN 3 THEN 'Hello' WHEN 4 THEN 'Other Withdrawals' ELSE 'Payments and credits' END")
         t = _book(s, d)["transactions"]
@@ -214,7 +225,7 @@ def queries() -> dict:
         return b.groupBy("household_id").agg(F.count_if("mortgage").alias("mortgages"), F.count("utilisation").alias("cards"), F.round(F.max("utilisation"), 6).alias("most_used"), F.round(F.sum("progress"), 4).alias("progress"))
 
     return {
-        "A19_A20_J03_statement_files": cells_of_files, "J03_I14_statement_rows": built_of_files, "A28_file_batches": batches, "A22_A23_printed_cells": printed_cells, "A26_I12_I13_I37_printed_rows": printed_rows, "I25_section_headings": sections,
+        "M13_J07_settled_backlog": backlog, "A19_A20_J03_statement_files": cells_of_files, "J03_I14_statement_rows": built_of_files, "A28_file_batches": batches, "A22_A23_printed_cells": printed_cells, "A26_I12_I13_I37_printed_rows": printed_rows, "I25_section_headings": sections,
         "A34_A35_A37_feed_messages_v2": messages, "A31_A32_feed_banks_v2": banks, "B10_manual_accounts": made_accounts, "B10_manual_balances": hand_balances, "B10_manual_transactions": hand_rows, "B18_entity_edits": entities, "B22_claims": claims,
         "C21_type_labels": labels, "C14_stale_balances": stale, "J04_overlap_from": boundaries, "I33_duplicate_names": names_taken, "B17_move_proof": proof, "K04_envelope_rows": topped, "K04_envelope_groups": envelope_groups, "K04_fund_needs": needs,
         "I27_chat_turns": kept_turns, "I40_saved_chats": shelves, "M18_A40_report": report_text, "F04_ready_to_assign": ready, "F05_B08_move": moved, "B11_J07_settled": settled, "B11_added": added, "B03_institutions": institutions, "I09_I11_cells": text_cells, "I05_I07_wording": worded, "C22_K07_debt_measures": free,
@@ -246,7 +257,10 @@ def _sql() -> dict[str, str]:
     code = "CASE k % 5 WHEN 0 THEN 'date-range capped' WHEN 1 THEN 'DATE_RANGE_EXCEEDED' WHEN 2 THEN 'ODD' ELSE '' END"
     kind_ = f"CASE WHEN {_m('m', feed.TROUBLE)} THEN 'error' WHEN k % 5 = 0 THEN 'capped' WHEN k % 5 = 1 THEN 'advisory' WHEN k % 3 = 0 OR k % 7 NOT IN (0, 3, 5) THEN 'error' ELSE 'capped' END"
     v1 = core_messages()
+    chain = """RECURSIVE walk AS (SELECT household_id, id AS origin, account_id, due_date, cadence, status, (SELECT p.id FROM paid p WHERE p.household_id = b.household_id AND p.account_id = b.account_id AND b.status = 'pending' AND abs(datediff('day', b.due_date, p.date)) <= 2) AS tx FROM billed b
+ UNION ALL SELECT household_id, origin, account_id, CAST(due_date + 7 AS DATE), cadence, status, (SELECT p.id FROM paid p WHERE p.household_id = w.household_id AND p.account_id = w.account_id AND abs(datediff('day', w.due_date + 7, p.date)) <= 2) FROM walk w WHERE tx IS NOT NULL AND cadence = 'weekly')"""
     return {
+        "M13_J07_settled_backlog": "WITH " + chain.replace("walk AS (", fixture.ctes("paid", "billed") + ", walk AS (", 1) + " SELECT household_id, origin, due_date, CASE WHEN tx IS NULL THEN status ELSE 'matched' END AS status, tx AS matched_tx_id FROM walk",
         "A19_A20_J03_statement_files": _q("SELECT * FROM fc", "cells", then=file_cells),
         "J03_I14_statement_rows": _q(
             f"SELECT household_id, account_id, row, date, CAST(amount AS DOUBLE) AS amount, description, CASE WHEN reason IS NULL THEN 'csv:' || {fnv('key')} || ':' || (row_number() OVER (PARTITION BY household_id, account_id, key ORDER BY row) - 1) END AS external_id, reason FROM (SELECT *, CASE WHEN reason IS NULL THEN date || '|' || amount || '|' || upper(regexp_replace(trim(description, ' ' || chr(10)), '\\s+', ' ', 'g')) END AS key FROM (SELECT household_id, account_id, row, date, description, CAST(v AS DECIMAL(14,2)) AS amount, CASE WHEN concat_ws(', ', a, b, c) <> '' THEN concat_ws(', ', a, b, c) WHEN abs(v) < 0.005 THEN 'zero amount' END AS reason FROM (SELECT *, CASE WHEN date IS NULL THEN 'unparseable date' END AS a, CASE WHEN v IS NULL THEN 'unparseable amount' END AS b, CASE WHEN description = '' THEN 'empty description' END AS c FROM pc)))",

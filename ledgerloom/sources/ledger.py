@@ -33,9 +33,9 @@ class Ledger:
 
     def visible(self, where: Column | None = None) -> DataFrame:
         """Transactions of accounts that aren't hidden, with the account's type and entity.  The accounts' side is broadcast if Spark finds it small."""
-        accounts = self["accounts"].where(~F.coalesce("hidden", F.lit(False))).select("account_id", F.col("type").alias("account_type"), F.col("entity_id").alias("account_entity"))
+        accounts = self["accounts"].where(~F.coalesce("hidden", F.lit(False))).select("household_id", "account_id", F.col("type").alias("account_type"), F.col("entity_id").alias("account_entity"))
         rows = self["transactions"]
-        return (rows if where is None else rows.where(where)).join(accounts, "account_id")
+        return (rows if where is None else rows.where(where)).join(accounts, ["household_id", "account_id"])
 
     def between(self, start: str, end: str) -> DataFrame:
         """Visible transactions from start to end, both included."""

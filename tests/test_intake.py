@@ -147,3 +147,42 @@ def test_chats_keep_their_end(spark):
     assert [r.t for r in titles] == ["a b", "w" * 57 + "…", "Chat", "Chat"]
     shelf = spark.createDataFrame([(1, k, 40_000) for k in range(12)], "owner int, position int, chars int")
     assert sorted(r.position for r in chats.shelf(shelf, ["owner"]).collect()) == [5, 6, 7, 8, 9, 10, 11]
+
+
+def test_backlog_settles_in_one_call_and_duplicates_are_gated(spark):
+    from decimal import Decimal
+
+    from ledgerloom.operators import recurring
+
+    kind = "household_id int, id long, recurring_key string, account_id long, due_date date, description string, amount decimal(14,2), cadence string, status string, matched_tx_id long"
+    bill = lambda i, key, due, cadence="weekly", status="pending", tx=None: (1, i, key, 5, due, "GYM CLUB", Decimal(20), cadence, status, tx)
+    paid = lambda i, day: (1, i, 5, day, Decimal(20), "Gym Club 123", None)
+    rows = spark.createDataFrame([paid(10, D(2026, 3, 2)), paid(11, D(2026, 3, 9)), paid(12, D(2026, 3, 15)), paid(13, D(2026, 3, 22)), paid(14, D(2025, 11, 1))], "household_id int, id long, account_id long, date date, amount decimal(14,2), description string, merchant_name string")
+    done = recurring.settle_all(spark.createDataFrame([bill(1, "gym", D(2026, 3, 1))], kind), rows, "2026-03-25")
+    assert sorted((r.due_date, r.status, r.matched_tx_id) for r in done.collect()) == [(D(2026, 3, 1), "matched", 10), (D(2026, 3, 8), "matched", 11), (D(2026, 3, 15), "matched", 12), (D(2026, 3, 22), "matched", 13), (D(2026, 3, 29), "pending", None)]
+    # A claimed transaction is out, what is pending already isn't put in again, and a single bill doesn't go on.
+    held = [bill(1, "gym", D(2026, 3, 1)), bill(2, "gym", D(2026, 3, 8), status="matched", tx=11), bill(3, "gym", D(2026, 4, 20)), bill(4, None, D(2026, 3, 15), "once"), bill(5, None, None)]
+    done = recurring.settle_all(spark.createDataFrame(held, kind), rows, "2026-03-25")
+    assert sorted((r.origin, str(r.due_date), r.status, r.matched_tx_id) for r in done.collect()) == [(1, "2026-03-01", "matched", 10), (1, "2026-03-08", "pending", None), (2, "2026-03-08", "matched", 11), (3, "2026-04-20", "pending", None), (4, "2026-03-15", "matched", 12), (5, "None", "pending", None)]
+
+
+def test_accounts_are_told_apart_by_household(spark):
+    """Account 7 of two households."""
+    from decimal import Decimal
+
+    from ledgerloom.operators import balances, importing
+    from ledgerloom.sources.ledger import Ledger
+
+    accounts = spark.createDataFrame(
+        [(h, 7, "n", kind, "x", False, Decimal(b), Decimal(m), None) for h, kind, b, m in ((1, "credit", 100, 25), (2, "loan", 400, 50))],
+        "household_id int, account_id long, name string, type string, subtype string, hidden boolean, current_balance decimal(14,2), minimum_payment decimal(14,2), entity_id long",
+    ).selectExpr("*", "12.0D as apr", "12.0D as interest_rate", "cast(null as decimal(14,2)) as credit_limit", "cast(null as decimal(14,2)) as original_balance", "date'2026-01-01' as created_on")
+    rows = spark.createDataFrame([(h, h, 7, D(2026, 1, d)) for h, d in ((1, 5), (2, 9))], "household_id int, id long, account_id long, date date")
+    assert sorted((r.household_id, r.account_type) for r in Ledger({"accounts": accounts, "transactions": rows}).between("2026-01-01", "2026-01-31").collect()) == [(1, "credit"), (2, "loan")]
+    alone = {h: balances.payoff(accounts.where(f"household_id = {h}")).first() for h in (1, 2)}
+    assert {r.household_id: r for r in balances.payoff(accounts).collect()} == alone
+    snaps = spark.createDataFrame([(1, 7, D(2026, 1, 1), Decimal(5)), (2, 7, D(2026, 1, 2), Decimal(9))], "household_id int, account_id long, captured_on date, balance decimal(14,2)")
+    assert sorted((r.household_id, r.total) for r in balances.net_worth(snaps, accounts).collect()) == [(1, -5.0), (2, -9.0)]
+    pulled = spark.createDataFrame([(1, 7, Decimal(100)), (2, 7, Decimal(1))], "household_id int, account_id long, balance decimal(14,2)")
+    assert [(r.household_id, r.account_id) for r in importing.changed_snapshots(accounts, pulled, "2026-01-03").collect()] == [(2, 7)]
+    assert sorted((r.household_id, r.served_from.day) for r in importing.coverage_gaps(accounts, rows).collect()) == [(1, 5)]
