@@ -3,12 +3,14 @@
 Words are runs of a-z (A-Z lower-cased), digits and everything outside ASCII.  A window is WINDOW consecutive words of
 a benchmark item (all of a shorter item); a document word inside an occurrence of a window is hit.
 
-1. The corpus frequency of every benchmark word is counted (combined before the shuffle).
-2. Each window is represented by its two rarest words; only words so chosen get postings (document, position), stored.
-3. Postings are shifted by the word's place in its item, so that a list entry says where in the document the item would
-   begin; the lists of an item meet in (document, item, offset).  An offset survives if two chosen words agree on it
-   (one for items of one word).  This is necessary for any of its windows.
-4. The survivors of a document go to its row, where every word of the item is compared at its offset: exact.
+1. Items are cut into blocks of at most BLOCK words, so that each window is in one; equal blocks are one, with all their items.
+   So a posting meets few places of a word, and a text that repeats itself, few blocks, however long both are.
+2. The corpus frequency of every benchmark word is counted (combined before the shuffle).
+3. Each window is represented by its two rarest words; only words so chosen get postings (document, position), stored.
+4. Postings are shifted by the word's place in its block, so that a list entry says where in the document the block would
+   begin; the lists of a block meet in (document, block, offset).  An offset survives if two chosen words agree on it
+   (one for blocks of one word).  This is necessary for any of its windows.
+5. The survivors of a document go to its row, each block's words once with its offsets, and are compared word by word: exact.
 
 ``proximity`` returns near matches from such postings: chosen words about as far apart as in the item.  They are kept apart
 from the contract's exact columns.
@@ -26,6 +28,9 @@ from pyspark.sql import Window
 from .cluster import stored, table
 
 WINDOW = 10
+#: Windows of a block, and its words.
+STEP = 31
+BLOCK = STEP + WINDOW - 1
 #: Chosen words of a near match are so many words closer or further apart than in their item, at most.
 SLACK = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,6 +59,13 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return benchmark.where("item_id is not null and text is not null").select("item_id", words.alias("words")).where(F.size("words") > 0).distinct().withColumn("item", F.xxhash64("item_id", "words"))
 
 
+def _blocks(items: DataFrame) -> DataFrame:
+    """item (a key), words and ids (of the items that have it) of each different block."""
+    windows = F.greatest(F.size("words") - WINDOW + 1, F.lit(1))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((windows - 1) / STEP).cast("int")), lambda k: F.slice("words", k * STEP + 1, BLOCK))
+    return items.select("item_id", F.explode(cut).alias("words")).groupBy("words").agg(F.collect_set("item_id").alias("ids")).withColumn("item", F.xxhash64("words"))
+
+
 def _anchors(items: DataFrame, frequency: DataFrame) -> DataFrame:
     """item, size, p and term: the places of the two rarest words of each window."""
     words = items.select("item", F.size("words").alias("size"), F.posexplode("words").alias("p", "term"))
@@ -66,20 +78,21 @@ def _anchors(items: DataFrame, frequency: DataFrame) -> DataFrame:
 
 
 def _windows_at(words: Column, survivors: Column) -> Column:
-    """item_id and first word of each window that occurs at one of the survivors' offsets.
+    """Of each surviving block, its items' ids and the windows that occur at one of its offsets, each as its first word * 16 + its size.
 
     ``words`` is bound as the element of an array of one.  Named in the inner functions, Spark could put there the
     expression it comes from, and would then split a text again for every word that is compared.
     """
 
-    def one(text: Column, a: Column) -> Column:
-        same = F.transform(a["words"], lambda w, p: F.coalesce(F.get(text, p + a["shift"]) == w, F.lit(False)))
+    def one(text: Column, a: Column, shift: Column) -> Column:
+        same = F.transform(a["words"], lambda w, p: F.coalesce(F.get(text, p + shift) == w, F.lit(False)))
         size = F.least(F.size(a["words"]), F.lit(WINDOW))
         starts = F.sequence(F.lit(0), F.size(a["words"]) - size)
         hit = F.flatten(F.transform(F.array(same), lambda s: F.filter(starts, lambda i: F.forall(F.slice(s, i + 1, size), lambda x: x))))
-        return F.transform(hit, lambda i: F.struct(a["item_id"].alias("item_id"), (i + a["shift"]).alias("first"), size.alias("size")))
+        return F.transform(hit, lambda i: (i + shift).cast("long") * 16 + size)
 
-    return F.get(F.transform(F.array(words), lambda text: F.flatten(F.transform(survivors, lambda a: one(text, a)))), F.lit(0))
+    found = lambda text, a: F.struct(a["ids"].alias("ids"), F.array_distinct(F.flatten(F.transform(a["shifts"], lambda shift: one(text, a, shift)))).alias("windows"))
+    return F.get(F.transform(F.array(words), lambda text: F.filter(F.transform(survivors, lambda a: found(text, a)), lambda f: F.size(f["windows"]) > 0)), F.lit(0))
 
 
 def _postings(tokens: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,22 +113,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     kept = [c for c in docs.columns if c not in made and not c.startswith("__")]
     rows = docs.select(*kept, F.hash("text").alias("__version"))
-    items = stored(benchmark_items(benchmark), "items")
+    items = stored(_blocks(benchmark_items(benchmark)), "items")
     tokens = rows.select("doc_id", F.col("__version").alias("version"), F.posexplode(_split(F.col("text"))).alias("pos", "word")).withColumn("term", _lower(F.col("word"))).drop("word")
     anchors, index = _postings(tokens, items)
 
     shifted = index.join(anchors, "term").select("doc_id", "version", "item", (F.col("pos") - F.col("p")).alias("shift"), "p", "size")
     places = shifted.groupBy("doc_id", "version", "item", "shift").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.max("size").alias("size"))
-    agreed = places.where("p0 < p1 or size = 1").join(items, "item")
-    survivors = agreed.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__of")).agg(F.collect_set(F.struct("item_id", "words", "shift")).alias("__survivors"))
+    agreed = places.where("p0 < p1 or size = 1").groupBy("doc_id", "version", "item").agg(F.collect_list("shift").alias("shifts")).join(items, "item")
+    survivors = agreed.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__of")).agg(F.collect_list(F.struct("ids", "words", "shifts")).alias("__survivors"))
     survivors = stored(survivors, "survivors")
 
     joined = rows.join(survivors.hint("merge"), rows["doc_id"].eqNullSafe(survivors["__id"]) & (rows["__version"] == survivors["__of"]), "left")
     lowered = _split(F.when(F.col("__survivors").isNotNull(), F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text")))
     judged = joined.withColumn("__words", lowered).withColumn("n_words", _n_words(F.col("__words")))
     judged = judged.withColumn("__at", F.when(F.col("__survivors").isNotNull(), _windows_at(F.col("__words"), F.col("__survivors"))))
-    hit = F.array_distinct(F.flatten(F.transform("__at", lambda s: F.sequence(s["first"], s["first"] + s["size"] - 1))))
-    ids = F.array_sort(F.array_distinct(F.transform("__at", lambda s: s["item_id"].cast("string"))))
+    windows = F.array_distinct(F.flatten(F.transform("__at", lambda f: f["windows"])))
+    hit = F.array_distinct(F.flatten(F.transform(windows, lambda w: F.sequence(F.shiftright(w, 4), F.shiftright(w, 4) + w % 16 - 1))))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("__at", lambda f: F.transform(f["ids"], lambda i: i.cast("string"))))))
     none = F.array().cast("array<string>")
     judged = judged.withColumn("n_hit", F.coalesce(F.size(hit), F.lit(0)).cast("long")).withColumn("__ids", F.coalesce(ids, none))
     return judged.select(*kept, "n_words", "n_hit", F.size("__ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "__ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -221,6 +222,33 @@ def test_decontamination_equals_brute_force(spark):
     assert {r.n_hit for r in decontaminate.contamination(_docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).collect()} == {0}
 
 
+def test_decontamination_of_texts_that_repeat_themselves(spark):
+    """20,000 words of a period against as many: linear, and as by brute force."""
+    rnd = random.Random(8)
+    two, three = ["a", "b"], ["x", "y", "a"]
+    cycle = lambda words, n, at=0: [words[(k + at) % len(words)] for k in range(n)]
+    items = [(1, cycle(two, 20_000)), (2, cycle(three, 500)), (3, ["a"] * 12), (4, [*cycle(two, 60), "end", *cycle(three, 60)]), (5, ["solo"]), (6, rnd.choices(["a", "b", "c"], k=300)), (7, cycle(two, 20_000))]
+    rows = [(1, cycle(two, 20_000, 1)), (2, [*cycle(three, 9_000, 1), *["a"] * 11_000]), (3, [*cycle(two, 30), "end", *cycle(three, 30)]), (4, rnd.choices(["a", "b", "c", "solo"], k=6_000)), (5, cycle(two, 9))]
+    start = time.monotonic()
+    got = {(r.doc_id, r.n_hit, r.n_items) for r in decontaminate.contamination(_docs(spark, [(i, " ".join(w)) for i, w in rows]), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    took = time.monotonic() - start
+    windows = {}
+    for i, w in items:
+        size = min(10, len(w))
+        for k in range(len(w) - size + 1):
+            windows.setdefault((size, tuple(w[k : k + size])), set()).add(i)
+    want = set()
+    for i, w in rows:
+        hit, ids = set(), set()
+        for size in (1, 10):
+            for k in range(len(w) - size + 1):
+                if found := windows.get((size, tuple(w[k : k + size]))):
+                    hit.update(range(k, k + size))
+                    ids |= found
+        want.add((i, len(hit), len(ids)))
+    assert got == want and took < 60
+
+
 def test_decontamination_splits_no_text_within_a_lambda(spark):
     """However few of the columns are taken, a text is split once and not for each word that is compared."""
     got = decontaminate.contamination(_docs(spark, _corpus(n=12)).withColumn("_words", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("mine")), spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
