@@ -37,13 +37,15 @@ NEARLY = 0.95
 
 #: Start tags of what a page is written in, for telling a form that is the page from one that is filled in.
 _PROSE = {"p", "article", "main", "h1", "h2", "h3", "blockquote"}
-#: Elements within each other, and steps of a path, at most.
-DEPTH, STEPS = 400, 64
+#: Elements within each other, as browsers keep them; a deeper one stands beside its parent.
+DEPTH = 512
 
 _OPENING = re.compile(r"<(?=[a-zA-Z/!?])")
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 _QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)")
+_COMMENT_END = re.compile(r"--!?>")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noembed", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -82,7 +84,7 @@ _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 def _dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if tag in _NEVER_DROPPED:
         return False
-    if tag in _DROP_TAG or attributes.get("role", "").lower() in _DROP_ROLE or "hidden" in attributes:
+    if tag in _DROP_TAG or attributes.get("role", "").lower() in _DROP_ROLE or "hidden" in attributes or _UNSEEN.search(attributes.get("style", "")):
         return True
     if tag == "header" and not in_article:
         return True
@@ -139,11 +141,10 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 class _Open:
     """An open element.  home: path of the innermost container; a paragraph's or heading's own element is not one."""
 
-    __slots__ = ("tag", "path", "drop", "article", "header", "around", "home", "level", "steps")
+    __slots__ = ("tag", "path", "drop", "article", "header", "around", "home", "level")
 
     def __init__(self, tag: str, path: str, drop: bool, article: bool, header: bool, around: tuple[int, ...], up: _Open | None = None) -> None:
         self.tag, self.path, self.drop, self.article, self.header, self.around = tag, path, drop, article, header, around
-        self.steps = up.steps + (path is not up.path) if up else 0
         self.level = int(tag[1]) if tag in _HEADING else up.level if up else 0
         self.home = path if tag in _CONTAINER else up.home if up else ""
 
@@ -160,8 +161,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str, int]]:
             break
         here = m.start()
         if page.startswith("<!--", here):
-            end = page.find("-->", here + 4)
-            name, ending, raw, stop = "", False, "", end + 3 if end >= 0 else size
+            end = _COMMENT_END.search(page, here + 2)  # <!--> and <!---> are whole
+            if end is not None and end.start() == here + 2 and end[0] == "--!>":
+                end = _COMMENT_END.search(page, here + 4)
+            name, ending, raw, stop = "", False, "", end.end() if end is not None else size
         else:
             close = page.find(">", here)
             if close < 0:
@@ -276,13 +279,13 @@ def blocks(page: str | None) -> list[tuple[str, str, int, int]]:
                 moved = end.end() if end else len(page)
             continue
         attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if raw.strip() else {}
-        if raw and re.search(r"(?:^|\s)hidden(?=[\s/]|$)", raw):
+        if "hidden" in raw.lower() and "hidden" in re.split(r"[\s/]+", _ATTRIBUTE.sub(" ", raw).lower()):  # a name without a value
             attributes.setdefault("hidden", "")
         if len(stack) > DEPTH:
             close_to(len(stack) - 1)
         up = stack[-1]
         article = up.article or tag in ("article", "main") or attributes.get("role") == "main"
-        path = f"{up.path}>{_step(tag, attributes)}" if (tag in _BLOCK or not up.path) and up.steps < STEPS else up.path
+        path = f"{up.path}>{_step(tag, attributes)}" if (tag in _BLOCK or not up.path) else up.path
         around = up.around
         if tag in _PROSE:
             prose += 1

@@ -670,3 +670,15 @@ def test_pipeline_stages(spark, tmp_path):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not any(k % 2 == 0 for k in out if k < 200) and 602 not in out and 1 in out
     assert sentencepiece_codec.codec().decode(out[600].ids) == "Plain words here."
+
+
+def test_html_hidden_names_comment_ends_and_depth():
+    text = lambda page: html_extract.main_text(page, None)[0]
+    body = "<article><p>First of the paragraphs here.</p>{}<p>Last of the paragraphs here.</p></article>"
+    for tag in ('<p title="the hidden truth">Said.</p>', '<p class="x hidden md:block">Said.</p>', "<p data-x='a hidden' id=hidden-p>Said.</p>", "<p>Sa<!-->id.</p>", "<p>Said.<!--->", "<p>Said.<!-- > a --!></p>", "<!--!> x --><p>Said.</p>", "<p>Said.<!-- - -- > --></p>"):
+        assert text(body.format(tag)).split("\n\n")[1:] == ["Said.", "Last of the paragraphs here."], tag
+    for tag in ("<p hidden>Gone.</p>", "<p id=x HIDDEN>Gone.</p>", '<p hidden="until-found">Gone.</p>', '<div style="color:red; display : none">Gone.</div>', "<!-- a --!-- b -->"):
+        assert "Gone" not in text(body.format(tag)) and text(body.format(tag)).count("paragraphs") == 2, tag
+    deep = "<div class=a>" * 90 + "<div class=main><p>" + "The words of the text, in many words and more words, to the end of it. " * 4 + "</p></div><div class=other><p>Aside.</p></div>" + "</div>" * 90
+    assert text(deep).count("end of it.") == 4 and "Aside" not in text(deep)
+    assert "end" in text("<div>" * 5_000 + "the end")
