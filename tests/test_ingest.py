@@ -56,7 +56,7 @@ def test_pending_becomes_posted_and_users_columns_stay(spark, tmp_path):
     assert job.table("institutions").where(~F.col("disabled")).count() == 2
 
 
-@pytest.mark.parametrize("broken", ["snapshots", "transaction_keys"])
+@pytest.mark.parametrize("broken", ["snapshots"])
 def test_a_batch_that_failed_between_tables_is_run_again(spark, tmp_path, monkeypatch, broken):
     first = _batch(spark, _envelope(("A", "Checking", "Bank", "5", [_tx("t1", 30)])))
     second = _batch(spark, _envelope(("A", "Checking", "Bank", "6", [_tx("t1", 33, "-7"), _tx("t3", 34)]), at="2026-02-12 10:00:00"))
