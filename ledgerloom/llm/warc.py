@@ -84,8 +84,10 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    """overwrite: what was there goes, once the new manifest is in place."""
+
+    def __init__(self, path: str, overwrite: bool = False) -> None:
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = _file_system(self.path)
@@ -120,9 +122,15 @@ class WarcWriter(DataSourceArrowWriter):
         if system.get_file_info(manifest).type == fs.FileType.File:
             with system.open_input_stream(manifest) as f:
                 listed = json.loads(f.read())
-        listed += [f for m in messages if m is not None for f in m.files]
+        new = [f for m in messages if m is not None for f in m.files]
+        if self.overwrite:
+            names = {name for name, _ in new}
+            old = [i.path for i in system.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and i.base_name.endswith((".warc", ".warc.gz")) and i.base_name not in names]
+            listed = []
         with system.open_output_stream(manifest) as f:
-            f.write(json.dumps(listed).encode())
+            f.write(json.dumps(listed + new).encode())
+        for path in old if self.overwrite else ():
+            system.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, root = _file_system(self.path)
@@ -200,7 +208,11 @@ class _Stream(_Input):
 
 
 def _headers(raw: bytes) -> dict[str, str]:
-    lines = raw.decode("utf-8", "surrogatepass").split("\r\n")
+    """Header lines by lower-case name; what isn't UTF-8 is Latin-1."""
+    try:
+        lines = raw.decode("utf-8", "surrogatepass").split("\r\n")
+    except UnicodeDecodeError:
+        lines = raw.decode("latin-1").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
@@ -263,6 +275,8 @@ def _bodies(block: bytes) -> list[bytes]:
     return out
 
 
+#: Records whose block is their payload as it stands; those that tell of others (warcinfo, request, metadata) have none.
+_PLAIN = ("resource", "conversion")
 _PUSHED = {"record_type", "target_uri", "record_id", "payload_digest", "refers_to"}
 
 
@@ -314,10 +328,11 @@ class WarcReader(DataSourceReader):
                 if not self._wanted(row):
                     source.skip(size + 4)
                     continue
-                if self.payload == "none" or row["record_type"] != "response":
+                if self.payload == "none" or row["record_type"] not in ("response", *_PLAIN):
                     source.skip(size + 4)
                 else:
-                    bodies = _bodies(source.read(size))
+                    block = source.read(size)
+                    bodies = [block] if row["record_type"] in _PLAIN else _bodies(block)
                     body = bodies[0]
                     source.skip(4)
                     algorithm = _hex(head.get("warc-payload-digest"))[0]
@@ -347,7 +362,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "none"))
 
     def writer(self, schema: object, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:

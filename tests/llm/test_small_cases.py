@@ -682,3 +682,26 @@ def test_html_hidden_names_comment_ends_and_depth():
     deep = "<div class=a>" * 90 + "<div class=main><p>" + "The words of the text, in many words and more words, to the end of it. " * 4 + "</p></div><div class=other><p>Aside.</p></div>" + "</div>" * 90
     assert text(deep).count("end of it.") == 4 and "Aside" not in text(deep)
     assert "end" in text("<div>" * 5_000 + "the end")
+
+
+def test_warc_overwrite_odd_headers_and_plain_records(spark, tmp_path):
+    warc.register(spark)
+    page = lambda *ids: warc.records(spark.createDataFrame([(i, "http://x/", f"<p>{i}</p>", b"mine") for i in ids], "page_id long, url string, html string, payload binary"))
+    path = f"file://{tmp_path}/out"
+    read = lambda p: sorted((r.record_id, r.record_type, bytes(r.payload) if r.payload is not None else None) for r in spark.read.format("warc").option("payload", "full").load(p).collect())
+    page(1, 2).write.format("warc").mode("append").save(path)
+    page(3).write.format("warc").mode("append").save(path)
+    assert [r[2] for r in read(path)] == [b"<p>1</p>", b"<p>2</p>", b"<p>3</p>"]
+    for _ in range(2):
+        page(8, 9).write.format("warc").mode("overwrite").save(path)
+    assert [r[2] for r in read(path)] == [b"<p>8</p>", b"<p>9</p>"]
+    assert len(list((tmp_path / "out").glob("*.warc"))) <= 2
+
+    def record(kind, block, extra=b""):
+        return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <" + kind + b">\r\n" + extra + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    other = tmp_path / "other"
+    other.mkdir()
+    http = "HTTP/1.1 200 OK\r\nServer: caf\u00e9\r\n\r\nbody".encode("latin-1")
+    (other / "a.warc").write_bytes(record(b"response", http, "X-Odd: caf\u00e9\r\n".encode("latin-1")) + record(b"resource", b"a\r\n\r\nb") + record(b"conversion", b"text") + record(b"revisit", b"HTTP/1.1 200 OK\r\n\r\n"))
+    assert read(f"file://{other}") == [("<conversion>", "conversion", b"text"), ("<resource>", "resource", b"a\r\n\r\nb"), ("<response>", "response", b"body"), ("<revisit>", "revisit", None)]
