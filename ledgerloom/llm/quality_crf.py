@@ -241,6 +241,31 @@ def quality(docs: DataFrame, model: dict) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def line_labels(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, line, text, good and marginal of each line with a word.
+
+    line: its number among all lines of the text, from 0; marginal: the probability that it is good, given the whole text; good: whether that is
+    a half or more.  Rows without such a line (null, empty, white space) give none; repeated rows give their lines each.
+    """
+    ship(docs.sparkSession)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                rows = batch.slice(k, 256)
+                texts = rows.column("text").to_pylist()
+                found = [line_measures(t) for t in texts]
+                size = np.array([len(x) for x, _ in found])
+                x = np.vstack([x for x, _ in found]).astype(float)
+                marginal, _ = forward_backward(x @ model["w"] + model["b"], size, model["move"], model["begin"])
+                lines = [[(n, line) for n, line in enumerate((t or "").split("\n")) if line.strip(" \t\n\x0b\x0c\r")] for t in texts]
+                numbers, said = [n for own in lines for n, _ in own], [line for own in lines for _, line in own]
+                ids = rows.column("doc_id").take(pa.array(np.repeat(np.arange(len(size)), size)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(numbers, pa.int32()), pa.array(said, pa.string()), pa.array(marginal >= 0.5, pa.bool_()), pa.array(marginal, pa.float64())], names=["doc_id", "line", "text", "good", "marginal"])
+
+    return docs.select("doc_id", "text").mapInArrow(label, f"doc_id {dict(docs.dtypes)['doc_id']}, line int, text string, good boolean, marginal double")
+
+
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` that score THRESHOLD or more, in one pass over them."""
     ship(docs.sparkSession)

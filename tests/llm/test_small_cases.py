@@ -705,3 +705,19 @@ def test_warc_overwrite_odd_headers_and_plain_records(spark, tmp_path):
     http = "HTTP/1.1 200 OK\r\nServer: caf\u00e9\r\n\r\nbody".encode("latin-1")
     (other / "a.warc").write_bytes(record(b"response", http, "X-Odd: caf\u00e9\r\n".encode("latin-1")) + record(b"resource", b"a\r\n\r\nb") + record(b"conversion", b"text") + record(b"revisit", b"HTTP/1.1 200 OK\r\n\r\n"))
     assert read(f"file://{other}") == [("<conversion>", "conversion", b"text"), ("<resource>", "resource", b"a\r\n\r\nb"), ("<response>", "response", b"body"), ("<revisit>", "revisit", None)]
+
+
+def test_lines_are_labelled_within_a_text(spark):
+    rnd = random.Random(3)
+    good = lambda: " ".join(rnd.choices(["the", "river", "ran", "over", "stones", "and", "under", "bridges", "towards", "evening"], k=12)).capitalize() + "."
+    bad = lambda: " ".join(rnd.choices(["$$$", "##", "buy", "|", "***", "x1", "%%"], k=9))
+    rows = [(k, "\n".join((good if k % 2 else bad)() for _ in range(6))) for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    model = quality_crf.train(_docs(spark, rows), labels)
+    mixed = "\n".join([good(), "", good(), good(), " \t", bad(), bad(), bad(), bad()])
+    asked = [(1, mixed), (2, None), (3, ""), (None, "one line"), (1, mixed)]
+    got = quality_crf.line_labels(spark.createDataFrame(asked, "doc_id long, text string").selectExpr("*", "'mine' as line", "1 as good"), model).collect()
+    mine = [r for r in got if r.doc_id == 1]
+    assert len(mine) == 14 and all(0 <= r.marginal <= 1 and r.good == (r.marginal >= 0.5) for r in mine)
+    assert {r.line: r.good for r in mine} == {0: True, 2: True, 3: True, 5: False, 6: False, 7: False, 8: False} and all(r.text == mixed.split("\n")[r.line] for r in mine)
+    assert [(r.line, r.text) for r in got if r.doc_id is None] == [(0, "one line")] and not [r for r in got if r.doc_id in (2, 3)]
