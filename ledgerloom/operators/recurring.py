@@ -34,16 +34,20 @@ def _by_cadence(cadence: Column, days: dict[str, int]) -> Column:
     return out
 
 
-def _mode(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """keys and the most frequent non-empty value; among equals the one that reached that count first."""
-    counts = rows.where(F.col(value).isNotNull() & (F.col(value).cast("string") != "")).groupBy(*keys, value).agg(F.count("*").alias("n"), F.max("position").alias("reached"))
-    return counts.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col("reached"))).alias(value))
+def _modes(rows: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
+    """keys and the most frequent non-empty value of each of some columns, all in one pass; among equals the one that reached that count first."""
+    kinds = dict(rows.dtypes)
+    told = F.posexplode(F.array(*(F.col(v).cast("string") for v in values))).alias("field", "value")
+    counts = rows.select(*keys, "position", told).where("value != ''").groupBy(*keys, "field", "value").agg(F.count("*").alias("n"), F.max("position").alias("reached"))
+    best = lambda k: F.max_by("value", F.when(F.col("field") == k, F.struct("n", -F.col("reached"))))
+    return counts.groupBy(*keys).agg(*(best(k).cast(kinds[v]).alias(v) for k, v in enumerate(values)))
 
 
-def detect(rows: DataFrame, today: str | None = None) -> DataFrame:
+def detect(rows: DataFrame, today: str | DataFrame | None = None) -> DataFrame:
     """Charges that recur weekly, monthly or yearly, per household and normalised merchant.
 
-    rows: household_id, id, account_id, merchant_name, description, transaction_date, amount, category.  All three
+    rows: household_id, id, account_id, merchant_name, description, transaction_date, amount, category.  today: a date, or a
+    table of household_id and today; charges that are stale by then are left out.  All three
     cadences are tried at once (three copies of each merchant's rows) and the first that holds is kept.
     """
     specs = literal_rows(CADENCES, ["rank", "cadence", "min_gap", "max_gap", "gap_tol", "soon", "per_month", "look_back", "stale"], ["int", "string", "int", "int", "int", "int", "double", "int", "int"])
@@ -69,13 +73,14 @@ def detect(rows: DataFrame, today: str | None = None) -> DataFrame:
     fits = fits.where((F.col("median_gap") >= F.col("min_gap")) & (F.col("median_gap") <= F.col("max_gap")) & (F.col("near") >= F.ceil(F.col("gaps") * 2 / 3)))
     first = fits.withColumn("best", F.min("rank").over(whole)).where("rank = best")
     first = first.withColumn("next_day", F.col("last_day") + F.floor(F.col("median_gap") + 0.5).cast("int"))
-    now = F.unix_date(F.lit(today).cast("date")) if today else F.lit(None).cast("int")
-    if today:
+    if isinstance(today, DataFrame):
+        first = first.join(today.select(*BY, F.unix_date("today").alias("now")), BY)
+    now = F.col("now") if isinstance(today, DataFrame) else F.unix_date(F.lit(today).cast("date"))
+    if today is not None:
         first = first.where(now - F.col("next_day") <= F.col("stale"))
     status = F.when(F.col("next_day") < now, "overdue").when(F.col("next_day") - now <= F.col("soon"), "due-soon")
     hit = kept.join(first.select(*group), group, "left_semi")
-    for name in ("merchant_name", "category", "account_id"):
-        first = first.join(_mode(hit, name, group), group, "left")
+    first = first.join(_modes(hit, ["merchant_name", "category", "account_id"], group), group, "left")
     return first.select(
         *key, F.coalesce("merchant_name", F.initcap("key")).alias("name"), F.coalesce("category", F.lit("Shopping and gear")).alias("category"), "account_id", F.round("monthly_amount", 2).alias("monthly_amount"),
         (F.col("monthly_amount") * F.col("per_month")).alias("monthly_equivalent"), "cadence", "count", F.date_from_unix_date("last_day").alias("last_date"), F.date_from_unix_date("next_day").alias("next_date"),

@@ -20,15 +20,16 @@ _PAID = f"({_paid('description')} OR {_paid('merchant_name')})"
 _RECEIVED = f"({_m('description', T.CARD_CREDIT_NOT_REFUND)} OR {_m('merchant_name', T.CARD_CREDIT_NOT_REFUND)})"
 
 
-def rows(where: str, paired: bool = True, name: str = "v") -> str:
-    """CTEs that end in ``name``: visible rows of a range with internal and all verdicts.
+def rows(where: str, paired: bool = True, name: str = "v", by_month: bool = False) -> str:
+    """CTEs that end in ``name``: visible rows of a range with internal and all verdicts; by_month: pairs lie within a month.
 
     Pairs: exact where the rows that can pair form stars (one row on a side of each group), which the tables do.
     """
     p = name
+    month = " AND date_trunc('month', o.date) = date_trunc('month', i.date)" if by_month else ""
     legs = f"""{p}e AS (SELECT * FROM {p}b WHERE NOT excluded AND account_type <> 'loan' AND coalesce(user_type, '') = '' AND amount <> 0),
 {p}g AS (SELECT o.id AS o, i.id AS i, abs(datediff('day', o.date, i.date)) AS gap, o.date AS od, i.date AS idt, CAST(o.account_id AS VARCHAR) AS oa, CAST(i.account_id AS VARCHAR) AS ia
- FROM {p}e o JOIN {p}e i ON o.household_id = i.household_id AND i.amount = -o.amount AND o.amount > 0 AND o.account_id <> i.account_id AND abs(datediff('day', o.date, i.date)) <= 4),
+ FROM {p}e o JOIN {p}e i ON o.household_id = i.household_id AND i.amount = -o.amount AND o.amount > 0 AND o.account_id <> i.account_id AND abs(datediff('day', o.date, i.date)) <= 4{month}),
 {p}d AS (SELECT *, count(*) OVER (PARTITION BY o) AS no, count(*) OVER (PARTITION BY i) AS ni FROM {p}g),
 {p}r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY gap, idt, ia, CAST(i AS VARCHAR)) AS ro, row_number() OVER (PARTITION BY i ORDER BY od, oa, CAST(o AS VARCHAR)) AS ri FROM {p}d),
 {p}p AS (SELECT o, i FROM {p}r WHERE (ni = 1 AND ro = 1) OR (no = 1 AND ni > 1 AND ri = 1)),
