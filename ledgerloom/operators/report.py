@@ -127,7 +127,7 @@ def budget_walk(book: Ledger, month: str) -> tuple[DataFrame, DataFrame] | None:
     floor = F.add_months(view, 1 - envelopes.MAX_WALK_MONTHS)
     rows = book.visible((F.col("date") >= floor) & (F.col("date") <= F.last_day(view))).join(begun, BY).where("date >= begins").drop("begins")
     spent = spending.envelope_spending(matching.mark_internal(rows))
-    return begun.select(*BY), envelopes.walk(given, spent, settings, month)
+    return begun.select(*BY), held(envelopes.walk(given, spent, settings, month))
 
 
 def _envelope_lines(budget: tuple[DataFrame, DataFrame], month: str) -> DataFrame:
