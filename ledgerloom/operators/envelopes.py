@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import amount, cents
@@ -114,3 +114,66 @@ def move(rows: DataFrame, source: str, target: str, sum_: float) -> DataFrame:
     held = rows.groupBy(*BY).agg(F.sum(F.when(F.col("category") == source, F.col("assigned"))).alias("a"), F.sum(F.when(F.col("category") == target, F.col("assigned"))).alias("b")).where("a is not null")
     legs = F.array(F.struct(F.lit(source).alias("category"), cents(F.col("a") - sum_).alias("assigned")), F.struct(F.lit(target).alias("category"), cents(F.coalesce("b", F.lit(0)) + sum_).alias("assigned")))
     return held.select(*BY, F.inline(legs))
+
+
+def assignment_edits(rows: DataFrame, month: str, position: int = 0) -> DataFrame:
+    """Rows of ``auto_fill`` that aren't skipped, of ``move``, or needs with new totals (household_id, category, assigned) as edits for ``assigned``: a total of zero is written, not deleted."""
+    wanted = rows.where(~F.col("skipped")) if "skipped" in rows.columns else rows
+    return wanted.select(*BY, "category", F.lit(month).cast("date").alias("month"), F.lit(position).alias("position"), F.lit("fund").alias("action"), F.col("assigned").cast("string").alias("value"))
+
+
+def assigned(assignments: DataFrame, edits: DataFrame) -> DataFrame:
+    """``assignments`` after ``edits`` (household_id, category, month, position, action, value), in the order of their positions.
+
+    assign sets what is assigned (blank: 0), fund sets it to a total, override sets the month's own target (blank: none).  What is no
+    number changes nothing, nor does a negative target.  Assigning 0 or clearing a target deletes a row with nothing else in it; a
+    total of 0 is kept as a row.  Both columns have a last edit each and only the last edit of all can delete, so edits of a row need
+    no walk.  Rows of ``assignments`` are one for each household, category and month.
+    """
+    keys = [*BY, "category", "month"]
+    kind = dict(assignments.dtypes)["assigned"]
+    said = F.trim(F.coalesce("value", F.lit("")))
+    number, own = said.try_cast("decimal(14,2)"), F.col("action") == "override"
+    read = edits.withColumn("number", F.when((said == "") & ~own, 0).otherwise(number)).where(F.when(own, (said == "") | (F.col("number") >= 0)).otherwise(F.col("action").isin("assign", "fund") & F.col("number").isNotNull()))
+    by = F.struct("position", "action")
+    last = read.groupBy(*keys).agg(
+        F.max_by(F.struct("number"), F.when(own, by)).alias("target"), F.max_by(F.struct("number"), F.when(~own, by)).alias("sum"), F.max_by("action", by).alias("last"),
+    )
+    both = assignments.withColumn("_held", F.lit(True)).join(last, keys, "full_outer")
+    sum_ = F.when(F.col("sum").isNotNull(), F.col("sum.number").cast(kind)).otherwise(F.coalesce("assigned", F.lit(0).cast(kind)))
+    target = F.when(F.col("target").isNotNull(), F.col("target.number").cast(kind)).otherwise(F.col("target_override"))
+    after = both.withColumn("assigned", F.when(F.col("last").isNull(), F.col("assigned")).otherwise(sum_)).withColumn("target_override", target)
+    return after.where((F.col("assigned") != 0) | F.col("target_override").isNotNull() | (F.col("last") == "fund") | F.col("last").isNull()).select(*assignments.columns)
+
+
+def planned(settings: DataFrame, edits: DataFrame) -> DataFrame:
+    """``settings`` after ``edits`` (household_id, category, position, action, value), in the order of their positions.
+
+    rollover is on for the value true; a kind is by_date with the date in the value, or monthly.  Turning rollover on deletes a row
+    with neither target nor date and makes none; everything else makes a row where there is none.  A deletion forgets what was set
+    before it, so what holds is the last edit of each kind after the last deletion.
+    """
+    keys = [*BY, "category"]
+    on = (F.col("action") == "rollover") & F.col("value").eqNullSafe(F.lit("true"))
+    of_kind = F.col("action") == "by_date", F.col("action") == "monthly"
+    date = F.struct(F.when(of_kind[0], F.col("value").try_cast("date")).alias("d"))
+    held = settings.select(*keys, F.col("target").isNotNull().alias("_target"), F.col("target_date").alias("_date"))
+    order = Window.partitionBy(*keys).orderBy("position")
+    told = edits.where(F.col("action").isin("rollover", "by_date", "monthly")).join(held, keys, "left").withColumn("dated", F.last(F.when(of_kind[0] | of_kind[1], date), ignorenulls=True).over(order))
+    bare = ~F.coalesce("_target", F.lit(False)) & F.when(F.col("dated").isNull(), F.col("_date").isNull()).otherwise(F.col("dated.d").isNull())
+    told = told.withColumn("gone", F.max(F.when(on & bare, F.col("position"))).over(Window.partitionBy(*keys)))
+    live = F.col("gone").isNull() | (F.col("position") > F.col("gone"))
+    last = told.groupBy(*keys).agg(
+        F.max_by(F.struct(F.when(of_kind[0], "by_date").otherwise("monthly").alias("kind"), date.getField("d").alias("d")), F.when(live & (of_kind[0] | of_kind[1]), F.col("position"))).alias("_kind"),
+        F.max_by(on, F.when(live & (F.col("action") == "rollover"), F.col("position"))).alias("_on"), F.max(F.when(F.col("gone").isNotNull(), True)).alias("_gone"),
+        F.max(F.when(live & ~on, True)).alias("_made"),
+    )
+    both = settings.withColumn("_held", F.lit(True)).join(last, keys, "full_outer")
+    kept = F.col("_held") & F.col("_gone").isNull()
+    both = both.where(F.coalesce(kept, F.lit(False)) | F.col("_made"))
+    now = {
+        "target": F.when(kept, F.col("target")), "rollover": F.coalesce("_on", F.when(kept, F.col("rollover")), F.lit(True)),
+        "target_kind": F.when(F.col("_kind").isNotNull(), F.col("_kind.kind")).otherwise(F.coalesce(F.when(kept, F.col("target_kind")), F.lit("monthly"))),
+        "target_date": F.when(F.col("_kind").isNotNull(), F.col("_kind.d")).otherwise(F.when(kept, F.col("target_date"))),
+    }
+    return both.select(*(now.get(c, F.col(c)).alias(c) for c in settings.columns))

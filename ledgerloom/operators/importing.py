@@ -151,12 +151,15 @@ def description_similarity(a: Column, b: Column) -> Column:
     return similarity(description_tokens(a), description_tokens(b))
 
 
-def upsert(held: DataFrame, new: DataFrame, keys: list[str], sent: list[str]) -> DataFrame:
-    """``held`` with the rows of ``new`` by key: the columns in ``sent`` are overwritten, the others are kept; of several new rows with a key the first (by all columns) counts."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*sent))
-    fresh = new.withColumn("_n", first).where("_n = 1").select(*keys, *(F.col(c).alias(f"_{c}") for c in sent), F.lit(True).alias("_new"))
+def upsert(held: DataFrame, new: DataFrame, keys: list[str], sent: list[str], arrival: str | None = None) -> DataFrame:
+    """``held`` with the rows of ``new`` by key: the columns in ``sent`` are overwritten, the others are kept.
+
+    Of several new rows with a key the first counts: by the column ``arrival``, where rows say in what order they came, then by what is sent.
+    """
+    order = [arrival, *sent] if arrival else sent
+    fresh = new.groupBy(*keys).agg(F.min_by(F.struct(*sent), F.struct(*order)).alias("_sent"))
     both = held.join(fresh, keys, "full_outer")
-    return both.select(*((F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in sent else F.col(c)) for c in held.columns))
+    return both.select(*((F.when(F.col("_sent").isNotNull(), F.col(f"_sent.{c}")).otherwise(F.col(c)).alias(c) if c in sent else F.col(c)) for c in held.columns))
 
 
 def changed_snapshots(accounts: DataFrame, pulled: DataFrame, on: str) -> DataFrame:

@@ -68,11 +68,16 @@ def transaction_rows(entries: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def edit_rows(held: DataFrame, edits: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``held`` with rows of ``edits`` (household_id, key, action, fields): add and update set the fields that aren't null, delete removes; the last of several edits, by position, counts."""
+    """``held`` with rows of ``edits`` (household_id, key, position, action, fields): add and update set the fields that aren't null, delete removes; the last of several edits, by position, counts.
+
+    Where ``edits`` have cleared (an array of names), the fields it names become null.
+    """
     keys = [*BY, key]
-    last = edits.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("position").desc()))).where("_n = 1").select(*keys, F.col("action").alias("_action"), *(F.col(f).alias(f"_{f}") for f in fields))
-    both = held.withColumn("_held", F.lit(True)).join(last, keys, "full_outer").where(~F.col("_action").eqNullSafe(F.lit("delete")) & (F.col("_held") | (F.col("_action") == "add")))
-    return both.select(*(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in held.columns))
+    cleared = F.coalesce("cleared", F.array().cast("array<string>")) if "cleared" in edits.columns else F.array().cast("array<string>")
+    last = edits.groupBy(*keys).agg(F.max_by(F.struct("action", cleared.alias("cleared"), *fields), "position").alias("_edit"))
+    both = held.withColumn("_held", F.lit(True)).join(last, keys, "full_outer").where(~F.col("_edit.action").eqNullSafe(F.lit("delete")) & (F.col("_held") | (F.col("_edit.action") == "add")))
+    value = lambda c: F.when(~F.coalesce(F.array_contains("_edit.cleared", c), F.lit(False)), F.coalesce(F.col(f"_edit.{c}"), F.col(c))).alias(c)
+    return both.select(*(value(c) if c in fields else F.col(c) for c in held.columns))
 
 
 def claim(access: DataFrame, new: DataFrame) -> DataFrame:
