@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.grouped import apply_in_groups
 from ..functions.money import amount
 from ..functions.shipping import ship
 
@@ -76,11 +77,14 @@ def debt_totals(accounts: DataFrame) -> DataFrame:
     return debts(accounts).groupBy(*BY).agg(F.count("*").alias("debts"), F.round(F.sum("balance"), 2).alias("total_balance"), F.round(F.sum("minimum_payment"), 2).alias("total_minimum"))
 
 
+def _in_order(accounts: DataFrame, strategy: str) -> DataFrame:
+    first = [F.col("monthly_rate").desc(), F.col("balance")] if strategy == "avalanche" else [F.col("balance"), F.col("monthly_rate").desc()]
+    return debts(accounts).withColumn("priority", F.row_number().over(Window.partitionBy(*BY).orderBy(*first, "account_id")))
+
+
 def debt_order(accounts: DataFrame, strategy: str = "snowball") -> DataFrame:
     """Priority of each debt: the smallest balance first, or (avalanche) the highest rate."""
-    first = [F.col("monthly_rate").desc(), F.col("balance")] if strategy == "avalanche" else [F.col("balance"), F.col("monthly_rate").desc()]
-    rank = F.row_number().over(Window.partitionBy(*BY).orderBy(*first, "account_id"))
-    return debts(accounts).withColumn("priority", rank).select(*BY, "account_id", "balance", "monthly_rate", "priority")
+    return _in_order(accounts, strategy).select(*BY, "account_id", "balance", "monthly_rate", "priority")
 
 
 def amortize(balance: Column, percent: Column, payment: Column) -> Column:
@@ -132,56 +136,46 @@ def schedule(accounts: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"household_id int, account_id {dict(rows.dtypes)['account_id']}, month int, payment double, interest double, balance double")
 
 
-def _cents(x: float) -> float:
-    import math
-
-    return math.floor(x * 100 + 0.5) / 100
+def _poured(pool: float, wanted: np.ndarray) -> np.ndarray:
+    """What each of some wants in order gets of a pool."""
+    return np.clip(pool - (np.cumsum(wanted) - wanted), 0, wanted)
 
 
 def plan(debts: list[dict], extra: float) -> tuple[int, float, bool, dict]:
-    """months, interest, stalled and per debt (months, interest), for debts in order of priority."""
-    state = [{**d, "balance": _cents(d["balance"]), "interest": 0.0, "months": None} for d in debts if d["balance"] > 0]
-    budget = _cents(sum(max(0.0, d["minimum"]) for d in state) + max(0.0, extra))
-    rest, months, interest, stalled = list(state), 0, 0.0, bool(state) and budget <= 0
-    while rest and not stalled and months < MAX_MONTHS:
-        charged = 0.0
-        for d in rest:
-            charge = _cents(d["balance"] * d["rate"])
-            d["balance"], d["interest"], charged = _cents(d["balance"] + charge), _cents(d["interest"] + charge), _cents(charged + charge)
-        interest = _cents(interest + charged)
-        if budget <= charged:
-            stalled = True
+    """months, interest, stalled and per debt (months, interest), for debts in order of priority; a month's debts at once, in whole cents."""
+    state = [d for d in debts if d["balance"] > 0]
+    whole = lambda x: np.floor(np.asarray(x, float) * 100 + 0.5)
+    rate, lowest = np.array([d["rate"] for d in state], float), [max(0.0, d["minimum"]) for d in state]
+    left, least, budget = whole([d["balance"] for d in state]), whole(lowest), float(whole(sum(lowest) + max(0.0, extra)))
+    interest, ended, at, months, stalled = np.zeros(len(state)), np.zeros(len(state), int), np.arange(len(state)), 0, bool(state) and budget <= 0
+    while len(at) and not stalled and months < MAX_MONTHS:
+        charge = np.floor(left[at] / 100 * rate[at] * 100 + 0.5)
+        interest[at] += charge
+        stalled = budget <= float(charge.sum())
+        if stalled:
             break
-        pool = budget
-        for bound in (True, False):  # the minimums in order, then what is left in order
-            for d in rest:
-                paid = _cents(min(pool, d["balance"], max(0.0, d["minimum"]) if bound else pool))
-                d["balance"], pool = _cents(d["balance"] - paid), _cents(pool - paid)
+        owed = left[at] + charge
+        bound = _poured(budget, np.minimum(owed, least[at]))
+        owed -= bound
+        left[at] = owed - _poured(budget - bound.sum(), owed)  # the minimums in order, then what is left in order
         months += 1
-        for d in rest:
-            if d["balance"] <= 0:
-                d["months"] = months
-        rest = [d for d in rest if d["balance"] > 0]
-    return months, interest, stalled or bool(rest), {d["account_id"]: (d["months"], d["interest"]) for d in state}
+        ended[at[left[at] <= 0]] = months
+        at = at[left[at] > 0]
+    each = {d["account_id"]: (int(m) or None, i / 100) for d, m, i in zip(state, ended, interest.tolist(), strict=True)}
+    return months, float(interest.sum()) / 100, stalled or bool(len(at)), each
 
 
 def payoff(accounts: DataFrame, strategy: str = "snowball", extra: float = 0.0) -> DataFrame:
     """Months and interest of each household's payoff plan, and against paying the minimums only.
 
-    A plan's months follow each other, so each household's debts (a few rows) go to one grouped-pandas call.
+    A plan's months follow each other, so a household's debts (a few rows) are one group.
     """
-    ship(accounts.sparkSession)
-    ordered = debt_order(accounts, strategy).join(debts(accounts).select(*BY, "account_id", F.coalesce("minimum_payment", F.lit(0.0)).alias("minimum")), [*BY, "account_id"])
+    rows = _in_order(accounts, strategy).select(*BY, "priority", "account_id", "balance", "monthly_rate", F.coalesce("minimum_payment", F.lit(0.0)).alias("minimum"))
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("priority")
-        held = [{"account_id": a, "balance": float(b), "rate": float(r), "minimum": float(m)} for a, b, r, m in zip(rows["account_id"], rows["balance"], rows["monthly_rate"], rows["minimum"], strict=True)]
-        months, interest, stalled, _ = plan(held, extra)
-        base = plan(held, 0.0)
+    def solve(group: list[tuple]) -> list[tuple]:
+        held = [{"account_id": a, "balance": b, "rate": r, "minimum": m} for _, _, a, b, r, m in sorted(group, key=lambda g: g[1])]
+        (months, interest, stalled, _), base = plan(held, extra), plan(held, 0.0)
         same = not stalled and not base[2]
-        return pd.DataFrame([{
-            "household_id": rows["household_id"].iloc[0], "months": months, "interest": interest, "stalled": stalled, "baseline_months": base[0], "baseline_interest": base[1],
-            "interest_saved": _cents(max(0.0, base[1] - interest)) if same else 0.0, "months_saved": max(0, base[0] - months) if same else 0,
-        }])
+        return [(group[0][0], months, interest, stalled, base[0], base[1], round(max(0.0, base[1] - interest), 2) if same else 0.0, max(0, base[0] - months) if same else 0)]
 
-    return ordered.groupBy(*BY).applyInPandas(solve, "household_id int, months int, interest double, stalled boolean, baseline_months int, baseline_interest double, interest_saved double, months_saved int")
+    return apply_in_groups(rows, BY, solve, "household_id int, months int, interest double, stalled boolean, baseline_months int, baseline_interest double, interest_saved double, months_saved int")
