@@ -91,34 +91,38 @@ def reconcile(statement: DataFrame, feed: DataFrame) -> DataFrame:
     Both sides: household_id, account_id, id, date, amount, description.  Equal amounts within four days are matched one
     to one first; what is left meets by similar wording, paired in order.  Rows further apart than RECONCILE_DAYS never
     meet, so gaps of that length split an account's rows of an amount, and then its leftovers, into stretches: the groups.
+    Stretches of one side, and of one row on each side where amounts are equal, are settled in the JVM.
     """
     kinds = dict(statement.dtypes)
-    side = lambda df, n: df.select(*BY, "id", "date", F.col("amount").cast("double").alias("amount"), F.coalesce("description", F.lit("")).alias("description"), description_tokens(F.col("description")).alias("tokens"), F.lit(n).alias("side"))
+    side = lambda df, n: df.select(*BY, "id", "date", F.col("amount").cast("double").alias("amount"), F.coalesce("description", F.lit("")).alias("description"), F.lit(n).alias("side"))
+    names = [*BY, "id", "date", "amount", "description", "side"]
 
     def in_stretches(df: DataFrame, keys: list[str]) -> DataFrame:
+        """``df`` with stretch, n (its rows) and told (those of the statement)."""
         order = Window.partitionBy(*keys).orderBy("date", "side", "id")
         new = df.withColumn("new", F.coalesce((F.datediff("date", F.lag("date").over(order)) > RECONCILE_DAYS).cast("int"), F.lit(0)))
-        return new.withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new")
+        cut = new.withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new")
+        whole = Window.partitionBy(*keys, "stretch")
+        return cut.withColumn("n", F.count("*").over(whole)).withColumn("told", F.count_if(F.col("side") == "statement").over(whole))
 
-    def split(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    def split(rows: list[tuple], own: int) -> tuple[list[tuple], list[tuple]]:
+        """Both sides as day, description, amount, id as text, id and what follows; rows begin with ``own`` columns of keys."""
         sides: dict[str, list[tuple]] = {"statement": [], "feed": []}
-        for _, _, id_, date, amount, description, tokens, name, *_ in rows:
-            sides[name].append((date.toordinal(), description, amount, str(id_), id_, tokens, date))
+        for row in rows:
+            id_, date, amount, description, name = row[own : own + 5]
+            sides[name].append((date.toordinal(), description, amount, str(id_), id_, *row[own + 5 :]))
         return tuple(sorted(sides[n], key=lambda r: r[:4]) for n in ("statement", "feed"))
 
     def equal(rows: list[tuple]) -> list[tuple]:
         """Matches, and with no outcome the rows that are left."""
-        household, account = rows[0][:2]
-        a, b = split(rows)
-        pairs = match([(r[0], 0, k) for k, r in enumerate(a)], [(r[0], 1, k) for k, r in enumerate(b)], RECONCILE_DAYS) if a and b else []
-        out = [(a[i][4], b[j][4], "matched", float(abs(a[i][0] - b[j][0])), 0.0, household, account, None, None, None, None, None, None) for i, j in pairs]
-        for part, name, used in ((a, "statement", {i for i, _ in pairs}), (b, "feed", {j for _, j in pairs})):
-            out += [(None, None, None, None, None, household, account, r[4], r[6], r[2], r[1], r[5], name) for k, r in enumerate(part) if k not in used]
-        return out
+        a, b = split(rows, 4)
+        pairs = match([(r[0], 0, k) for k, r in enumerate(a)], [(r[0], 1, k) for k, r in enumerate(b)], RECONCILE_DAYS)
+        out = [(a[i][4], b[j][4], "matched", float(abs(a[i][0] - b[j][0])), 0.0, *rows[0][:2], None, None, None, None, None) for i, j in pairs]
+        used = {a[i][3] for i, _ in pairs}, {b[j][3] for _, j in pairs}
+        return out + [(None, None, None, None, None, *r[:2], *r[4:9]) for r in rows if str(r[4]) not in used[r[8] == "feed"]]
 
     def similar(rows: list[tuple]) -> list[tuple]:
-        household, account = rows[0][:2]
-        a, b = split(rows)
+        a, b = split(rows, 3)
         days, sets, used, out = [y[0] for y in b], [set(y[5] or ()) for y in b], set(), []
         for x in a:
             best, found, words = 0.0, None, set(x[5] or ())
@@ -135,16 +139,20 @@ def reconcile(statement: DataFrame, feed: DataFrame) -> DataFrame:
                 used.add(found)
                 out.append((x[4], b[found][4], "mismatch", float(abs(x[0] - b[found][0])), round(x[2] - b[found][2], 2)))
         out += [(None, y[4], "feed_only", None, None) for k, y in enumerate(b) if k not in used]
-        return [(*o, household, account) for o in out]
+        return [(*o, *rows[0][:2]) for o in out]
 
-    both = side(statement, "statement").unionByName(side(feed, "feed")).where("date is not null and amount is not null")
     schema = f"statement_id {kinds['id']}, feed_id {kinds['id']}, outcome string, gap_days double, difference double, household_id int, account_id {kinds['account_id']}"
-    cents = both.withColumn("cents", F.rint(F.col("amount") * 100).cast("long"))
-    first = apply_in_groups(in_stretches(cents, [*BY, "cents"]), [*BY, "cents", "stretch"], equal, f"{schema}, id {kinds['id']}, date {kinds['date']}, amount double, description string, tokens array<string>, side string")
-    first = held(first)
-    left = first.where("outcome is null").select(*both.columns)
-    second = apply_in_groups(in_stretches(left, BY), [*BY, "stretch"], similar, schema)
-    return first.where("outcome is not null").select(*second.columns).unionByName(second)
+    both = side(statement, "statement").unionByName(side(feed, "feed")).where("date is not null and amount is not null")
+    first = held(in_stretches(both.withColumn("cents", F.rint(F.col("amount") * 100).cast("long")), [*BY, "cents"]))
+    one_side = (F.col("told") == 0) | (F.col("told") == F.col("n"))
+    told = F.col("side") == "statement"
+    pairs = first.where(~one_side & (F.col("n") == 2)).groupBy(*BY, "cents", "stretch").agg(F.max(F.when(told, F.col("id"))).alias("statement_id"), F.max(F.when(~told, F.col("id"))).alias("feed_id"), F.datediff(F.max("date"), F.min("date")).cast("double").alias("gap_days"))
+    hard = held(apply_in_groups(first.where(~one_side & (F.col("n") > 2)).select(*BY, "cents", "stretch", *names[2:]), [*BY, "cents", "stretch"], equal, f"{schema}, id {kinds['id']}, date {kinds['date']}, amount double, description string, side string"))
+    left = held(in_stretches(first.where(one_side).select(*names).unionByName(hard.where("outcome is null").select(*names)), BY))
+    alone = left.where(one_side).select(F.when(told, F.col("id")).alias("statement_id"), F.when(~told, F.col("id")).alias("feed_id"), F.concat("side", F.lit("_only")).alias("outcome"), F.lit(None).cast("double").alias("gap_days"), F.lit(None).cast("double").alias("difference"), *BY)
+    mixed = left.where(~one_side).select(*BY, "stretch", *names[2:], description_tokens(F.col("description")).alias("tokens"))
+    matched = pairs.select("statement_id", "feed_id", F.lit("matched").alias("outcome"), "gap_days", F.lit(0.0).alias("difference"), *BY).unionByName(hard.where("outcome is not null").select(*alone.columns))
+    return matched.unionByName(alone).unionByName(apply_in_groups(mixed, [*BY, "stretch"], similar, schema))
 
 
 def description_similarity(a: Column, b: Column) -> Column:
