@@ -21,22 +21,27 @@ def amount(c: Column) -> Column:
     return c.cast("double")
 
 
+def _rewritten(c: Column, *steps: tuple[str, str]) -> Column:
+    """One replacement after the other, so that the cell stands in the expression once, however often the result is used."""
+    for pattern, by in steps:
+        c = F.regexp_replace(c, pattern, by)
+    return c
+
+
 def parse_money(c: Column) -> Column:
     """A statement's cell: $ , spaces, parentheses and signs; blank is 0 and anything else null."""
-    text = F.trim(F.coalesce(c, F.lit("")))
-    parens = text.rlike(r"^\(.*\)$")
-    plain = F.regexp_replace(F.when(parens, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(text), r"[$\s,]", "")
-    minus = plain.startswith("-")
-    digits = F.regexp_replace(plain, r"^-?\+?", "")
-    value = F.when(digits.rlike(r"^[0-9]*\.?[0-9]+$"), digits.try_cast("decimal(18,4)"))
-    return F.when(text == "", F.lit(0).cast("decimal(18,4)")).when(parens != minus, -value).otherwise(value)
+    plain = _rewritten(
+        F.trim(F.coalesce(c, F.lit(""))), ("^$", "0"), (r"^\((.*)\)$", "\u0001$1"), (r"[$\s,]", ""),
+        ("^(?:\u0001-\\+?|\\+)(?=[0-9.])", ""), ("^(?:\u0001\\+?|-\\+?)(?=[0-9.])", "-"),  # parentheses around a minus turn it
+    )
+    return F.regexp_extract(plain, r"^-?[0-9]*\.?[0-9]+$", 0).try_cast("decimal(18,4)")
 
 
 def parse_date(c: Column) -> Column:
     """ISO, or month/day/year with / . or - and two or four digits of the year (70 and above: 1900s)."""
-    text = F.trim(F.coalesce(c, F.lit("")))
-    pattern = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2}|\d{4})$"
-    part = [F.regexp_extract(text, pattern, k) for k in (1, 2, 3)]
-    year = F.when(F.length(part[2]) == 2, F.concat(F.when(part[2] >= "70", "19").otherwise("20"), part[2])).otherwise(part[2])
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).when(text.rlike(pattern), F.concat_ws("-", year, F.lpad(part[0], 2, "0"), F.lpad(part[1], 2, "0")))
-    return F.try_to_date(iso, "yyyy-MM-dd")
+    rest = r"^([0-9]{2})[/.\-]([0-9]{2})[/.\-]"
+    iso = _rewritten(
+        F.trim(F.coalesce(c, F.lit(""))), (r"^([0-9])([/.\-])", "0$1$2"), (r"^([0-9]{2}[/.\-])([0-9])([/.\-])", "$10$2$3"),
+        (rest + "([7-9][0-9])$", "19$3-$1-$2"), (rest + "([0-6][0-9])$", "20$3-$1-$2"), (rest + "([0-9]{4})$", "$3-$1-$2"),
+    )
+    return F.try_to_date(F.regexp_extract(iso, "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", 0), "yyyy-MM-dd")

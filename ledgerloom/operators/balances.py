@@ -179,3 +179,10 @@ def payoff(accounts: DataFrame, strategy: str = "snowball", extra: float = 0.0)
         return [(group[0][0], months, interest, stalled, base[0], base[1], round(max(0.0, base[1] - interest), 2) if same else 0.0, max(0, base[0] - months) if same else 0)]
 
     return apply_in_groups(rows, BY, solve, "household_id int, months int, interest double, stalled boolean, baseline_months int, baseline_interest double, interest_saved double, months_saved int")
+
+
+def in_payoff(accounts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The debts that a plan takes: those with a balance that their household chose (household_id, account_id, included), and cards where it said nothing.  no_minimum: without a payment to plan by."""
+    said = chosen.select(*BY, "account_id", "included")
+    both = debts(accounts).where("balance > 0").join(said, [*BY, "account_id"], "left").where(F.coalesce("included", F.col("type") == "credit"))
+    return both.select(*BY, "account_id", "type", "balance", (~F.coalesce(F.col("minimum_payment") > 0, F.lit(False))).alias("no_minimum"))

@@ -210,3 +210,21 @@ def coverage_gaps(accounts: DataFrame, rows: DataFrame, reach: int = 88, grace:
     first = rows.groupBy(*BY).agg(F.min("date").alias("served_from"))
     both = accounts.select(*BY, "created_on").join(first, BY)
     return both.where((F.col("served_from") >= F.date_sub("created_on", reach)) & (F.col("served_from") <= F.date_add("created_on", grace))).select("household_id", "account_id", "served_from")
+
+
+def statement_totals(rows: DataFrame) -> DataFrame:
+    """Per account of ``built`` rows that can be imported: money out and in, and the first and last date, by which a feed is read to compare."""
+    good = rows.where("reason is null")
+    part = lambda sign: F.sum(F.when(sign * F.col("amount") > 0, sign * F.col("amount")).otherwise(0)).cast("double")
+    return good.groupBy(*BY).agg(part(1).alias("money_out"), part(-1).alias("money_in"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+def search_amount(text: Column) -> Column:
+    """What a user types as a bound, without sign, $ or separators; null for no bound."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[$,\s]", "")
+    return F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.abs(plain.cast("double")))
+
+
+def search_date(text: Column) -> Column:
+    """A whole date of the years 1990 to 2100 as it was typed, else null: a year that is still being typed is no bound."""
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.substring(text, 1, 4).between("1990", "2100"), text)

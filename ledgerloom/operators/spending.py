@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import amount
+from ..functions.text import present
 from .verdicts import with_verdicts
 
 BY = ["household_id"]
@@ -100,3 +101,16 @@ def teach_queue(rows: DataFrame, key: Column) -> DataFrame:
         F.max(F.when(F.col("counted") & (F.col("amount") > 0), F.struct("date", (-F.col("id")).alias("o"), "id"))).alias("a"), F.max(F.struct("date", (-F.col("id")).alias("o"), "id")).alias("b"),
     )
     return out.select(*BY, "key", "spend_count", amount(F.col("spent")).alias("spent"), "other_count", amount(F.col("money_in")).alias("money_in"), amount(F.col("other_out")).alias("other_out"), F.coalesce("a.id", "b.id").alias("example_id"))
+
+
+def other_label(money_in: Column, money_out: Column) -> Column:
+    """How much a merchant moved without spending."""
+    dollars = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
+    both = [F.when(money_in > 0, F.concat(dollars(money_in), F.lit(" in"))), F.when(money_out > 0, F.concat(dollars(money_out), F.lit(" out")))]
+    return F.coalesce(present(F.concat_ws(" / ", *both)), F.lit("no amount"))
+
+
+def month_delta(overview: DataFrame, current: bool) -> DataFrame:
+    """household_id and delta against the month before: up to the same day while the month still runs, where that is known; else all of it."""
+    base = F.coalesce("last_to_date", "last_month") if current else F.col("last_month")
+    return overview.select(*BY, F.round(F.col("spent") - base, 2).alias("delta"))

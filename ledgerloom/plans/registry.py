@@ -12,7 +12,7 @@ from ..functions.text import merchant_key
 from ..operators import balances, envelopes, importing, recurring, rules, spending, tax, verdicts
 from ..operators.matching import internal_ids
 from ..sources.ledger import Ledger
-from . import contexts, edits, fixture, intake, more, oracles, pulls, statements, unlinks
+from . import contexts, edits, fixture, intake, more, oracles, pulls, statements, unlinks, views
 
 MONTH, START, END = (1995, 6), "1995-01-01", "1995-06-30"
 TAX_YEAR = ("1996-01-01", "1996-12-31")
@@ -205,8 +205,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **unlinks.queries(),
         **contexts.queries(),
         **edits.queries(),
+        **views.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | more.SQL | intake.SQL | statements.SQL | pulls.SQL | unlinks.SQL | contexts.SQL | edits.SQL
+    return oracles.SQL | more.SQL | intake.SQL | statements.SQL | pulls.SQL | unlinks.SQL | contexts.SQL | edits.SQL | views.SQL
