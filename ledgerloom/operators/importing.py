@@ -214,9 +214,12 @@ def coverage_gaps(accounts: DataFrame, rows: DataFrame, reach: int = 88, grace:
 
 def statement_totals(rows: DataFrame) -> DataFrame:
     """Per account of ``built`` rows that can be imported: money out and in, and the first and last date, by which a feed is read to compare."""
-    good = rows.where("reason is null")
-    part = lambda sign: F.sum(F.when(sign * F.col("amount") > 0, sign * F.col("amount")).otherwise(0)).cast("double")
-    return good.groupBy(*BY).agg(part(1).alias("money_out"), part(-1).alias("money_in"), F.min("date").alias("first"), F.max("date").alias("last"))
+    # No filter: it would be pushed below what parses the cells, and parse them again.
+    good = lambda c: F.when(F.col("reason").isNull(), F.col(c))
+    narrow = rows.select(*BY, good("amount").alias("amount"), good("date").alias("date"))
+    part = lambda sign: F.sum(F.greatest(sign * F.col("amount"), F.lit(0))).cast("double")
+    out = narrow.groupBy(*BY).agg(part(1).alias("money_out"), part(-1).alias("money_in"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return out.where("first is not null")
 
 
 def search_amount(text: Column) -> Column:
