@@ -138,7 +138,7 @@ def queries() -> dict:
 
     def usual(s: SparkSession, d: str) -> DataFrame:
         t = _book(s, d)["transactions"].withColumn("position", F.row_number().over(Window.partitionBy("household_id", "source").orderBy("id")))
-        return recurring._mode(t, "merchant_name", ["household_id", "source"]).where("source is not null")
+        return recurring._modes(t, ["merchant_name"], ["household_id", "source"]).where("source is not null")
 
     def medians(s: SparkSession, d: str) -> DataFrame:
         v = verdicts.with_verdicts(_book(s, d).visible()).where("counted")
