@@ -83,7 +83,7 @@ UNION ALL {_texts(6, _said(*report.ROWS), 'all_households')}
 UNION ALL SELECT v.household_id, 6, row_number() OVER (PARTITION BY v.household_id ORDER BY date DESC, v.id DESC), date || ' | ' || a.{_LABEL} || ' | ' || coalesce(nullif(user_description, ''), nullif(merchant_name, ''), nullif(description, ''), 'Card transaction') || ' | ' || shown || ' | ' || {_usd('amount')}
  || CASE WHEN amount > 0 AND NOT counted THEN ' | not counted as spending' ELSE '' END FROM v JOIN accounts a USING (household_id, account_id)"""
 _CAPPED = f"capped AS (SELECT t.id FROM transactions t JOIN accounts a USING (household_id, account_id) WHERE NOT a.hidden AND date >= DATE '{SINCE}' QUALIFY row_number() OVER (PARTITION BY household_id ORDER BY date DESC, t.id DESC) <= {report.NEWEST})"
-_ALL = f"""WITH {ctes('accounts', 'reported', 'plan_months', 'plan_limits')}, transactions AS (SELECT * FROM reported), all_households AS (SELECT DISTINCT household_id FROM accounts), {_CAPPED},
+_ALL = f"""WITH RECURSIVE {ctes('accounts', 'reported', 'plan_months', 'plan_limits')}, transactions AS (SELECT * FROM reported), all_households AS (SELECT DISTINCT household_id FROM accounts), {_CAPPED},
 {rows("t.id IN (SELECT id FROM capped) AND NOT t.excluded AND a.type <> 'loan'", name='x', by_month=True)}, v AS (SELECT *, {_DISPLAY} AS shown FROM x),
 {_FOUND}, live AS (SELECT * FROM recurs JOIN (SELECT household_id, max(date) AS newest FROM v GROUP BY 1) USING (household_id) WHERE datediff('day', next_date, newest) <= CASE cadence WHEN 'weekly' THEN 14 ELSE 60 END),
 {_ENVELOPES}, ln AS ({_LINES})"""
