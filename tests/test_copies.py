@@ -1,4 +1,4 @@
-"""Queries against their SQL where many rows are alike: transfers that several rows can pair with."""
+"""Queries against their SQL where many rows are alike: transfers that several rows can pair with, and statements of more rows than a layout's sample."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ ORDERS = """SELECT k AS o_orderkey, CAST(a AS BIGINT) AS o_custkey, 'O' AS o_ord
     ("name", "shape"),
     [(n, {"start": "1995-06-01", "pace": 60, "run": 5, "n": 500}) for n in ("D04_internal_transfers", "E04_spending_to_date", "E06_envelope_spending", "E17_teach_queue", "E18_categorized_share", "E19_D14_category_rollup")]
     + [(n, {"start": "1996-06-01", "pace": 60, "run": 5, "n": 500}) for n in ("E11_schedule_lines", "E11_schedule_summary", "E11_unmapped", "E14_deductions", "B13_schedule_csv")]
+    + [(n, {"start": "1996-06-01", "pace": 150, "run": 400, "n": 1200}) for n in ("A24_layouts", "A25_table_rows", "A25_J01_printed_import")],
 )
 def test_query_equals_its_sql_where_many_rows_are_alike(spark, tmp_path, name, shape):
     con = duckdb.connect()
