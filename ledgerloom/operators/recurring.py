@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ WINDOW_DAYS = {"weekly": 4, "monthly": 7, "annual": 30, "once": 7}
 STALE_DAYS = {"weekly": 14, "monthly": 60, "annual": 60, "once": 14}
 DUPLICATE_DAYS = {"weekly": 2, "monthly": 4, "annual": 15, "once": 0}
 AMOUNT_TOLERANCE = 0.2
+BIN_DAYS = 8
 MAX_CYCLES = 200
 
 
@@ -130,23 +133,33 @@ def by_category(expected: DataFrame) -> DataFrame:
 def candidates(expected: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs of an expectation and a transaction that may be it.
 
-    Both sides meet within a household in half-overlapping bins of 31 days (no window is longer), so a household's rows
-    are never all paired; the exact tests follow.
+    Both sides meet within a household in bins of BIN_DAYS that the expectation's window touches, and there by account; those that name
+    no account meet amounts of the same size (steps of a quarter), so that a household's rows are never all paired.  The exact tests follow.
     """
-    width = 31
+    reach = _by_cadence(F.col("cadence"), WINDOW_DAYS)
+    bin_of = lambda day: F.floor(day / BIN_DAYS)
+    step_of = lambda c: F.floor(F.log(c) / math.log(1.25))
     e = expected.where((F.col("amount") > 0) & F.col("due_date").isNotNull()).select(
         *BY, F.col("id").alias("expected_id"), F.col("account_id").alias("e_account"), F.col("amount").cast("double").alias("e_amount"), "due_date", "cadence", description_tokens(F.col("description")).alias("e_tokens"), merchant_key(F.col("description")).alias("e_key"),
-        F.floor(F.unix_date("due_date") / width).alias("e_bin"),
-    ).withColumn("bin", F.explode(F.array(F.col("e_bin") - 1, F.col("e_bin"), F.col("e_bin") + 1)))
+        F.explode(F.sequence(bin_of(F.unix_date("due_date") - reach), bin_of(F.unix_date("due_date") + reach))).alias("bin"),
+    )
     said = F.coalesce(present(F.col("merchant_name")), F.col("description"), F.lit(""))
-    t = rows.where("date is not null").select(
-        *BY, F.col("id").alias("tx_id"), F.col("account_id").alias("t_account"), F.col("amount").cast("double").alias("t_amount"), F.col("date").alias("tx_date"), description_tokens(said).alias("t_tokens"), merchant_key(said).alias("t_key"), F.floor(F.unix_date("date") / width).alias("bin")
+    # An amount within the tolerance of one above 0 is above 0.
+    t = rows.where("date is not null and amount > 0").select(
+        *BY, F.col("id").alias("tx_id"), F.col("account_id").alias("t_account"), F.col("amount").cast("double").alias("t_amount"), F.col("date").alias("tx_date"), description_tokens(said).alias("t_tokens"), merchant_key(said).alias("t_key"), bin_of(F.unix_date("date")).alias("bin")
     )
-    both = e.join(t, [*BY, "bin"]).withColumn("dist", F.abs(F.datediff("tx_date", "due_date")))
-    return both.where(
-        (F.col("e_account").isNull() | (F.col("e_account") == F.col("t_account"))) & (F.abs(F.col("t_amount") - F.col("e_amount")) <= AMOUNT_TOLERANCE * F.col("e_amount"))
-        & (F.col("dist") <= _by_cadence(F.col("cadence"), WINDOW_DAYS)) & ((similarity(F.col("e_tokens"), F.col("t_tokens")) >= 0.4) | (F.col("e_key") == F.col("t_key")))
-    ).select(*BY, "expected_id", "due_date", "tx_id", "tx_date", "dist")
+    # Steps are taken a little wide, so that rounding loses no pair.
+    low, high = (step_of(F.col("e_amount") * (1 + way * (AMOUNT_TOLERANCE + 1e-6))) for way in (-1, 1))
+    named = e.where("e_account is not null").join(t.withColumn("e_account", F.col("t_account")), [*BY, "e_account", "bin"])
+    other = e.where("e_account is null").withColumn("step", F.explode(F.sequence(low, high))).join(t.withColumn("step", step_of(F.col("t_amount"))), [*BY, "bin", "step"])
+
+    def fitting(both: DataFrame) -> DataFrame:
+        both = both.withColumn("dist", F.abs(F.datediff("tx_date", "due_date")))
+        return both.where(
+            (F.abs(F.col("t_amount") - F.col("e_amount")) <= AMOUNT_TOLERANCE * F.col("e_amount")) & (F.col("dist") <= reach) & ((similarity(F.col("e_tokens"), F.col("t_tokens")) >= 0.4) | (F.col("e_key") == F.col("t_key")))
+        ).select(*BY, "expected_id", "due_date", "tx_id", "tx_date", "dist")
+
+    return fitting(named).unionByName(fitting(other))
 
 
 #: So many candidate pairs, over all households, are left to Python at once.

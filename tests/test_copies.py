@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
+import random
+
 import duckdb
 import pytest
 
+from ledgerloom.operators import recurring
 from ledgerloom.plans import registry
 
 from .test_oracles import _plain
 
+D = datetime.date
+
 #: Households 0 to 2; accounts of all kinds, of which none is hidden or a loan.
 CUSTOMERS = "SELECT k AS c_custkey, 'Account ' || k AS c_name, CAST(k % 3 AS INT) AS c_nationkey, 5.0 AS c_acctbal, 'BANK' AS c_mktsegment FROM range(1, 200) r(k) WHERE k % 10 <> 0 AND k % 17 <> 0"
 #: The same few sums on near days, in and out; key * 7 % 3 makes runs of one direction.
@@ -35,3 +41,26 @@ def test_query_equals_its_sql_where_many_rows_are_alike(spark, tmp_path, name, s
     got = sorted(tuple(_plain(r[c]) for c in columns) for r in registry.queries()[name](spark, str(tmp_path)).collect())
     place = [want.columns.index(c) for c in columns]
     assert got and got == sorted(tuple(_plain(r[k]) for k in place) for r in want.fetchall())
+
+
+def test_candidates_meet_by_account_or_amount_and_none_is_lost(spark):
+    rnd = random.Random(3)
+    day = lambda: D.fromordinal(D(2026, 1, 1).toordinal() + rnd.randrange(90))
+    worth = lambda: rnd.choice([80.0, 99.99, 100.0, 100.01, 120.0, 125.0, 0.01, -100.0, 1e6])
+    said = lambda: rnd.choice(["STREAM FLIX", "STREAM FLIX 12", "FLIX", "42", ""])
+    bills = [(1, k, rnd.choice([None, 1, 2]), worth(), day(), rnd.choice(["weekly", "monthly", "annual", "once"]), said()) for k in range(150)]
+    paid = [(1, k, rnd.choice([1, 2, 3]), worth(), day(), said(), None) for k in range(150)]
+    expected = spark.createDataFrame(bills, "household_id int, id int, account_id int, amount double, due_date date, cadence string, description string")
+    rows = spark.createDataFrame(paid, "household_id int, id int, account_id int, amount double, date date, description string, merchant_name string")
+    words = lambda s: {w for w in s.split() if len(w) >= 3 and not w.isdigit()}
+    key = lambda s: " ".join(w for w in s.split() if not w.isdigit())
+    alike = lambda a, b: key(a) == key(b) or (words(a) and words(b) and len(words(a) & words(b)) >= 0.4 * len(words(a) | words(b)))
+    want = {
+        (e[1], t[1]) for e in bills for t in paid
+        if e[3] > 0 and e[2] in (None, t[2]) and abs(t[3] - e[3]) <= 0.2 * e[3] and abs((t[4] - e[4]).days) <= recurring.WINDOW_DAYS[e[5]] and alike(e[6], t[5])
+    }
+    found = recurring.candidates(expected, rows)
+    got = [(r.expected_id, r.tx_id) for r in found.collect()]
+    assert len(got) == len(set(got)) > 100 and set(got) == want
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and "e_account" in joins[0] and "step" in joins[1]
