@@ -6,12 +6,16 @@ one that is never closed runs to the end of the file.  Records end with CR, LF o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .statement_runs import _bound
+
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+(?:"|\z)'
 _FIELD = rf"(?:{_QUOTED})?+[^,\r\n]*+"
-_RECORD = rf"({_FIELD}(?:,{_FIELD})*+)(?:\r\n|\r|\n|\z)"
+_RECORD = rf"(?!\z)({_FIELD}(?:,{_FIELD})*+)(?:\r\n|\r|\n|\z)"
 
 # What banks call a column, the strictest first; a role takes the first column that no role before it has.
 ROLES = {
@@ -25,8 +29,7 @@ ROLES = {
 
 def records(text: Column) -> Column:
     """The raw records of a file, without a byte order mark."""
-    found = F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), "^﻿", ""), F.lit(_RECORD), F.lit(1))
-    return F.slice(found, 1, F.size(found) - 1)  # the pattern also finds an empty record at the end of the file
+    return F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), "^﻿", ""), F.lit(_RECORD), F.lit(1))
 
 
 def cells(record: Column) -> Column:
@@ -44,16 +47,17 @@ def roles(fields: Column) -> Column:
 
     A header has a date, a description, and either an amount or both debit and credit.
     """
-    names = list(ROLES)
-    known = F.array(*(F.array(*(F.lit(p) for p in ROLES[n])) for n in names))
+    place = F.sequence(F.lit(0), F.size(fields) - 1)
 
-    def pick(taken: Column, patterns: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(0), F.size(fields) - 1), lambda k: ~F.array_contains(taken, k) & (F.trim(fields[k]) != ""))
-        hits = F.flatten(F.transform(patterns, lambda p: F.filter(free, lambda k: F.rlike(F.trim(fields[k]), p))))
-        return F.concat(taken, F.array(F.coalesce(F.get(hits, F.lit(0)), F.lit(-1))))
+    def pick(patterns: list[str]) -> Callable[[Column], Column]:
+        hit = lambda free, p: F.get(F.filter(free, lambda k: F.trim(fields[k]).rlike(p)), F.lit(0))
+        first = lambda free: F.coalesce(*(hit(free, p) for p in patterns), F.lit(-1))
+        return lambda taken: F.concat(taken, F.array(_bound(F.filter(place, lambda k: ~F.array_contains(taken, k) & (F.trim(fields[k]) != "")), first)))
 
-    at = F.aggregate(known, F.array().cast("array<int>"), pick)
-    found = F.struct(*(at[k].alias(n) for k, n in enumerate(names)))
+    at = F.array().cast("array<int>")
+    for patterns in ROLES.values():
+        at = _bound(at, pick(patterns))
+    found = _bound(at, lambda taken: F.struct(*(taken[k].alias(n) for k, n in enumerate(ROLES))))
     usable = lambda m: (m["date"] >= 0) & (m["description"] >= 0) & ((m["amount"] >= 0) | ((m["debit"] >= 0) & (m["credit"] >= 0)))
     # Most rows are no header: none without the word for a date somewhere.
     maybe = F.exists(fields, lambda f: f.rlike(ROLES["date"][-1]))
@@ -62,22 +66,24 @@ def roles(fields: Column) -> Column:
 
 def rows(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys, row (from 0) and cells of every record of ``files`` (keys, text) that isn't blank."""
-    return files.select(*keys, F.posexplode(records(F.col("text"))).alias("row", "record")).select(*keys, "row", cells(F.col("record")).alias("cells")).where(~is_blank(F.col("cells")))
+    return files.select(*keys, F.posexplode(F.transform(records(F.col("text")), cells)).alias("row", "cells")).where(~is_blank(F.col("cells")))
 
 
-def headers(found: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, header (the row) and roles of each file's first row that is a header."""
-    candidates = found.select(*keys, "row", roles(F.col("cells")).alias("roles")).where("roles is not null")
-    return candidates.groupBy(*keys).agg(F.min("row").alias("header"), F.min_by("roles", "row").alias("roles"))
+def header(read: Column) -> Column:
+    """row and roles of the first header among a file's records; null if there is none."""
+    found = F.transform(read, lambda fields, k: F.struct(k.alias("row"), roles(fields).alias("roles")))
+    return F.get(F.filter(found, lambda r: r["roles"].isNotNull()), F.lit(0))
 
 
 def statement_cells(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys, row, date_cell, description_cell, debit_cell, credit_cell and amount_cell of the rows after each file's header.
 
     With both a debit and a credit column amount_cell is null, else the other two are.  Files without a header give none.
+    A file's records are read once, before its rows part: what filters rows stands above that, so that it isn't read again for each filter.
     """
-    found = rows(files, keys)
-    both = found.join(headers(found, keys), keys).where("row > header")
+    read = files.select(*keys, F.transform(records(F.col("text")), cells).alias("read")).select(*keys, "read", header(F.col("read")).alias("header"))
+    whole = F.when(F.col("header").isNotNull(), F.col("read")).otherwise(F.array().cast("array<array<string>>"))
+    both = read.select(*keys, "header.roles", F.coalesce("header.row", F.lit(-1)).alias("header"), F.posexplode(whole).alias("row", "cells")).where((F.col("row") > F.col("header")) & ~is_blank(F.col("cells")))
     cell = lambda role: F.coalesce(F.get("cells", F.col(f"roles.{role}")), F.lit(""))
     two = (F.col("roles.debit") >= 0) & (F.col("roles.credit") >= 0)
     return both.select(
