@@ -76,15 +76,8 @@ def outcomes(feeds: DataFrame) -> DataFrame:
     )
 
 
-def changes(state: dict[str, DataFrame], feeds: DataFrame, now: str) -> dict[str, DataFrame]:
-    """New rows of institutions, accounts, snapshots and transactions, as they are to be upserted.
-
-    state: institutions (household_id, org_key, institution_id, disabled), accounts (household_id, external_id, account_id, institution_id,
-    type, subtype, current_balance) and rules.  feeds: household_id, access_url, pulled_at, backfill and feed (parsed).
-
-    A new account's type is guessed once and it starts hidden; later pulls change neither.  Accounts of disabled banks are left out, with
-    their transactions.  A missing balance keeps the last one; a balance that moved is a snapshot of the day.
-    """
+def account_changes(state: dict[str, DataFrame], feeds: DataFrame, now: str) -> dict[str, DataFrame]:
+    """``changes`` without the transactions."""
     day = F.lit(now).cast("timestamp").cast("date")
     of_pull = feed.feed_accounts(feeds.where("not backfill"), "pulled_at", "backfill").withColumn("org_key", F.coalesce("org_key", F.lit(NO_BANK))).withColumn("external_id", F.concat(F.lit(PREFIX), "external_id"))
     seen = held(_first(of_pull, ["household_id", "external_id"]))
@@ -97,16 +90,34 @@ def changes(state: dict[str, DataFrame], feeds: DataFrame, now: str) -> dict[str
         F.col("_held").isNull().alias("fresh"), F.coalesce("_new", "_balance").alias("current_balance"), F.when(F.col("_new").isNull(), F.col("_on")).otherwise(F.coalesce("balance_on", day)).alias("balance_on"),
         (F.col("_new").isNotNull() & (F.col("_held").isNull() | ~F.col("_new").eqNullSafe(F.col("_balance")))).alias("moved"),
     ))
+    return {
+        "institutions": banks.select("household_id", "org_key", "institution_id", F.lit(False).alias("disabled"), day.alias("last_pulled_on")),
+        "accounts": both.select("household_id", "account_id", "external_id", "institution_id", "name", "currency", "type", "subtype", "current_balance", "balance_on", "fresh"),
+        "snapshots": both.where("moved").select("household_id", "account_id", day.alias("captured_on"), F.col("current_balance").alias("balance")),
+    }
+
+
+def changes(state: dict[str, DataFrame], feeds: DataFrame, now: str) -> dict[str, DataFrame]:
+    """New rows of institutions, accounts, snapshots and transactions, as they are to be upserted.
+
+    state: institutions (household_id, org_key, institution_id, disabled), accounts (household_id, external_id, account_id, institution_id,
+    type, subtype, current_balance) and rules.  feeds: household_id, access_url, pulled_at, backfill and feed (parsed).
+
+    A new account's type is guessed once and it starts hidden; later pulls change neither.  Accounts of disabled banks are left out, with
+    their transactions.  A missing balance keeps the last one; a balance that moved is a snapshot of the day.
+    """
+    day = F.lit(now).cast("timestamp").cast("date")
+    found = account_changes(state, feeds, now)
+    both = found["accounts"]
     known = state["accounts"].select("household_id", "external_id", "account_id", "type").unionByName(both.where("fresh").select("household_id", "external_id", "account_id", "type"))
     usable = known.join(both.select("household_id", "external_id").distinct(), ["household_id", "external_id"], "left_semi")
     rows = feed.feed_transactions(feeds, "pulled_at", "backfill").withColumn("account_external", F.concat(F.lit(PREFIX), "account")).withColumn("external_id", F.concat(F.lit(PREFIX), "external_id"))
     mine = rows.join(usable.select("household_id", F.col("external_id").alias("account_external"), "account_id", F.col("type").alias("account_type")), ["household_id", "account_external"])
-    first = _first(mine, ["household_id", "account_id", "external_id"]).withColumn("id", _id("household_id", "account_id", "external_id"))
+    # Held, as the rows and the rules that they meet come from it.
+    first = held(_first(mine, ["household_id", "account_id", "external_id"])).withColumn("id", _id("household_id", "account_id", "external_id"))
     said = first.withColumn("plain", F.col("description")).withColumn("description", F.when((F.col("merchant_name") != "") & (F.col("merchant_name") != F.col("description")), F.concat_ws(" ", "merchant_name", "description")).otherwise(F.col("description")))
     sorted_ = rule_book.classify(said, state["rules"]).withColumn("description", F.col("plain"))
     return {
-        "institutions": banks.select("household_id", "org_key", "institution_id", F.lit(False).alias("disabled"), day.alias("last_pulled_on")),
-        "accounts": both.select("household_id", "account_id", "external_id", "institution_id", "name", "currency", "type", "subtype", "current_balance", "balance_on", "fresh"),
-        "snapshots": both.where("moved").select("household_id", "account_id", day.alias("captured_on"), F.col("current_balance").alias("balance")),
+        **found,
         "transactions": sorted_.select("household_id", "account_id", "external_id", "id", "date", "amount", "merchant_name", "description", "raw_category", "mapped_category", "pending", day.alias("pulled_on"), F.lit("simplefin").alias("source")),
     }

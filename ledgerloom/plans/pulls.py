@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def _pulled(s: SparkSession, d: str) -> DataFrame:
     return feed.parsed(both.selectExpr("household_id", "concat('u', k % 3) AS access_url", "pulled_at", "false AS backfill", f"{_JSON} AS json"))
 
 
-def _changes(s: SparkSession, d: str) -> dict[str, DataFrame]:
+def _changes(s: SparkSession, d: str, find: Callable[..., dict] = pulls.account_changes) -> dict[str, DataFrame]:
     rows, k = fixture.load(s, d, "feeds"), col("k")
     banks = rows.select("household_id", col("org").alias("org_key")).distinct().where("household_id % 3 != 1").select("household_id", "org_key", (col("household_id") + 100).cast("long").alias("institution_id"), ((col("household_id") % 5 == 0) & (col("org_key") == "Discover")).alias("disabled"))
     held = rows.where(k % 4 != 0).select(
@@ -40,7 +42,7 @@ def _changes(s: SparkSession, d: str) -> dict[str, DataFrame]:
         F.when(k % 8 == 1, 7.25).otherwise(1).cast("decimal(14,2)").alias("current_balance"), lit("2025-01-01").cast("date").alias("balance_on"),
     )
     taught = rows.where("household_id % 2 = 0").select("household_id", lit("PAYEE SHOP").alias("merchant_key"), lit("Shops").alias("category"), lit(None).cast("decimal(14,2)").alias("amount")).distinct()
-    return pulls.changes({"institutions": banks, "accounts": held, "rules": taught}, _pulled(s, d), NOW)
+    return find({"institutions": banks, "accounts": held, "rules": taught}, _pulled(s, d), NOW)
 
 
 def queries() -> dict:
@@ -64,7 +66,7 @@ def queries() -> dict:
         return rows.select("household_id", "external_id", F.when(~col("fresh"), col("account_id")).alias("account_id"), "type", "subtype", amount(col("current_balance")).alias("balance"), "balance_on", "fresh")
 
     def transactions(s: SparkSession, d: str) -> DataFrame:
-        rows = _changes(s, d)["transactions"]
+        rows = _changes(s, d, pulls.changes)["transactions"]
         return rows.select("household_id", "external_id", (col("account_id").cast("string") == F.substring("external_id", 7, 20)).alias("held_account"), "date", amount(col("amount")).alias("amount"), "description", "raw_category", "mapped_category")
 
     def snapshots(s: SparkSession, d: str) -> DataFrame:

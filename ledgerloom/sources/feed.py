@@ -99,6 +99,11 @@ def _bank(a: Column, connections: Column) -> Column:
     return F.coalesce(a["org"], F.when(mine.isNotNull(), joined))
 
 
+def _all(items: Column) -> Column:
+    """Each of ``items``, none if null.  Of a plain column that is exploded Spark asks first whether it is empty, and where it is read from JSON that reads it again."""
+    return F.transform(items, lambda i: i)
+
+
 def _org(org: Column) -> Column:
     return F.coalesce(present(org["id"]), present(F.lower(org["domain"])), present(_host(org["url"])), present(org["name"]))
 
@@ -128,7 +133,7 @@ def feed_transactions(feeds: DataFrame, *keep: str) -> DataFrame:
 
     keep: other columns of ``feeds`` to go with it, and its place in the feed (nth).
     """
-    rows = feeds.select("household_id", *keep, F.posexplode("feed.accounts").alias("m", "a")).select("household_id", *keep, "m", F.col("a.id").alias("account"), F.posexplode("a.transactions").alias("n", "t"))
+    rows = feeds.select("household_id", *keep, F.posexplode(_all(F.col("feed.accounts"))).alias("m", "a")).select("household_id", *keep, "m", F.col("a.id").alias("account"), F.posexplode(_all(F.col("a.transactions"))).alias("n", "t"))
     place = [*keep, F.struct("m", "n").alias("nth")] if keep else []
     when = F.coalesce(*(F.when(F.col(f"t.{c}") > 0, F.timestamp_seconds(F.col(f"t.{c}")).cast("date")) for c in ("posted", "transacted_at")))
     out = rows.select(

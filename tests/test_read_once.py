@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerloom.sources import statement_csv, statement_runs
+from ledgerloom.sources import feed, statement_csv, statement_runs
 
 
 def _plan(df):
@@ -55,3 +55,11 @@ def test_the_period_of_a_file_is_found_in_one_pass(spark):
         (1, "2025-11-10", "2026-03-09", "period"), (2, "2023-11-05", "2024-04-18", "printed"), (3, "1998-09-04", "1999-02-16", "printed"), (5, "2019-11-21", "2020-03-20", "period")
     ]
     assert "Join" not in _plan(found) and _plan(found).count("MapInArrow") == 1
+
+
+def test_an_envelope_is_parsed_once_for_its_transactions(spark):
+    text = '{"accounts":[{"id":"a","transactions":[{"id":"t","posted":86400,"amount":"5"},{"id":"","posted":1,"amount":"1"}]},null,{"id":"b"}]}'
+    raw = spark.createDataFrame([(1, text), (2, "no json"), (3, None)], "household_id int, json string")
+    found = feed.feed_transactions(feed.parsed(raw))
+    assert [(r.household_id, r.account, r.external_id, float(r.amount)) for r in found.collect()] == [(1, "a", "t", -5.0)]
+    assert _plan(found).count("from_json") == 1
