@@ -7,7 +7,8 @@ document past every shard would be quadratic.  The shards are therefore keyed by
 minimizer, the 8-gram with the least hash in it, and equal windows have equal minimizers.
 
 1. Each document is cut into segments, the runs of windows with one minimizer occurrence (at most 28 windows of 62 words).
-   Minimizers that occur once are done; no window of theirs can be repeated.
+   A segment is one row of its document, with all its places there.  Minimizers that occur once are done; no window of
+   theirs can be repeated.
 2. Equal segments are one, with the number of their occurrences, and their words are fetched from one document each.
 3. A minimizer's distinct segments are a reference shard: a suffix automaton over their words with occurrence counts, past
    which the same segments are streamed.  A position's state, cut back to WINDOW words, tells how often the window that
@@ -79,7 +80,7 @@ def runs_of_least(h: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each segment."""
+    """A row for each document's different segments, with their places."""
     for batch in batches:
         found = []
         for text in batch.column("text").to_pylist():
@@ -88,8 +89,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.array([len(f[0]) for f in found], np.int64)
         row = np.repeat(np.arange(len(found)), times)
         a, s, i, c = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(4))
+        order = np.lexsort((i, s, a, row))
+        row, a, s, i, c = row[order], a[order], s[order], i[order], c[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (a[1:] != a[:-1]) | (s[1:] != s[:-1])
+        first = np.flatnonzero(new)
+        at = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(i.astype(np.int32)))
+        of = pa.array(row[first])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), batch.column("doc_id").take(pa.array(row)), batch.column("version").take(pa.array(row)), pa.array(i.astype(np.int32)), pa.array(c.astype(np.int8))],
+            [pa.array(a[first].view(np.int64)), pa.array(s[first].view(np.int64)), batch.column("doc_id").take(of), batch.column("version").take(of), at, pa.array(c[first].astype(np.int8))],
             names=["anchor", "seg", "doc_id", "version", "at", "n"],
         )
 
@@ -245,16 +253,16 @@ def _by_automata(shards: DataFrame, level: int = 1) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, version and, as ``spans``, the first window and a mask of windows for each segment that has repeated windows."""
+    """doc_id, version and, as ``spans``, the first windows of its places and a mask of windows for each segment that has repeated windows."""
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text"))
-    cut = stored(docs.mapInArrow(_cut, f"anchor long, seg long, doc_id {kind}, version long, at int, n byte"), "segments")
-    again = stored(cut.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "again")
+    cut = stored(docs.mapInArrow(_cut, f"anchor long, seg long, doc_id {kind}, version long, at array<int>, n byte"), "segments")
+    again = stored(cut.groupBy("anchor").agg(F.sum(F.size("at")).alias("c")).where("c > 1").select("anchor"), "again")
     # Both stored, so that the join has exchanges of its own and a very common minimizer's rows can be split.
     held = stored(cut.join(again.hint("merge"), "anchor"), "repeated")
 
-    distinct = stored(held.groupBy("anchor", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "version", "at")).alias("where"), F.first("n").alias("n")), "distinct")
+    distinct = stored(held.groupBy("anchor", "seg").agg(F.sum(F.size("at")).alias("times"), F.min(F.struct("doc_id", "version", F.col("at")[0].alias("at"))).alias("where"), F.first("n").alias("n")), "distinct")
     wanted = F.collect_list(F.struct("anchor", "seg", "times", "n", F.col("where.at").alias("at"))).alias("wanted")
     per_doc = distinct.groupBy(F.col("where.doc_id").alias("_id"), F.col("where.version").alias("_version")).agg(wanted)
     one = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_id"]) & (docs["version"] == per_doc["_version"])).dropDuplicates(["doc_id", "version"])
@@ -269,8 +277,8 @@ def _kept(text: str | None, found: list[dict] | None) -> tuple[list[bytes], np.n
     words = (text or "").encode("utf-8", "surrogatepass").split()
     if not found:
         return words, np.ones(len(words), bool)
-    starts = [f["at"] + k for f in found for k in range(f["mask"].bit_length()) if f["mask"] >> k & 1]
-    return words, ~covered(np.unique(np.array(starts, np.int64)), WINDOW, len(words))
+    starts = [np.asarray(f["at"], np.int64) + k for f in found for k in range(f["mask"].bit_length()) if f["mask"] >> k & 1]
+    return words, ~covered(np.unique(np.concatenate(starts)), WINDOW, len(words))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -173,6 +173,17 @@ def test_substring_dedup_with_null_ids(spark, monkeypatch, segments):
     assert got == Counter((rows[i][0], *rest) for i, *rest in want)
 
 
+def test_a_segment_is_one_row_of_its_document(spark):
+    cycle = " ".join(f"c{k}" for k in range(12))
+    rows = [(1, " ".join([cycle] * 200)), (2, f"x {cycle} {cycle} {cycle} {cycle} y"), (3, None), (4, "short")]
+    df = _docs(spark, rows).selectExpr("doc_id", "text", "7L AS version")
+    cut = df.mapInArrow(substring_dedup._cut, "anchor long, seg long, doc_id long, version long, at array<int>, n byte").collect()
+    assert len({(r.doc_id, r.anchor, r.seg) for r in cut}) == len(cut) < 20
+    assert sum(len(r["at"]) * r.n for r in cut if r.doc_id == 1) == 2400 - 34 and len({at for r in cut if r.doc_id == 1 for at in r["at"]}) == sum(len(r["at"]) for r in cut if r.doc_id == 1)
+    got = Counter(tuple(r) for r in substring_dedup.removed_words(_docs(spark, rows)).collect())
+    assert got == Counter((rows[i][0], *rest) for i, *rest in _kept_words(list(enumerate(t for _, t in rows))))
+
+
 def test_rewritten_texts(spark):
     shared = " ".join(f"p{k}" for k in range(40))
     df = spark.createDataFrame([(1, f"a b\n{shared} c", "en"), (2, f"{shared}", "de"), (3, "x\n y", None), (None, None, None)], "doc_id long, text string, spans string").withColumnRenamed("spans", "lang")
