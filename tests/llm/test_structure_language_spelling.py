@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -202,6 +203,35 @@ def test_a_bound_on_keys_keeps_the_most_frequent(spark):
     assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(got)
 
 
+def test_a_bound_on_keys_changes_no_result(spark, monkeypatch):
+    """Keys that aren't broadcast are joined with the model's tables: entropies are those of the definition, whatever the bound."""
+    rows = _texts(120)
+    taught = spark.createDataFrame([r for r in rows if r[0] % 4], "doc_id long, text string, lang string")
+    apart = {r[0] for r in taught.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(16)) == 0).collect()}
+    ps = [_brute_probabilities([t for k, t, x in rows if x == lang and k % 4 and k not in apart]) for lang in ("xx", "yy", "zz")]
+    asked = [(k, t) for k, t, _ in rows if k % 3 == 0][:12] + [(7, "qqq бр lu"), (7, "qqq бр lu"), (None, "мо ké"), (8, "11"), (9, None)]
+    frame = spark.createDataFrame(asked, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(language_id, "ROW_KEYS", 3)
+
+    def told(share):
+        model = language_id.train(taught, share=share)
+        return model["slope"], sorted((r.doc_id or 0, r.lang_pred, r.score, r.entropy) for r in language_id.identify(frame, model).collect() if r.entropy is not None)
+
+    whole = told(None)
+    for share in (1, 100):
+        slope, got = told(share)
+        assert slope == pytest.approx(whole[0], rel=1e-6)
+        assert [g[:2] for g in got] == [w[:2] for w in whole[1]]
+        assert [x for g in got for x in g[2:]] == pytest.approx([x for w in whole[1] for x in w[2:]], rel=1e-6)
+    n = language_id.ORDER
+    best = []
+    for k, t in asked[:-2]:
+        s = "\0" * (n - 2) + re.sub(r"[\W\d_]+", " ", f" {t.lower()} ")
+        grams = [s[i : i + n] for i in range(len(s) - n + 1)]
+        best.append((k or 0, min(sum(-math.log(p(g)) for g in grams) / len(grams) for p in ps)))
+    assert [x for _, x in sorted(best)] == pytest.approx([g[3] for g in sorted(whole[1], key=lambda g: (g[0], g[3]))], rel=1e-9)
+
+
 def test_blocks_of_long_texts_give_the_same_counts(monkeypatch):
     text = "Ünd dann, ba lu 12 " * 40
     whole = language_id.counted(text)
