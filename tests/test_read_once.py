@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgerloom.plans import statements
 from ledgerloom.sources import feed, statement_csv, statement_runs
 
 
@@ -63,3 +64,12 @@ def test_an_envelope_is_parsed_once_for_its_transactions(spark):
     found = feed.feed_transactions(feed.parsed(raw))
     assert [(r.household_id, r.account, r.external_id, float(r.amount)) for r in found.collect()] == [(1, "a", "t", -5.0)]
     assert _plan(found).count("from_json") == 1
+
+
+def test_items_are_printed_in_one_pass_with_the_text_of_each_page(spark):
+    runs = statements._runs(spark, "/root/testdata/sf0.001")
+    assert _plan(runs).count("Window [") == 1
+    file = [*statements.KEYS]
+    pages = runs.groupBy(*file, "page").agg(F.count_if(F.col("text").startswith("Additional")).alias("feet"), F.count_if(F.col("y") == 60).alias("names"), F.count_if(F.col("text").startswith("Statement for")).alias("titles"))
+    assert pages.count() > 0
+    assert pages.where((F.col("feet") != 1) | ((F.col("names") > 0) != (F.col("household_id") % 8 != 7)) | (F.col("titles") != (F.col("page") == 1).cast("int"))).isEmpty()
