@@ -202,7 +202,7 @@ def match(expected: DataFrame, rows: DataFrame) -> DataFrame:
 
 def add(expected: DataFrame, new: DataFrame) -> DataFrame:
     """``expected`` with the rows of ``new`` that nothing pending covers already."""
-    taken = duplicates(new, expected).select(*BY, "id")
+    taken = duplicates(new.select(*BY, "id", "recurring_key", "due_date", "cadence"), expected).select(*BY, "id")
     return expected.unionByName(new.join(taken, [*BY, "id"], "left_anti").select(*expected.columns))
 
 
@@ -257,7 +257,15 @@ def settle_all(expected: DataFrame, rows: DataFrame, today: str) -> DataFrame:
 
 
 def duplicates(fields: DataFrame, existing: DataFrame) -> DataFrame:
-    """The rows of ``fields`` that an expectation pending already covers: the same recurring key, due within days of it."""
-    held = existing.where("status = 'pending'").select(*BY, "recurring_key", F.col("due_date").alias("held_due"))
-    near = F.abs(F.datediff("held_due", "due_date")) <= _by_cadence(F.col("cadence"), DUPLICATE_DAYS)
-    return fields.where("recurring_key is not null").join(held, [*BY, "recurring_key"]).where(near).select(*fields.columns).distinct()
+    """The rows of ``fields`` that an expectation pending already covers: the same recurring key, due within days of it.
+
+    Rows don't meet, only the days of a key do, each once and in order: a day's nearest pending ones before and after it tell.
+    """
+    key = [*BY, "recurring_key"]
+    asked = fields.where("recurring_key is not null and due_date is not null")
+    pending = existing.where("status = 'pending' and recurring_key is not null and due_date is not null")
+    days = pending.select(*key, "due_date", F.lit(True).alias("held")).unionByName(asked.select(*key, "due_date", F.lit(False).alias("held"))).groupBy(*key, "due_date").agg(F.max("held").alias("held"))
+    nearest = lambda order: F.last(F.when(F.col("held"), F.col("due_date")), ignorenulls=True).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    away = F.least(F.datediff("due_date", nearest(F.col("due_date").asc())), F.datediff(nearest(F.col("due_date").desc()), "due_date"))
+    near = F.col("_away") <= _by_cadence(F.col("cadence"), DUPLICATE_DAYS)
+    return asked.join(days.select(*key, "due_date", away.alias("_away")).where("_away is not null"), [*key, "due_date"]).where(near).select(*fields.columns).distinct()
