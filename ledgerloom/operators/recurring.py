@@ -7,11 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grouped import apply_in_groups
+from ..functions.grouped import apply_in_groups, stream_in_groups  # noqa: F401 (tests bound what is held of a group)
 from ..functions.money import amount
 from ..functions.tables import literal_rows
 from ..functions.storage import held
 from ..functions.text import description_tokens, merchant_key, normal_merchant, present, similarity
+from .nearest import nearest
 from .verdicts import RETURN_CATEGORY, TRANSFER_CATEGORY
 
 BY = ["household_id"]
@@ -131,7 +132,7 @@ def by_category(expected: DataFrame) -> DataFrame:
 
 
 def candidates(expected: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs of an expectation and a transaction that may be it.
+    """Pairs of an expectation and a transaction that may be it: what ``match`` chooses from without making them.
 
     Both sides meet within a household in bins of BIN_DAYS that the expectation's window touches, and there by account; those that name
     no account meet amounts of the same size (steps of a quarter), so that a household's rows are never all paired.  The exact tests follow.
@@ -162,42 +163,60 @@ def candidates(expected: DataFrame, rows: DataFrame) -> DataFrame:
     return fitting(named).unionByName(fitting(other))
 
 
-#: So many candidate pairs, over all households, are left to Python at once.
+#: A household whose bills' and transactions' wordings make more pairs isn't narrowed by them; a task remembers so many comparisons at once.
 FEW_PAIRS = 50_000
+#: So many rows, over all households, are walked as they are, each household held whole.
+FEW_ROWS = 200_000
+#: Days that one of 64 bits stands for.
+BIT_DAYS = 32
+
+
+def _worded(both: DataFrame) -> DataFrame:
+    """The bills (reach is set) and transactions of ``both`` that some wording of the other side in their household is like, with the wording as key.
+
+    All rows of households with more than FEW_PAIRS pairs of wordings stay.
+    """
+    texts = held(both.select(*BY, "said", F.col("reach").isNotNull().alias("bill")).distinct().withColumn("key", merchant_key(F.col("said"))))
+    keys = texts.select(*BY, "bill", "key").distinct()
+    many = keys.groupBy(*BY).agg((F.count_if("bill") * F.count_if(~F.col("bill"))).alias("pairs")).where(F.col("pairs") > FEW_PAIRS).select(*BY)
+    # Two wordings that are alike share a word, or are equal.  The key has all words of its text.
+    words = keys.join(many, BY, "left_anti").withColumn("words", description_tokens(F.col("key"))).withColumn("word", F.explode(F.concat("words", F.array(F.concat(F.lit("="), F.col("key"))))))
+    side = lambda bill, n: words.where(F.col("bill") == bill).select(*BY, "word", F.col("key").alias(f"key_{n}"), F.col("words").alias(f"words_{n}"))
+    alike = side(True, "e").join(side(False, "t"), [*BY, "word"]).where((F.col("key_e") == F.col("key_t")) | (similarity(F.col("words_e"), F.col("words_t")) >= 0.4))
+    useful = alike.select(*BY, F.inline(F.array(F.struct(F.lit(True).alias("bill"), F.col("key_e").alias("key")), F.struct(F.lit(False).alias("bill"), F.col("key_t").alias("key"))))).distinct().unionByName(keys.join(many, BY, "left_semi"))
+    kept = held(texts.join(useful, [*BY, "bill", "key"], "left_semi"))
+    return both.withColumn("bill", F.col("reach").isNotNull()).join(kept, [*BY, "bill", "said"]).drop("bill", "said")
 
 
 def match(expected: DataFrame, rows: DataFrame) -> DataFrame:
     """One-to-one matches of expectations and transactions, nearest first.
 
-    Greedy in a total order: a pair that is the first left for both its ends is taken, in rounds.  When at most FEW_PAIRS
-    are left over all households, these are ordered in Python, a household at a time.
+    Greedy in a total order over the pairs of ``candidates``, which aren't made: each household is one walk along its days (``nearest``).  Of more than
+    FEW_ROWS rows only those that wordings leave go on it, and bills that name an account only where that account has such rows about their time, told by
+    a bit for every BIT_DAYS days (modulo 64: too many stay, none is lost).
     """
-
-    def greedy(pairs: list[tuple]) -> list[tuple]:
-        seen_e, seen_t, out = set(), set(), []
-        for h, e, _, t, _, _ in sorted(pairs, key=lambda p: (p[5], p[2], str(p[1]), p[4], str(p[3]))):
-            if e not in seen_e and t not in seen_t:
-                seen_e.add(e)
-                seen_t.add(t)
-                out.append((h, e, t))
-        return out
-
-    left = candidates(expected, rows)
-    kinds = dict(left.dtypes)
-    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    rank = F.struct("dist", "due_date", said("expected_id"), "tx_date", said("tx_id"))
-    of_e, of_t = Window.partitionBy(*BY, "expected_id"), Window.partitionBy(*BY, "tx_id")
-    left, done = held(left), []
-    while left.count() > FEW_PAIRS:
-        both = left.withColumn("rank", rank).withColumn("first", F.min("rank").over(of_e) == F.col("rank")).withColumn("taken", F.col("first") & (F.min("rank").over(of_t) == F.col("rank")))
-        spent = both.withColumn("spent", F.max("taken").over(of_t)).withColumn("spent", F.col("spent") | F.max("taken").over(of_e))
-        both = held(spent.select(*left.columns, "taken", "spent"))
-        done.append(both.where("taken").select(*BY, "expected_id", "tx_id").distinct())
-        left = both.where("not spent").drop("taken", "spent")
-    out = apply_in_groups(left, BY, greedy, f"household_id int, expected_id {kinds['expected_id']}, tx_id {kinds['tx_id']}")
-    for part in done:
-        out = out.unionByName(part)
-    return out
+    reach, most = _by_cadence(F.col("cadence"), WINDOW_DAYS), max(WINDOW_DAYS.values())
+    bit = lambda day: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(day / BIT_DAYS), F.lit(64)).cast("int"))
+    shaped = lambda day: (*BY, F.unix_date(day).alias("day"), F.col("account_id").cast("string").alias("account"), F.col("amount").cast("double").alias("amount"))
+    bills = expected.where((F.col("amount") > 0) & F.col("due_date").isNotNull()).select(*shaped("due_date"), F.col("id").alias("expected_id"), reach.alias("reach"), F.coalesce("description", F.lit("")).alias("said"))
+    # An amount within the tolerance of one above 0 is above 0.
+    paid = rows.where("date is not null and amount > 0").select(*shaped("date"), F.col("id").alias("tx_id"), F.coalesce(present(F.col("merchant_name")), F.col("description"), F.lit("")).alias("said"))
+    both = held(bills.unionByName(paid, allowMissingColumns=True))
+    columns = [*BY, "day", "expected_id", "tx_id", "account", "amount", "reach", "key"]
+    few = both.count() <= FEW_ROWS
+    if few:
+        walk = both.withColumn("key", merchant_key(F.col("said"))).select(*columns, F.lit(True).alias("whole"))
+    else:
+        both = _worded(both)
+        named = F.col("reach").isNotNull() & F.col("account").isNotNull()
+        when = both.where("reach is null and account is not null").groupBy(*BY, "account").agg(F.bit_or(bit(F.col("day"))).alias("_when"))
+        asked = bit(F.col("day") - F.col("reach")).bitwiseOR(bit(F.col("day"))).bitwiseOR(bit(F.col("day") + F.col("reach")))  # no reach skips a bit
+        near = both.where(named).join(when, [*BY, "account"]).where(asked.bitwiseAND(F.col("_when")) != 0)
+        walk = held(both.where(~named).select(*columns).unionByName(near.select(*columns)))
+        same = held(walk.groupBy(*BY, "expected_id", "tx_id").agg(F.count("*").alias("n")).where("n > 1").select(*BY, F.lit(True).alias("_same")).distinct())
+        walk = walk.join(same, BY, "left").select(*columns, F.coalesce("_same", F.lit(False)).alias("whole"))
+    kinds = dict(walk.dtypes)
+    return stream_in_groups(walk, BY, ["day"], nearest(most, AMOUNT_TOLERANCE, FEW_PAIRS), ", ".join(f"{c} {kinds[c]}" for c in (*BY, "expected_id", "tx_id")), spread=not few)
 
 
 def add(expected: DataFrame, new: DataFrame) -> DataFrame:
